@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import ngram_jaccard, substring_dedup
+from lumenframe.llm import ngram_jaccard, quality_rules, substring_dedup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.repetition_rules(_docs(spark, sf_dir), min_repeat=8, max_covered_percent=15, max_longest=40)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "base_failed", "kept")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_docs(spark, sf_dir), window=13, digest=True)
 
@@ -22,13 +27,32 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_repetition": op1_suffix_repetition,
     "op3_substring_dedup": op3_substring_dedup,
     "op7_ngram_jaccard": op7_ngram_jaccard,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_COVER = """
+win{k} AS (SELECT doc_id, i, array_to_string(w[i : i + {k} - 1], ' ') AS s FROM d, unnest(range(1, len(w) - {k} + 2)) AS r(i)),
+twice{k} AS (SELECT doc_id, s FROM win{k} GROUP BY ALL HAVING count(*) > 1),
+n{k} AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM win{k} JOIN twice{k} USING (doc_id, s), unnest(range(0, {k})) AS r(j) GROUP BY doc_id)"""
+
 SQL: dict[str, str] = {
+    "op1_suffix_repetition": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+line AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM line WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+{_COVER.format(k=5)}, {_COVER.format(k=8)},
+win41 AS (SELECT doc_id, array_to_string(w[i : i + 40], ' ') AS s FROM d, unnest(range(1, len(w) - 39)) AS r(i)),
+long AS (SELECT DISTINCT doc_id FROM (SELECT doc_id FROM win41 GROUP BY doc_id, s HAVING count(*) > 1)),
+base AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+  (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
+  coalesce(n5.n, 0)::BIGINT AS n_repeat_words, coalesce(n8.n, 0)::BIGINT AS n_covered_words, long.doc_id IS NOT NULL AS too_long
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN n5 USING (doc_id) LEFT JOIN n8 USING (doc_id) LEFT JOIN long USING (doc_id))
+SELECT * EXCLUDE too_long, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * n_covered_words <= 15 * n_words AND NOT too_long AS kept FROM base""",
     "op3_substring_dedup": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS s
