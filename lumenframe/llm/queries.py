@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import ngram_jaccard, quality_rules, substring_dedup
+from lumenframe.llm import ngram_jaccard, quality_rules, substring_dedup, token_wavelet
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +27,15 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(_docs(spark, sf_dir), words=5, percent=75)
 
 
+def op8_token_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_wavelet.token_offsets(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op3_substring_dedup": op3_substring_dedup,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_token_wavelet": op8_token_wavelet,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
