@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import ngram_jaccard, quality_rules, substring_dedup, token_wavelet
+from lumenframe.llm import bpe_transducer, ngram_jaccard, quality_rules, substring_dedup, token_wavelet
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,11 +31,16 @@ def op8_token_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_wavelet.token_offsets(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op9_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_transducer.encode_decode(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op3_substring_dedup": op3_substring_dedup,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_token_wavelet": op8_token_wavelet,
+    "op9_bpe_transducer": op9_bpe_transducer,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
