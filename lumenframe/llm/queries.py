@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumenframe.llm import bpe_transducer, ngram_jaccard, quality_rules, substring_dedup, token_wavelet
+from lumenframe.llm import bpe_transducer, language_id, ngram_jaccard, quality_classifier, quality_rules, substring_dedup, token_wavelet
+from lumenframe.llm._shared import crc_mod
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,20 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_docs(spark, sf_dir), window=13, digest=True)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    out = language_id.predict(docs.select("doc_id", "text"), language_id.fit(docs, ~held_out))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 5) == 0
+    model = quality_classifier.fit(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out, label="quality")
+    out = quality_classifier.score(_docs(spark, sf_dir), model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(_docs(spark, sf_dir), words=5, percent=75)
 
@@ -38,6 +53,8 @@ def op9_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_language_id": op5_language_id,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_token_wavelet": op8_token_wavelet,
     "op9_bpe_transducer": op9_bpe_transducer,
