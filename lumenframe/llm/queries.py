@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumenframe.llm import bpe_transducer, language_id, ngram_jaccard, quality_classifier, quality_rules, substring_dedup, token_wavelet
+from lumenframe.llm import bpe_transducer, decontamination, language_id, ngram_jaccard, quality_classifier, quality_rules, substring_dedup, token_wavelet
 from lumenframe.llm._shared import crc_mod
 
 
@@ -50,6 +50,10 @@ def op9_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_transducer.encode_decode(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), digest=True)
 
 
+def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=8, share=0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op3_substring_dedup": op3_substring_dedup,
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_token_wavelet": op8_token_wavelet,
     "op9_bpe_transducer": op9_bpe_transducer,
+    "op10_template_decontamination": op10_template_decontamination,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -104,4 +109,21 @@ both_ways AS (SELECT a, b FROM lk UNION ALL SELECT b, a FROM lk),
 reach AS (SELECT a AS doc_id, a AS r FROM both_ways UNION SELECT reach.doc_id, b FROM reach JOIN both_ways ON reach.r = both_ways.a)
 SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(min(r), d.doc_id))::BIGINT AS component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN reach ON reach.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op10_template_decontamination": rf"""
+WITH raw AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+tok AS (SELECT kind, id, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\x01', ' ', 'g'),
+          '([0-9]) ?({decontamination.UNITS})\b', '\1 ' || chr(1) || 'u\2', 'g'), '([\p{{Ll}}0-9,;:] )(\p{{Lu}})', '\1' || chr(1) || 'm\2', 'g'),
+          '[^\p{{L}}\p{{N}}\x01]+'), x -> x <> '') AS w FROM raw WHERE id IS NOT NULL),
+tm AS (SELECT kind, id, w, list_transform(w, x -> CASE WHEN x[1:2] = chr(1) || 'u' THEN '<unit>' WHEN x[1:2] = chr(1) || 'm' THEN '<name>'
+          WHEN regexp_matches(x, '^[0-9]') THEN '<num>' ELSE lower(x) END) AS t FROM tok),
+win AS (SELECT kind, id, i, array_to_string(t[i : i + 7], ' ') AS s, list_filter(w[i : i + 7], x -> x[1] = chr(1) OR regexp_matches(x, '^[0-9]')) AS v
+        FROM tm, unnest(range(1, len(t) - 6)) AS r(i)),
+item AS (SELECT id, count(*) AS item_windows FROM win WHERE kind = 1 GROUP BY id),
+hit AS (SELECT d.id AS doc_id, b.id AS item_id, b.i, b.v AS bv, d.v AS dv FROM win d JOIN win b ON d.s = b.s AND d.kind = 0 AND b.kind = 1),
+pair AS (SELECT DISTINCT doc_id, item_id, unnest(bv) AS x, unnest(dv) AS y FROM hit),
+ok AS (SELECT doc_id, item_id, bool_and(x = y) AS same, count(*) = count(DISTINCT x) AS one FROM pair GROUP BY ALL),
+n AS (SELECT doc_id, item_id, count(DISTINCT i) AS n_windows FROM hit GROUP BY ALL)
+SELECT n.doc_id, n.item_id, n_windows, item_windows, CASE WHEN coalesce(same, true) THEN 'exact' ELSE 'reparameterised' END AS kind
+FROM n JOIN item ON item.id = n.item_id LEFT JOIN ok ON ok.doc_id = n.doc_id AND ok.item_id = n.item_id
+WHERE coalesce(same OR one, true) AND n_windows >= 0.3 * item_windows""",
 }
