@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumenframe.llm import bpe_transducer, decontamination, language_id, ngram_jaccard, quality_classifier, quality_rules, substring_dedup, token_wavelet
+from lumenframe.llm import bpe_transducer, decontamination, language_id, license_scan, ngram_jaccard, quality_classifier, quality_rules, substring_dedup, token_wavelet
 from lumenframe.llm._shared import crc_mod
 
 
@@ -20,6 +20,10 @@ def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "base_failed", "kept")
 
 
+def op2_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_docs(spark, sf_dir))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_docs(spark, sf_dir), window=13, digest=True)
 
@@ -56,6 +60,7 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repetition": op1_suffix_repetition,
+    "op2_license_digests": op2_license_digests,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_language_id": op5_language_id,
     "op6_quality_classifier": op6_quality_classifier,
@@ -72,7 +77,22 @@ win{k} AS (SELECT doc_id, i, array_to_string(w[i : i + {k} - 1], ' ') AS s FROM
 twice{k} AS (SELECT doc_id, s FROM win{k} GROUP BY ALL HAVING count(*) > 1),
 n{k} AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM win{k} JOIN twice{k} USING (doc_id, s), unnest(range(0, {k})) AS r(j) GROUP BY doc_id)"""
 
+def _canonical_sql(x: str) -> str:
+    out = f"regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
+    for a, b in license_scan.SPELLINGS:
+        out = f"regexp_replace({out}, '\\b{a}\\b', '{b}', 'g')"
+    return f"trim(CASE WHEN regexp_matches(lower({x}), '{license_scan.COPYRIGHT}') THEN '' ELSE {out} END)"
+
+
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+
 SQL: dict[str, str] = {
+    "op2_license_digests": rf"""
+WITH known AS (SELECT DISTINCT license, sha256({_canonical_sql("text")}) AS digest FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in license_scan.KNOWN)}) AS k(license, text)),
+line AS (SELECT doc_id, i, l FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE regexp_matches(text, '{license_scan.CLUE}')), unnest(x) WITH ORDINALITY AS r(l, i)),
+unit AS (SELECT doc_id, 'line' AS scope, {_canonical_sql("l")} AS t FROM line WHERE regexp_matches(l, '{license_scan.CLUE}')
+         UNION ALL SELECT doc_id, 'document', string_agg(t, ' ' ORDER BY i) FROM (SELECT doc_id, i, {_canonical_sql("l")} AS t FROM line) WHERE t <> '' GROUP BY doc_id)
+SELECT doc_id, license, scope, count(*) AS n_matches FROM unit JOIN known ON sha256(t) = digest WHERE t <> '' GROUP BY ALL""",
     "op1_suffix_repetition": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 line AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d),
@@ -113,10 +133,10 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN reach ON reach.doc_id = d.do
 WITH raw AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
 tok AS (SELECT kind, id, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\x01', ' ', 'g'),
           '([0-9]) ?({decontamination.UNITS})\b', '\1 ' || chr(1) || 'u\2', 'g'), '([\p{{Ll}}0-9,;:] )(\p{{Lu}})', '\1' || chr(1) || 'm\2', 'g'),
-          '[^\p{{L}}\p{{N}}\x01]+'), x -> x <> '') AS w FROM raw WHERE id IS NOT NULL),
-tm AS (SELECT kind, id, w, list_transform(w, x -> CASE WHEN x[1:2] = chr(1) || 'u' THEN '<unit>' WHEN x[1:2] = chr(1) || 'm' THEN '<name>'
+          '[^\p{{L}}\p{{N}}\x01]+'), lambda x: x <> '') AS w FROM raw WHERE id IS NOT NULL),
+tm AS (SELECT kind, id, w, list_transform(w, lambda x: CASE WHEN x[1:2] = chr(1) || 'u' THEN '<unit>' WHEN x[1:2] = chr(1) || 'm' THEN '<name>'
           WHEN regexp_matches(x, '^[0-9]') THEN '<num>' ELSE lower(x) END) AS t FROM tok),
-win AS (SELECT kind, id, i, array_to_string(t[i : i + 7], ' ') AS s, list_filter(w[i : i + 7], x -> x[1] = chr(1) OR regexp_matches(x, '^[0-9]')) AS v
+win AS (SELECT kind, id, i, array_to_string(t[i : i + 7], ' ') AS s, list_filter(w[i : i + 7], lambda x: x[1] = chr(1) OR regexp_matches(x, '^[0-9]')) AS v
         FROM tm, unnest(range(1, len(t) - 6)) AS r(i)),
 item AS (SELECT id, count(*) AS item_windows FROM win WHERE kind = 1 GROUP BY id),
 hit AS (SELECT d.id AS doc_id, b.id AS item_id, b.i, b.v AS bv, d.v AS dv FROM win d JOIN win b ON d.s = b.s AND d.kind = 0 AND b.kind = 1),
