@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumenframe.llm import bpe_transducer, decontamination, language_id, license_scan, ngram_jaccard, quality_classifier, quality_rules, substring_dedup, token_wavelet
+from lumenframe.llm import bpe_transducer, decontamination, language_id, license_scan, ngram_jaccard, pii_surrogates, quality_classifier, quality_rules, substring_dedup, token_wavelet
 from lumenframe.llm._shared import crc_mod
 
 
+#: Of the registered queries alone; a user passes a secret.
+PII_KEY = "registered-query"
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
@@ -28,6 +32,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_docs(spark, sf_dir), window=13, digest=True)
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.replace(_docs(spark, sf_dir), key=PII_KEY)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     held_out = crc_mod(F.col("doc_id"), 4) == 2
@@ -62,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op2_license_digests": op2_license_digests,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_pii_surrogates": op4_pii_surrogates,
     "op5_language_id": op5_language_id,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_ngram_jaccard": op7_ngram_jaccard,
