@@ -5,10 +5,15 @@ All window partitions begin with image_id, so one repartition by it serves a who
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-ROWS = Window.partitionBy("image_id", "y").orderBy("x")
-COLUMNS = Window.partitionBy("image_id", "x").orderBy("y")
+
+def rows() -> WindowSpec:
+    return Window.partitionBy("image_id", "y").orderBy("x")
+
+
+def columns() -> WindowSpec:
+    return Window.partitionBy("image_id", "x").orderBy("y")
 
 
 def by_image(df: DataFrame) -> DataFrame:
@@ -46,7 +51,7 @@ def cropped(df: DataFrame, axis: str) -> DataFrame:
 def along(gray: DataFrame, axis: str, weights: list[float], border: str) -> DataFrame:
     """The weighted sum of 2k+1 pixels along an axis, into v."""
     k = len(weights) // 2
-    w = ROWS if axis == "x" else COLUMNS
+    w = rows() if axis == "x" else columns()
     terms = [F.lit(c) * F.lead("v", i - k).over(w) if i > k else F.lit(c) * F.lag("v", k - i).over(w) if i < k else F.lit(c) * F.col("v") for i, c in enumerate(weights)]
     total = terms[0]
     for t in terms[1:]:
@@ -62,11 +67,11 @@ def separable(gray: DataFrame, across: list[float], down: list[float], border: s
 def around(gray: DataFrame, border: str = "replicate", name: str = "n") -> DataFrame:
     """The eight neighbours and the pixel itself as n0..n8, row by row. gray: with height and width."""
     df = padded(gray, "x", 1, border)
-    df = cropped(df.withColumn("__l", F.lag("v").over(ROWS)).withColumn("__r", F.lead("v").over(ROWS)), "x")
+    df = cropped(df.withColumn("__l", F.lag("v").over(rows())).withColumn("__r", F.lead("v").over(rows())), "x")
     df = df.withColumn("v", F.struct(F.col("__l").alias("l"), F.col("v").alias("c"), F.col("__r").alias("r"))).drop("__l", "__r")
     edge = "replicate" if border == "zero" else border
     df = padded(df, "y", 1, edge)
-    above, below = F.lag("v").over(COLUMNS), F.lead("v").over(COLUMNS)
+    above, below = F.lag("v").over(columns()), F.lead("v").over(columns())
     df = cropped(df.withColumn("__a", above).withColumn("__b", below), "y")
     cells = {f"{name}{3 * i + j}": F.col(s)[p] for i, s in enumerate(("__a", "v", "__b")) for j, p in enumerate("lcr")}
     if border == "zero":

@@ -7,15 +7,16 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lumenframe.operators import grid, stencil
+from lumenframe.sources.files import shared_path
 from lumenframe.sources.tables import dims
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a round in the cluster's checkpoint folder; /tmp only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/lumenframe-checkpoints")
-    return df.checkpoint()
+    """A round's result as a table in the cluster's shared folder: its lineage ends there, and it is computed once."""
+    path = shared_path(df.sparkSession, "regions")
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def runs(binary: DataFrame, value: str = "v > 0") -> DataFrame:
@@ -56,28 +57,42 @@ def components(binary: DataFrame, diagonal: bool = True) -> DataFrame:
     return l.groupBy("image_id", "region").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n_pixels"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
 
 
-def holes(binary: DataFrame) -> DataFrame:
-    """Labelled background runs (4-neighbour) of regions that don't touch the image's frame, with parent: the foreground
-    region left of the hole's first run."""
-    size = dims(binary)
-    back = label_runs(runs(binary, "v = 0"), diagonal=False).join(size, "image_id")
-    edge = (F.col("y") == 0) | (F.col("y") == F.col("height") - 1) | (F.col("x0") == 0) | (F.col("x1") == F.col("width") - 1)
-    inner = back.groupBy("image_id", "region").agg(F.max(edge.cast("int")).alias("edge"), F.min_by("x0", "run").alias("fx"), F.min_by("y", "run").alias("fy")).where("edge = 0")
-    front = label_runs(runs(binary)).select("image_id", F.col("y").alias("fy"), (F.col("x1") + 1).alias("fx"), F.col("region").alias("parent"))
-    inner = inner.join(front, ["image_id", "fy", "fx"]).select("image_id", "region", "parent")
-    return back.select("image_id", "run", "y", "x0", "x1", "region").join(inner, ["image_id", "region"])
+class Regions:
+    """The labelled runs of a binary relation's foreground and of its holes, each computed once.
 
+    holes: background runs (4-neighbour) of regions that don't touch the image's frame, with parent: the foreground region
+    left of the hole's first run."""
 
-def filled(binary: DataFrame) -> DataFrame:
-    """image_id, y, x, region: the pixels of each region and of its holes."""
-    own = pixels_of(label_runs(runs(binary)))
-    return own.unionByName(pixels_of(holes(binary).select("image_id", "run", "y", "x0", "x1", F.col("parent").alias("region"))))
+    def __init__(self, binary: DataFrame, with_holes: bool = True):
+        binary = checkpointed(binary.select("image_id", "y", "x", "v"))
+        self.front = checkpointed(label_runs(runs(binary)))
+        self.holes = checkpointed(self._holes(binary)) if with_holes else None
+
+    def _holes(self, binary: DataFrame) -> DataFrame:
+        back = label_runs(runs(binary, "v = 0"), diagonal=False).join(dims(binary), "image_id")
+        edge = (F.col("y") == 0) | (F.col("y") == F.col("height") - 1) | (F.col("x0") == 0) | (F.col("x1") == F.col("width") - 1)
+        inner = back.groupBy("image_id", "region").agg(F.max(edge.cast("int")).alias("edge"), F.min_by("x0", "run").alias("fx"), F.min_by("y", "run").alias("fy")).where("edge = 0")
+        left = self.front.select("image_id", F.col("y").alias("fy"), (F.col("x1") + 1).alias("fx"), F.col("region").alias("parent"))
+        inner = inner.join(left, ["image_id", "fy", "fx"]).select("image_id", "region", "parent")
+        return back.select("image_id", "run", "y", "x0", "x1", "region").join(inner, ["image_id", "region"])
+
+    def pixels(self) -> DataFrame:
+        return pixels_of(self.front)
+
+    def filled(self) -> DataFrame:
+        """image_id, y, x, region: the pixels of each region and of its holes."""
+        return self.pixels().unionByName(pixels_of(self.holes.select("image_id", "run", "y", "x0", "x1", F.col("parent").alias("region"))))
 
 
 def contours(binary: DataFrame, fill: bool = True) -> DataFrame:
     """image_id, region, area, perimeter of the polygon through the border pixels' centres: 2x2 cells with four pixels count
     1, with three 1/2; a border step is 1 along an axis, sqrt(2) across."""
-    px = filled(binary) if fill else pixels_of(label_runs(runs(binary)))
+    r = Regions(binary, with_holes=fill)
+    return measured(r.filled() if fill else r.pixels())
+
+
+def measured(px: DataFrame) -> DataFrame:
+    """image_id, region, area, perimeter of labelled pixels; see contours."""
     to = F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), F.lit(1 << (2 * -dy + -dx)).alias("bit")) for dy in (0, -1) for dx in (0, -1)))
     cells = px.select("image_id", "region", F.explode(to).alias("c")).groupBy("image_id", "region", "c.y", "c.x").agg(F.sum("c.bit").alias("m"))
     n = F.bit_count("m")
@@ -96,8 +111,9 @@ def contour(binary: DataFrame, min_area: float = 100, select_mode: str = "rank",
     kinds = binary.groupBy("image_id").agg(F.size(F.collect_set("v")).alias("kinds"))
     df = binary.select("image_id", "y", "x", "v").join(kinds, "image_id")
     two = df.where("kinds <= 3").drop("kinds")
-    whole = filled(two) if retrieval == "external" else pixels_of(label_runs(runs(two)))
-    big = contours(two).where(F.col("area") >= min_area)
+    r = Regions(two)
+    whole = r.filled() if retrieval == "external" else r.pixels()
+    big = measured(r.filled()).where(F.col("area") >= min_area)
     if select_mode == "rank":
         place = Window.partitionBy("image_id").orderBy(F.desc("area"), "region")
         big = big.withColumn("k", F.row_number().over(place) - 1).withColumn("n", F.count("*").over(Window.partitionBy("image_id")))
@@ -109,8 +125,8 @@ def contour(binary: DataFrame, min_area: float = 100, select_mode: str = "rank",
 
 def hierarchy(binary: DataFrame) -> DataFrame:
     """image_id, region, parent, is_hole: holes lie in the region left of them, regions in the hole around them or none."""
-    hole = holes(binary)
-    front = label_runs(runs(binary))
+    r = Regions(binary)
+    hole, front = r.holes, r.front
     first = front.groupBy("image_id", "region").agg(F.min_by("x0", "run").alias("x"), F.min_by("y", "run").alias("y"))
     around = hole.select("image_id", "y", (F.col("x1") + 1).alias("x"), F.col("region").alias("parent"))
     outer = first.join(around, ["image_id", "y", "x"], "left").select("image_id", "region", "parent", F.lit(False).alias("is_hole"))
