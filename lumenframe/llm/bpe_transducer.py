@@ -25,6 +25,7 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -129,6 +130,7 @@ class Transducer:
         self.size = {i: len(s) for d in (self.inner, self.final) for s, i in d.items()}
         self.widest = max(self.size.values())
         self.given = lookahead
+        self.short = Recent(200_000)  # the last tokens of whole prefixes of words
 
     def lookahead(self) -> int:
         """Symbols that a token waits for at most. Takes some seconds; a driver computes it once for all tasks."""
@@ -151,17 +153,25 @@ class Transducer:
     def encode(self, symbols: Iterable[str]) -> Iterator[int]:
         """Token ids, each given out once it is stable."""
         window, tokens = "", [-1]  # tokens[k]: the last token of the prefix of k symbols; -1 at the start
-        stream, look = iter(symbols), 8 * self.widest
+        stream, look, whole, short = iter(symbols), 8 * self.widest, True, self.short
         now = next(stream, None)
         while now is not None:
             after = next(stream, None)
             window += now
-            tokens.append(self._last(window[-self.widest :], tokens, self.inner if after is not None else self.final))
+            if after is None:
+                tokens.append(self._last(window[-self.widest :], tokens, self.final))
+            else:
+                token = short.get(window) if whole and len(window) < 12 else None
+                if token is None:
+                    token = self._last(window[-self.widest :], tokens, self.inner)
+                    if whole and len(window) < 12:
+                        short.put(window, token)
+                tokens.append(token)
             now = after
             if len(tokens) > look and now is not None:
                 at = self._stable(tokens)
                 yield from self._back(tokens, at)
-                window, tokens = window[at:], tokens[at:]
+                window, tokens, whole = window[at:], tokens[at:], False
                 if self.given is not None and len(tokens) > self.given + 9 * self.widest:
                     raise AssertionError("a token took longer to settle than the merge list allows")
                 look = len(tokens) + 8 * self.widest
@@ -210,6 +220,26 @@ class Decoder:
         return self.state.decode(b"", True)
 
 
+class Recent:
+    """What was computed last: two generations of up to `most` keys. What is used again moves to the younger one."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.old = most, {}, {}
+
+    def get(self, key):
+        value = self.now.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.now) >= self.most:
+            self.now, self.old = {}, self.now
+        self.now[key] = value
+
+
 class WordBpe:
     """A tokenizer file of the kind "BPE with word ends", encoded by the transducer."""
 
@@ -224,29 +254,28 @@ class WordBpe:
         self.transducer = Transducer(Merges(vocab, merges), model["end_of_word_suffix"] or "", lookahead)
         self.piece = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True))) if self.specials else None
-        self.most = most
-        self.words: dict[str, list[int]] = {}
-        self.ids: dict[str, bytes] = {"": b""}
-        self.text: dict[str, bytes] = {"": b""}
+        self.words, self.chunks = Recent(most), Recent(most)
+
+    def encode(self, text: str) -> Iterator[int]:
+        """The ids of a whole text."""
+        for p in self._pieces(text):
+            yield from self._ids(p)
 
-    def encode(self, text: str) -> list[int]:
-        out, at = [], 0
+    def _pieces(self, text: str) -> Iterator[str]:
+        """Special tokens, and between them the pattern's pieces in NFC and lower case."""
+        at = 0
         for m in self.special.finditer(text) if self.special else ():
-            out += self._plain(text[at : m.start()])
-            out.append(self.specials[m[0]])
+            yield from self._plain(text[at : m.start()])
+            yield m[0]
             at = m.end()
-        return out + self._plain(text[at:])
-
-    def _plain(self, text: str) -> list[int]:
-        out: list[int] = []
-        for p in self.piece.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()):
-            ids = self.words.get(p)
-            if ids is None:
-                ids = list(self.transducer.encode(_SYMBOLS[b] for b in p.encode()))
-                if len(p) <= 40:
-                    self.words[p] = ids
-            out += ids
-        return out
+        yield from self._plain(text[at:])
+
+    def _plain(self, text: str) -> list[str]:
+        return self.piece.findall(text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+
+    def _ids(self, piece: str) -> Iterable[int]:
+        special = self.specials.get(piece)
+        return (special,) if special is not None else self.transducer.encode([_SYMBOLS[b] for b in piece.encode()])
 
     def decode(self, ids: Iterable[int]) -> str:
         d = Decoder(self.names)
@@ -255,19 +284,28 @@ class WordBpe:
     def both(self, text: str) -> tuple[bytes, bytes]:
         """The ids in decimal and the decoded text, each joined by one space. White space ends pieces, so the stretches
         between spaces are encoded, decoded and kept one by one; special tokens have no space in them."""
-        chunks = text.replace("\n", " ").split(" ")
-        try:
-            ids = b"".join(map(self.ids.__getitem__, chunks))
-        except KeyError:
-            if len(self.ids) > self.most:
-                for kept in (self.ids, self.text, self.words):
-                    kept.clear()
-            for c in {*chunks}.difference(self.ids):
-                got = self.encode(c)
-                self.ids[c] = "".join([f"{i} " for i in got]).encode()
-                self.text[c] = f"{self.decode(got)} ".encode() if got else b""
-            ids = b"".join(map(self.ids.__getitem__, chunks))
-        return ids[:-1], b"".join(map(self.text.__getitem__, chunks))[:-1]
+        stretches = text.replace("\n", " ").split(" ")
+        now = self.chunks.now
+        got = [now.get(c) or self._chunk(c) for c in stretches if c]
+        return b"".join([x for x, _ in got])[:-1], b"".join([x for _, x in got])[:-1]
+
+    def _chunk(self, c: str) -> tuple[bytes, bytes]:
+        """The ids and the text of a stretch without spaces, with a space after each."""
+        got = self.chunks.get(c)
+        if got is None:
+            found = [self._word(p) for p in self._pieces(c)]
+            got = found[0] if len(found) == 1 else (b"".join([x for x, _ in found]), b"".join([x for _, x in found]))
+            self.chunks.put(c, got)
+        return got
+
+    def _word(self, p: str) -> tuple[bytes, bytes]:
+        got = self.words.get(p)
+        if got is None:
+            ids = list(self._ids(p))
+            got = "".join([f"{i} " for i in ids]).encode(), f"{self.decode(ids)} ".encode()
+            if len(p) <= 40:
+                self.words.put(p, got)
+        return got
 
 
 @functools.lru_cache(2)
@@ -297,7 +335,9 @@ def encode_decode(docs: DataFrame, tokenizer: str, digest: bool = False) -> Data
                 if digest:
                     columns = [pa.array([hashlib.sha256(x[k]).hexdigest() for x in got], pa.string()) for k in (0, 1)]
                 else:
-                    columns = [pa.array([[int(i) for i in ids.split()] for ids, _ in got], pa.list_(pa.int32())), pa.array([t.decode() for _, t in got], pa.string())]
+                    flat = np.array(b" ".join([ids for ids, _ in got if ids]).split(), np.int32)
+                    ends = np.concatenate([[0], np.cumsum(n.to_numpy())]).astype(np.int32)
+                    columns = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([t.decode() for _, t in got], pa.string())]
                 names = [x.split(" ")[0] for x in (DIGEST if digest else RESULT).split(", ")]
                 yield pa.RecordBatch.from_arrays([some["doc_id"], n, *columns], names=names)
 
