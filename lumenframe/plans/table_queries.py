@@ -149,7 +149,7 @@ def detection_quarantine(spark, sf_dir):
     return inference.detections(_bodies(spark, sf_dir))[1].select("event_id")
 
 
-@query("valid_boxes", f"WITH {_BOX} SELECT event_id, (k + i)::INT AS class_id, (k + i) % 8 AS palette, CASE WHEN confidence >= 0.7 THEN 'high' WHEN confidence >= 0.4 THEN 'medium' ELSE 'low' END AS tier, trunc(x1 * 0.5)::INT AS x1, trunc(y1 * 0.5)::INT AS y1, trunc(x2 * 0.5)::INT AS x2, trunc(y2 * 0.5)::INT AS y2 FROM bx WHERE x2 > x1 AND x2 > 0 AND x1 < 640")
+@query("valid_boxes", f"WITH {_BOX} SELECT event_id, (k + i)::INT AS class_id, ((k + i) % 8)::INT AS palette, CASE WHEN confidence >= 0.7 THEN 'high' WHEN confidence >= 0.4 THEN 'medium' ELSE 'low' END AS tier, trunc(x1 * 0.5)::INT AS x1, trunc(y1 * 0.5)::INT AS y1, trunc(x2 * 0.5)::INT AS x2, trunc(y2 * 0.5)::INT AS y2 FROM bx WHERE x2 > x1 AND x2 > 0 AND x1 < 640")
 def valid_boxes(spark, sf_dir):
     good, _ = inference.detections(_bodies(spark, sf_dir))
     b = inference.valid_boxes(inference.boxes(good), 640, 480, 0.5)
@@ -213,7 +213,7 @@ def in_flight_guard(spark, sf_dir):
     return streams.throttle(f, 0, "busy_ms").select("camera", F.unix_micros("ts").alias("ts_us"), "event_id")
 
 
-@query("latest_state", "SELECT user_id AS camera, epoch_us(arg_max(ts, (ts, event_id))) AS ts_us, arg_max(CASE WHEN event_type <> 'error' THEN event_type END, (ts, event_id)) AS result FROM events GROUP BY user_id")
+@query("latest_state", "SELECT user_id AS camera, epoch_us(arg_max(ts, (ts, event_id))) AS ts_us, CASE WHEN arg_max(event_type, (ts, event_id)) <> 'error' THEN arg_max(event_type, (ts, event_id)) END AS result FROM events GROUP BY user_id")
 def latest_state(spark, sf_dir):
     f = tables.frames(spark, sf_dir).withColumn("result", F.when(F.col("class_name") != "error", F.col("class_name"))).withColumn("error", F.when(F.col("class_name") == "error", F.col("class_name")))
     return streams.latest(f).select("camera", F.unix_micros("ts").alias("ts_us"), "result")
