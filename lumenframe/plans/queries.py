@@ -336,12 +336,23 @@ def swt_features(spark, sf_dir):
     return _rounded(f.select("image_id", "level", "band", "mean", "energy", "energy_ratio"))
 
 
-@query("log_spectrum")
+_PLAIN8 = """rp AS (SELECT image_id, y, kx, sum(v * cos(2 * pi() * kx * x / 8)) AS re, -sum(v * sin(2 * pi() * kx * x / 8)) AS im FROM tile, unnest(range(0, 8)) AS r(kx) GROUP BY ALL),
+cp AS (SELECT image_id, ky, kx, sum(re * cos(2 * pi() * ky * y / 8) + im * sin(2 * pi() * ky * y / 8)) AS re, sum(im * cos(2 * pi() * ky * y / 8) - re * sin(2 * pi() * ky * y / 8)) AS im FROM rp, unnest(range(0, 8)) AS r(ky) GROUP BY ALL)"""
+_STRETCH = "st AS (SELECT image_id, y, x, CASE WHEN max(v) OVER w > min(v) OVER w THEN floor((v - min(v) OVER w) * 255.0::DOUBLE / (max(v) OVER w - min(v) OVER w))::INT ELSE 0 END AS v FROM raw WINDOW w AS (PARTITION BY image_id))"
+
+
+@query("log_spectrum", f"WITH {TILE}, {_PLAIN8}, raw AS (SELECT image_id, (ky + 4) % 8 AS y, (kx + 4) % 8 AS x, round(20 * ln(sqrt(re * re + im * im) + 1), 6) AS v FROM cp), {_STRETCH} SELECT image_id, {_CHECKSUM} FROM st GROUP BY image_id")
 def log_spectrum(spark, sf_dir):
     return _checksum(spectral.log_spectrum(by_image(tables.gray_tile(spark, sf_dir))))
 
 
-@query("lowpass")
+@query(
+    "lowpass",
+    f"""WITH {TILE}, {_PLAIN8}, kp AS (SELECT * FROM cp WHERE power(least(ky, 8 - ky), 2) + power(least(kx, 8 - kx), 2) <= 4),
+rb AS (SELECT image_id, ky, x, sum(re * cos(2 * pi() * kx * x / 8) - im * sin(2 * pi() * kx * x / 8)) AS re, sum(re * sin(2 * pi() * kx * x / 8) + im * cos(2 * pi() * kx * x / 8)) AS im FROM kp, unnest(range(0, 8)) AS r(x) GROUP BY ALL),
+cb AS (SELECT image_id, y, x, sum(re * cos(2 * pi() * ky * y / 8) - im * sin(2 * pi() * ky * y / 8)) AS re, sum(re * sin(2 * pi() * ky * y / 8) + im * cos(2 * pi() * ky * y / 8)) AS im FROM rb, unnest(range(0, 8)) AS r(y) GROUP BY ALL),
+raw AS (SELECT image_id, y, x, round(sqrt(re * re + im * im) / 64, 6) AS v FROM cb), {_STRETCH} SELECT image_id, {_CHECKSUM} FROM st GROUP BY image_id""",
+)
 def lowpass(spark, sf_dir):
     return _checksum(spectral.ideal_filter(by_image(tables.gray_tile(spark, sf_dir)), "lowpass", 2))
 

@@ -8,7 +8,7 @@ from lumenframe.functions import names
 from lumenframe.operators import features, histogram, regions, statistics, texture
 from lumenframe.operators.grid import by_image
 from lumenframe.plans import pipeline, quality
-from lumenframe.plans.queries import _CHECKSUM, TILE, _checksum, _rounded, _stats_sql, query
+from lumenframe.plans.queries import _CHECKSUM, _OTSU, BGR, TILE, _checksum, _lbp_sql, _near, _replicate, _rounded, _sq, _stats_sql, query
 from lumenframe.sources import files, tables
 from lumenframe.streaming import inference, streams
 
@@ -207,7 +207,13 @@ def throttle_stream(spark, sf_dir):
     return spark.read.schema(out.schema).parquet(f"{path}/out")
 
 
-@query("in_flight_guard")
+@query(
+    "in_flight_guard",
+    """WITH RECURSIVE ev AS (SELECT user_id AS camera, epoch_us(ts) AS t, event_id, greatest(0, trunc(value * 10000 * 1000))::BIGINT AS b FROM events),
+walk AS (SELECT camera, min(t) AS t, arg_min(event_id, (t, event_id)) AS event_id, arg_min(b, (t, event_id)) AS b FROM ev GROUP BY camera
+UNION ALL SELECT ev.camera, min(ev.t), arg_min(ev.event_id, (ev.t, ev.event_id)), arg_min(ev.b, (ev.t, ev.event_id)) FROM walk w JOIN ev ON ev.camera = w.camera AND ev.t >= w.t + w.b AND (ev.t, ev.event_id) > (w.t, w.event_id) GROUP BY ev.camera)
+SELECT camera, t AS ts_us, event_id FROM walk""",
+)
 def in_flight_guard(spark, sf_dir):
     f = tables.frames(spark, sf_dir).withColumn("busy_ms", F.col("total_ms") * 10_000)
     return streams.throttle(f, 0, "busy_ms").select("camera", F.unix_micros("ts").alias("ts_us"), "event_id")
@@ -243,7 +249,16 @@ def pipeline_profile(spark, sf_dir):
     return _checksum(pipeline.run(by_image(tables.gray_tile(spark, sf_dir)).select("image_id", "y", "x", "v"), p)["pipeline"])
 
 
-@query("parallel_profile")
+_STAGE = "SELECT '{0}' AS stage, count(*) AS n, sum(v)::BIGINT AS sum_v FROM {1}"
+_PARALLEL = [("original", "tile"), ("average_blur", "av"), ("otsu_bin", "ot"), ("median_blur", "md")]
+
+
+@query(
+    "parallel_profile",
+    f"""WITH {TILE}, {_near("tile", _sq(2), 8)}, av AS (SELECT image_id, y, x, floor(sum(u)::DOUBLE / 25 + 0.5)::INT AS v FROM nb GROUP BY ALL),
+{_near("tile", _sq(1), 8, _replicate).replace("nb AS", "n3 AS", 1)}, md AS (SELECT image_id, y, x, quantile_cont(u, 0.5)::INT AS v FROM n3 GROUP BY image_id, y, x),
+{_OTSU.format("tile")}, ot AS (SELECT CASE WHEN v > threshold THEN 255 ELSE 0 END AS v FROM tile JOIN otsu USING (image_id)) {" UNION ALL ".join(_STAGE.format(*x) for x in _PARALLEL)}""",
+)
 def parallel_profile(spark, sf_dir):
     p = pipeline.Profile(["average_blur", "otsu_bin", "median_blur"], {"median_blur": {"kernel_size": 3}}, "parallel")
     s = pipeline.together(pipeline.run(by_image(tables.gray_tile(spark, sf_dir)), p))
@@ -264,13 +279,26 @@ def run_summary(spark, sf_dir):
     return pipeline.summary(pipeline.statuses(tile, p, quality.few_values(tile, "contour", 45)))
 
 
-@query("lbp_methods")
+def _codes_sql() -> str:
+    turned = [" + ".join(f"(b{(k + s) % 8} << {k})" for k in range(8)) for s in range(8)]
+    patterns = sorted({sum(1 << (s + k) % 8 for k in range(n)) for n in range(9) for s in range(8)})
+    nri = " ".join(f"WHEN {p} THEN {i}" for i, p in enumerate(patterns))
+    parts = {"default": turned[0], "ror": f"least({', '.join(turned)})", "nri_uniform": f"CASE {turned[0]} {nri} ELSE {len(patterns)} END"}
+    return " UNION ALL ".join(f"SELECT image_id, {code} AS code, '{m}' AS method FROM bt" for m, code in parts.items())
+
+
+@query("lbp_methods", f"WITH {TILE}, {_lbp_sql()} SELECT image_id, code, count(*) AS n, method FROM ({_codes_sql()}) GROUP BY ALL")
 def lbp_methods(spark, sf_dir):
     tile = by_image(tables.gray_tile(spark, sf_dir))
     parts = [texture.lbp_histogram(tile, method=m).withColumn("method", F.lit(m)) for m in ("default", "ror", "nri_uniform")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("brightness_lab")
+@query(
+    "brightness_lab",
+    f"""WITH {BGR}, li AS (SELECT image_id, {", ".join(f"CASE WHEN {c} / 255.0::DOUBLE <= 0.04045 THEN {c} / 255.0::DOUBLE / 12.92 ELSE power(({c} / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END AS {c}" for c in "rgb")} FROM bgr),
+yy AS (SELECT image_id, 0.212671 * r + 0.715160 * g + 0.072169 * b AS t FROM li), lv AS (SELECT image_id, greatest(0, least(255, floor((CASE WHEN t > 0.008856 THEN cbrt(t) * 116 - 16 ELSE t * 903.3 END) * 2.55 + 0.5)))::INT AS v FROM yy),
+st AS (SELECT image_id, {_stats_sql("nullif(v, 0)")} FROM lv GROUP BY image_id) SELECT image_id, {", ".join(f"round({c}, 6) AS {c}" for c in ("mean", "median", "variance", "std_dev", "cv"))} FROM st""",
+)
 def brightness_lab(spark, sf_dir):
     return _rounded(statistics.brightness(tables.bgr_orders(spark, sf_dir), "lab_l"))
