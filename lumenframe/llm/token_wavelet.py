@@ -14,6 +14,8 @@ read; an empty table gives a table without shards.
 
 from __future__ import annotations
 
+import array
+import itertools
 import os
 import struct
 import zlib
@@ -139,74 +141,98 @@ class WaveletMatrix:
 class PieceEncoder:
     """Token ids of texts by the tokenizers library, for a byte-level BPE whose pattern starts a piece at every space
     after a non-space, and between letters and the punctuation or single line feed that follows them. Such pieces are
-    encoded by the library once and kept, up to `most` of them."""
+    encoded by the library once, many in one call with a line feed between them, and kept: in two generations of up to
+    about `most` pieces, of which the older goes when the younger is full, save what was used meanwhile."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 160_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.size = self.tokenizer.get_vocab_size()
+        feed = self.feed_bytes = self._library("\n")
+        self.feed = int.from_bytes(feed, "little") if len(feed) == 4 else None
         self.after: dict[str, bytes | None] = {}  # the ids of " " + key; None: the cut behind it isn't safe
         self.atoms: dict[str, bytes] = {}
+        self.old: tuple[dict, dict] = ({}, {})
+
+    def _library(self, text: str) -> bytes:
+        return array.array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     @staticmethod
-    def _split(piece: str) -> list[str]:
+    def _split(piece: str) -> list[str] | None:
+        """The parts of a piece that the library can encode one by one; None if it has none."""
+        if "\n" not in piece:
+            if piece[-1] in ",.;:!?":
+                stem = piece.rstrip(",.;:!?")
+                if stem[1:].isalpha() and (stem[0] == " " or stem[0].isalpha()):
+                    return [stem, piece[len(stem) :]]
+            return [piece] if not piece[0].isspace() or (len(piece) > 1 and piece[0] == " " and not piece[1].isspace()) else None
         out: list[str] = []
         for k, line in enumerate(piece.split("\n")):
-            body = line[1:] if k == 0 and line[:1] == " " else line
-            if not body or body[0].isspace() or body[-1].isspace():
-                return [piece]
-            stem = line.rstrip(",.;:!?")
-            out += ["\n"] * bool(k) + ([stem, line[len(stem) :]] if len(stem) < len(line) and stem.lstrip(" ").isalpha() else [line])
+            if not line or line[-1].isspace() or line[0].isspace() and (k or line[:1] != " " or line[1:2].isspace()):
+                return None
+            out += (["\n"] if k else []) + (PieceEncoder._split(line) or [line])
         return out
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str]) -> list[bytes]:
         split = [self._split(p) for p in pieces]
-        new = list({a for s in split for a in s}.difference(self.atoms))
-        for a, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.atoms[a] = np.array(e.ids, "<u4").tobytes()
-        for p, s in zip(pieces, split, strict=True):
-            self.atoms[p] = b"".join([self.atoms[a] for a in s])
+        new = {a for s in split if s for a in s}.difference(self.atoms, ["\n"])
+        kept = self.old[1]
+        again = [a for a in new if a in kept]
+        self.atoms.update({a: kept[a] for a in again})
+        new = list(new.difference(again))
+        self.atoms["\n"] = b"" if self.feed is None else self.feed.to_bytes(4, "little")
+        if self.feed is None or any("\n" in a for a in new):
+            split = [None] * len(pieces)
+        else:
+            for i in range(0, len(new), 5000):
+                some = new[i : i + 5000]
+                ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+                cut = [-1, *np.flatnonzero(ids == self.feed).tolist(), len(ids)]
+                raw = ids.tobytes()
+                self.atoms.update(zip(some, [raw[4 * a + 4 : 4 * b] for a, b in itertools.pairwise(cut)], strict=True))
+        get = self.atoms.__getitem__
+        return [self._library(p) if s is None else get(s[0]) if len(s) == 1 else b"".join(map(get, s)) for p, s in zip(pieces, split, strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [t.split(" ") for t in texts]
-        new: set[str] = set()
-        for c in cut:
-            new.update(set(c[1:]).difference(self.after))
-        firm = [p for p in new if p and not p[-1].isspace()]
-        self._learn([f" {p}" for p in firm])
-        self.after.update({p: self.atoms[f" {p}"] for p in firm})
-        self.after.update({p: None for p in new.difference(firm)})
+        if len(self.atoms) > self.most or len(self.after) > 2 * self.most:
+            self.old = (self.after, self.atoms)
+            self.after, self.atoms = {}, {}
+        # a single line feed is a piece; \0 marks pieces without a space before them
+        cut = [(t.replace("\n", " \0\n \0") if "\0" not in t and " \n" not in t and "\n " not in t and "\n\n" not in t else t).split(" ") for t in texts]
+        new = set(itertools.chain.from_iterable(cut)).difference(self.after)
+        kept = self.old[0]
+        again = [p for p in new if p in kept]
+        self.after.update({p: kept[p] for p in again})
+        new.difference_update(again)
+        firm = [p for p in new if p and not p[-1].isspace() and not (p[0] == "\0" and p[1:2].isspace())]
+        self.after.update(dict.fromkeys(new))
+        begin = list({c[0] for c in cut if c[0] and not c[0][-1].isspace()})  # the pieces without a space before them
+        learned = self._learn([*(p[1:] if p[0] == "\0" and len(p) > 1 else f" {p}" for p in firm), *begin])
+        self.after.update(zip(firm, learned, strict=False))
+        self.after["\0\n"], self.after["\0"] = self.feed_bytes, b""
+        first = dict(zip(begin, learned[len(firm) :], strict=True))
         out: list[bytes] = []
+        get = self.after.__getitem__
         for t, c in zip(texts, cut, strict=True):
-            ids = [self.after[p] for p in c[1:]]
-            if None in ids or c[0][-1:].isspace() or not c[0]:
+            try:
+                out.append(first[c[0]] + b"".join(map(get, itertools.islice(c, 1, None))))
+            except (KeyError, TypeError):  # white space where a cut isn't safe
                 out.append(self._slow(t))
-            else:
-                out.append(self._one(c[0]) + b"".join(ids))
-        if len(self.atoms) > self.most:
-            self.atoms.clear()
-            self.after.clear()
         return out
 
-    def _one(self, piece: str) -> bytes:
-        if piece not in self.atoms:
-            self._learn([piece])
-        return self.atoms[piece]
-
     def _slow(self, text: str) -> bytes:
         """Texts with white space that is more than one space: cut only before a space that follows a non-space."""
         out, piece = [], ""
         for k, p in enumerate(text.split(" ")):
-            more = p if k == 0 else f" {p}"
-            if piece and not piece[-1].isspace() and k:
-                out.append(self._one(piece))
-                piece = more
+            if k and piece and not piece[-1].isspace():
+                out.append(piece)
+                piece = f" {p}"
             else:
-                piece += more
-        return b"".join(out) + (self._one(piece) if piece else b"")
+                piece += f" {p}" if k else p
+        return b"".join(self._learn([*out, piece] if piece else out))
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int | None, bounds: list[int]) -> DataFrame:
