@@ -15,6 +15,7 @@ read; an empty table gives a table without shards.
 from __future__ import annotations
 
 import array
+import functools
 import itertools
 import os
 import struct
@@ -235,16 +236,22 @@ class PieceEncoder:
         return b"".join(self._learn([*out, piece] if piece else out))
 
 
+@functools.lru_cache(1)
+def encoder(path: str) -> PieceEncoder:
+    """One a process: Python workers run many tasks, and the kept pieces serve them all."""
+    return PieceEncoder(path)
+
+
 def encode(docs: DataFrame, tokenizer: str, end_id: int | None, bounds: list[int]) -> DataFrame:
     """part (the range between bounds that the doc_id falls in), doc_id, ids (packed, 16 bits each if they fit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer)
+        own = encoder(tokenizer)
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        kind = "<u2" if max(encoder.size, end_id or 0) <= 1 << 16 else "<u4"
+        kind = "<u2" if max(own.size, end_id or 0) <= 1 << 16 else "<u4"
         for batch in batches:
             doc_id = batch["doc_id"].fill_null(np.iinfo(np.int64).min).to_numpy()
-            ids = [np.frombuffer(x + end, "<u4").astype(kind).tobytes() for x in encoder.encode([x or "" for x in batch["text"].to_pylist()])]
+            ids = [np.frombuffer(x + end, "<u4").astype(kind).tobytes() for x in own.encode([x or "" for x in batch["text"].to_pylist()])]
             part = pa.array(np.searchsorted(bounds, doc_id, "right") if bounds else np.zeros(len(ids)), pa.int32())
             yield pa.RecordBatch.from_pydict({"part": part, "doc_id": batch["doc_id"], "wide": pa.array([kind == "<u4"] * len(ids)), "ids": pa.array(ids, pa.binary())})
 
