@@ -18,6 +18,8 @@ any, is replaced); an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenframe.llm._shared import written
@@ -164,7 +166,7 @@ def replace(docs: DataFrame, key: str, rounds: int = 4, most_broadcast: int = 10
     """docs: text and more. Returns docs with every entity in text replaced, and n_entities.
 
     key: who knows it can repeat the replacements; keep it secret. most_broadcast: up to so many exceptions (about 100 bytes
-    each) go to all tasks as one map; more are joined by the text they occur in.
+    each) go to all tasks as one constant map; more are joined by the text they occur in.
     """
     special = exceptions(docs.select("text"), key, rounds)
     n = special.count()
@@ -176,7 +178,8 @@ def replace(docs: DataFrame, key: str, rounds: int = 4, most_broadcast: int = 10
     else:
         pairs = F.map_from_entries(F.collect_list(F.struct("form", "draw"))).alias("__x")
         if n <= most_broadcast:
-            out = out.crossJoin(F.broadcast(special.agg(pairs)))  # one row
+            few = {r["form"]: r["draw"] for r in special.collect()}
+            out = out.withColumn("__x", F.from_json(F.lit(json.dumps(few)), "map<string, int>"))  # folded once
         else:
             digest = F.sha2("text", 256).alias("__d")
             own = out.select(digest, F.explode("__e").alias("e")).select("__d", form(F.col("e")).alias("form")).distinct()

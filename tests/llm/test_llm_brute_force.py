@@ -254,3 +254,20 @@ def test_quality_classifier_on_held_out_rows(spark):
     one = quality_classifier.fit(docs, labels.where("quality = 1"), ~held)
     assert quality_classifier.score(docs.limit(3), one).where("score > 0.99").count() == 3
     assert quality_classifier.score(docs.limit(0), one).count() == 0
+
+
+def test_tables_without_a_word(spark):
+    """Nulls and white space alone: nothing crashes, nothing is lost."""
+    docs = spark.createDataFrame([(1, None), (2, ""), (None, " "), (2, "\n")], "doc_id long, text string")
+    bytes_, words = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    assert [r["n_words"] for r in quality_rules.repetition_rules(docs).collect()] == [0] * 4
+    assert [r["kept"] for r in substring_dedup.remove_repeats(docs).collect()] == [""] * 4
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_jaccard.jaccard_components(docs).collect()} == {(1, 0, 1), (2, 0, 2), (None, 0, None)}
+    assert token_wavelet.token_offsets(docs, bytes_, 2).agg(F.sum("n_tokens")).first()[0] == 6
+    assert bpe_transducer.encode_decode(docs, words).agg(F.sum("n_tokens")).first()[0] == 0
+    assert license_scan.scan(docs).count() == 0 and pii_surrogates.replace(docs, "k").where("n_entities = 0").count() == 4
+    assert decontamination.contaminated(docs, docs.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
+    model = language_id.fit(docs.withColumn("lang", F.lit(None).cast("string")), F.lit(True))
+    assert language_id.predict(docs, model).where("rejected AND lang_pred = 'und'").count() == 4
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    assert quality_classifier.score(docs, quality_classifier.fit(docs, labels, F.lit(True))).count() == 4
