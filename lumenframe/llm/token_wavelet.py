@@ -26,8 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lumenframe.llm.bpe_transducer import byte_symbols
 from lumenframe.llm._shared import partitions, shared_dir, small_batches
 
+_NAMES = dict(enumerate(byte_symbols()))
 _MAGIC, _BLOCK = b"LFWM", 512
 SHARD = "part int, first long, n_docs long, n_ids long, payload binary"
 
@@ -150,6 +152,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
         feed = self.feed_bytes = self._library("\n")
         self.feed = int.from_bytes(feed, "little") if len(feed) == 4 else None
@@ -187,6 +190,13 @@ class PieceEncoder:
         if self.feed is None or any("\n" in a for a in new):
             split = [None] * len(pieces)
         else:
+            # letters, with or without a space before them, are one word of the model: its merges can be asked at once
+            words = [a for a in new if (a[1:] if a[0] == " " else a).isalpha()]
+            ask = self.model.tokenize
+            for a in words:
+                name = a.replace(" ", "\u0120") if a.isascii() else a.encode().decode("latin-1").translate(_NAMES)
+                self.atoms[a] = array.array("I", [x.id for x in ask(name)]).tobytes()
+            new = [a for a in new if a not in self.atoms]
             for i in range(0, len(new), 5000):
                 some = new[i : i + 5000]
                 ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
