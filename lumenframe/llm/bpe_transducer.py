@@ -51,7 +51,8 @@ _BYTES = {s: b for b, s in enumerate(_SYMBOLS)}
 class Merges:
     """A merge list: what each token was joined from, and which tokens may follow each other."""
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], most: int = 400_000):
+        self.most = most
         self.vocab, self.rank, self.parts, self.joins = vocab, {}, {}, {}
         for r, (a, b) in enumerate(merges):
             joined = vocab[a + b]
@@ -63,7 +64,7 @@ class Merges:
     def may_follow(self, a: int, b: int) -> bool:
         known = self._follow.get((a, b))
         if known is None:
-            if len(self._follow) > 400_000:
+            if len(self._follow) > self.most:
                 self._follow.clear()
             known = self._follow[a, b] = self._border(a, b)
         return known
@@ -121,7 +122,7 @@ class Merges:
 class Transducer:
     """Encodes a stream of symbols, the last of which carries the end-of-word suffix."""
 
-    def __init__(self, merges: Merges, suffix: str, lookahead: int | None = None):
+    def __init__(self, merges: Merges, suffix: str, lookahead: int | None = None, most: int = 200_000):
         self.merges, self.suffix = merges, suffix
         self.inner = {s: i for s, i in merges.vocab.items() if i in merges.rank or len(s) == 1}
         self.final = {s[: len(s) - len(suffix)]: i for s, i in self.inner_and_base().items() if s.endswith(suffix)} if suffix else self.inner
@@ -130,7 +131,7 @@ class Transducer:
         self.size = {i: len(s) for d in (self.inner, self.final) for s, i in d.items()}
         self.widest = max(self.size.values())
         self.given = lookahead
-        self.short = Recent(200_000)  # the last tokens of whole prefixes of words
+        self.short = Recent(most)  # the last tokens of whole prefixes of words
 
     def lookahead(self) -> int:
         """Symbols that a token waits for at most. Takes some seconds; a driver computes it once for all tasks."""
@@ -251,7 +252,7 @@ class WordBpe:
         self.specials = {x["content"]: x["id"] for x in j["added_tokens"]}
         vocab = {s: i for s, i in model["vocab"].items() if s not in self.specials}
         self.names = {i: s for s, i in (model["vocab"] | self.specials).items()}
-        self.transducer = Transducer(Merges(vocab, merges), model["end_of_word_suffix"] or "", lookahead)
+        self.transducer = Transducer(Merges(vocab, merges, most * 8 // 5), model["end_of_word_suffix"] or "", lookahead, most * 4 // 5)
         self.piece = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True))) if self.specials else None
         self.words, self.chunks = Recent(most), Recent(most)
@@ -309,9 +310,9 @@ class WordBpe:
 
 
 @functools.lru_cache(2)
-def word_bpe(path: str, lookahead: int | None = None) -> WordBpe:
+def word_bpe(path: str, lookahead: int | None = None, kept: int = 250_000) -> WordBpe:
     """One a process: Python workers run many tasks."""
-    return WordBpe(path, lookahead)
+    return WordBpe(path, lookahead, kept)
 
 
 @functools.lru_cache(8)
@@ -319,14 +320,15 @@ def sufficient_lookahead(path: str) -> int:
     return word_bpe(path).transducer.lookahead()
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, digest: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer: str, digest: bool = False, kept: int = 250_000) -> DataFrame:
     """docs: doc_id, text; tokenizer: a file's path, readable on the executors. Returns doc_id, n_tokens and the ids and
-    decoded text, or with digest=True their SHA-256 (ids in decimal joined by one space; text in UTF-8)."""
+    decoded text, or with digest=True their SHA-256 (ids in decimal joined by one space; text in UTF-8). kept: how many
+    words and stretches a worker remembers, about 2 kB each in all; the results are the same with any number."""
     small_batches(docs.sparkSession)
     lookahead = sufficient_lookahead(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = word_bpe(tokenizer, lookahead)
+        bpe = word_bpe(tokenizer, lookahead, kept)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 some = batch.slice(at, 200)
