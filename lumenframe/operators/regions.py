@@ -180,14 +180,26 @@ def circles(gray: DataFrame, min_radius: int = 5, max_radius: int = 0, min_dist_
     to = F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     vote = vote.select("image_id", "n", F.explode(to).alias("t")).groupBy("image_id", "t.cx", "t.cy").agg(F.sum("n").alias("votes")).where(F.col("votes") > param2)
     left = checkpointed(vote.join(size.select("image_id", F.greatest(F.lit(1), F.floor(F.col("most") * min_dist_ratio)).cast("int").alias("apart")), "image_id"))
+    # in the order of votes a centre stands if no better one near it stands: round by round those with no better neighbour
+    # left are taken and clear their surroundings; cells of the distance's size bring neighbours together
+    cell = lambda c: F.floor(F.col(c) / F.col("apart")).cast("int")
+    nine = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    close = F.pow(F.col("cx") - F.col("tx"), 2) + F.pow(F.col("cy") - F.col("ty"), 2) < F.col("apart") * F.col("apart")
+    better = (F.col("tv") > F.col("votes")) | ((F.col("tv") == F.col("votes")) & (F.struct("ty", "tx") < F.struct("cy", "cx")))
+
+    def near_by(df: DataFrame) -> DataFrame:
+        out = df.select("image_id", F.col("cx").alias("tx"), F.col("cy").alias("ty"), F.col("votes").alias("tv"), cell("cx").alias("a"), cell("cy").alias("b"), nine.alias("o"))
+        return out.select("image_id", "tx", "ty", "tv", (F.col("a") + F.col("o.i")).alias("gx"), (F.col("b") + F.col("o.j")).alias("gy"))
+
     found = None
     while left.limit(1).count():
-        best = Window.partitionBy("image_id").orderBy(F.desc("votes"), "cy", "cx")
-        top = checkpointed(left.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k"))
+        placed = left.withColumn("gx", cell("cx")).withColumn("gy", cell("cy"))
+        keys = ["image_id", "gx", "gy"]
+        beaten = placed.join(near_by(left), keys).where(close & better).select("image_id", "cx", "cy").distinct()
+        top = checkpointed(left.join(beaten, ["image_id", "cx", "cy"], "left_anti").select(left.columns))
         found = top if found is None else found.union(top)
-        t = top.select("image_id", F.col("cx").alias("tx"), F.col("cy").alias("ty"))
-        near = F.pow(F.col("cx") - F.col("tx"), 2) + F.pow(F.col("cy") - F.col("ty"), 2) < F.col("apart") * F.col("apart")
-        left = checkpointed(left.join(t, "image_id").where(~near).drop("tx", "ty"))
+        gone = placed.join(near_by(top), keys).where(close).select("image_id", "cx", "cy").distinct()
+        left = checkpointed(left.join(gone, ["image_id", "cx", "cy"], "left_anti").select(left.columns))
     if found is None:
         return vote.select("image_id", "cx", "cy", F.lit(0).alias("r"), "votes").where("false")
     hit = found.join(edges.select("image_id", "y", "x", "most"), "image_id")
