@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumenframe.llm.bpe_transducer import byte_symbols
@@ -46,14 +47,15 @@ class WaveletMatrix:
         levels = levels or max(1, int(ids.max(initial=0)).bit_length())
         now, planes, zeros = ids.astype(np.uint16 if levels <= 16 else np.uint32), [], []
         for b in range(levels - 1, -1, -1):
-            bit = (now >> b & 1).astype(bool)
+            bit = (now & (1 << b)) != 0
             planes.append(np.packbits(bit, bitorder="little"))
             now = np.concatenate([low := now[~bit], now[bit]])
             zeros.append(len(low))
         return cls(len(ids), planes, zeros)
 
     def tobytes(self) -> bytes:
-        data = [zlib.compress(p.tobytes(), 1) for p in self.planes]
+        press = zstandard.ZstdCompressor(level=1)
+        data = [press.compress(p) for p in self.planes]
         head = struct.pack("<4sQI", _MAGIC, self.n, len(data)) + struct.pack(f"<{len(data)}Q", *self.zeros) + struct.pack(f"<{len(data)}Q", *map(len, data))
         return head + b"".join(data)
 
@@ -64,20 +66,20 @@ class WaveletMatrix:
             raise ValueError("not a wavelet matrix")
         zeros = struct.unpack_from(f"<{levels}Q", data, 16)
         sizes = struct.unpack_from(f"<{levels}Q", data, 16 + 8 * levels)
-        at, planes = 16 + 16 * levels, []
+        at, planes, unpack = 16 + 16 * levels, [], zstandard.ZstdDecompressor()
         for size in sizes:
-            planes.append(np.frombuffer(zlib.decompress(data[at : at + size]), np.uint8))
+            planes.append(np.frombuffer(unpack.decompress(data[at : at + size]), np.uint8))
             at += size
         return cls(n, planes, list(zeros))
 
     def decode(self) -> np.ndarray:
         """All ids in order: the planes from the lowest up, each undoing its partition."""
-        out = np.zeros(self.n, np.uint32)
+        out = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for level, (plane, z) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
-            bit = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
+            bit = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             before = np.empty_like(out)
             before[~bit] = out[:z]
-            before[bit] = out[z:] | np.uint32(1 << level)
+            before[bit] = out[z:] | out.dtype.type(1 << level)
             out = before
         return out
 
@@ -179,6 +181,29 @@ class PieceEncoder:
             out += (["\n"] if k else []) + (PieceEncoder._split(line) or [line])
         return out
 
+    def _word(self, word: str) -> bytes:
+        """The ids of letters, with or without a space before them."""
+        name = word.replace(" ", "\u0120") if word.isascii() else word.encode().decode("latin-1").translate(_NAMES)
+        return array.array("I", [x.id for x in self.model.tokenize(name)]).tobytes()
+
+    def _learn_words(self, pieces: list[str]) -> list[str]:
+        """Adds the pieces (each after a space) that are letters, or letters and punctuation, to those kept; returns the rest."""
+        after, ask, rest, tails = self.after, self.model.tokenize, [], {}
+        for p in pieces:
+            stem = p if p.isalpha() else p.rstrip(",.;:!?")
+            if not stem.isalpha():
+                rest.append(p)
+                continue
+            ids = after.get(stem)
+            if ids is None:
+                ids = after[stem] = array.array("I", [x.id for x in ask("\u0120" + stem)]).tobytes() if stem.isascii() else self._word(f" {stem}")
+            if stem is not p:
+                tail = p[len(stem) :]
+                if tail not in tails:
+                    tails[tail] = self._learn([tail])[0]
+                after[p] = ids + tails[tail]
+        return rest
+
     def _learn(self, pieces: list[str]) -> list[bytes]:
         split = [self._split(p) for p in pieces]
         new = {a for s in split if s for a in s}.difference(self.atoms, ["\n"])
@@ -192,10 +217,7 @@ class PieceEncoder:
         else:
             # letters, with or without a space before them, are one word of the model: its merges can be asked at once
             words = [a for a in new if (a[1:] if a[0] == " " else a).isalpha()]
-            ask = self.model.tokenize
-            for a in words:
-                name = a.replace(" ", "\u0120") if a.isascii() else a.encode().decode("latin-1").translate(_NAMES)
-                self.atoms[a] = array.array("I", [x.id for x in ask(name)]).tobytes()
+            self.atoms.update({a: self._word(a) for a in words})
             new = [a for a in new if a not in self.atoms]
             for i in range(0, len(new), 5000):
                 some = new[i : i + 5000]
@@ -220,6 +242,7 @@ class PieceEncoder:
         new.difference_update(again)
         firm = [p for p in new if p and not p[-1].isspace() and not (p[0] == "\0" and p[1:2].isspace())]
         self.after.update(dict.fromkeys(new))
+        firm = self._learn_words(firm)
         begin = list({c[0] for c in cut if c[0] and not c[0][-1].isspace()})  # the pieces without a space before them
         learned = self._learn([*(p[1:] if p[0] == "\0" and len(p) > 1 else f" {p}" for p in firm), *begin])
         self.after.update(zip(firm, learned, strict=False))
