@@ -234,7 +234,8 @@ class PieceEncoder:
             self.old = (self.after, self.atoms)
             self.after, self.atoms = {}, {}
         # a single line feed is a piece; \0 marks pieces without a space before them
-        cut = [(t.replace("\n", " \0\n \0") if "\0" not in t and " \n" not in t and "\n " not in t and "\n\n" not in t else t).split(" ") for t in texts]
+        # (a text that has \0 itself goes the slow way)
+        cut = [[""] if "\0" in t else (t.replace("\n", " \0\n \0") if " \n" not in t and "\n " not in t and "\n\n" not in t else t).split(" ") for t in texts]
         new = set(itertools.chain.from_iterable(cut)).difference(self.after)
         kept = self.old[0]
         again = [p for p in new if p in kept]

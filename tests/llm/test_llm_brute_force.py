@@ -271,3 +271,12 @@ def test_tables_without_a_word(spark):
     assert language_id.predict(docs, model).where("rejected AND lang_pred = 'und'").count() == 4
     labels = docs.select("doc_id", F.lit(1).alias("quality"))
     assert quality_classifier.score(docs, quality_classifier.fit(docs, labels, F.lit(True))).count() == 4
+
+
+def test_pieces_as_the_library_encodes_them():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["a \0x b", "\0", "a \0\n b", "\0a", "wörd, straße. ΣΊ", "word, word!\nnext, word?!", "日本語。 日本, 語", " lead, a  b ", "it's, don't!", ",;", ""]
+    encoder = token_wavelet.PieceEncoder(path, most=3)
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
