@@ -4,7 +4,10 @@ parameters were changed are found too.
 
 A number is a run of digits; a unit is a word of UNITS after a number; a name is a capitalised word inside a sentence (after
 a lower-case letter, a digit or one of , ; :). Other words are lower-cased. A document holds an item if at least `share` of
-the item's windows occur in it and each value in the item stands for one value throughout the document's windows.
+the item's windows occur in it and each value in the item stands for one value throughout these windows. The windows are
+judged over the whole document and in each occurrence: windows at one distance from the item's own, and runs of distances
+less than half an item apart (words were put in or left out). If the values disagree, the windows with the item's own values
+count alone. So a document may hold an item more than once, with different values.
 Only DataFrame functions are used.
 
 Cases: a null or empty text, and one of fewer words than a window, holds nothing; an item shorter than a window is held by
@@ -14,7 +17,7 @@ not read; an empty table on either side gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Units of measure that follow numbers (fixed values).
 UNITS = "km|m|cm|mm|kg|g|mg|lb|oz|l|ml|s|ms|min|h|hours|minutes|seconds|days|years|miles|meters|metres|kilometers|kilometres|dollars|euros|percent|usd|eur"
@@ -39,17 +42,19 @@ def is_slot(x: Column) -> Column:
 
 
 def windows(texts: DataFrame, key: str, k: int) -> DataFrame:
-    """key, at, h (hash of the k template words from there on), slots (their values, in order)."""
-    words = texts.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), tokens(F.col("text")).alias("w")).where(F.size("w") >= k)
-    words = words.select(key, F.transform("w", lambda x: F.xxhash64(template(x))).alias("h"), F.when(F.exists("w", is_slot), F.transform("w", lambda x: F.when(is_slot(x), F.concat(x, F.lit("\x02"))).otherwise(F.lit("")))).alias("v"))
+    """key, part (one for each text of a key), at, h (hash of the k template words from there on), slots (their values, in
+    order)."""
+    words = texts.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.xxhash64("text").alias("part"), tokens(F.col("text")).alias("w")).where(F.size("w") >= k)
+    words = words.select(key, "part", F.transform("w", lambda x: F.xxhash64(template(x))).alias("h"), F.when(F.exists("w", is_slot), F.transform("w", lambda x: F.when(is_slot(x), F.concat(x, F.lit("\x02"))).otherwise(F.lit("")))).alias("v"))
     at = F.sequence(F.lit(1), F.size("h") - (k - 1))
     cut = F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("h", i, k)).alias("h"), F.when(F.col("v").isNotNull(), F.array_join(F.slice("v", i, k), "")).otherwise(F.lit("")).alias("slots")))
-    return words.select(key, F.explode(cut).alias("c")).select(key, "c.*")
+    return words.select(key, "part", F.explode(cut).alias("c")).select(key, "part", "c.*")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 8, share: float = 0.5) -> DataFrame:
     """docs: doc_id, text; benchmark: item_id, text. Returns doc_id, item_id, n_windows (of the item, found in the
-    document), item_windows, kind: `exact` if all placeholder values agree, else `reparameterised`."""
+    document or, if values disagree there, in its best occurrence), item_windows, kind: `exact` if all placeholder values
+    agree, else `reparameterised`."""
     item = windows(benchmark, "item_id", k)
     items = item.groupBy("item_id").agg(F.count("*").alias("item_windows"))
     item = item.select("item_id", F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"))
@@ -57,12 +62,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 8, share: float
         item, items = F.broadcast(item), F.broadcast(items)
     found = windows(docs, "doc_id", k).join(item, "h")
     pairs = F.arrays_zip(F.split("item_slots", "\x02").alias("i"), F.split("slots", "\x02").alias("d"))
-    by = found.groupBy("doc_id", "item_id").agg(
-        F.count_distinct("item_at").alias("n_windows"),
-        F.flatten(F.collect_set(F.when(F.col("item_slots") != "", pairs))).alias("pairs"),
+    by = found.groupBy("doc_id", "item_id", "part", (F.col("at") - F.col("item_at")).alias("shift")).agg(
+        F.collect_set("item_at").alias("all"),
+        F.collect_set(F.when(F.col("item_slots") == F.col("slots"), F.col("item_at"))).alias("own"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(F.col("item_slots") != "", pairs)))).alias("pairs"),
     )
-    by = by.withColumn("pairs", F.array_distinct("pairs"))
+    order = Window.partitionBy("doc_id", "item_id").orderBy("part", "shift")
+    apart = F.col("shift") - F.lag("shift").over(order) >= (F.col("item_windows") + (k - 1)) / 2
+    by = by.join(items, "item_id").withColumn("new", F.coalesce(apart | (F.col("part") != F.lag("part").over(order)), F.lit(True)).cast("int"))
+    by = by.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    levels = [(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long")), (F.lit(1), F.lit(0).cast("long"), F.col("run")), (F.lit(2), F.col("part"), F.col("shift").cast("long"))]
+    by = by.withColumn("o", F.explode(F.array(*(F.struct(a.alias("level"), b.alias("part"), c.alias("at")) for a, b, c in levels))))
+    joined = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    by = by.groupBy("doc_id", "item_id", "item_windows", "o").agg(joined("all"), joined("own"), joined("pairs"))
     same = F.forall("pairs", lambda p: p["i"] == p["d"])
-    one_value = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
-    by = by.where(same | one_value).join(items, "item_id").where(F.col("n_windows") >= F.lit(share) * F.col("item_windows"))
-    return by.select("doc_id", "item_id", "n_windows", "item_windows", F.when(same, "exact").otherwise("reparameterised").alias("kind"))
+    agree = same | (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))))
+    by = by.select("doc_id", "item_id", "item_windows", (agree & (F.col("o.level") == 0)).alias("whole"), (same | ~agree).alias("exact"), F.size(F.when(agree, F.col("all")).otherwise(F.col("own"))).cast("long").alias("n"))
+    by = by.where(F.col("n") >= F.lit(share) * F.col("item_windows")).groupBy("doc_id", "item_id", "item_windows").agg(F.max(F.struct("whole", "exact", "n")).alias("b"))
+    return by.select("doc_id", "item_id", F.col("b.n").alias("n_windows"), "item_windows", F.when(F.col("b.exact"), "exact").otherwise("reparameterised").alias("kind"))

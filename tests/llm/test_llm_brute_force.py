@@ -224,6 +224,17 @@ def test_templates_catch_changed_parameters(spark, none):
     assert decontamination.contaminated(none, bench).count() == 0
 
 
+def test_templates_are_judged_by_occurrence(spark):
+    item = "A train leaves the station with Maria at 9 and travels 120 km before it meets 9 other trains near the old bridge."
+    moved = item.replace("9", "7").replace("120 km", "450 miles").replace("Maria", "Peter")
+    again = item.replace("9", "5").replace("120 km", "300 miles").replace("Maria", "Paula")
+    longer = again.replace("and travels", "and then slowly travels")
+    rows = [(1, f"First. {item} Then. {moved} End."), (2, f"{moved} {again} End."), (3, f"Other. {moved} Then more. {longer} End."), (4, item), (4, moved)]
+    bench = spark.createDataFrame([(10, item)], "item_id long, text string")
+    got = {(r["doc_id"], r["kind"], r["n_windows"] <= r["item_windows"]) for r in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench, 8, 0.5).collect()}
+    assert got == {(1, "exact", True), (2, "reparameterised", True), (3, "reparameterised", True), (4, "exact", True)}
+
+
 def _corpus(spark):
     rng = np.random.default_rng(2)
     syllables = {"aa": ["lo", "mi", "ta", "re"], "bb": ["schu", "kirz", "oeg", "unt"], "cc": ["ção", "nhe", "ão", "lhi"]}
