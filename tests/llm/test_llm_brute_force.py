@@ -213,6 +213,16 @@ def test_license_scan(spark, none):
     assert all(re.search(license_scan.CLUE, t) for _, t in license_scan.KNOWN)
 
 
+def test_license_files(spark):
+    full = {x: t for x, t in license_scan.KNOWN if len(t) > 400}
+    mit = f"MIT License\n\nCopyright (c) 2020 Someone\n\n{full['MIT']}"
+    isc = "ISC License\n\n" + full["ISC"].replace(" copyright notice", "\ncopyright notice")
+    two = "Copyright 2021 A. Holder\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE\nCOPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.\n"
+    domain = "This is free and unencumbered software released into the public\ndomain."
+    got = license_scan.scan(spark.createDataFrame([(1, mit), (2, isc), (3, two), (4, domain)], "doc_id long, text string"))
+    assert {(r["doc_id"], r["license"]) for r in got.where("scope = 'document'").collect()} == {(1, "MIT"), (2, "ISC"), (3, "BSD-2-Clause"), (4, "Unlicense")}
+
+
 def test_templates_catch_changed_parameters(spark, none):
     item = "A train leaves the station with Maria at 9 and travels 120 km before it meets 9 other trains near the old bridge."
     moved = item.replace("9", "7").replace("120 km", "450 miles").replace("Maria", "Peter")
