@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -29,17 +30,27 @@ def fps(frames: DataFrame, seconds: int = 2) -> DataFrame:
 def throttle(frames: DataFrame, interval_us: int, busy: str | None = None) -> DataFrame:
     """camera, ts, event_id of the frames that are taken: the first, then each at least interval_us after the last taken
     and, with busy (a column of milliseconds), not before the last taken one was answered. interval_us <= 0 does not
-    hold anything back. A greedy walk in time order, so it folds each camera's sorted frames."""
+    hold anything back. A greedy walk in time order over each camera's sorted frames, which keeps only the time until which
+    they are held back; a camera's frames are sorted in one task, on disk if need be."""
     answered = (F.col(busy) * 1000).cast("long") if busy else F.lit(0).cast("long")
-    f = F.struct(F.unix_micros("ts").alias("t"), "event_id", F.coalesce(answered, F.lit(0)).alias("b"))
-    state = F.struct(F.lit(None).cast("long").alias("until"), F.array().cast("array<struct<t:bigint,event_id:bigint,b:bigint>>").alias("out"))
-
-    def step(s, x):
-        take = s["until"].isNull() | (x["t"] >= s["until"])
-        return F.struct(F.when(take, x["t"] + F.greatest(F.lit(max(0, interval_us)).cast("long"), x["b"])).otherwise(s["until"]).alias("until"), F.when(take, F.concat(s["out"], F.array(x))).otherwise(s["out"]).alias("out"))
-
-    taken = frames.groupBy("camera").agg(F.aggregate(F.array_sort(F.collect_list(f)), state, step)["out"].alias("o"))
-    return taken.select("camera", F.explode("o").alias("o")).select("camera", F.timestamp_micros("o.t").alias("ts"), "o.event_id")
+    least = max(0, interval_us)
+    f = frames.select("camera", F.unix_micros("ts").alias("t"), F.col("event_id").cast("long").alias("event_id"), F.coalesce(answered, F.lit(0)).cast("long").alias("b"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, until = object(), None
+        for batch in batches:
+            take = []
+            for camera, t, b in zip(batch.column("camera").to_pylist(), batch.column("t").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                if camera != last:
+                    last, until = camera, None
+                take.append(until is None or t >= until)
+                if take[-1]:
+                    until = None if t is None else t + max(least, b)
+            yield batch.select(["camera", "t", "event_id"]).filter(pa.array(take, pa.bool_()))
+
+    order = f.repartition("camera").sortWithinPartitions("camera", "t", "event_id", "b")
+    taken = order.mapInArrow(walk, f.select("camera", "t", "event_id").schema)
+    return taken.select("camera", F.timestamp_micros("t").alias("ts"), "event_id")
 
 
 class _Sampler(StatefulProcessor):

@@ -121,3 +121,22 @@ def test_entry_imports_and_names_are_unique():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "brightness_stats" in e.queries()
+
+
+def test_throttle_walks_in_batches(spark):
+    f = spark.range(3000).select((F.col("id") % 3 == 0).cast("long").alias("camera"), F.timestamp_micros(F.col("id") * 7 % 3000).alias("ts"), F.col("id").alias("event_id"), (F.col("id") % 5 / 1000.0).alias("ms"))
+    f = f.withColumn("camera", F.when(F.col("event_id") % 11 != 0, F.col("camera")))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        out = streams.throttle(f, 3, "ms")
+        got = {(r["camera"], r["event_id"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, until = set(), {}
+    for i in sorted(range(3000), key=lambda i: (i * 7 % 3000, i)):
+        c, t = None if i % 11 == 0 else int(i % 3 == 0), i * 7 % 3000
+        if t >= until.get(c, t):
+            want.add((c, i))
+            until[c] = t + max(3, int(i % 5 / 1000.0 * 1000))
+    assert got == want
+    assert "collect_list" not in out._jdf.queryExecution().toString()  # no array of a whole camera
