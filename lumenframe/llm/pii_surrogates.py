@@ -60,7 +60,7 @@ KEY = rf"{_PREFIX}[A-Za-z0-9_-]{{16,}}+(?:\.[A-Za-z0-9_-]{{8,}}+\.[A-Za-z0-9_-]{
 LABELLED = rf"{_LABEL}[\"']?[ ]?(?:=[ ]?[\"']?[^\s\"',;]{{4,200}}|:[ ]?[\"']?(?=[^\s\"',;]{{0,200}}[0-9])[^\s\"',;]{{6,200}})"
 IBAN = rf"[A-Z]{{2}}[0-9]{{2}}(?=(?:[ A-Z]{{0,6}}[0-9]){{6}})(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}"
 NAME = rf"(?<!\p{{L}}){TITLE}{_PART}(?: {_PART}){{0,2}}"
-PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?!\.?[0-9])|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}(?![0-9])"
+PHONE = r"\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?!\.?[0-9])|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}(?![0-9])"
 PEM = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
 #: Inside a word nothing is tried but its first character's neighbours.
 ENTITY = (
