@@ -2,17 +2,21 @@
 template words are hash-joined, and the placeholders' values are checked for consistency, so that questions whose
 parameters were changed are found too.
 
-A number is a run of digits; a unit is a word of UNITS after a number; a name is a capitalised word inside a sentence (after
-a lower-case letter, a digit or one of , ; :). Other words are lower-cased. A document holds an item if at least `share` of
-the item's windows occur in it and each value in the item stands for one value throughout these windows. The windows are
-judged over the whole document and in each occurrence: windows at one distance from the item's own, and runs of distances
-less than half an item apart (words were put in or left out). If the values disagree, the windows with the item's own values
-count alone. So a document may hold an item more than once, with different values.
+A number is a run of digits, with points or commas inside it (`1,200`, `3.5`); a unit is a word of UNITS after a number; a
+name is a run of capitalised words inside a sentence (after a lower-case letter, a digit or one of , ; :). Each is one
+placeholder. Other words are lower-cased. A window of placeholders alone says nothing by its template and is compared with
+its values. A window that an item has twice counts once, where it comes first.
+
+A document holds an item if at least `share` of the item's windows occur in it and each value in the item stands for one
+value throughout these windows. The windows are judged over the whole document and in each occurrence: windows at one
+distance from the item's own, and runs of distances less than half an item apart (words were put in or left out). If the
+values disagree, the windows with the item's own values count alone. So a document may hold an item more than once, with
+different values. An item of fewer than k words is one window of its own length and is found verbatim (but for case).
 Only DataFrame functions are used.
 
-Cases: a null or empty text, and one of fewer words than a window, holds nothing; an item shorter than a window is held by
-nothing; rows with equal doc_id count as one document; rows with a null doc_id or item_id are left out; extra columns are
-not read; an empty table on either side gives an empty result.
+Cases: a null or empty text holds nothing; an item of fewer than LEAST words, or of placeholders alone and shorter than k, is
+held by nothing; rows with equal doc_id count as one document; rows with a null doc_id or item_id are left out; very long
+texts are taken whole; extra columns are not read; an empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,47 +24,84 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Units of measure that follow numbers (fixed values).
-UNITS = "km|m|cm|mm|kg|g|mg|lb|oz|l|ml|s|ms|min|h|hours|minutes|seconds|days|years|miles|meters|metres|kilometers|kilometres|dollars|euros|percent|usd|eur"
+UNITS = "km|m|cm|mm|kg|g|mg|lb|oz|l|ml|s|ms|min|h|hours|minutes|seconds|days|weeks|months|years|miles|feet|inches|yards|meters|metres|kilometers|kilometres|centimeters|centimetres|grams|kilograms|pounds|ounces|liters|litres|gallons|dollars|euros|cents|degrees|percent|usd|eur"
 _MARK = "\x01"
+#: What counts as one word: a run of marked names, a number, a word (the same for Spark and SQL).
+WORD = rf"{_MARK}m\p{{Lu}}\p{{L}}*(?: (?:{_MARK}m)?\p{{Lu}}\p{{L}}*)*|[0-9]+(?:[.,][0-9]+)*|[\p{{L}}\p{{N}}{_MARK}]+"
 MOST_BROADCAST = 500_000
+LEAST = 3
 
 
 def tokens(text: Column) -> Column:
     """The words of a text; \\x01u and \\x01m mark units and names."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), _MARK, " ")
-    t = F.regexp_replace(t, rf"([0-9]) ?({UNITS})\b", f"$1 {_MARK}u$2")
+    t = F.when(text.contains(_MARK), F.replace(text, F.lit(_MARK), F.lit(" "))).otherwise(F.coalesce(text, F.lit("")))
+    t = F.regexp_replace(t, rf"([0-9]) ?((?i:{UNITS}))\b", f"$1 {_MARK}u$2")
     t = F.regexp_replace(t, r"([\p{Ll}0-9,;:] )(\p{Lu})", f"$1{_MARK}m$2")
-    return F.filter(F.split(t, rf"[^\p{{L}}\p{{N}}{_MARK}]+"), lambda x: x != "")
+    return F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
+
+
+def is_slot(x: Column) -> Column:
+    return F.ascii(x).isin(1, *range(48, 58))
 
 
 def template(x: Column) -> Column:
-    return F.when(x.startswith(f"{_MARK}u"), F.lit("<unit>")).when(x.startswith(f"{_MARK}m"), F.lit("<name>")).when(x.rlike("^[0-9]"), F.lit("<num>")).otherwise(F.lower(x))
+    return F.when(~is_slot(x), F.lower(x)).when(x.startswith(f"{_MARK}u"), F.lit("<unit>")).when(x.startswith(_MARK), F.lit("<name>")).otherwise(F.lit("<num>"))
 
 
-def is_slot(x: Column) -> Column:
-    return x.startswith(_MARK) | x.rlike("^[0-9]")
+def _words(texts: DataFrame, key: str) -> DataFrame:
+    """key, part (one for each text of a key), w."""
+    return texts.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.xxhash64("text").alias("part"), tokens(F.col("text")).alias("w"))
+
+
+def windows(words: DataFrame, k: int) -> DataFrame:
+    """The columns of words with at, h (hash of the k template words from there on), v (all words' values, null without any
+    placeholder)."""
+    slots = F.size(F.filter("w", is_slot))
+    value = F.transform("w", lambda x: F.when(is_slot(x), F.concat(x, F.lit("\x02"))).otherwise(F.lit("")))
+    rest = [c for c in words.columns if c != "w"]
+    df = words.where(F.size("w") >= k).select(*rest, "w", F.transform("w", lambda x: F.xxhash64(template(x))).alias("t"), F.when(slots > 0, value).alias("v"), slots.alias("n"))
+    at = F.sequence(F.lit(1), F.size("w") - (k - 1))
+    plain = F.transform(at, lambda i: F.xxhash64(F.slice("t", i, k)))
+    careful = F.transform(at, lambda i: F.when(F.array_contains(F.slice("v", i, k), ""), F.xxhash64(F.slice("t", i, k))).otherwise(F.xxhash64(F.slice("v", i, k))))
+    df = df.select(*rest, "v", F.when(F.col("n") < k, plain).otherwise(careful).alias("h"))
+    return df.select(*rest, "v", F.posexplode_outer("h").alias("at", "h"))  # the inner form would compute h for a filter too
+
+
+def _slots(k: int) -> Column:
+    """The values of the window, in order; made behind the join, for windows that meet an item only."""
+    return F.when(F.col("v").isNotNull(), F.array_join(F.slice("v", F.col("at") + 1, k), "")).otherwise(F.lit(""))
+
+
+def _bounded(df: DataFrame, rows: int) -> DataFrame:
+    """About 50 bytes a row; beyond MOST_BROADCAST rows Spark chooses by its own measure."""
+    return F.broadcast(df) if rows <= MOST_BROADCAST else df
+
+
+def _short(docs: DataFrame, items: DataFrame, lengths: list[int]) -> DataFrame:
+    """Items of fewer words than a window, word for word."""
+    plain = F.transform("w", lambda x: F.regexp_replace(F.lower(x), f"{_MARK}[mu]", ""))
+    items = items.where(F.size("w").isin(lengths) & F.exists("w", lambda x: ~is_slot(x))).select("item_id", F.xxhash64(plain).alias("h")).distinct()
 
+    def cut(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size("x") - (n - 1)), lambda i: F.xxhash64(F.slice("x", i, n)))
+        return F.when(F.size("x") >= n, every).otherwise(F.array().cast("array<bigint>"))
 
-def windows(texts: DataFrame, key: str, k: int) -> DataFrame:
-    """key, part (one for each text of a key), at, h (hash of the k template words from there on), slots (their values, in
-    order)."""
-    words = texts.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.xxhash64("text").alias("part"), tokens(F.col("text")).alias("w")).where(F.size("w") >= k)
-    words = words.select(key, "part", F.transform("w", lambda x: F.xxhash64(template(x))).alias("h"), F.when(F.exists("w", is_slot), F.transform("w", lambda x: F.when(is_slot(x), F.concat(x, F.lit("\x02"))).otherwise(F.lit("")))).alias("v"))
-    at = F.sequence(F.lit(1), F.size("h") - (k - 1))
-    cut = F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("h", i, k)).alias("h"), F.when(F.col("v").isNotNull(), F.array_join(F.slice("v", i, k), "")).otherwise(F.lit("")).alias("slots")))
-    return words.select(key, "part", F.explode(cut).alias("c")).select(key, "part", "c.*")
+    own = docs.select("doc_id", plain.alias("x")).select("doc_id", F.explode_outer(F.flatten(F.array(*map(cut, lengths)))).alias("h"))
+    found = own.join(_bounded(items, items.count()), "h").select("doc_id", "item_id").distinct()
+    one = F.lit(1).cast("long")
+    return found.select("doc_id", "item_id", one.alias("n_windows"), one.alias("item_windows"), F.lit("exact").alias("kind"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 8, share: float = 0.5) -> DataFrame:
     """docs: doc_id, text; benchmark: item_id, text. Returns doc_id, item_id, n_windows (of the item, found in the
     document or, if values disagree there, in its best occurrence), item_windows, kind: `exact` if all placeholder values
     agree, else `reparameterised`."""
-    item = windows(benchmark, "item_id", k)
-    items = item.groupBy("item_id").agg(F.count("*").alias("item_windows"))
-    item = item.select("item_id", F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"))
-    if item.count() <= MOST_BROADCAST:  # about 50 bytes a row; beyond that Spark chooses by its own measure
-        item, items = F.broadcast(item), F.broadcast(items)
-    found = windows(docs, "doc_id", k).join(item, "h")
+    items, docs = _words(benchmark, "item_id"), _words(docs, "doc_id")
+    lengths = sorted(r["n"] for r in items.select(F.size("w").alias("n")).where(F.col("n").between(LEAST, k - 1)).distinct().collect())  # fewer than k
+    item = windows(items, k).groupBy("item_id", "h").agg(F.min(F.struct("at", _slots(k).alias("slots"))).alias("o")).select("item_id", "h", F.col("o.at").alias("item_at"), F.col("o.slots").alias("item_slots"))
+    n = item.count()
+    sizes = _bounded(item.groupBy("item_id").agg(F.count("*").alias("item_windows")), n)
+    found = windows(docs, k).join(_bounded(item, n), "h").withColumn("slots", _slots(k))
     pairs = F.arrays_zip(F.split("item_slots", "\x02").alias("i"), F.split("slots", "\x02").alias("d"))
     by = found.groupBy("doc_id", "item_id", "part", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.collect_set("item_at").alias("all"),
@@ -69,7 +110,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 8, share: float
     )
     order = Window.partitionBy("doc_id", "item_id").orderBy("part", "shift")
     apart = F.col("shift") - F.lag("shift").over(order) >= (F.col("item_windows") + (k - 1)) / 2
-    by = by.join(items, "item_id").withColumn("new", F.coalesce(apart | (F.col("part") != F.lag("part").over(order)), F.lit(True)).cast("int"))
+    by = by.join(sizes, "item_id").withColumn("new", F.coalesce(apart | (F.col("part") != F.lag("part").over(order)), F.lit(True)).cast("int"))
     by = by.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     levels = [(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long")), (F.lit(1), F.lit(0).cast("long"), F.col("run")), (F.lit(2), F.col("part"), F.col("shift").cast("long"))]
     by = by.withColumn("o", F.explode(F.array(*(F.struct(a.alias("level"), b.alias("part"), c.alias("at")) for a, b, c in levels))))
@@ -79,4 +120,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 8, share: float
     agree = same | (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))))
     by = by.select("doc_id", "item_id", "item_windows", (agree & (F.col("o.level") == 0)).alias("whole"), (same | ~agree).alias("exact"), F.size(F.when(agree, F.col("all")).otherwise(F.col("own"))).cast("long").alias("n"))
     by = by.where(F.col("n") >= F.lit(share) * F.col("item_windows")).groupBy("doc_id", "item_id", "item_windows").agg(F.max(F.struct("whole", "exact", "n")).alias("b"))
-    return by.select("doc_id", "item_id", F.col("b.n").alias("n_windows"), "item_windows", F.when(F.col("b.exact"), "exact").otherwise("reparameterised").alias("kind"))
+    out = by.select("doc_id", "item_id", F.col("b.n").alias("n_windows"), "item_windows", F.when(F.col("b.exact"), "exact").otherwise("reparameterised").alias("kind"))
+    return out.union(_short(docs, items, lengths)) if lengths else out

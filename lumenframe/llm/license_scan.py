@@ -180,6 +180,6 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None) -> DataFra
     whole = F.trim(F.array_join(F.filter(F.transform(lines, canonical), lambda x: x != ""), " "))
     single = F.transform(F.filter(lines, lambda x: x.rlike(HINT)), canonical)
     units = F.concat(F.array(F.struct(F.lit("document").alias("scope"), whole.alias("t"))), F.transform(single, lambda x: F.struct(F.lit("line").alias("scope"), x.alias("t"))))
-    found = some.select("doc_id", F.explode(units).alias("u")).where(F.col("u.t") != "")
+    found = some.select("doc_id", F.explode_outer(units).alias("u")).where(F.col("u.t") != "")
     found = found.select("doc_id", "u.scope", F.sha2("u.t", 256).alias("digest")).join(F.broadcast(known(docs.sparkSession, texts)), "digest")
     return found.groupBy("doc_id", "license", "scope").agg(F.count("*").alias("n_matches"))
