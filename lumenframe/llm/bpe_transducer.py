@@ -10,7 +10,9 @@ token can still start leads back to it; how many symbols that takes at most is c
 Decoding is a state machine that is fed ids and gives text as soon as its bytes are complete characters.
 
 The text around the merges follows the tokenizer file: NFC, lower case (character by character), pieces by its pattern,
-bytes as printable characters, a suffix at the end of each word, its special tokens taken out first.
+bytes as printable characters, a suffix at the end of each word, its special tokens taken out first. Python does this for
+the one normalizer and pattern that it knows; other ones, and characters on which its Unicode tables and the library's
+differ, are left to the library's normalizer and pre-tokenizer, piece of text by piece of text.
 
 Cases: a null or empty text has no tokens and decodes to the empty text; words of any length take constant memory; rows
 with equal doc_id or text are encoded each by itself; extra columns are not read; an empty table gives an empty result.
@@ -22,6 +24,7 @@ import codecs
 import functools
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -46,6 +49,7 @@ def byte_symbols() -> list[str]:
 
 _SYMBOLS = byte_symbols()
 _BYTES = {s: b for b, s in enumerate(_SYMBOLS)}
+_TABLE = dict(enumerate(_SYMBOLS))
 
 
 class Merges:
@@ -131,7 +135,17 @@ class Transducer:
         self.size = {i: len(s) for d in (self.inner, self.final) for s, i in d.items()}
         self.widest = max(self.size.values())
         self.given = lookahead
-        self.short = Recent(most)  # the last tokens of whole prefixes of words
+        self.begun = Recent(most)  # the last tokens of all prefixes of what a word begins with
+        self.ends = {id(d): self._ends(d) for d in (self.inner, self.final)}
+
+    @staticmethod
+    def _ends(known: dict[str, int]) -> dict[str, tuple[int, ...]]:
+        """For the last three symbols of a text, the lengths of the tokens that end so, longest first."""
+        out: dict[str, set[int]] = {}
+        for s in known:
+            if len(s) > 2:
+                out.setdefault(s[-3:], set()).add(len(s))
+        return {s: tuple(sorted(n, reverse=True)) for s, n in out.items()}
 
     def lookahead(self) -> int:
         """Symbols that a token waits for at most. Takes some seconds; a driver computes it once for all tasks."""
@@ -143,36 +157,53 @@ class Transducer:
         base = {s: i for s, i in self.merges.vocab.items() if i not in self.merges.rank and len(s) == 1 + len(self.suffix)}
         return self.inner | base
 
-    def _last(self, window: str, tokens: list[int], known: dict[str, int]) -> int:
-        """The last token of the prefix that ends with window; tokens: the last tokens of the prefixes before it."""
-        for k in range(min(self.widest, len(window), len(tokens)), 0, -1):
-            token = known.get(window[-k:])
-            if token is not None and (tokens[-k] < 0 or self.merges.may_follow(tokens[-k], token)):
+    def _last(self, text: str, end: int, tokens: list[int], known: dict[str, int]) -> int:
+        """The last token of the prefix text[:end]; tokens: the last tokens of the prefixes before it, from one symbol on
+        that a token can begin after."""
+        follow, get = self.merges.may_follow, known.get
+        if end > 2:
+            for k in self.ends[id(known)].get(text[end - 3 : end], ()):
+                if k <= end:
+                    token = get(text[end - k : end])
+                    if token is not None and (tokens[-k] < 0 or follow(tokens[-k], token)):
+                        return token
+        for k in (2, 1) if end > 1 else (1,):
+            token = get(text[end - k : end])
+            if token is not None and (tokens[-k] < 0 or follow(tokens[-k], token)):
                 return token
-        raise ValueError(f"no token for {window[-1]!r}")
-
-    def encode(self, symbols: Iterable[str]) -> Iterator[int]:
-        """Token ids, each given out once it is stable."""
+        raise ValueError(f"no token for {text[end - 1]!r}")
+
+    def encode(self, symbols: str) -> Iterable[int]:
+        """Token ids. A word that no token of would be given out before its end is read at once."""
+        return self.word(symbols) if len(symbols) <= 8 * self.widest else self.stream(symbols)
+
+    def word(self, text: str) -> list[int]:
+        token = self.final.get(text)  # a token that spans the word follows nothing
+        if token is not None:
+            return [token]
+        n, begun = len(text), self.begun
+        tokens = next((list(t) for k in (8, 4) if k < n and (t := begun.get(text[:k]))), [-1])
+        for end in range(len(tokens), n):
+            tokens.append(self._last(text, end, tokens, self.inner))
+            if end == 4 or end == 8:
+                begun.put(text[:end], tuple(tokens))
+        tokens.append(self._last(text, n, tokens, self.final))
+        return self._back(tokens, n)
+
+    def stream(self, symbols: Iterable[str]) -> Iterator[int]:
+        """Token ids, each given out once it is stable; what is kept does not grow with the word."""
         window, tokens = "", [-1]  # tokens[k]: the last token of the prefix of k symbols; -1 at the start
-        stream, look, whole, short = iter(symbols), 8 * self.widest, True, self.short
+        stream, look = iter(symbols), 8 * self.widest
         now = next(stream, None)
         while now is not None:
             after = next(stream, None)
             window += now
-            if after is None:
-                tokens.append(self._last(window[-self.widest :], tokens, self.final))
-            else:
-                token = short.get(window) if whole and len(window) < 12 else None
-                if token is None:
-                    token = self._last(window[-self.widest :], tokens, self.inner)
-                    if whole and len(window) < 12:
-                        short.put(window, token)
-                tokens.append(token)
+            tokens.append(self._last(window, len(window), tokens, self.final if after is None else self.inner))
             now = after
             if len(tokens) > look and now is not None:
                 at = self._stable(tokens)
                 yield from self._back(tokens, at)
-                window, tokens, whole = window[at:], tokens[at:], False
+                window, tokens = window[at:], tokens[at:]
                 if self.given is not None and len(tokens) > self.given + 9 * self.widest:
                     raise AssertionError("a token took longer to settle than the merge list allows")
                 look = len(tokens) + 8 * self.widest
@@ -205,17 +236,16 @@ class Decoder:
         self.state, self.first = codecs.getincrementaldecoder("utf-8")("replace"), True
 
     def feed(self, ids: Iterable[int]) -> str:
-        out = []
-        for i in ids:
-            name = self.names[i]
-            if self.suffix is None:
-                data = name.encode() if self.first else b" " + name.encode()
-            else:
-                end = name.endswith(self.suffix)
-                data = bytes(_BYTES[c] for c in name[: len(name) - len(self.suffix) * end]) + b" " * end
-            self.first = False
-            out.append(self.state.decode(data))
-        return "".join(out)
+        names, suffix = [self.names[i] for i in ids], self.suffix
+        if not names:
+            return ""
+        if suffix is None:
+            data = ("" if self.first else " ").encode() + " ".join(names).encode()
+        else:
+            cut = len(suffix)
+            data = b"".join([bytes([_BYTES[c] for c in n[:-cut]]) + b" " if n.endswith(suffix) else bytes([_BYTES[c] for c in n]) for n in names])
+        self.first = False
+        return self.state.decode(data)
 
     def close(self) -> str:
         return self.state.decode(b"", True)
@@ -241,19 +271,42 @@ class Recent:
         self.now[key] = value
 
 
+#: What WordBpe does itself before the merges; a file that asks for something else is read by the library.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
 class WordBpe:
-    """A tokenizer file of the kind "BPE with word ends", encoded by the transducer."""
+    """A tokenizer file of the kind "BPE with word ends", encoded by the transducer.
+
+    Raises ValueError for a file whose model has what the transducer does not know. odd: characters whose normal form or
+    class differs between this Python and the tokenizers library (see odd_characters); pieces of text with one are cut by
+    the library's own normalizer and pre-tokenizer.
+    """
+
+    def __init__(self, path: str, lookahead: int | None = None, most: int = 250_000, odd: str = ""):
+        from tokenizers import Tokenizer
 
-    def __init__(self, path: str, lookahead: int | None = None, most: int = 250_000):
         with open(path, encoding="utf-8") as f:
             j = json.load(f)
         model = j["model"]
+        extra = {k for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)}
+        if model["type"] != "BPE" or extra or j["decoder"] is not None or j["post_processor"] is not None:
+            raise ValueError(f"not a tokenizer file that this transducer can follow: {model['type']} {sorted(extra)}")
+        if any(x[k] for x in j["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")) or any(" " in x["content"] for x in j["added_tokens"]):
+            raise ValueError("added tokens that depend on their neighbours")
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.specials = {x["content"]: x["id"] for x in j["added_tokens"]}
         vocab = {s: i for s, i in model["vocab"].items() if s not in self.specials}
         self.names = {i: s for s, i in (model["vocab"] | self.specials).items()}
         self.transducer = Transducer(Merges(vocab, merges, most * 8 // 5), model["end_of_word_suffix"] or "", lookahead, most * 4 // 5)
-        self.piece = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.library = Tokenizer.from_file(path)
+        self.own = j["normalizer"] == NORMALIZER and j["pre_tokenizer"] == PRE_TOKENIZER
+        if not self.own and (self.library.pre_tokenizer is None or self._cut("a\tb c") != self._cut("a") + self._cut("b") + self._cut("c")):
+            raise ValueError("the pre-tokenizer does not end its pieces at white space")
+        self.piece = regex.compile(PATTERN)
+        self.odd = re.compile(f"[{re.escape(odd)}]") if odd else None
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True))) if self.specials else None
         self.words, self.chunks = Recent(most), Recent(most)
 
@@ -262,21 +315,31 @@ class WordBpe:
         for p in self._pieces(text):
             yield from self._ids(p)
 
-    def _pieces(self, text: str) -> Iterator[str]:
+    def _pieces(self, text: str) -> list[str]:
         """Special tokens, and between them the pattern's pieces in NFC and lower case."""
-        at = 0
-        for m in self.special.finditer(text) if self.special else ():
-            yield from self._plain(text[at : m.start()])
-            yield m[0]
+        if not self.special or not any(s in text for s in self.specials):
+            return self._plain(text)
+        out, at = [], 0
+        for m in self.special.finditer(text):
+            out += [*self._plain(text[at : m.start()]), m[0]]
             at = m.end()
-        yield from self._plain(text[at:])
+        return out + self._plain(text[at:])
 
     def _plain(self, text: str) -> list[str]:
-        return self.piece.findall(text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        if self.own and text.isascii():
+            return self.piece.findall(text.lower())
+        if not self.own or self.odd and self.odd.search(text):
+            return self._cut(text)
+        return self.piece.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+
+    def _cut(self, text: str) -> list[str]:
+        """The pieces as the library makes them."""
+        text = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
+        return [bytes(_BYTES[c] for c in p).decode() for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def _ids(self, piece: str) -> Iterable[int]:
         special = self.specials.get(piece)
-        return (special,) if special is not None else self.transducer.encode([_SYMBOLS[b] for b in piece.encode()])
+        return (special,) if special is not None else self.transducer.encode(piece.encode().decode("latin-1").translate(_TABLE))
 
     def decode(self, ids: Iterable[int]) -> str:
         d = Decoder(self.names)
@@ -310,9 +373,9 @@ class WordBpe:
 
 
 @functools.lru_cache(2)
-def word_bpe(path: str, lookahead: int | None = None, kept: int = 250_000) -> WordBpe:
+def word_bpe(path: str, lookahead: int | None = None, kept: int = 250_000, odd: str = "") -> WordBpe:
     """One a process: Python workers run many tasks."""
-    return WordBpe(path, lookahead, kept)
+    return WordBpe(path, lookahead, kept, odd)
 
 
 @functools.lru_cache(8)
@@ -320,15 +383,32 @@ def sufficient_lookahead(path: str) -> int:
     return word_bpe(path).transducer.lookahead()
 
 
+@functools.lru_cache(8)
+def odd_characters(path: str) -> str:
+    """All characters that the library, built with another version of Unicode, composes, lower-cases or classes otherwise
+    than Python does: each is tried between a letter and a mark below. Planes without assigned characters are tried block
+    by block only. Takes some seconds, once a driver."""
+    bpe = word_bpe(path)
+    blocks = [range(max(at, 128), at + 1024) for at in range(0, 0x110000, 1024) if not 0xD800 <= at < 0xE000]
+    same = lambda text: bpe._plain(text) == bpe._cut(text)
+    probe = lambda c: f"e{chr(c)}\u0323b"
+    out: list[str] = []
+    for block in blocks:
+        quick = 0x40000 <= block[0] < 0xE0000 or block[0] >= 0xF0000
+        if not same("".join(map(chr, block)) if quick else " ".join(map(probe, block))):
+            out += [chr(c) for c in block if not same(probe(c))]
+    return "".join(out)
+
+
 def encode_decode(docs: DataFrame, tokenizer: str, digest: bool = False, kept: int = 250_000) -> DataFrame:
     """docs: doc_id, text; tokenizer: a file's path, readable on the executors. Returns doc_id, n_tokens and the ids and
     decoded text, or with digest=True their SHA-256 (ids in decimal joined by one space; text in UTF-8). kept: how many
     words and stretches a worker remembers, about 2 kB each in all; the results are the same with any number."""
     small_batches(docs.sparkSession)
-    lookahead = sufficient_lookahead(tokenizer)
+    lookahead, odd = sufficient_lookahead(tokenizer), odd_characters(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = word_bpe(tokenizer, lookahead, kept)
+        bpe = word_bpe(tokenizer, lookahead, kept, odd)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 some = batch.slice(at, 200)

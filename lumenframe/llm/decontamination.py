@@ -37,7 +37,7 @@ def tokens(text: Column) -> Column:
     t = F.when(text.contains(_MARK), F.replace(text, F.lit(_MARK), F.lit(" "))).otherwise(F.coalesce(text, F.lit("")))
     t = F.regexp_replace(t, rf"([0-9]) ?((?i:{UNITS}))\b", f"$1 {_MARK}u$2")
     t = F.regexp_replace(t, r"([\p{Ll}0-9,;:] )(\p{Lu})", f"$1{_MARK}m$2")
-    return F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(t, F.lit(WORD.replace(")*", ")*+")), F.lit(0))  # possessive: no stack frame a repetition
 
 
 def is_slot(x: Column) -> Column:

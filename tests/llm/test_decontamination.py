@@ -27,6 +27,7 @@ DOCS = [
     (9, "capital of France"),
     (11, " ".join(f"word{i}" for i in range(20_000)) + " " + ITEM),
     (12, "12 13"),
+    (13, "so " + "Ab " * 100_000 + "1,2." * 100_000),
     (None, ITEM),
 ]
 

@@ -167,12 +167,37 @@ def test_bpe_equals_the_library(docs, none):
     assert bpe_transducer.encode_decode(none, path).count() == 0
 
 
+def test_bpe_reads_every_character_as_the_library_does():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    bpe, library = bpe_transducer.WordBpe(path, odd=bpe_transducer.odd_characters(path)), Tokenizer.from_file(path)
+    every = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(every), 512):
+        text = " ".join(f"a{c}c {c}e\u0301 x{c}" for c in every[at : at + 512])
+        assert list(bpe.encode(text)) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_refuses_files_it_cannot_follow(tmp_path):
+    import json
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        j = json.load(f)
+    for change in ({"model": j["model"] | {"byte_fallback": True}}, {"decoder": {"type": "ByteLevel"}}):
+        (tmp_path / "t.json").write_text(json.dumps(j | change), encoding="utf-8")
+        with pytest.raises(ValueError):
+            bpe_transducer.WordBpe(f"{tmp_path}/t.json")
+    (tmp_path / "n.json").write_text(json.dumps(j | {"normalizer": {"type": "NFD"}}), encoding="utf-8")
+    other = bpe_transducer.WordBpe(f"{tmp_path}/n.json")
+    text = "Ünïcode WÖRDS don't 日本 ٣٤ a\tb <|endoftext|>c"
+    assert list(other.encode(text)) == Tokenizer.from_file(f"{tmp_path}/n.json").encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_streams_long_words_in_little_memory():
     path = public_tokenizers.path("word_bpe_49k.json")
     bpe, library = bpe_transducer.word_bpe(path), Tokenizer.from_file(path)
     rng = np.random.default_rng(5)
     for text in ("a" * 3000, "the" * 900, "".join(rng.choice(list("aehlnorst"), 4000)), "<|endoftext|>a<|endoftext|>'S İΣ"):
         assert list(bpe.encode(text)) == library.encode(text, add_special_tokens=False).ids
+        assert list(bpe.transducer.stream("".join(text.split()))) == list(bpe.transducer.encode("".join(text.split()))) or "<" in text
     d = bpe_transducer.Decoder(bpe.names, "</w>")
     assert "".join(d.feed([i]) for i in bpe.encode("héllo wörld")) + d.close() == "héllo wörld "
 
