@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's spark.checkpoint.dir; one under /tmp only where the setting is absent, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lumenframe-checkpoints"
+    """A new folder under the cluster's spark.checkpoint.dir. Where that is unset, one under /tmp, but on a local master only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "/tmp/lumenframe-checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -36,3 +40,19 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo m: the split of learned and held-out rows."""
     return F.crc32(doc_id.cast("string").cast("binary")) % m
+
+
+def column(df: DataFrame, name: str) -> Column:
+    """The column of exactly this name, with dots and backticks in it or not."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def sampled(rows: DataFrame, groups: DataFrame, by: str, seed: int) -> DataFrame:
+    """Rows of each group with the smallest hashes: as many as `groups` (by, n: the group's rows, most) allows, equal rows
+    once. A threshold of 63 bits first leaves about eight times as many, whatever n is; Spark's row_number takes its limit
+    before the shuffle."""
+    h = F.xxhash64(F.lit(seed), *(c for c in rows.columns if c != by)).bitwiseAND(F.lit((1 << 63) - 1))
+    share = F.least(F.lit(1.0), 8.0 * F.col("most") / F.col("n"))
+    some = rows.withColumn("__h", h).join(F.broadcast(groups), by).where(F.col("__h") <= share * float(1 << 63)).select(*rows.columns, "__h", "most").distinct()
+    order = Window.partitionBy(by).orderBy("__h", *(c for c in rows.columns if c != by))
+    return some.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= F.col("most")).select(*rows.columns)

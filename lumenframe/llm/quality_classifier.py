@@ -1,13 +1,14 @@
-"""Quality classifier: supervised subword embeddings. Learned vectors of hashed words and byte n-grams are averaged over a
+"""Quality classifier: supervised subword embeddings. Learned vectors of hashed words and character n-grams are averaged over a
 document and go through a softmax; numpy stochastic gradient descent trains both.
 
-Fitting takes at most about `most` labelled rows (chosen by a hash of doc_id). The softmax of two classes over an average
+Fitting takes at most `most` labelled documents (chosen by a hash of doc_id and label; of several texts of a document the
+first in order). The softmax of two classes over an average
 is a sum over features, so each feature's vector is multiplied with the output weights once, and scoring adds one number
 for each feature of every whole text.
 
 Cases: a null or empty text scores as a document without features, by the bias alone; without labelled rows of both
 classes the score is the share of label 1 (0.5 without any); rows with equal doc_id are scored each by itself; rows of
-labels with a null teach nothing; extra columns are not read; an empty table gives an empty result.
+labels with a null teach nothing; very long texts are taken whole; extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenframe.llm import _ngrams, _text
-from lumenframe.llm._shared import small_batches
+from lumenframe.llm._shared import sampled, small_batches
 
 
 class Model(NamedTuple):
@@ -36,6 +37,7 @@ def _features(t: _text.Texts, orders: tuple[int, ...], bits: int) -> Iterator[tu
     w = _text.words(t)
     h = _text.word_hashes(t, w)
     yield (h >> np.uint64(64 - bits)).astype(np.int64), np.repeat(np.arange(len(t.lo)), np.diff(w.first))
+    t = _ngrams.characters(t)
     for n in orders:
         yield _ngrams.grams(t, n, bits)
 
@@ -75,10 +77,11 @@ def train(texts: pa.ChunkedArray, labels: np.ndarray, orders: tuple[int, ...], b
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", most: int = 6000, orders: tuple[int, ...] = (3, 4), bits: int = 15, dim: int = 8, epochs: int = 6, rate: float = 0.5, seed: int = 11) -> Model:
     """labels: doc_id and `label` (0 or 1); learn: which of its rows may teach, over its doc_id."""
-    rows = labels.where(learn & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("__label"))
+    rows = labels.where(learn & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select(F.lit(0).alias("all"), "doc_id", F.col(label).alias("__label"))
     n = rows.count()
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1, most / max(1, n)))).distinct()
-    some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toArrow()  # about `most` rows
+    chosen = sampled(rows, docs.sparkSession.createDataFrame([(0, max(1, n), most)], "all int, n long, most int"), "all", seed).drop("all")
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # `most` rows
+    some = found.groupBy("doc_id", "__label").agg(F.min("text").alias("text")).toArrow()
     some = some.take(pc.sort_indices(some, [("doc_id", "ascending"), ("__label", "ascending"), ("text", "ascending")]))
     return train(some["text"], some["__label"].to_numpy().astype(np.int64), orders, bits, dim, epochs, rate, seed)
 
