@@ -8,7 +8,7 @@ The files are rows of a Parquet table (part, first, n_docs, n_ids, payload): Spa
 tasks are run again without leaving half a file, on any file system that Spark writes to.
 
 Cases: a null text counts as empty and yields the end id alone; a null doc_id comes before all others; rows of equal doc_id
-stay together in the order of their ids' bytes; a text longer than a shard makes one longer shard; extra columns are not
+follow each other in any order (so that many of them can be written by several tasks); a text longer than a shard makes one longer shard; extra columns are not
 read; an empty table gives a table without shards.
 """
 
@@ -31,93 +31,108 @@ from lumenframe.llm.bpe_transducer import byte_symbols
 from lumenframe.llm._shared import partitions, shared_dir, small_batches
 
 _NAMES = dict(enumerate(byte_symbols()))
-_MAGIC, _BLOCK = b"LFWM", 512
+_MAGIC, _BLOCK = b"LFW2", 1 << 15
 SHARD = "part int, first long, n_docs long, n_ids long, payload binary"
 
 
 class WaveletMatrix:
-    """Token ids as bit planes, highest bit first; each plane is followed by a stable partition, zeros before ones."""
+    """Token ids as bit planes, highest bit first; each plane is followed by a stable partition, zeros before ones.
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.planes, self.zeros = n, planes, zeros
-        self._ranks: list[np.ndarray | None] = [None] * len(planes)
+    A file holds each plane in blocks of _BLOCK bits, compressed one by one, and before them a directory: the ones before
+    each block and where it lies. So access, rank and select read one block a plane, found in the directory, and decompress
+    nothing else; the blocks read last are kept.
+    """
+
+    def __init__(self, n: int, zeros: np.ndarray, ones: np.ndarray, at: np.ndarray, data: memoryview, kept: int = 64):
+        """ones: before each block, a row a plane, with all of the plane's at the end; at: where blocks begin in data."""
+        self.n, self.zeros, self.ones, self.at, self.data = n, zeros, ones, at, data
+        self.levels, self._unpack = len(zeros), zstandard.ZstdDecompressor()
+        self._block = functools.lru_cache(kept)(self._read)
 
     @classmethod
     def build(cls, ids: np.ndarray, levels: int | None = None) -> WaveletMatrix:
         levels = levels or max(1, int(ids.max(initial=0)).bit_length())
-        now, planes, zeros = ids.astype(np.uint16 if levels <= 16 else np.uint32), [], []
-        for b in range(levels - 1, -1, -1):
+        now = ids.astype(np.uint16 if levels <= 16 else np.uint32)
+        blocks, wide = -(-max(len(ids), 1) // _BLOCK), _BLOCK // 8
+        press, data, zeros = zstandard.ZstdCompressor(level=1), [], np.zeros(levels, np.int64)
+        ones = np.zeros((levels, blocks + 1), np.int64)
+        for level, b in enumerate(range(levels - 1, -1, -1)):
             bit = (now & (1 << b)) != 0
-            planes.append(np.packbits(bit, bitorder="little"))
+            plane = np.packbits(bit, bitorder="little")
+            padded = np.zeros(blocks * wide, np.uint8)
+            padded[: len(plane)] = plane
+            ones[level, 1:] = np.cumsum(np.bitwise_count(padded).reshape(blocks, wide).sum(1, dtype=np.int64))
+            data += [press.compress(plane[i * wide : (i + 1) * wide].tobytes()) for i in range(blocks)]
             now = np.concatenate([low := now[~bit], now[bit]])
-            zeros.append(len(low))
-        return cls(len(ids), planes, zeros)
+            zeros[level] = len(low)
+        at = np.concatenate([[0], np.cumsum([len(x) for x in data])])
+        return cls(len(ids), zeros, ones, at, memoryview(b"".join(data)))
 
     def tobytes(self) -> bytes:
-        press = zstandard.ZstdCompressor(level=1)
-        data = [press.compress(p) for p in self.planes]
-        head = struct.pack("<4sQI", _MAGIC, self.n, len(data)) + struct.pack(f"<{len(data)}Q", *self.zeros) + struct.pack(f"<{len(data)}Q", *map(len, data))
-        return head + b"".join(data)
+        size = np.diff(self.at)
+        return struct.pack("<4sQII", _MAGIC, self.n, self.levels, _BLOCK) + self.zeros.astype("<u8").tobytes() + self.ones.astype("<u8").tobytes() + size.astype("<u4").tobytes() + self.data
 
     @classmethod
     def frombytes(cls, data: bytes) -> WaveletMatrix:
-        magic, n, levels = struct.unpack_from("<4sQI", data)
-        if magic != _MAGIC:
-            raise ValueError("not a wavelet matrix")
-        zeros = struct.unpack_from(f"<{levels}Q", data, 16)
-        sizes = struct.unpack_from(f"<{levels}Q", data, 16 + 8 * levels)
-        at, planes, unpack = 16 + 16 * levels, [], zstandard.ZstdDecompressor()
-        for size in sizes:
-            planes.append(np.frombuffer(unpack.decompress(data[at : at + size]), np.uint8))
-            at += size
-        return cls(n, planes, list(zeros))
+        """Reads the directory; the planes stay compressed."""
+        magic, n, levels, block = struct.unpack_from("<4sQII", data)
+        if magic != _MAGIC or block != _BLOCK:
+            raise ValueError("not a wavelet matrix of this format")
+        blocks, at = -(-max(n, 1) // block), 20
+        zeros = np.frombuffer(data, "<u8", levels, at).astype(np.int64)
+        at += 8 * levels
+        ones = np.frombuffer(data, "<u8", levels * (blocks + 1), at).astype(np.int64).reshape(levels, blocks + 1)
+        at += 8 * levels * (blocks + 1)
+        size = np.frombuffer(data, "<u4", levels * blocks, at)
+        at += 4 * levels * blocks
+        return cls(n, zeros, ones, np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), memoryview(data)[at:])
+
+    def _read(self, level: int, block: int) -> np.ndarray:
+        k = level * (self.ones.shape[1] - 1) + block
+        return np.frombuffer(self._unpack.decompress(self.data[self.at[k] : self.at[k + 1]], _BLOCK // 8), np.uint8)
 
     def decode(self) -> np.ndarray:
         """All ids in order: the planes from the lowest up, each undoing its partition."""
-        out = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
-        for level, (plane, z) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
-            bit = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
+        out = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
+        for level in range(self.levels - 1, -1, -1):
+            plane = np.concatenate([self._read(level, k) for k in range(self.ones.shape[1] - 1)])
+            bit, z = np.unpackbits(plane, count=self.n, bitorder="little").view(bool), self.zeros[level]
             before = np.empty_like(out)
             before[~bit] = out[:z]
-            before[bit] = out[z:] | out.dtype.type(1 << level)
+            before[bit] = out[z:] | out.dtype.type(1 << (self.levels - 1 - level))
             out = before
         return out
 
-    def _bits(self, level: int, i: np.ndarray) -> np.ndarray:
-        return self.planes[level][i >> 3] >> (i & 7).astype(np.uint8) & 1
-
-    def _rank1(self, level: int, i: np.ndarray) -> np.ndarray:
-        """Ones before position i: counts at block borders and the bits since."""
-        plane = self.planes[level]
-        if self._ranks[level] is None:
-            padded = np.zeros(-(-max(len(plane), 1) // (_BLOCK // 8)) * (_BLOCK // 8) + _BLOCK // 8, np.uint8)
-            padded[: len(plane)] = plane
-            self._ranks[level] = np.concatenate([[0], np.cumsum(np.bitwise_count(padded).reshape(-1, _BLOCK // 8).sum(1, dtype=np.int64))])
-        out = self._ranks[level][i // _BLOCK].copy()
-        for k, at in enumerate(np.atleast_1d(i)):
-            a = at // _BLOCK * (_BLOCK // 8)
-            bits = np.unpackbits(plane[a : at // 8 + 1], bitorder="little")[: at - a * 8]
-            np.atleast_1d(out)[k] += int(bits.sum())
-        return out
+    def _rank1(self, level: int, i: int) -> int:
+        """Ones before position i: those before its block by the directory, and the rest in the block."""
+        block, rest = divmod(i, _BLOCK)
+        ones = int(self.ones[level, block])
+        if rest:
+            bits = self._block(level, block)
+            whole, some = divmod(rest, 8)
+            ones += int(np.bitwise_count(bits[:whole]).sum(dtype=np.int64)) + (int(bits[whole] & ((1 << some) - 1)).bit_count() if some else 0)
+        return ones
 
     def access(self, i: int) -> int:
-        at, value = np.array([i]), 0
-        for level, z in enumerate(self.zeros):
-            bit = int(self._bits(level, at)[0])
-            ones = self._rank1(level, at)
-            value, at = value << 1 | bit, (z + ones if bit else at - ones)
+        if not 0 <= i < self.n:
+            raise IndexError(i)
+        value = 0
+        for level in range(self.levels):
+            bit = int(self._block(level, i // _BLOCK)[i % _BLOCK >> 3] >> (i & 7) & 1)
+            ones = self._rank1(level, i)
+            value, i = value << 1 | bit, int(self.zeros[level]) + ones if bit else i - ones
         return value
 
     def _range(self, token: int, i: int) -> tuple[int, int]:
         """Where the occurrences of token among the first i ids lie behind the last plane."""
-        a, b = np.array([0]), np.array([i])
-        levels = len(self.zeros)
-        if token >> levels:
+        a, b = 0, i
+        if token < 0 or token >> self.levels:
             return 0, 0
-        for level, z in enumerate(self.zeros):
+        for level in range(self.levels):
             x, y = self._rank1(level, a), self._rank1(level, b)
-            a, b = (z + x, z + y) if token >> (levels - 1 - level) & 1 else (a - x, b - y)
-        return int(a[0]), int(b[0])
+            z = int(self.zeros[level])
+            a, b = (z + x, z + y) if token >> (self.levels - 1 - level) & 1 else (a - x, b - y)
+        return a, b
 
     def rank(self, token: int, i: int) -> int:
         """Occurrences of token among the first i ids."""
@@ -127,20 +142,33 @@ class WaveletMatrix:
     def count(self, token: int) -> int:
         return self.rank(token, self.n)
 
+    def _selected(self, level: int, bit: int, k: np.ndarray) -> np.ndarray:
+        """The positions of the k-th (from 0, ascending) bits of one kind: the directory tells their blocks."""
+        before = self.ones[level] if bit else np.arange(self.ones.shape[1]) * _BLOCK - self.ones[level]
+        block = np.searchsorted(before, k, "right") - 1
+        out = np.empty(len(k), np.int64)
+        for b in np.unique(block):
+            here = block == b
+            found = np.flatnonzero(np.unpackbits(self._block(level, int(b)), bitorder="little") == bit)
+            out[here] = b * _BLOCK + found[k[here] - before[b]]
+        return out
+
+    def _positions(self, token: int, at: np.ndarray) -> np.ndarray:
+        for level in range(self.levels - 1, -1, -1):
+            bit = token >> (self.levels - 1 - level) & 1
+            at = self._selected(level, bit, at - self.zeros[level] if bit else at)
+        return at
+
     def select(self, token: int, k: int) -> int:
         """The position of the k-th occurrence, from 0."""
         a, b = self._range(token, self.n)
         if not 0 <= k < b - a:
             raise IndexError(k)
-        at = a + k
-        for level in range(len(self.zeros) - 1, -1, -1):
-            bit, z = token >> (len(self.zeros) - 1 - level) & 1, self.zeros[level]
-            bits = np.unpackbits(self.planes[level], count=self.n, bitorder="little")
-            at = int(np.flatnonzero(bits == bit)[at - z if bit else at])
-        return at
+        return int(self._positions(token, np.array([a + k]))[0])
 
     def occurrences(self, token: int) -> list[int]:
-        return [self.select(token, k) for k in range(self.count(token))]
+        a, b = self._range(token, self.n)
+        return self._positions(token, np.arange(a, b)).tolist() if b > a else []
 
 
 class PieceEncoder:
@@ -277,7 +305,9 @@ def encoder(path: str) -> PieceEncoder:
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int | None, bounds: list[int]) -> DataFrame:
-    """part (the range between bounds that the doc_id falls in), doc_id, ids (packed, 16 bits each if they fit)."""
+    """part (the range between ascending bounds that the doc_id falls in), doc_id, ids (packed, 16 bits each if they fit)."""
+
+    edges = np.array(bounds, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
@@ -286,7 +316,10 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int | None, bounds: list[int
         for batch in batches:
             doc_id = batch["doc_id"].fill_null(np.iinfo(np.int64).min).to_numpy()
             ids = [np.frombuffer(x + end, "<u4").astype(kind).tobytes() for x in own.encode([x or "" for x in batch["text"].to_pylist()])]
-            part = pa.array(np.searchsorted(bounds, doc_id, "right") if bounds else np.zeros(len(ids)), pa.int32())
+            low, part = np.searchsorted(edges, doc_id, "left"), np.searchsorted(edges, doc_id, "right")
+            for k in np.flatnonzero(part > low):  # an id on bounds, maybe on many: its rows may go to either side
+                part[k] = low[k] + zlib.crc32(ids[k]) % (part[k] - low[k] + 1)
+            part = pa.array(part, pa.int32())
             yield pa.RecordBatch.from_pydict({"part": part, "doc_id": batch["doc_id"], "wide": pa.array([kind == "<u4"] * len(ids)), "ids": pa.array(ids, pa.binary())})
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -316,7 +349,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     spark = docs.sparkSession
     small_batches(spark)
     parts = partitions(spark)
-    bounds = sorted({int(x) for x in docs.select(F.col("doc_id").cast("long").alias("doc_id")).approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.25 / parts)}) if parts > 1 else []
+    least = F.coalesce(F.col("doc_id").cast("long"), F.lit(np.iinfo(np.int64).min))
+    bounds = [int(x) for x in docs.select(least.alias("k")).approxQuantile("k", [k / parts for k in range(1, parts)], 0.25 / parts)] if parts > 1 else []
     encoded = encode(docs, tokenizer, end_id, bounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,7 +375,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         if own[0]:
             yield flush()
 
-    ordered = encoded.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
+    ordered = encoded.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
     ordered.mapInArrow(run, SHARD).write.parquet(path)
 
 

@@ -150,12 +150,38 @@ def test_wavelet_shards_round_trip(docs, none, spark, tmp_path):
     assert token_wavelet.read_documents(spark, f"{tmp_path}/e").count() == 0
 
 
-def test_wavelet_rank_and_select():
-    ids = np.random.default_rng(1).integers(0, 300, 3000)
-    m = token_wavelet.WaveletMatrix.frombytes(token_wavelet.WaveletMatrix.build(ids).tobytes())
-    assert (m.decode() == ids).all() and [m.access(i) for i in (0, 511, 512, 2999)] == ids[[0, 511, 512, 2999]].tolist()
-    t = int(ids[7])
-    assert m.occurrences(t) == np.flatnonzero(ids == t).tolist() and m.rank(t, 8) == int((ids[:8] == t).sum()) and m.count(5000) == 0
+def test_wavelet_shards_of_hot_ids(spark, tmp_path):
+    """A third of the rows without an id, a third with one id: all tasks write, and the order of ids holds."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i}") for i in range(300)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    token_wavelet.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), f"{tmp_path}/s", path)
+    got = [r["doc_id"] for r in token_wavelet.read_documents(spark, f"{tmp_path}/s").orderBy("start").collect()]
+    assert got == sorted((d for d, _ in rows), key=lambda d: -1 if d is None else d)
+    assert spark.read.parquet(f"{tmp_path}/s").select("part").distinct().count() == 4
+
+
+def test_wavelet_rank_and_select(monkeypatch):
+    rng = np.random.default_rng(1)
+    for n, block in ((3000, 1 << 15), (3000, 256), (512, 256), (1, 256), (0, 256)):
+        monkeypatch.setattr(token_wavelet, "_BLOCK", block)
+        ids = rng.integers(0, 300, n)
+        m = token_wavelet.WaveletMatrix.frombytes(token_wavelet.WaveletMatrix.build(ids).tobytes())
+        assert (m.decode() == ids).all() and [m.access(i) for i in range(0, n, 7)] == ids[::7].tolist()
+        for t in (*ids[:9].tolist(), 301, 5000):
+            want = np.flatnonzero(ids == t).tolist()
+            assert m.occurrences(t) == want and m.count(t) == len(want) and [m.select(t, k) for k in range(len(want))] == want
+            assert [m.rank(t, i) for i in (0, n // 2, n)] == [int((ids[:i] == t).sum()) for i in (0, n // 2, n)]
+
+
+def test_wavelet_reads_one_block_a_plane():
+    ids = np.random.default_rng(2).integers(0, 50_000, 1 << 19)
+    data = token_wavelet.WaveletMatrix.build(ids).tobytes()
+    for ask in (lambda m: m.access(300_000), lambda m: m.select(int(ids[77]), 0)):
+        m = token_wavelet.WaveletMatrix.frombytes(data)
+        read, real = [], m._unpack
+        m._unpack = type("Counted", (), {"decompress": lambda self, x, n: read.append(1) or real.decompress(x, n)})()
+        ask(m)
+        assert len(read) <= 3 * 16  # of 16 planes of 16 blocks
 
 
 def test_bpe_equals_the_library(docs, none):
