@@ -1,54 +1,104 @@
 """Hashes of blocks of documents meet in buckets of the hash space, and what the buckets find goes back to the blocks.
 
-A block is a range of `block_docs` doc_ids, so that its hashes are made distinct before they are shuffled: a key that a
-third of all documents hold is sent once a block. Messages are packed arrays, one a block and bucket. A null doc_id counts
-as larger than any other.
+A block is a range of doc_ids with about `block_docs` rows, so that its hashes are made distinct before they are shuffled: a
+key that a third of all documents hold is sent once a block. How wide the ranges are, and how many buckets there are, comes
+from one pass over ids and lengths (Sizes). Ranges that hold far more rows or bytes are cut finer, and the rows of a single
+id that fills a block by itself (or of no id) are dealt over several. Messages are packed arrays, one a block and bucket. A
+null doc_id counts as larger than any other.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lumenframe.llm import _text
+from lumenframe.llm._shared import partitions
 
-MESSAGE = "bucket int, block long, hashes binary, counts binary"
+#: A block's name, in the order of doc_ids; blocks that differ in the last part alone hold the same id.
+BLOCK = ["block", "sub", "place", "salt"]
+MESSAGE = "bucket int, block long, sub long, place int, salt int, hashes binary, counts binary"
 NULL_ID = np.iinfo(np.int64).max
-
-
-def block(doc_id: Column, block_docs: int) -> Column:
-    return F.coalesce(F.floor(doc_id / F.lit(block_docs)).cast("long"), F.lit(NULL_ID // block_docs))
+_BLOCK_BYTES, _BUCKET_BYTES = 64 << 20, 1 << 30
+MOST_BROADCAST = 100_000
+
+
+class Sizes(NamedTuple):
+    width: int  # doc_ids of a block
+    rows: int  # of a block, about
+    buckets: int
+
+
+def sizes(docs: DataFrame, block_docs: int, buckets: int | None) -> Sizes:
+    """Blocks of about block_docs rows at the ids' mean density; more if messages would be under a KB, up to 64 MB of text.
+    Buckets: twice the shuffle partitions, or one a GB of text if that is more."""
+    n, low, high, size = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id"), F.sum(F.octet_length("text"))).first()
+    if buckets is None:
+        buckets = max(2 * partitions(docs.sparkSession), math.ceil((size or 0) / _BUCKET_BYTES))
+        mean = max(1.0, (size or 0) / max(1, n))
+        block_docs = max(block_docs, min(math.ceil(1300 * buckets / mean), int(_BLOCK_BYTES / mean)))
+    spread = (high - low + 1) if low is not None else 1
+    return Sizes(max(1, math.ceil(block_docs * max(1.0, spread / max(1, n)))), block_docs, buckets)
+
+
+def blocked(docs: DataFrame, s: Sizes) -> DataFrame:
+    """docs (doc_id, text) with the columns of BLOCK."""
+    id_ = F.coalesce("doc_id", F.lit(NULL_ID))
+    docs = docs.withColumn("block", F.when(F.col("doc_id").isNull(), F.lit(NULL_ID)).otherwise(F.floor(F.col("doc_id") / F.lit(s.width))).cast("long"))
+    weight = [F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")]
+    full = lambda rows, times: (F.col("n") > times * rows) | (F.col("size") > times * _BLOCK_BYTES)
+    over = docs.groupBy("block").agg(*weight).where(full(s.rows, 4))
+    n_over = over.limit(MOST_BROADCAST + 1).count()
+    if not n_over:
+        zero = [F.lit(0).cast(t).alias(c) for c, t in zip(BLOCK[1:], ("long", "int", "int"), strict=True)]
+        return docs.select("doc_id", "text", "block", *zero)
+    small = F.broadcast if n_over <= MOST_BROADCAST else (lambda df: df)
+    parts = lambda: F.greatest(F.lit(1), F.ceil(F.greatest(F.col("n") / s.rows, F.col("size") / _BLOCK_BYTES)).cast("long"))
+    hot = docs.join(small(over.select("block")), "block").groupBy("block", id_.alias("id")).agg(*weight).where(full(s.rows, 1))
+    hot = hot.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", parts().alias("parts")))).alias("hot"))
+    over = over.join(hot, "block", "left").select("block", parts().alias("pieces"), F.coalesce("hot", F.array().cast("array<struct<id: bigint, parts: bigint>>")).alias("hot"))
+    docs = docs.join(small(over), "block", "left").withColumn("own", F.get(F.filter("hot", lambda h: h["id"] == id_), F.lit(0)))
+    sub = F.when(F.col("doc_id").isNull(), 0).otherwise(F.floor((F.col("doc_id") - F.col("block") * s.width) * F.coalesce("pieces", F.lit(1)) / F.lit(s.width)))
+    place = F.when(F.size("hot") > 0, F.size(F.filter("hot", lambda h: h["id"] < id_)) * 2 + F.col("own").isNotNull().cast("int")).otherwise(0)
+    salt = F.when(F.col("own").isNotNull(), F.pmod(F.xxhash64("text"), F.col("own.parts"))).otherwise(0)
+    return docs.select("doc_id", "text", "block", sub.cast("long").alias("sub"), F.coalesce(place, F.lit(0)).cast("int").alias("place"), F.coalesce(salt, F.lit(0)).cast("int").alias("salt"))
 
 
 def ids(column: pa.ChunkedArray) -> np.ndarray:
     return column.fill_null(NULL_ID).to_numpy().astype(np.int64)
 
 
-def messages(own: int, hashes: np.ndarray, counts: np.ndarray | None, buckets: int) -> pa.Table:
-    """Rows of MESSAGE of one block, from ascending distinct hashes and the number of its documents with each."""
+def messages(table: pa.Table, hashes: np.ndarray, counts: np.ndarray | None, buckets: int) -> pa.Table:
+    """Rows of MESSAGE of a block (table: its rows), from ascending distinct hashes and the number of its documents with each."""
     cut = np.searchsorted(_text.bucket_of(hashes, buckets), np.arange(buckets + 1))
     full = np.flatnonzero(np.diff(cut))
     part = lambda a: [a[cut[i] : cut[i + 1]] for i in full]
+    name = {c: pa.array([table[c][0].as_py()] * len(full), t) for c, t in zip(BLOCK, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)}
     return pa.table(
-        {
-            "bucket": pa.array(full, pa.int32()),
-            "block": pa.array(np.full(len(full), own), pa.int64()),
+        {"bucket": pa.array(full, pa.int32())}
+        | name
+        | {
             "hashes": pa.array([_text.pack(x) for x in part(hashes)], pa.binary()),
             "counts": pa.array([x.astype("<u4").tobytes() for x in part(counts)] if counts is not None else [None] * len(full), pa.binary()),
         }
     )
 
 
-def meet(sent: DataFrame, answer: Callable[[np.ndarray, np.ndarray, np.ndarray | None], tuple[np.ndarray, np.ndarray | None]]) -> DataFrame:
-    """Each bucket's hashes, ascending and with the blocks of one hash in order, go to answer(hash, first, count), which
-    returns which of them to send back and a value for each. The result has a row of MESSAGE for each block and bucket."""
+def meet(sent: DataFrame, answer: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None], tuple[np.ndarray, np.ndarray | None]]) -> DataFrame:
+    """Each bucket's hashes, ascending and with the blocks of one hash in order, go to answer(hash, first, least, count), which
+    returns which of them to send back and a value for each. first: the first of its hash; least: of the blocks that
+    begin its hash (several if they hold one doc_id). The result has a row of MESSAGE for each block and bucket."""
 
     def judge(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block")
-        blocks, got = table["block"].to_numpy(), [_text.unpack(x) for x in table["hashes"].to_pylist()]
+        table = table.sort_by([(c, "ascending") for c in BLOCK])
+        names = np.stack([table[c].to_numpy() for c in BLOCK[:3]])
+        range_ = np.concatenate([[0], np.cumsum((names[:, 1:] != names[:, :-1]).any(axis=0))]).astype(np.int32)
+        got = [_text.unpack(x) for x in table["hashes"].to_pylist()]
         of = np.repeat(np.arange(len(got), dtype=np.int32), [len(x) for x in got])
         h = np.concatenate(got)
         del got
@@ -60,7 +110,11 @@ def meet(sent: DataFrame, answer: Callable[[np.ndarray, np.ndarray, np.ndarray |
         del order
         first = np.ones(len(h), bool)
         first[1:] = h[1:] != h[:-1]
-        back, value = answer(h, first, count)
+        least = first
+        if len(range_) > 1 and not np.diff(range_).all():
+            mine = range_[of]
+            least = mine == mine[np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))]
+        back, value = answer(h, first, least, count)
         h, of = h[back], of[back]
         value = value[back].astype(np.uint32) if value is not None else None
         order = np.argsort(of, kind="stable")
@@ -69,9 +123,9 @@ def meet(sent: DataFrame, answer: Callable[[np.ndarray, np.ndarray, np.ndarray |
         cut = np.append(at, len(of))
         slices = [slice(cut[i], cut[i + 1]) for i in range(len(own))]
         return pa.table(
-            {
-                "bucket": pa.array(np.full(len(own), table["bucket"][0].as_py()), pa.int32()),
-                "block": pa.array(blocks[own], pa.int64()),
+            {"bucket": pa.array(np.full(len(own), table["bucket"][0].as_py()), pa.int32())}
+            | {c: table[c].take(pa.array(own)) for c in BLOCK}
+            | {
                 "hashes": pa.array([_text.pack(h[s]) for s in slices], pa.binary()),
                 "counts": pa.array([None] * len(own) if value is None else [value[order][s].astype("<u4").tobytes() for s in slices], pa.binary()),
             }

@@ -7,8 +7,9 @@ exact intersections of sorted arrays.
    Representatives that share one lie in one cluster (connected components over such stars, so no pairs are made).
 3. A cluster's sets are compared in one task, in tiles of rows of a size band against rows of the same and the next bands
    below; the Hamming distance of two bitmaps is at most the size of the symmetric difference, which rules most pairs out.
-   Rows already in one component are not compared again. A cluster of more than `tile_docs` sets is split into pairs of
-   row blocks, whose links meet in a second run of connected components. No pair that could link is left out.
+   Rows already in one component are not compared again. A cluster of more than `tile_docs` sets is split by bands of sizes
+   of which only neighbours can link, and these into pairs of row blocks, whose links meet in a second run of connected
+   components. No pair that could link is left out.
 
 Cases: a null or empty text has the empty set, n_shingles 0 and itself as component; a text of fewer words than a shingle
 has one shingle, the whole sequence; rows with equal text share a component; a row with a null doc_id has a null component
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lumenframe.llm import _exchange, _text
 from lumenframe.llm._graph import components
-from lumenframe.llm._shared import partitions, written
+from lumenframe.llm._shared import written
 
 _SETS = "doc_id long, n_shingles long, d1 long, d2 long, prefix array<long>, shingles binary"
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -99,15 +100,14 @@ def link(sets: list[np.ndarray], percent: int, rows: int = 256) -> tuple[np.ndar
     return back, links
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, block_docs: int = 1024, tile_docs: int = 4096, buckets: int | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, block_docs: int = 1024, tile_docs: int = 512, buckets: int | None = None) -> DataFrame:
     """Groups of texts whose sets of `words`-word shingles link at a Jaccard similarity of percent/100 or more.
 
     docs: doc_id, text. Returns doc_id, n_shingles, component_id: the smallest doc_id reachable over links.
     """
-    spark = docs.sparkSession
-    buckets = buckets or 2 * partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("block", _exchange.block(F.col("doc_id"), block_docs))
+    size = _exchange.sizes(docs, block_docs, buckets)
+    docs, by = _exchange.blocked(docs, size), _exchange.BLOCK
 
     def send(table: pa.Table) -> pa.Table:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -120,9 +120,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, block
         h = np.concatenate([*(x for x, _ in parts), whole])
         n = np.concatenate([*(c for _, c in parts), np.zeros(len(whole), np.int64)])
         u, back = np.unique(h, return_inverse=True)
-        return _exchange.messages(table["block"][0].as_py(), u, np.bincount(back, n, len(u)).astype(np.int64), buckets)
+        return _exchange.messages(table, u, np.bincount(back, n, len(u)).astype(np.int64), size.buckets)
 
-    def answer(h: np.ndarray, first: np.ndarray, count: np.ndarray):
+    def answer(h: np.ndarray, first: np.ndarray, least: np.ndarray, count: np.ndarray):
         group = np.cumsum(first) - 1
         df = np.bincount(group, count)[group] if len(h) else np.zeros(0)
         whole = count == 0
@@ -156,16 +156,16 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, block
         return pa.table({"doc_id": left["doc_id"]} | {k: pa.array([r[c] for r in rows], kind) for c, (k, kind) in enumerate(zip(names, kinds, strict=True))})
 
     empty = pa.table({"doc_id": pa.array([], pa.int64()), "n_shingles": pa.array([], pa.int64()), "d1": pa.array([], pa.int64()), "d2": pa.array([], pa.int64()), "prefix": pa.array([], pa.list_(pa.int64())), "shingles": pa.array([], pa.binary())})
-    sent = docs.groupBy("block").applyInArrow(send, _exchange.MESSAGE)
+    sent = docs.groupBy(by).applyInArrow(send, _exchange.MESSAGE)
     replies = _exchange.meet(sent, answer)
-    sets = written(docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda left, right: judge(left, right) if len(left) else empty, _SETS), "ngram-sets")
+    sets = written(docs.groupBy(by).cogroup(replies.groupBy(by)).applyInArrow(lambda left, right: judge(left, right) if len(left) else empty, _SETS), "ngram-sets")
 
     heads = sets.where("prefix IS NOT NULL")
     holders = heads.select("doc_id", F.explode("prefix").alias("token"))
     least = holders.groupBy("token").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1")
     clusters = written(components(holders.join(least, "token").select(F.col("doc_id").alias("a"), "b"), "ngram-stars"), "ngram-clusters")
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
-    members = heads.select("doc_id", "shingles").join(clusters.withColumnRenamed("node", "doc_id"), "doc_id")
+    members = heads.select("doc_id", "n_shingles", "shingles").join(clusters.withColumnRenamed("node", "doc_id"), "doc_id")
 
     def roots(table: pa.Table) -> pa.Table:
         own = table["doc_id"].to_numpy()
@@ -178,16 +178,19 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, block
             a, b = own, least[root]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    none = F.lit(-1)
+    none, keys = F.lit(-1), ["component", "band", "i", "j"]
     tiles = members.join(sizes, "component")
-    whole = tiles.where(F.col("n") <= tile_docs).select("component", none.alias("i"), none.alias("j"), "doc_id", "shingles")
-    linked = whole.groupBy("component", "i", "j").applyInArrow(roots, "a long, b long")
+    whole = tiles.where(F.col("n") <= tile_docs).select("component", *(none.alias(c) for c in keys[1:]), "doc_id", "shingles")
+    linked = whole.groupBy(keys).applyInArrow(roots, "a long, b long")
     if sizes.where(F.col("n") > tile_docs).limit(1).count():
-        blocks = F.ceil(F.col("n") / tile_docs).cast("int")
-        split = tiles.where(F.col("n") > tile_docs).withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
-        split = split.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        split = split.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "shingles")
-        met = components(split.groupBy("component", "i", "j").applyInArrow(roots, "a long, b long"), "ngram-links")
+        # sets that link are of one band of sizes or of neighbouring ones: each goes to its own band and the one below
+        band = F.floor(F.log("n_shingles") / (math.log(100 / percent) + 1e-9)).cast("int") if percent < 100 else F.col("n_shingles").cast("int")
+        split = tiles.where(F.col("n") > tile_docs).select("component", F.explode(F.array(band, band - 1)).alias("band"), "doc_id", "shingles")
+        blocks = F.ceil(F.col("rows") / tile_docs).cast("int")
+        split = split.join(split.groupBy("component", "band").agg(F.count("*").alias("rows")), ["component", "band"])
+        split = split.withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        split = split.select("component", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "shingles")
+        met = components(split.groupBy(keys).applyInArrow(roots, "a long, b long"), "ngram-links")
         linked = linked.union(met.select(F.col("node").alias("a"), F.col("component").alias("b")))
     linked = linked.select(F.col("a").alias("head"), F.col("b").alias("least"))
 

@@ -19,7 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lumenframe.llm import _exchange, _text
-from lumenframe.llm._shared import partitions
 
 RESULT = "doc_id long, n_words long, n_removed long, starts array<int>, lengths array<int>, kept string"
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -45,12 +44,11 @@ def remove_repeats(docs: DataFrame, window: int = 13, block_docs: int = 1024, bu
 
     docs: doc_id, text. Returns doc_id, n_words, n_removed and either the removal intervals (`starts`, `lengths`, in words,
     maximal and disjoint) with the kept words joined by one space, or with digest=True their SHA-256 (kept_sha256).
-    buckets: ranges of the hash space, twice the shuffle partitions if not given; one range is held by a task at a time.
+    block_docs, buckets: see _exchange.sizes; one range of the hash space is held by a task at a time.
     """
-    spark = docs.sparkSession
-    buckets = buckets or 2 * partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("block", _exchange.block(F.col("doc_id"), block_docs))
+    size = _exchange.sizes(docs, block_docs, buckets)
+    docs, by = _exchange.blocked(docs, size), _exchange.BLOCK
 
     def windows(t: _text.Texts) -> tuple[_text.Words, np.ndarray, np.ndarray, np.ndarray]:
         w = _text.words(t)
@@ -59,7 +57,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, block_docs: int = 1024, bu
 
     def send(table: pa.Table) -> pa.Table:
         own = [np.unique(windows(t)[3]) for t, _, _ in _exchange.slices(table)]
-        return _exchange.messages(table["block"][0].as_py(), np.unique(np.concatenate(own)), None, buckets)
+        return _exchange.messages(table, np.unique(np.concatenate(own)), None, size.buckets)
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         doc_id = _exchange.ids(left["doc_id"])
@@ -100,9 +98,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, block_docs: int = 1024, bu
         spans = {k: pa.array(rows[k], pa.list_(pa.int32())) for k in ("starts", "lengths")}
         return pa.table(out | spans | {"kept": pa.array(rows["kept"], pa.string())})
 
-    sent = docs.groupBy("block").applyInArrow(send, _exchange.MESSAGE)
-    replies = _exchange.meet(sent, lambda h, first, count: (~first, None))
-    return docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda left, right: judge(left, right) if len(left) else _empty(digest), DIGEST if digest else RESULT)
+    sent = docs.groupBy(by).applyInArrow(send, _exchange.MESSAGE)
+    replies = _exchange.meet(sent, lambda h, first, least, count: (~least, None))
+    return docs.groupBy(by).cogroup(replies.groupBy(by)).applyInArrow(lambda left, right: judge(left, right) if len(left) else _empty(digest), DIGEST if digest else RESULT)
 
 
 def _empty(digest: bool) -> pa.Table:

@@ -74,6 +74,26 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.remove_repeats(none, 5).count() == 0
 
 
+def test_substring_dedup_of_hot_and_sparse_ids(spark):
+    """One id with a third of the rows, rows without an id, a far cluster of ids: blocks are cut, the order of ids holds."""
+    rng = np.random.default_rng(8)
+    ids = [*([5] * 60), *([None] * 30), *range(40), *range(10**15, 10**15 + 40)]
+    rows = [(d, " ".join(f"w{i}" for i in np.concatenate([np.arange(a, a + 9) for a in rng.integers(0, 40, 4)]))) for d in ids]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first: dict = {}
+    least = lambda d: float("inf") if d is None else d
+    split = [(d, t.split()) for d, t in rows]
+    for d, w in split:
+        for i in range(len(w) - 4):
+            first[tuple(w[i : i + 5])] = min(least(d), first.get(tuple(w[i : i + 5]), float("inf")))
+    want = Counter((d, " ".join(x for p, x in enumerate(w) if not any(first[tuple(w[i : i + 5])] < least(d) for i in range(max(0, p - 4), min(p, len(w) - 5) + 1)))) for d, w in split)
+    for block in (2, 7, 1024):
+        assert Counter((r["doc_id"], r["kept"]) for r in substring_dedup.remove_repeats(df, 5, block).collect()) == want, block
+    unique = [(i if d is not None else None, t) for i, (d, t) in enumerate(rows)]
+    got = Counter(map(tuple, ngram_jaccard.jaccard_components(spark.createDataFrame(unique, "doc_id long, text string"), block_docs=2).collect()))
+    assert got == _jaccard(unique)
+
+
 def _jaccard(rows, k=5):
     sets = []
     for d, t in rows:
@@ -111,7 +131,7 @@ def test_ngram_jaccard_of_chains_and_split_clusters(spark):
         rows.append((d, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = _jaccard(rows)
-    for tile in (4096, 40):
+    for tile in (512, 40):
         assert Counter(map(tuple, ngram_jaccard.jaccard_components(df, tile_docs=tile).collect())) == want
 
 
