@@ -24,7 +24,6 @@ import codecs
 import functools
 import hashlib
 import json
-import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -306,7 +305,7 @@ class WordBpe:
         if not self.own and (self.library.pre_tokenizer is None or self._cut("a\tb c") != self._cut("a") + self._cut("b") + self._cut("c")):
             raise ValueError("the pre-tokenizer does not end its pieces at white space")
         self.piece = regex.compile(PATTERN)
-        self.odd = re.compile(f"[{re.escape(odd)}]") if odd else None
+        self.odd = frozenset(odd)
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True))) if self.specials else None
         self.words, self.chunks = Recent(most), Recent(most)
 
@@ -328,7 +327,7 @@ class WordBpe:
     def _plain(self, text: str) -> list[str]:
         if self.own and text.isascii():
             return self.piece.findall(text.lower())
-        if not self.own or self.odd and self.odd.search(text):
+        if not self.own or not self.odd.isdisjoint(text):
             return self._cut(text)
         return self.piece.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
