@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,8 +19,22 @@ UNITS = {
 }
 
 
+#: Units of features whose names carry parameters, by the part of the name that does not (fixed values).
+FAMILIES = {
+    "glcm": [(r"contrast_.*", "intensity_squared"), (r"dissimilarity_.*", "intensity"), (r"correlation_.*", "correlation_coefficient"), (r"(homogeneity|energy|ASM)_.*", "ratio")],
+    "fft": [
+        (r"high_low_ratio|horizontal_energy|vertical_energy|band_\d+_[\d.]+_[\d.]+", "ratio"), (r"spectral_(centroid|std)", "cycle/mm_or_cycle/pixel"),
+        (r"num_peaks", "count"), (r"max_peak_amp", "amplitude"), (r"(spectral|horizontal|vertical|band_\d+_[\d.]+_[\d.]+)_entropy", "normalized"),
+    ],
+    "swt": [(r"(L\d+_)?energy_ratio_\w+", "ratio"), (r"(L\d+_)?(total_energy|energy_\w+)", "coefficient_squared"), (r"(L\d+_)?entropy_\w+", "bits"), (r"(L\d+_)?(mean|std)_\w+", "coefficient")],
+    "hlac": [(r"hlac_feature_\d+", "correlation_coefficient"), (r"normalized_hlac_feature_\d+", "normalized_correlation")],
+    "lbp": [(r"lbp_bin_\d+", "ratio")],
+}
+
+
 def unit_of(extractor: str, feature: str) -> str:
-    return UNITS.get(extractor, {}).get(feature, "unknown")
+    own = UNITS.get(extractor, {}).get(feature)
+    return own or next((u for pattern, u in FAMILIES.get(extractor, []) if re.fullmatch(pattern, feature)), "unknown")
 
 
 def label(extractor: str, feature: str) -> str:
@@ -34,7 +49,7 @@ def catalog(spark: SparkSession) -> DataFrame:
 def assemble(meta: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
     """meta: image_id, filename, perhaps class and timestamp. Joins the extractors' wide rows on image_id; columns get their
     extractor and unit."""
-    named = [df.select("image_id", *(F.col(c).cast("double").alias(label(e, c)) for c in df.columns if c != "image_id")) for e, df in parts.items()]
+    named = [df.select("image_id", *(F.col(f"`{c}`").cast("double").alias(label(e, c)) for c in df.columns if c != "image_id")) for e, df in parts.items()]
     return ordered(reduce(lambda a, b: a.join(b, "image_id", "left"), named, meta).drop("image_id"))
 
 

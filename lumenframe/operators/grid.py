@@ -17,7 +17,15 @@ def columns() -> WindowSpec:
 
 
 def by_image(df: DataFrame) -> DataFrame:
-    return df.repartition("image_id")
+    """df dealt by image_id; one that was kept so (see kept_by_image) stays as it is."""
+    return df if getattr(df, "_by_image", False) else df.repartition("image_id")
+
+
+def kept_by_image(df: DataFrame) -> DataFrame:
+    """df dealt by image_id once and kept (on disk if need be), for several operators that each ask for it."""
+    out = df.repartition("image_id").persist()
+    out._by_image = True
+    return out
 
 
 def sized(gray: DataFrame) -> DataFrame:

@@ -1,37 +1,52 @@
-"""Frequency features: a separable Fourier transform and an undecimated wavelet transform, as joins with small tables of
-factors and grouped sums."""
+"""Frequency features: a Fourier transform (numpy's, one image a group) and an undecimated wavelet transform, as a join with
+a small table of factors and grouped sums."""
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenframe.functions import color
 from lumenframe.operators import grid
 
 
-def _pass(df: DataFrame, axis: str, to: str, sign: int) -> DataFrame:
-    """One pass of the transform along an axis: each value times the factor of each frequency, summed."""
-    n = F.col("width" if axis == "x" else "height")
-    keep = [c for c in ("y", "x", "ky", "kx") if c in df.columns and c != axis]
-    df = df.withColumn(to, F.explode(F.sequence(F.lit(0), n - 1)))
-    angle = F.pmod(F.col(to).cast("long") * F.col(axis), n) * (sign * 2 * math.pi) / n
-    c, s = F.cos(angle), F.sin(angle)
-    return df.groupBy("image_id", "height", "width", *keep, to).agg(F.sum(F.col("re") * c - F.col("im") * s).alias("re"), F.sum(F.col("re") * s + F.col("im") * c).alias("im"))
+def _image(table: pa.Table) -> np.ndarray:
+    """The pixels of one image as an array; pixels that are missing count as 0."""
+    y, x = table["y"].to_numpy(), table["x"].to_numpy()
+    out = np.zeros((int(y.max()) + 1, int(x.max()) + 1))
+    out[y, x] = table["v"].to_numpy()
+    return out
+
+
+def _pixels(table: pa.Table, columns: dict[str, np.ndarray]) -> pa.Table:
+    """Columns of one image's cells, after its image_id."""
+    n = len(next(iter(columns.values())))
+    ids = pa.repeat(table["image_id"][0], n)
+    return pa.table({"image_id": ids} | {k: pa.array(v) for k, v in columns.items()})
+
+
+def _by_image(gray: DataFrame, transform, schema: str) -> DataFrame:
+    """transform (one image's y, x, v) -> cells; a Fourier transform needs the whole image, and numpy has the fast one."""
+    id_type = gray.schema["image_id"].dataType.simpleString()
+    df = gray.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("v").cast("double").alias("v"))
+    return df.groupBy("image_id").applyInArrow(transform, f"image_id {id_type}, {schema}")
 
 
 def spectrum(gray: DataFrame, window: bool = True) -> DataFrame:
     """image_id, height, width, ky, kx (0 at the centre: negative to the left and above), re, im."""
-    df = grid.sized(gray.select("image_id", "y", "x", "v"))
-    hann = lambda at, n: F.when(n > 1, 0.5 - F.cos(at * (2 * math.pi) / (n - 1)) * 0.5).otherwise(1.0)
-    value = F.col("v").cast("double")
-    if window:
-        value = value * hann(F.col("y"), F.col("height")) * hann(F.col("x"), F.col("width"))
-    df = df.select("image_id", "height", "width", "y", "x", value.alias("re"), F.lit(0.0).alias("im"))
-    df = _pass(_pass(df, "x", "kx", -1), "y", "ky", -1)
-    centred = lambda k, n: F.when(F.col(k) < F.expr(f"({n} + 1) DIV 2"), F.col(k)).otherwise(F.col(k) - F.col(n)).cast("int")
-    return df.withColumn("kx", centred("kx", "width")).withColumn("ky", centred("ky", "height"))
+
+    def transform(table: pa.Table) -> pa.Table:
+        image = _image(table)
+        h, w = image.shape
+        if window:
+            image = image * np.hanning(h)[:, None] * np.hanning(w)[None, :]
+        f = np.fft.fft2(image).ravel()
+        ky, kx = ((np.fft.fftfreq(n) * n).round().astype(np.int32) for n in (h, w))
+        cells = {"height": np.full(h * w, h, np.int32), "width": np.full(h * w, w, np.int32), "ky": np.repeat(ky, w), "kx": np.tile(kx, h)}
+        return _pixels(table, cells | {"re": f.real.copy(), "im": f.imag.copy()})
+
+    return _by_image(gray, transform, "height int, width int, ky int, kx int, re double, im double")
 
 
 def _maps(spec: DataFrame) -> DataFrame:
@@ -67,7 +82,7 @@ def fft_features(gray: DataFrame, bands=((0, 0.1), (0.1, 0.3), (0.3, 0.5)), high
     centroid = F.when(F.sum(mag) > 0, F.sum(mag * f) / F.sum(mag)).otherwise(0.0)
     second = F.when(F.sum(mag) > 0, F.sum(mag * f * f) / F.sum(mag)).otherwise(0.0)
     return m.groupBy("image_id").agg(
-        *(share(c).alias(f"band_{k + 1}_{lo:.2f}_{hi:.2f}".replace(".", "p")) for k, (c, (lo, hi)) in enumerate(zip(in_band, bands, strict=True))),
+        *(share(c).alias(f"band_{k + 1}_{lo:.2f}_{hi:.2f}") for k, (c, (lo, hi)) in enumerate(zip(in_band, bands, strict=True))),
         F.when(low > 0, F.coalesce(F.sum(F.when(f >= high_low_threshold, p)), F.lit(0.0)) / low).otherwise(0.0).alias("high_low_ratio"),
         (centroid * scale).alias("spectral_centroid"),
         (F.sqrt(F.greatest(second - centroid * centroid, F.lit(0.0))) * scale).alias("spectral_std"),
@@ -78,7 +93,7 @@ def fft_features(gray: DataFrame, bands=((0, 0.1), (0.1, 0.3), (0.3, 0.5)), high
         _entropy(mag, F.lit(True)).alias("spectral_entropy"),
         _entropy(mag, off(0)).alias("horizontal_entropy"),
         _entropy(mag, off(90)).alias("vertical_entropy"),
-        *(_entropy(mag, c).alias(f"band_entropy_{k + 1}") for k, c in enumerate(in_band)),
+        *(_entropy(mag, c).alias(f"band_{k + 1}_{lo:.2f}_{hi:.2f}_entropy") for k, (c, (lo, hi)) in enumerate(zip(in_band, bands, strict=True))),
     )
 
 
@@ -95,14 +110,17 @@ def ideal_filter(gray: DataFrame, mode: str = "lowpass", radius: float = 50) ->
     the inverse transform, stretched to 0..255. `original` is the image itself."""
     if mode == "original":
         return gray.select("image_id", "y", "x", "v")
-    s = spectrum(gray, window=False)
-    inside = F.col("ky") * F.col("ky") + F.col("kx") * F.col("kx") <= radius * radius
-    keep = (inside if mode == "lowpass" else ~inside).cast("double")
-    s = s.select("image_id", "height", "width", F.pmod("ky", "height").alias("ky"), F.pmod("kx", "width").alias("kx"), (F.col("re") * keep).alias("re"), (F.col("im") * keep).alias("im"))
-    s = s.withColumnRenamed("ky", "y").withColumnRenamed("kx", "x")
-    back = _pass(_pass(s, "x", "kx", 1), "y", "ky", 1)
-    v = F.round(F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (F.col("height") * F.col("width")), 6)
-    return color.min_max(back.select("image_id", F.col("ky").alias("y"), F.col("kx").alias("x"), v.alias("v")))
+
+    def transform(table: pa.Table) -> pa.Table:
+        image = _image(table)
+        h, w = image.shape
+        inside = (np.fft.fftfreq(h) * h)[:, None] ** 2 + (np.fft.fftfreq(w) * w)[None, :] ** 2 <= radius * radius + 1e-9
+        back = np.abs(np.fft.ifft2(np.fft.fft2(image) * (inside if mode == "lowpass" else ~inside)))
+        cells = {"y": np.repeat(np.arange(h, dtype=np.int32), w), "x": np.tile(np.arange(w, dtype=np.int32), h), "v": back.ravel()}
+        return _pixels(table, cells)
+
+    out = _by_image(gray, transform, "y int, x int, v double")
+    return color.min_max(out.withColumn("v", F.round("v", 6)))
 
 
 #: Low-pass taps of the orthogonal wavelets (fixed values); the high-pass taps follow by reversal and alternating signs.

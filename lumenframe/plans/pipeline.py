@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from lumenframe.operators import grid
 from lumenframe.plans import registry
 
 
@@ -53,8 +54,11 @@ def chain(images: DataFrame, p: Profile, quarantine: DataFrame | None = None) ->
 
 
 def fan(images: DataFrame, p: Profile, keep: str = "all") -> dict[str, DataFrame]:
-    """Every operator on the original; mask operators have no mask here and are left out. keep `last`: the last alone."""
+    """Every operator on the original, which is dealt by image_id once and kept if there are several; mask operators have no
+    mask here and are left out. keep `last`: the last alone."""
     names = [n for n in p.processors if n != "mask_composition"]
+    if len(names) > 1 and keep != "last":
+        images = grid.kept_by_image(images)
     out = {n: _one(n, p.config.get(n, {}), images, {"original": images}) for n in (names[-1:] if keep == "last" else names)}
     return {"original": images} | out
 
@@ -87,9 +91,18 @@ def together(stages: dict[str, DataFrame]) -> DataFrame:
 
 
 def extract(images: DataFrame, meta: DataFrame, wanted: list[str], config: dict[str, dict] | None = None) -> DataFrame:
-    """The wide feature table. The images are read once and kept while several extractors use them."""
+    """The wide feature table. The images are read and dealt by image_id once and kept while several extractors use them."""
+    from lumenframe.functions import color
     from lumenframe.operators import features
 
     config = config or {}
     names = features.select_extractors(list(config) or list(registry.EXTRACTORS), wanted, list(registry.EXTRACTORS))
-    return features.assemble(meta, {n: registry.get(registry.EXTRACTORS, n, config.get(n))(images) for n in names})
+    kept: dict[bool, DataFrame] = {}
+    parts = {}
+    for n in names:
+        run = registry.get(registry.EXTRACTORS, n, config.get(n))  # parameters are checked before anything is kept
+        gray = registry.EXTRACTORS[n].needs_gray or "v" in images.columns
+        if gray not in kept:
+            kept[gray] = grid.kept_by_image(color.to_gray(images) if gray else images)
+        parts[n] = run(kept[gray])
+    return features.assemble(meta, parts)

@@ -35,12 +35,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 TILE = """tile AS (SELECT vec_id AS image_id, ((i - 1) // 8)::INT AS y, ((i - 1) % 8)::INT AS x,
   greatest(0, least(255, floor((embedding[i]::DOUBLE + 0.5) * 256)))::INT AS v, label AS class FROM embeddings, unnest(range(1, 65)) AS r(i))"""
-MOSAIC = """mosaic AS (SELECT vec_id // 64 AS image_id, (vec_id % 64)::INT AS y, (i - 1)::INT AS x,
-  greatest(0, least(255, floor((embedding[i]::DOUBLE + 0.5) * 256)))::INT AS v FROM embeddings, unnest(range(1, 65)) AS r(i)
-  WHERE vec_id // 64 IN (SELECT vec_id // 64 FROM embeddings GROUP BY 1 HAVING count(*) = 64))"""
-BGR = """bgr AS (SELECT o_orderkey // 1024 AS image_id, ((o_orderkey % 1024) // 32)::INT AS y, (o_orderkey % 32)::INT AS x,
-  (o_custkey % 256)::INT AS b, ((floor(o_totalprice)::BIGINT // 256) % 256)::INT AS g, (floor(o_totalprice)::BIGINT % 256)::INT AS r FROM orders
-  WHERE o_orderkey // 1024 IN (SELECT o_orderkey // 1024 FROM orders GROUP BY 1 HAVING count(*) = 1024))"""
+MOSAIC = """mosaic AS (SELECT image_id, (g // 64)::INT AS y, (g % 64)::INT AS x, coalesce(v, 0)::INT AS v
+  FROM (SELECT DISTINCT vec_id // 64 AS image_id FROM embeddings) CROSS JOIN unnest(range(0, 4096)) AS u(g) LEFT JOIN
+  (SELECT vec_id // 64 AS image_id, (vec_id % 64) * 64 + i - 1 AS g, greatest(0, least(255, floor((embedding[i]::DOUBLE + 0.5) * 256)))::INT AS v FROM embeddings, unnest(range(1, 65)) AS r(i)) USING (image_id, g))"""
+BGR = """bgr AS (SELECT image_id, (g // 32)::INT AS y, (g % 32)::INT AS x, coalesce(o_custkey % 256, 0)::INT AS b, coalesce((floor(o_totalprice)::BIGINT // 256) % 256, 0)::INT AS g, coalesce(floor(o_totalprice)::BIGINT % 256, 0)::INT AS r
+  FROM (SELECT DISTINCT o_orderkey // 1024 AS image_id FROM orders) CROSS JOIN unnest(range(0, 1024)) AS u(g) LEFT JOIN orders ON o_orderkey = image_id * 1024 + u.g)"""
 
 
 def _reflect(c: str, n: str) -> str:
@@ -125,9 +124,39 @@ def hsv_stats(spark, sf_dir):
     return _rounded(statistics.hsv(tables.bgr_orders(spark, sf_dir)))
 
 
-@query("docs_byte_histogram", "WITH b AS (SELECT doc_id, encode(text) AS t FROM documents WHERE octet_length(encode(text)) >= 64), h AS (SELECT doc_id, hex(t) AS h, octet_length(t) // 64 * 64 AS n FROM b) SELECT ('0x' || substr(h, 2 * i + 1, 2))::INT AS v, count(*) AS n FROM h, unnest(range(0, n)) AS r(i) GROUP BY 1")
+@query("docs_byte_histogram", "WITH h AS (SELECT hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents WHERE text <> '') SELECT ('0x' || substr(h, 2 * i + 1, 2))::INT AS v, count(*) AS n FROM h, unnest(range(0, n)) AS r(i) GROUP BY 1")
 def docs_byte_histogram(spark, sf_dir):
-    return tables.gray_docs(spark, sf_dir).groupBy("v").agg(F.count("*").alias("n"))
+    return tables.byte_counts(tables.table(spark, sf_dir, "documents"))
+
+
+@query("docs_rows", "WITH h AS (SELECT doc_id AS image_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents WHERE text <> '') SELECT image_id, count(*) AS n_pixels, max(i // 64)::INT AS y, sum(('0x' || substr(h, 2 * i + 1, 2))::INT * (i % 64 + 1))::BIGINT AS s FROM h, unnest(range(0, n)) AS r(i) GROUP BY 1")
+def docs_rows(spark, sf_dir):
+    d = tables.gray_docs(spark, sf_dir)
+    return d.groupBy("image_id").agg(F.count("*").alias("n_pixels"), F.max("y").alias("y"), F.sum(F.col("v").cast("long") * (F.col("x") + 1)).alias("s"))
+
+
+@query("to_bgr", f"WITH {TILE} SELECT image_id, count(*) AS n, sum(v)::BIGINT AS b, sum(v * (x + 1))::BIGINT AS g, sum(v * (y + 1))::BIGINT AS r FROM tile GROUP BY 1")
+def to_bgr(spark, sf_dir):
+    p = color.to_bgr(tables.gray_tile(spark, sf_dir))
+    return p.groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.col("b").cast("long")).alias("b"), F.sum(F.col("g").cast("long") * (F.col("x") + 1)).alias("g"), F.sum(F.col("r").cast("long") * (F.col("y") + 1)).alias("r"))
+
+
+@query("to_rgb", f"WITH {BGR} SELECT image_id, r, count(*) AS n, sum(g)::BIGINT AS g, sum(b)::BIGINT AS b FROM bgr GROUP BY ALL")
+def to_rgb(spark, sf_dir):
+    p = color.to_rgb(tables.bgr_orders(spark, sf_dir)).toDF("image_id", "y", "x", "first", "second", "third")
+    return p.groupBy("image_id", F.col("first").alias("r")).agg(F.count("*").alias("n"), F.sum(F.col("second").cast("long")).alias("g"), F.sum(F.col("third").cast("long")).alias("b"))
+
+
+@query(
+    "normalize_dtype",
+    f"""WITH {TILE}, d AS (SELECT image_id, y, x, CASE WHEN image_id % 3 = 0 THEN v / 256.0::DOUBLE WHEN image_id % 3 = 1 THEN v * 1.5::DOUBLE - 20 ELSE v * 0.5::DOUBLE - 10 END AS d FROM tile),
+m AS (SELECT *, min(d) OVER (PARTITION BY image_id) AS lo, max(d) OVER (PARTITION BY image_id) AS hi FROM d)
+SELECT image_id, {_CHECKSUM} FROM (SELECT image_id, y, x, greatest(0, least(255, trunc(CASE WHEN hi <= 1 THEN d * 255 WHEN hi > 255 THEN (d - lo) * 255 / (hi - lo) ELSE d END)))::INT AS v FROM m) GROUP BY image_id""",
+)
+def normalize_dtype(spark, sf_dir):
+    v, kind = F.col("v").cast("double"), F.col("image_id") % 3
+    d = tables.gray_tile(spark, sf_dir).select("image_id", "y", "x", F.when(kind == 0, v / 256).when(kind == 1, v * 1.5 - 20).otherwise(v * 0.5 - 10).alias("v"))
+    return _checksum(color.normalize_dtype(d))
 
 
 @query("quantize_levels", f"WITH {TILE} SELECT v // 32 AS q, count(*) AS n FROM tile GROUP BY 1")
@@ -313,14 +342,34 @@ SELECT image_id, round(sum(CASE WHEN f < 0.1 THEN p ELSE 0 END) / sum(p), 6) AS
 )
 def fft_features(spark, sf_dir):
     f = spectral.fft_features(by_image(tables.gray_tile(spark, sf_dir)))
-    f = f.withColumnsRenamed({"band_1_0p00_0p10": "band_1", "band_2_0p10_0p30": "band_2", "band_3_0p30_0p50": "band_3"})
+    f = f.withColumnsRenamed({"band_1_0.00_0.10": "band_1", "band_2_0.10_0.30": "band_2", "band_3_0.30_0.50": "band_3"})
     cols = ["band_1", "band_2", "band_3", "spectral_centroid", "spectral_std", "horizontal_energy", "vertical_energy", "spectral_entropy"]
     return f.select("image_id", *((F.round(c, 6) + 0.0).alias(c) for c in cols), F.round("high_low_ratio", 4).alias("high_low_ratio"))
 
 
+def _entropy_sql(inside: str) -> str:
+    n, t = f"count(*) FILTER ({inside})", f"coalesce(sum(mag) FILTER ({inside}), 0)"
+    return f"CASE WHEN {n} <= 1 OR {t} <= 0 THEN 0.0 ELSE round((log2({t}) - coalesce(sum(mag * log2(mag)) FILTER (({inside}) AND mag > 0), 0) / {t}) / log2({n}), 6) END"
+
+
+@query(
+    "fft_peaks_entropies",
+    f"""WITH {TILE}, {_DFT8}, e AS (SELECT *, least(abs(a - 90), 180 - abs(a - 90)) <= 10 AS ver, least(a, 180 - a) <= 10 AS hor, max(mag) OVER (PARTITION BY image_id) AS top FROM mp),
+nb AS (SELECT p.image_id, p.ky, p.kx, max(q.mag) AS m FROM mp p JOIN mp q ON q.image_id = p.image_id AND abs(q.ky - p.ky) <= 1 AND abs(q.kx - p.kx) <= 1 GROUP BY ALL),
+k AS (SELECT e.*, mag = m AND mag > top * 0.1 AS peak FROM e JOIN nb USING (image_id, ky, kx))
+SELECT image_id, count(*) FILTER (peak) AS num_peaks, round(coalesce(max(mag) FILTER (peak), 0), 6) AS max_peak_amp, {_entropy_sql("hor")} AS horizontal_entropy, {_entropy_sql("ver")} AS vertical_entropy,
+  {_entropy_sql("f < 0.1")} AS low_entropy, {_entropy_sql("f >= 0.1 AND f < 0.3")} AS middle_entropy, {_entropy_sql("f >= 0.3")} AS high_entropy FROM k GROUP BY image_id""",
+)
+def fft_peaks_entropies(spark, sf_dir):
+    f = spectral.fft_features(by_image(tables.gray_tile(spark, sf_dir)))
+    bands = {"band_1_0.00_0.10_entropy": "low_entropy", "band_2_0.10_0.30_entropy": "middle_entropy", "band_3_0.30_0.50_entropy": "high_entropy"}
+    return _rounded(f.withColumnsRenamed(bands).select("image_id", "num_peaks", "max_peak_amp", "horizontal_entropy", "vertical_entropy", *bands.values()))
+
+
 @query("fft_all")
 def fft_all(spark, sf_dir):
-    return _rounded(spectral.fft_features(by_image(tables.gray_tile(spark, sf_dir))))
+    f = spectral.fft_features(by_image(tables.gray_tile(spark, sf_dir)))
+    return _rounded(f.toDF(*(c.replace(".", "p") for c in f.columns)))
 
 
 @query(
@@ -336,6 +385,20 @@ def swt_features(spark, sf_dir):
     return _rounded(f.select("image_id", "level", "band", "mean", "energy", "energy_ratio"))
 
 
+@query(
+    "swt_spread",
+    f"""WITH {TILE}, t AS (SELECT image_id, y, x, v / (CASE WHEN max(v) OVER (PARTITION BY image_id) > 1 THEN 255.0::DOUBLE ELSE 1 END) AS v FROM tile),
+q AS (SELECT a.image_id, a.v AS a, b.v AS b, c.v AS c, d.v AS d FROM t a JOIN t b ON b.image_id = a.image_id AND b.y = a.y AND b.x = (a.x + 1) % 8 JOIN t c ON c.image_id = a.image_id AND c.y = (a.y + 1) % 8 AND c.x = a.x JOIN t d ON d.image_id = a.image_id AND d.y = (a.y + 1) % 8 AND d.x = (a.x + 1) % 8),
+k AS (SELECT image_id, 'll' AS band, round((a + b + c + d) / 2, 9) AS c FROM q UNION ALL SELECT image_id, 'hl', round((a - b + c - d) / 2, 9) FROM q UNION ALL SELECT image_id, 'lh', round((a + b - c - d) / 2, 9) FROM q UNION ALL SELECT image_id, 'hh', round((a - b - c + d) / 2, 9) FROM q),
+m AS (SELECT *, min(c) OVER w AS lo, max(c) OVER w AS hi FROM k WINDOW w AS (PARTITION BY image_id, band)),
+h AS (SELECT image_id, band, CASE WHEN hi > lo THEN floor((c - lo) / (hi - lo) * 255) ELSE 0 END AS bin, count(*) AS n, sum(c) AS s, sum(c * c) AS q FROM m GROUP BY ALL)
+SELECT image_id, band, round(sqrt(greatest(sum(q) / sum(n) - power(sum(s) / sum(n), 2), 0)), 6) AS std, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) + 0.0 AS entropy FROM h GROUP BY ALL""",
+)
+def swt_spread(spark, sf_dir):
+    f = spectral.swt_features(by_image(tables.gray_tile(spark, sf_dir)))
+    return _rounded(f.select("image_id", "band", "std", "entropy"))
+
+
 _PLAIN8 = """rp AS (SELECT image_id, y, kx, sum(v * cos(2 * pi() * kx * x / 8)) AS re, -sum(v * sin(2 * pi() * kx * x / 8)) AS im FROM tile, unnest(range(0, 8)) AS r(kx) GROUP BY ALL),
 cp AS (SELECT image_id, ky, kx, sum(re * cos(2 * pi() * ky * y / 8) + im * sin(2 * pi() * ky * y / 8)) AS re, sum(im * cos(2 * pi() * ky * y / 8) - re * sin(2 * pi() * ky * y / 8)) AS im FROM rp, unnest(range(0, 8)) AS r(ky) GROUP BY ALL)"""
 _STRETCH = "st AS (SELECT image_id, y, x, CASE WHEN max(v) OVER w > min(v) OVER w THEN floor((v - min(v) OVER w) * 255.0::DOUBLE / (max(v) OVER w - min(v) OVER w))::INT ELSE 0 END AS v FROM raw WINDOW w AS (PARTITION BY image_id))"
@@ -357,6 +420,17 @@ def lowpass(spark, sf_dir):
     return _checksum(spectral.ideal_filter(by_image(tables.gray_tile(spark, sf_dir)), "lowpass", 2))
 
 
+@query(
+    "highpass",
+    f"""WITH {TILE}, {_PLAIN8}, kp AS (SELECT * FROM cp WHERE power(least(ky, 8 - ky), 2) + power(least(kx, 8 - kx), 2) > 4),
+rb AS (SELECT image_id, ky, x, sum(re * cos(2 * pi() * kx * x / 8) - im * sin(2 * pi() * kx * x / 8)) AS re, sum(re * sin(2 * pi() * kx * x / 8) + im * cos(2 * pi() * kx * x / 8)) AS im FROM kp, unnest(range(0, 8)) AS r(x) GROUP BY ALL),
+cb AS (SELECT image_id, y, x, sum(re * cos(2 * pi() * ky * y / 8) - im * sin(2 * pi() * ky * y / 8)) AS re, sum(re * sin(2 * pi() * ky * y / 8) + im * cos(2 * pi() * ky * y / 8)) AS im FROM rb, unnest(range(0, 8)) AS r(y) GROUP BY ALL),
+raw AS (SELECT image_id, y, x, round(sqrt(re * re + im * im) / 64, 6) AS v FROM cb), {_STRETCH} SELECT image_id, {_CHECKSUM} FROM st GROUP BY image_id""",
+)
+def highpass(spark, sf_dir):
+    return _checksum(spectral.ideal_filter(by_image(tables.gray_tile(spark, sf_dir)), "highpass", 2))
+
+
 # Geometry
 
 
@@ -365,6 +439,11 @@ def resize_area(spark, sf_dir):
     return _checksum(geometry.resize(by_image(tables.gray_tile(spark, sf_dir)), 4, 4, preserve_aspect_ratio=False))
 
 
+@query("fit_within", f"WITH {TILE} SELECT image_id, {_CHECKSUM} FROM (SELECT image_id, y // 2 AS y, x // 2 AS x, floor(sum(v) / 4.0 + 0.5)::INT AS v FROM tile GROUP BY ALL) GROUP BY image_id")
+def fit_within(spark, sf_dir):
+    return _checksum(geometry.fit_within(by_image(tables.gray_tile(spark, sf_dir)), 6, 4))
+
+
 @query(
     "resize_linear",
     f"""WITH {TILE}, d AS (SELECT t AS d, greatest(0.0, least(7.0, (t + 0.5) * 0.5 - 0.5))::DOUBLE AS s FROM unnest(range(0, 16)) AS r(t)), w AS (SELECT d, i, greatest(0.0, 1 - abs(s - i)) AS w FROM d, unnest(range(0, 8)) AS r(i))

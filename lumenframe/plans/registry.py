@@ -98,11 +98,11 @@ extractor("circle_counter")(lambda g, **k: regions.circle_counter(by_image(g), *
 
 
 @extractor("glcm")
-def glcm(gray: DataFrame, distances=(1, 2, 3), angles=(0, 45, 90, 135), levels: int = 256, properties=("contrast", "dissimilarity", "homogeneity", "energy", "correlation", "asm")) -> DataFrame:
+def glcm(gray: DataFrame, distances=(1, 2, 3), angles=(0, 45, 90, 135), levels: int = 256, properties=("contrast", "dissimilarity", "homogeneity", "energy", "correlation", "ASM")) -> DataFrame:
     """image_id and {property}_{distance}_{angle}."""
     rows = texture.glcm(by_image(gray), distances, angles, levels)
     names = [f"{p}_{d}_{a}" for p in properties for d, a, _, _ in texture.glcm_offsets(distances, angles)]
-    cells = F.explode(F.array(*(F.struct(F.concat_ws("_", F.lit(p), "d", "angle").alias("n"), F.col(p).alias("v")) for p in properties)))
+    cells = F.explode(F.array(*(F.struct(F.concat_ws("_", F.lit(p), "d", "angle").alias("n"), F.col(p.lower()).alias("v")) for p in properties)))
     long = rows.select("image_id", cells.alias("c")).select("image_id", F.col("c.n").alias("__n"), F.col("c.v").alias("__v"))
     return long.groupBy("image_id").pivot("__n", names).agg(F.first("__v"))
 

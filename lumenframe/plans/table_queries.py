@@ -55,7 +55,7 @@ def canny(spark, sf_dir):
 
 @query("circle_features")
 def circle_features(spark, sf_dir):
-    return _rounded(regions.circle_counter(by_image(tables.gray_mosaic(spark, sf_dir)), min_radius=5, param2=60))
+    return _rounded(regions.circle_counter(by_image(tables.gray_mosaic(spark, sf_dir)), min_radius=5))
 
 
 # Feature tables
@@ -100,11 +100,21 @@ def capture_ids(spark, sf_dir):
     return names.capture_names(f, interval=3).select("camera", "prefix", "event_id", "n", "id", "name")
 
 
-@query("class_from_name", "SELECT vec_id, label::VARCHAR AS a, 'x' AS b, '' AS c FROM embeddings")
+@query(
+    "class_from_name",
+    """WITH n AS (SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 'x' || vec_id || '_' || label || '_a' WHEN 1 THEN label || '-b_' || vec_id WHEN 2 THEN '_' || label ELSE 'v' || vec_id END AS s FROM embeddings),
+p AS (SELECT vec_id, string_split(s, '_') AS p FROM n) SELECT vec_id, coalesce(p[2], '') AS a, p[len(p)] AS b, coalesce(p[3], '') AS c FROM p""",
+)
 def class_from_name(spark, sf_dir):
-    n = tables.table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("in/s_"), "label", F.lit("_x.tar.png")).alias("n"))
-    n = n.withColumn("n", F.regexp_replace("n", "\\.tar", ""))
-    return n.select("vec_id", names.class_from_name(F.col("n"), "_", 1).alias("a"), names.class_from_name(F.col("n"), "_", -1).alias("b"), names.class_from_name(F.col("n"), "_", 5).alias("c"))
+    k, v, label = F.col("vec_id") % 4, F.col("vec_id").cast("string"), F.col("label").cast("string")
+    stem = F.when(k == 0, F.concat(F.lit("x"), v, F.lit("_"), label, F.lit("_a"))).when(k == 1, F.concat(label, F.lit("-b_"), v)).when(k == 2, F.concat(F.lit("_"), label)).otherwise(F.concat(F.lit("v"), v))
+    n = tables.table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("in/s_1/"), stem, F.when(k == 1, ".JPG").otherwise(".png")).alias("n"))
+    return n.select("vec_id", names.class_from_name(F.col("n"), "_", 1).alias("a"), names.class_from_name(F.col("n"), "_", -1).alias("b"), names.class_from_name(F.col("n"), "_", 2).alias("c"))
+
+
+@query("time_stamps", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS stamp FROM events")
+def time_stamps(spark, sf_dir):
+    return tables.frames(spark, sf_dir).select("event_id", names.stamp("ts").alias("stamp"))
 
 
 _FILES = "fl AS (SELECT DISTINCT 'base/' || strftime(ts, '%Y-%m-%d') || '/' || event_type || '/u' || (user_id % 50) || '.png' AS path, event_type AS type, 'u' || (user_id % 50) AS s FROM events)"
@@ -272,6 +282,13 @@ def quality_report(spark, sf_dir):
     return found.unionByName(quality.too_small(tile, "fft")).unionByName(quality.eight_bit(tile, "clahe"))
 
 
+@query("image_checks", "SELECT vec_id AS image_id, 'clahe' AS operator, '[clahe] image is empty' AS message FROM embeddings WHERE vec_id % 7 = 3 UNION ALL SELECT vec_id, 'resize', '[resize] channels must be one of [1, 3, 4]' FROM embeddings WHERE vec_id % 5 NOT IN (1, 3, 4)")
+def image_checks(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), (F.col("vec_id") % 5).cast("int").alias("n_channels"))
+    found = quality.empty(e, tables.gray_tile(spark, sf_dir).where("image_id % 7 <> 3"), "clahe")
+    return found.unionByName(quality.channels(e, "resize"))
+
+
 @query("run_summary", f"WITH {TILE}, b AS (SELECT image_id, count(DISTINCT v) > 45 AS bad FROM tile GROUP BY image_id) SELECT status, sum(n)::BIGINT AS n FROM (SELECT unnest(CASE WHEN bad THEN ['failed', 'skipped_due_to_earlier_failure'] ELSE ['ok', 'ok'] END) AS status, 1 AS n FROM b) GROUP BY status")
 def run_summary(spark, sf_dir):
     tile = tables.gray_tile(spark, sf_dir)

@@ -19,30 +19,44 @@ def gray_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("image_id", F.expr("CAST(i DIV 8 AS INT)").alias("y"), F.expr("i % 8").alias("x"), _value(F.col("e")).alias("v"), "class")
 
 
+def _filled(df: DataFrame, cells: int, values: list[str]) -> DataFrame:
+    """image_id, i and values with a row for every i below cells of every image: what is missing is 0."""
+    whole = df.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("i"))
+    return whole.join(df, ["image_id", "i"], "left").select("image_id", "i", *(F.coalesce(c, F.lit(0)).alias(c) for c in values))
+
+
 def gray_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image_id, y, x, v: 64 embeddings are the rows of a 64x64 image; complete images only."""
-    e = table(spark, sf_dir, "embeddings").withColumn("image_id", F.expr("vec_id DIV 64"))
-    whole = e.groupBy("image_id").count().where("count = 64").select("image_id")
-    e = e.join(whole, "image_id", "left_semi").select("image_id", F.expr("CAST(vec_id % 64 AS INT)").alias("y"), F.posexplode("embedding").alias("x", "e"))
-    return e.select("image_id", "y", "x", _value(F.col("e")).alias("v"))
+    """image_id, y, x, v: 64 embeddings are the rows of a 64x64 image; rows that are missing are 0."""
+    e = table(spark, sf_dir, "embeddings").select(F.expr("vec_id DIV 64").alias("image_id"), F.expr("CAST(vec_id % 64 AS INT)").alias("y"), F.posexplode("embedding").alias("x", "e"))
+    full = _filled(e.select("image_id", (F.col("y") * 64 + F.col("x")).alias("i"), _value(F.col("e")).alias("v")), 4096, ["v"])
+    return full.select("image_id", F.expr("CAST(i DIV 64 AS INT)").alias("y"), F.expr("i % 64").alias("x"), "v")
 
 
 def bgr_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image_id, y, x, b, g, r: orders as 32x32 colour images; complete images only."""
+    """image_id, y, x, b, g, r: orders as 32x32 colour images; orders that are missing are black."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.floor("o_totalprice").alias("p"))
     o = o.withColumn("image_id", F.expr("o_orderkey DIV 1024")).withColumn("i", F.expr("CAST(o_orderkey % 1024 AS INT)"))
-    whole = o.groupBy("image_id").count().where("count = 1024").select("image_id")
-    o = o.join(whole, "image_id", "left_semi")
-    return o.select("image_id", F.expr("CAST(i DIV 32 AS INT)").alias("y"), F.expr("i % 32").alias("x"), *(F.expr(e).cast("int").alias(n) for e, n in (("o_custkey % 256", "b"), ("(p DIV 256) % 256", "g"), ("p % 256", "r"))))
+    o = o.select("image_id", "i", *(F.expr(e).cast("int").alias(n) for e, n in (("o_custkey % 256", "b"), ("(p DIV 256) % 256", "g"), ("p % 256", "r"))))
+    return _filled(o, 1024, ["b", "g", "r"]).select("image_id", F.expr("CAST(i DIV 32 AS INT)").alias("y"), F.expr("i % 32").alias("x"), "b", "g", "r")
 
 
 def gray_docs(spark: SparkSession, sf_dir: str, width: int = 64) -> DataFrame:
-    """image_id, y, x, v: the UTF-8 bytes of each document as rows of 64 pixels; complete rows only."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.encode("text", "UTF-8").alias("t"))
-    rows = F.sequence(F.lit(0), F.expr(f"CAST(length(t) DIV {width} AS INT)") - 1)
-    d = d.where(F.length("t") >= width).select("image_id", F.posexplode(F.transform(rows, lambda y: F.hex(F.substring("t", y * width + 1, F.lit(width))))).alias("y", "row"))
-    d = d.select("image_id", "y", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda x: F.conv(F.substring("row", x * 2 + 1, F.lit(2)), 16, 10).cast("int"))).alias("x", "v"))
-    return d
+    """image_id, y, x, v: the UTF-8 bytes of each document as rows of 64 pixels; the last row may be shorter. Rows are cut
+    off the bytes first, then pixels off the rows (one character a byte in Latin-1)."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.encode("text", "UTF-8").alias("t")).where(F.length("t") > 0)
+    rows = F.sequence(F.lit(0), F.expr(f"CAST((length(t) - 1) DIV {width} AS INT)"))
+    cut = F.transform(rows, lambda y: F.decode(F.substring("t", y * width + 1, F.lit(width)), "ISO-8859-1"))
+    d = d.select("image_id", F.posexplode_outer(cut).alias("y", "row"))
+    return d.select("image_id", "y", F.posexplode_outer(F.split("row", "")).alias("x", "c")).select("image_id", "y", "x", F.ascii("c").alias("v"))
+
+
+def byte_counts(docs: DataFrame) -> DataFrame:
+    """v, n: how often each byte occurs in all texts of the column text. Each text's characters are counted in place, as
+    64 KB pieces of Latin-1, so that counts and not bytes are shuffled."""
+    t = docs.select(F.encode("text", "UTF-8").alias("t")).where(F.length("t") > 0)
+    rows = F.sequence(F.lit(0), F.expr("CAST((length(t) - 1) DIV 65536 AS INT)"))
+    piece = t.select(F.explode_outer(F.transform(rows, lambda y: F.decode(F.substring("t", y * 65536 + 1, F.lit(65536)), "ISO-8859-1"))).alias("s"))
+    return piece.select(F.explode_outer(F.split("s", "")).alias("c")).groupBy("c").agg(F.count("*").alias("n")).select(F.ascii("c").alias("v"), "n")
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 _GPU = "gpu_clock_mhz INT, gpu_vram_used_mb INT, gpu_temperature_c INT"
 CLASSIFICATION = f"class_id INT, class_name STRING, confidence DOUBLE, probabilities ARRAY<DOUBLE>, e2e_time_ms DOUBLE, backend STRING, phase_times_ms MAP<STRING, DOUBLE>, {_GPU}"
@@ -13,7 +13,7 @@ PHASES = ("api_base64_decode_ms", "api_image_decode_ms", "pipeline_preprocess_ms
 
 def _parsed(responses: DataFrame, schema: str, good: Column) -> tuple[DataFrame, DataFrame]:
     rest = [c for c in responses.columns if c != "body"]
-    df = responses.withColumn("r", F.from_json("body", schema))
+    df = responses.select("*", F.explode(F.array(F.from_json("body", schema))).alias("r"))  # the generator keeps one parse
     ok = F.coalesce(good, F.lit(False))
     return df.where(ok).select(*rest, "r.*"), df.where(~ok).select(*rest, "body")
 
@@ -44,9 +44,12 @@ def phases(df: DataFrame) -> DataFrame:
 
 def frame_rows(parsed: DataFrame, start: Column | None = None) -> DataFrame:
     """Adds num_detections and elapsed_s, seconds since the recording's (or the table's camera's) first frame."""
-    first = start if start is not None else F.min("ts").over(Window.partitionBy("camera"))
+    if start is None:  # a row a camera: Spark broadcasts it while it is small
+        least = parsed.groupBy("camera").agg(F.min("ts").alias("__first"))
+        parsed = parsed.join(least, parsed["camera"].eqNullSafe(least["camera"])).drop(least["camera"])
+    first = start if start is not None else F.col("__first")
     s = F.round(F.unix_micros("ts") / 1e6 - F.unix_micros(first) / 1e6, 3)
-    return parsed.withColumn("num_detections", F.size("detections")).withColumn("elapsed_s", s)
+    return parsed.withColumn("num_detections", F.size("detections")).withColumn("elapsed_s", s).drop("__first")
 
 
 def valid_boxes(b: DataFrame, width: Column | int, height: Column | int, scale: float = 1.0) -> DataFrame:

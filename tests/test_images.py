@@ -72,7 +72,7 @@ def test_hlac_of_white(spark):
 def test_fft_of_stripes(spark):
     r = spectral.fft_features(image(spark, STRIPES, 64)).first()
     assert abs(r["horizontal_energy"] - 0.14) < 0.01 and abs(r["vertical_energy"] - 0.78) < 0.01 and 0.1 < r["spectral_centroid"] < 0.3
-    assert abs(r["band_1_0p00_0p10"] + r["band_2_0p10_0p30"] + r["band_3_0p30_0p50"] - 1) < 1e-9
+    assert abs(r["band_1_0.00_0.10"] + r["band_2_0.10_0.30"] + r["band_3_0.30_0.50"] - 1) < 1e-9
 
 
 def test_swt_of_stripes(spark):

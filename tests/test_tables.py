@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import names
 from lumenframe.operators import features
+from lumenframe.plans import pipeline
 from lumenframe.sources import files
 from lumenframe.streaming import inference, streams
 
@@ -140,3 +141,19 @@ def test_throttle_walks_in_batches(spark):
             until[c] = t + max(3, int(i % 5 / 1000.0 * 1000))
     assert got == want
     assert "collect_list" not in out._jdf.queryExecution().toString()  # no array of a whole camera
+
+
+def test_units_of_features_with_parameters():
+    want = {("glcm", "contrast_1_0"): "intensity_squared", ("glcm", "ASM_2_45"): "ratio", ("swt", "L2_energy_ll"): "coefficient_squared", ("swt", "energy_ratio_h"): "ratio", ("swt", "L1_total_energy"): "coefficient_squared", ("swt", "std_hh"): "coefficient", ("fft", "band_1_0.00_0.10"): "ratio", ("fft", "band_1_0.00_0.10_entropy"): "normalized", ("fft", "num_peaks"): "count", ("hlac", "hlac_feature_07"): "correlation_coefficient", ("fft", "other"): "unknown", ("none", "mean"): "unknown"}
+    assert {k: features.unit_of(*k) for k in want} == want
+
+
+def test_wide_features_read_and_deal_images_once(spark):
+    gray = spark.range(3).selectExpr("id AS image_id", "explode(sequence(0, 63)) AS i").selectExpr("image_id", "CAST(i DIV 8 AS INT) AS y", "CAST(i % 8 AS INT) AS x", "CAST((i * 37 + image_id * 11) % 256 AS INT) AS v")
+    meta = spark.range(3).selectExpr("id AS image_id", "concat('f', id) AS filename")
+    wide = pipeline.extract(gray, meta, ["brightness", "lbp", "fft", "glcm", "swt"])
+    assert "fft_band_1_0.00_0.10_entropy[normalized]" in wide.columns and not [c for c in wide.columns if c.endswith("[unknown]")]
+    assert wide.count() == 3
+    wide.collect()
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InMemoryRelation") >= 5  # every extractor reads the kept images, which are dealt by image_id already
