@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lumenframe.llm._shared import written
+from lumenframe.llm._shared import discard, written
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -23,5 +23,6 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(small.union(least).distinct(), name)
+        before, now = now, written(small.union(least).distinct(), name)
+        discard(before)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())

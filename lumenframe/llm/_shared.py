@@ -23,7 +23,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table behind what written() returned, once nothing will read it again: a round whose next one is there."""
+    spark, path = df.sparkSession, df._written
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,8 +1,8 @@
 """License scans: canonical digest lookup. Case, punctuation, copyright lines and equivalent spellings are normalised, and
 the digests of entire texts are hash-joined with those of known licences.
 
-Entire texts are whole documents and the single lines of a document that speak of a licence. The known table has a few
-dozen rows, so the join needs no shuffle. Only DataFrame functions are used.
+Entire texts are whole documents, their paragraphs of several lines, and their single lines, of the latter two those that
+speak of a licence. The known table has a few hundred rows, so the join needs no shuffle. Only DataFrame functions are used.
 
 Cases: a null or empty text, and one that normalises to nothing, matches nothing; rows with equal doc_id count together; a
 null doc_id is kept as one document; very long texts are taken whole; extra columns are not read; an empty table gives an
@@ -11,6 +11,8 @@ empty result.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Known licences: identifier and entire text, or the notice that applies it (fixed values).
@@ -28,6 +30,10 @@ KNOWN = [
     ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
@@ -70,9 +76,9 @@ SPELLINGS = [
 #: Words of which every known text has one (fixed values).
 CLUE = "(?i)licen[cs]e|permission|public domain|wtfpl|spdx"
 #: A line that only states whose the text is (fixed values).
-COPYRIGHT = r"^\s*(?:copyright|©|\(c\)|all rights reserved)"
+COPYRIGHT = r"^[\s#*/;%-]*(?:copyright|©|\(c\)|all rights reserved)"
 #: The same for canonical(): running text that a line break puts first ("copyright notice", a list's "(c) you must") stays.
-STATEMENT = r"^\s*(?:copyright(?!\s+(?:notices?|holders?|owners?|laws?|licen[cs]es?|statements?|interests?|rights?|treaty|permission|disclaimers?|status|on|in|and|or|is|as|to|for|resulting|claimed)\b)|©|\(c\)(?!\s*(?:you|if|the|a|an|to|in|on|for|from|of|this|that|any|all|with|it|do|does|no|use|under|convey|accompany|each|every|must)\b)|all rights reserved)"
+STATEMENT = r"^[\s#*/;%-]*(?:copyright(?!\s+(?:notices?|holders?|owners?|laws?|licen[cs]es?|statements?|interests?|rights?|treaty|permission|disclaimers?|status|on|in|and|or|is|as|to|for|resulting|claimed)\b)|©|\(c\)(?!\s*(?:you|if|the|a|an|to|in|on|for|from|of|this|that|any|all|with|it|do|does|no|use|under|convey|accompany|each|every|must)\b)|all rights reserved)"
 #: CLUE, with what the canonical form joins or splits, and the word of the BSD texts.
 HINT = r"(?i)licen[cs]e|permission|public[^\p{L}\p{N}]+domain|wtfpl|spdx|redistribution"
 #: Title lines that stand before the full texts of KNOWN.
@@ -155,10 +161,20 @@ FULL = [
 ]
 
 
+#: What may follow a statement of ownership on its line and is kept.
+NOTICE = r"[.;,]\s+([^.;]*(?:licen[cs]|spdx|permission|public domain)[\s\S]*)$"
+#: Between paragraphs.
+BLANK = r"\n[ \t\r\n]*\n"
+#: Two lines with something on them.
+LINES = r"[^ \t\r\n][^\n]*\n[ \t\r\n]*[^ \t\r\n]"
+MOST_BROADCAST = 100_000
+
+
 def canonical(line: Column) -> Column:
-    """Lower case, words only, one space between them, one spelling. A copyright line becomes empty."""
+    """Lower case, words only, one space between them, one spelling. Of a line that states whose the text is, only a notice
+    behind that is kept."""
     out = F.lower(line)
-    out = F.when(out.rlike(STATEMENT), F.lit("")).otherwise(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+    out = F.regexp_replace(F.when(out.rlike(STATEMENT), F.regexp_extract(out, NOTICE, 1)).otherwise(out), r"[^\p{L}\p{N}]+", " ")
     for a, b in SPELLINGS:
         out = F.regexp_replace(out, rf"\b{a}\b", b)
     return F.trim(out)
@@ -166,7 +182,7 @@ def canonical(line: Column) -> Column:
 
 def known(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """license, digest of each known text, once each."""
-    titled = [(name, f"{title} {text}") for name, text in KNOWN if len(text) > 400 for title in TITLES[name]]
+    titled = [(name, f"{title} {text}") for name, text in KNOWN if len(text) > 400 for title in TITLES.get(name, [])]
     rows = spark.createDataFrame(texts or KNOWN + titled, "license string, text string")
     rows = rows.select("license", F.sha2(canonical(F.col("text")), 256).alias("digest"))
     return (rows if texts else rows.union(spark.createDataFrame(FULL, "license string, digest string"))).distinct()
@@ -174,12 +190,17 @@ def known(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> Da
 
 def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """docs: doc_id, text; texts: other known licences than KNOWN and FULL, each with a word of HINT. Returns doc_id, license,
-    scope (`document` or `line`), n_matches."""
+    scope (`document`, `paragraph` or `line`), n_matches."""
+    if without := [name for name, text in texts or [] if not re.search(HINT.replace(r"\p{L}\p{N}", r"\w"), text)]:
+        raise ValueError(f"texts without a word that lines are looked at for: {without}")
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(HINT))
-    lines = F.split("text", "\n")
-    whole = F.trim(F.array_join(F.filter(F.transform(lines, canonical), lambda x: x != ""), " "))
-    single = F.transform(F.filter(lines, lambda x: x.rlike(HINT)), canonical)
-    units = F.concat(F.array(F.struct(F.lit("document").alias("scope"), whole.alias("t"))), F.transform(single, lambda x: F.struct(F.lit("line").alias("scope"), x.alias("t"))))
+    joined = lambda text: F.trim(F.array_join(F.filter(F.transform(F.split(text, "\n"), canonical), lambda x: x != ""), " "))
+    single = F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(HINT)), canonical)
+    parts = F.transform(F.filter(F.split("text", BLANK), lambda x: x.rlike(LINES) & x.rlike(HINT)), joined)
+    unit = lambda scope: lambda x: F.struct(F.lit(scope).alias("scope"), x.alias("t"))
+    units = F.concat(F.array(unit("document")(joined(F.col("text")))), F.when(F.col("text").rlike(BLANK), F.transform(parts, unit("paragraph"))).otherwise(F.array().cast("array<struct<scope: string, t: string>>")), F.transform(single, unit("line")))
     found = some.select("doc_id", F.explode_outer(units).alias("u")).where(F.col("u.t") != "")
-    found = found.select("doc_id", "u.scope", F.sha2("u.t", 256).alias("digest")).join(F.broadcast(known(docs.sparkSession, texts)), "digest")
+    table = known(docs.sparkSession, texts)
+    table = F.broadcast(table) if len(texts or []) <= MOST_BROADCAST else table
+    found = found.select("doc_id", "u.scope", F.sha2("u.t", 256).alias("digest")).join(table, "digest")
     return found.groupBy("doc_id", "license", "scope").agg(F.count("*").alias("n_matches"))

@@ -29,7 +29,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lumenframe.llm._shared import written
+from lumenframe.llm._shared import discard, written
 
 #: What is detected (fixed values). Titles by gender, words between the words of a name, labels and prefixes of secrets.
 _MALE = "Mr|Herr|Monsieur|Señor|Sr|Don|Г-н|Κύριος"
@@ -275,8 +275,9 @@ def exceptions(mentions: DataFrame, key: str) -> DataFrame:
         good = written(good, "pii-drawn")
         some = good.where("code <> 0").select("form", "code")
         out = some if out is None else out.union(some)
-        left = waiting.join(good.select("form"), "form", "left_anti")
-        waiting = written(left, "pii-left")
+        before, waiting = waiting, written(waiting.join(good.select("form"), "form", "left_anti"), "pii-left")
+        if draw:
+            discard(before)
         n = waiting.count()
         if not n:
             return out

@@ -87,10 +87,12 @@ twice{k} AS (SELECT doc_id, s FROM win{k} GROUP BY ALL HAVING count(*) > 1),
 n{k} AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM win{k} JOIN twice{k} USING (doc_id, s), unnest(range(0, {k})) AS r(j) GROUP BY doc_id)"""
 
 def _canonical_sql(x: str) -> str:
-    out = f"regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
+    out = f"lower({x})"
+    out = f"CASE WHEN regexp_matches({out}, '{license_scan.COPYRIGHT}') THEN regexp_extract({out}, '{license_scan.NOTICE}', 1) ELSE {out} END"
+    out = f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
     for a, b in license_scan.SPELLINGS:
         out = f"regexp_replace({out}, '\\b{a}\\b', '{b}', 'g')"
-    return f"trim(CASE WHEN regexp_matches(lower({x}), '{license_scan.COPYRIGHT}') THEN '' ELSE {out} END)"
+    return f"trim({out})"
 
 
 _SQL_MARK = r"\x01"
@@ -99,9 +101,14 @@ _quoted = lambda x: "'" + x.replace("'", "''") + "'"
 SQL: dict[str, str] = {
     "op2_license_digests": rf"""
 WITH known AS (SELECT DISTINCT license, sha256({_canonical_sql("text")}) AS digest FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in license_scan.KNOWN)}) AS k(license, text)),
-line AS (SELECT doc_id, i, l FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE regexp_matches(text, '{license_scan.CLUE}')), unnest(x) WITH ORDINALITY AS r(l, i)),
+picked AS (SELECT row_number() OVER () AS n, doc_id, text FROM documents WHERE regexp_matches(text, '{license_scan.CLUE}')),
+line AS (SELECT n, doc_id, 0 AS k, i, l FROM (SELECT n, doc_id, string_split(text, chr(10)) AS x FROM picked), unnest(x) WITH ORDINALITY AS r(l, i)),
+para AS (SELECT n, doc_id, k, p FROM (SELECT n, doc_id, regexp_split_to_array(text, '{license_scan.BLANK}') AS x FROM picked WHERE regexp_matches(text, '{license_scan.BLANK}')), unnest(x) WITH ORDINALITY AS r(p, k)
+         WHERE regexp_matches(p, '{license_scan.LINES}') AND regexp_matches(p, '{license_scan.CLUE}')),
+pline AS (SELECT n, doc_id, k, i, l FROM (SELECT n, doc_id, k, string_split(p, chr(10)) AS x FROM para), unnest(x) WITH ORDINALITY AS r(l, i)),
+whole AS (SELECT 'document' AS scope, n, doc_id, k, i, {_canonical_sql("l")} AS t FROM line UNION ALL SELECT 'paragraph', n, doc_id, k, i, {_canonical_sql("l")} FROM pline),
 unit AS (SELECT doc_id, 'line' AS scope, {_canonical_sql("l")} AS t FROM line WHERE regexp_matches(l, '{license_scan.CLUE}')
-         UNION ALL SELECT doc_id, 'document', string_agg(t, ' ' ORDER BY i) FROM (SELECT doc_id, i, {_canonical_sql("l")} AS t FROM line) WHERE t <> '' GROUP BY doc_id)
+         UNION ALL SELECT doc_id, scope, string_agg(t, ' ' ORDER BY i) FROM whole WHERE t <> '' GROUP BY scope, n, doc_id, k)
 SELECT doc_id, license, scope, count(*) AS n_matches FROM unit JOIN known ON sha256(t) = digest WHERE t <> '' GROUP BY ALL""",
     "op1_suffix_repetition": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),

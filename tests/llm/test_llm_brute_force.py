@@ -274,6 +274,15 @@ def test_license_scan(spark, none):
     assert all(re.search(license_scan.CLUE, t) for _, t in license_scan.KNOWN)
 
 
+def test_license_notices_inside_documents(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    rows = [(1, "Copyright 2020 J. Smith. Released under the MIT License."), (2, "Copyright (c) 2020 J. Smith"), (3, f"code here\n\n# Copyright 2021 X\n# {gpl.replace(chr(10), chr(10) + '# ')}\n \nmore code\nlast"), (4, "A licence\n\n" + "word " * 50_000)]
+    got = {tuple(r) for r in license_scan.scan(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, scope int")).collect()}
+    assert got == {(1, "MIT", "document", 1), (1, "MIT", "line", 1), (3, "GPL-3.0", "paragraph", 1)}
+    with pytest.raises(ValueError):
+        license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), [("X", "nothing to look for")])
+
+
 def test_license_files(spark):
     full = {x: t for x, t in license_scan.KNOWN if len(t) > 400}
     mit = f"MIT License\n\nCopyright (c) 2020 Someone\n\n{full['MIT']}"
