@@ -184,14 +184,16 @@ class PieceEncoder:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
+        self.code = "H" if self.size <= 1 << 16 else "I"  # ids are kept in two bytes if they fit
+        self.wide = array.array(self.code).itemsize
         feed = self.feed_bytes = self._library("\n")
-        self.feed = int.from_bytes(feed, "little") if len(feed) == 4 else None
+        self.feed = int.from_bytes(feed, "little") if len(feed) == self.wide else None
         self.after: dict[str, bytes | None] = {}  # the ids of " " + key; None: the cut behind it isn't safe
         self.atoms: dict[str, bytes] = {}
         self.old: tuple[dict, dict] = ({}, {})
 
     def _library(self, text: str) -> bytes:
-        return array.array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+        return array.array(self.code, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     @staticmethod
     def _split(piece: str) -> list[str] | None:
@@ -212,11 +214,11 @@ class PieceEncoder:
     def _word(self, word: str) -> bytes:
         """The ids of letters, with or without a space before them."""
         name = word.replace(" ", "\u0120") if word.isascii() else word.encode().decode("latin-1").translate(_NAMES)
-        return array.array("I", [x.id for x in self.model.tokenize(name)]).tobytes()
+        return array.array(self.code, [x.id for x in self.model.tokenize(name)]).tobytes()
 
     def _learn_words(self, pieces: list[str]) -> list[str]:
         """Adds the pieces (each after a space) that are letters, or letters and punctuation, to those kept; returns the rest."""
-        after, ask, rest, tails = self.after, self.model.tokenize, [], {}
+        after, ask, code, rest, tails = self.after, self.model.tokenize, self.code, [], {}
         for p in pieces:
             stem = p if p.isalpha() else p.rstrip(",.;:!?")
             if not stem.isalpha():
@@ -224,7 +226,7 @@ class PieceEncoder:
                 continue
             ids = after.get(stem)
             if ids is None:
-                ids = after[stem] = array.array("I", [x.id for x in ask("\u0120" + stem)]).tobytes() if stem.isascii() else self._word(f" {stem}")
+                ids = after[stem] = array.array(code, [x.id for x in ask("\u0120" + stem)]).tobytes() if stem.isascii() else self._word(f" {stem}")
             if stem is not p:
                 tail = p[len(stem) :]
                 if tail not in tails:
@@ -239,7 +241,7 @@ class PieceEncoder:
         again = [a for a in new if a in kept]
         self.atoms.update({a: kept[a] for a in again})
         new = list(new.difference(again))
-        self.atoms["\n"] = b"" if self.feed is None else self.feed.to_bytes(4, "little")
+        self.atoms["\n"] = b"" if self.feed is None else self.feed_bytes
         if self.feed is None or any("\n" in a for a in new):
             split = [None] * len(pieces)
         else:
@@ -249,15 +251,19 @@ class PieceEncoder:
             new = [a for a in new if a not in self.atoms]
             for i in range(0, len(new), 5000):
                 some = new[i : i + 5000]
-                ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+                ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, f"<u{self.wide}")
                 cut = [-1, *np.flatnonzero(ids == self.feed).tolist(), len(ids)]
-                raw = ids.tobytes()
-                self.atoms.update(zip(some, [raw[4 * a + 4 : 4 * b] for a, b in itertools.pairwise(cut)], strict=True))
+                raw, n = ids.tobytes(), self.wide
+                self.atoms.update(zip(some, [raw[n * a + n : n * b] for a, b in itertools.pairwise(cut)], strict=True))
         get = self.atoms.__getitem__
         return [self._library(p) if s is None else get(s[0]) if len(s) == 1 else b"".join(map(get, s)) for p, s in zip(pieces, split, strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        return [np.frombuffer(x, f"<u{self.wide}").astype("<u4").tobytes() for x in self.packed(texts)]
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian integers of `wide` bytes."""
         if len(self.atoms) > self.most or len(self.after) > 2 * self.most:
             self.old = (self.after, self.atoms)
             self.after, self.atoms = {}, {}
@@ -311,16 +317,17 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int | None, bounds: list[int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        kind = "<u2" if max(own.size, end_id or 0) <= 1 << 16 else "<u4"
+        if (end_id or 0) >> 8 * own.wide:
+            raise ValueError(f"an end id of {end_id} beside a vocabulary of {own.size}")
+        end = b"" if end_id is None else end_id.to_bytes(own.wide, "little")
         for batch in batches:
             doc_id = batch["doc_id"].fill_null(np.iinfo(np.int64).min).to_numpy()
-            ids = [np.frombuffer(x + end, "<u4").astype(kind).tobytes() for x in own.encode([x or "" for x in batch["text"].to_pylist()])]
+            ids = [x + end for x in own.packed([x or "" for x in batch["text"].to_pylist()])]
             low, part = np.searchsorted(edges, doc_id, "left"), np.searchsorted(edges, doc_id, "right")
             for k in np.flatnonzero(part > low):  # an id on bounds, maybe on many: its rows may go to either side
                 part[k] = low[k] + zlib.crc32(ids[k]) % (part[k] - low[k] + 1)
             part = pa.array(part, pa.int32())
-            yield pa.RecordBatch.from_pydict({"part": part, "doc_id": batch["doc_id"], "wide": pa.array([kind == "<u4"] * len(ids)), "ids": pa.array(ids, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"part": part, "doc_id": batch["doc_id"], "wide": pa.array([own.wide == 4] * len(ids)), "ids": pa.array(ids, pa.binary())})
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "part int, doc_id long, wide boolean, ids binary")
