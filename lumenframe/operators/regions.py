@@ -202,19 +202,30 @@ def circles(gray: DataFrame, min_radius: int = 5, max_radius: int = 0, min_dist_
         left = checkpointed(left.join(gone, ["image_id", "cx", "cy"], "left_anti").select(left.columns))
     if found is None:
         return vote.select("image_id", "cx", "cy", F.lit(0).alias("r"), "votes").where("false")
-    hit = found.join(edges.select("image_id", "y", "x", "most"), "image_id")
+    # edge pixels of a circle lie in its cell of the largest radius's size or in the eight around it
+    square = lambda c: F.floor(F.col(c) / F.col("most")).cast("int")
+    near = found.join(size.select("image_id", "most"), "image_id").select("image_id", "cx", "cy", "votes", square("cx").alias("a"), square("cy").alias("b"), nine.alias("o"))
+    near = near.select("image_id", "cx", "cy", "votes", (F.col("a") + F.col("o.i")).alias("gx"), (F.col("b") + F.col("o.j")).alias("gy"))
+    hit = near.join(edges.select("image_id", "y", "x", "most", square("x").alias("gx"), square("y").alias("gy")), ["image_id", "gx", "gy"])
     hit = hit.withColumn("r", F.round(F.sqrt(F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2))).cast("int")).where((F.col("r") >= min_radius) & (F.col("r") <= F.col("most")))
     hit = hit.groupBy("image_id", "cx", "cy", "votes", "r").agg(F.count("*").alias("n"))
     return hit.groupBy("image_id", "cx", "cy", "votes").agg(F.max_by("r", F.struct("n", "r")).alias("r")).select("image_id", "cx", "cy", "r", "votes")
 
 
+_CELL = 64  # pixels: edge pixels and circles meet in squares of this side
+
+
 def round_circles(found: DataFrame, gray: DataFrame, threshold: float = 0.7, param1: int = 50) -> DataFrame:
     """Those circles whose surroundings hold a contour of circularity 4 pi area / perimeter^2 of at least threshold."""
     margin = F.greatest(F.expr("r DIV 4"), F.lit(2))
     c = found.withColumn("m", margin).withColumn("circle", F.xxhash64("image_id", "cx", "cy", "r"))
     edges = canny(gray, param1 // 2, param1).where("v > 0").select("image_id", "y", "x")
     limit = F.col("r") + F.expr("m DIV 2")
-    near = c.join(edges, "image_id").where(F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2) <= limit * limit)
+    cell = lambda at: F.floor(at / _CELL).cast("int")
+    cells = lambda at: F.explode(F.sequence(cell(F.col(at) - limit), cell(F.col(at) + limit)))
+    placed = c.withColumn("gx", cells("cx")).withColumn("gy", cells("cy"))
+    edges = edges.withColumn("gx", cell(F.col("x"))).withColumn("gy", cell(F.col("y")))
+    near = placed.join(edges, ["image_id", "gx", "gy"]).where(F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2) <= limit * limit)
     near = near.select(F.col("circle").alias("image_id"), (F.col("y") - F.col("cy") + F.col("r") + F.col("m")).alias("y"), (F.col("x") - F.col("cx") + F.col("r") + F.col("m")).alias("x"))
     box = c.select(F.col("circle").alias("image_id"), F.explode(F.sequence(F.lit(0), (F.col("r") + F.col("m")) * 2)).alias("y"), ((F.col("r") + F.col("m")) * 2).alias("w")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w"))))
     crop = box.join(near.withColumn("e", F.lit(255)), ["image_id", "y", "x"], "left").select("image_id", "y", "x", F.coalesce("e", F.lit(0)).alias("v"))

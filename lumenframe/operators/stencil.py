@@ -40,19 +40,22 @@ def _square(r: int) -> list[tuple[int, int]]:
 
 
 def median_blur(gray: DataFrame, kernel_size: int = 5) -> DataFrame:
-    near = grid.neighbours(grid.sized(gray), _square(_odd(kernel_size) // 2), "replicate")
-    return near.groupBy("image_id", "y", "x").agg(F.percentile("v", 0.5).cast("int").alias("v"))
+    near = grid.patches(grid.sized(gray), _odd(kernel_size) // 2, "replicate")
+    u = F.sort_array(F.transform("p", lambda c: c["u"]))
+    near = near.select("image_id", "y", "x", u.alias("u"))
+    half = F.expr("CAST(size(u) DIV 2 AS INT)")
+    return near.select("image_id", "y", "x", F.when(F.size("u") % 2 == 1, F.get("u", half)).otherwise((F.get("u", half - 1) + F.get("u", half)) / 2).cast("int").alias("v"))
 
 
 def bilateral_filter(gray: DataFrame, d: int = 9, sigma_color: float = 75, sigma_space: float = 75) -> DataFrame:
     """Weights fall with distance (inside a disc of diameter d) and with the difference in value."""
     r = d // 2
-    disc = [o for o in _square(r) if o[0] ** 2 + o[1] ** 2 <= r * r]
-    near = grid.neighbours(grid.sized(gray), disc).withColumnRenamed("v", "u")
-    near = near.join(gray.select("image_id", "y", "x", "v"), ["image_id", "y", "x"])
-    space = F.element_at(F.array(*(F.lit(math.exp(-(a * a + b * b) / (2 * sigma_space**2))) for a, b in disc)), F.col("k") + 1)
-    w = space * F.exp(-F.pow(F.col("u") - F.col("v"), 2) / (2 * sigma_color**2))
-    return near.groupBy("image_id", "y", "x").agg(half_up(F.sum(w * F.col("u")) / F.sum(w)).alias("v"))
+    far = lambda c: c["dy"] * c["dy"] + c["dx"] * c["dx"]
+    weight = lambda c: F.exp(far(c) / (-2.0 * sigma_space**2) + F.pow(c["u"] - F.col("v"), 2) / (-2.0 * sigma_color**2))
+    weighted = F.transform(F.filter("p", lambda c: far(c) <= r * r), lambda c: F.struct(weight(c).alias("w"), c["u"].alias("u")))
+    near = grid.patches(grid.sized(gray), r).select("image_id", "y", "x", weighted.alias("p"))
+    sums = F.aggregate("p", F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("w")), lambda a, c: F.struct((a["n"] + c["w"] * c["u"]).alias("n"), (a["w"] + c["w"]).alias("w")))
+    return near.select("image_id", "y", "x", sums.alias("s")).select("image_id", "y", "x", half_up(F.col("s.n") / F.col("s.w")).alias("v"))
 
 
 def motion_kernel(k: int, angle: float) -> list[tuple[int, int]]:
