@@ -99,13 +99,15 @@ def neighbours(gray: DataFrame, offsets: list[tuple], border: str = "reflect") -
     return cropped(cropped(df, "x"), "y")
 
 
-def patches(gray: DataFrame, r: int, border: str = "reflect") -> DataFrame:
-    """gray with p: the pixels at most r rows and columns away, as an array of (dy, dx, u). Two window frames collect them, so
+def patches(gray: DataFrame, r: int, border: str | None = "reflect") -> DataFrame:
+    """gray with p: the pixels at most r rows and columns away, as an array of (dy, dx, u); without a border those inside the
+    image alone. Two window frames collect them, so
     that no row is made for a pair of pixels and nothing is joined. gray: with height and width."""
     across = Window.partitionBy("image_id", "y").orderBy("x").rangeBetween(-r, r)
     down = Window.partitionBy("image_id", "x").orderBy("y").rangeBetween(-r, r)
-    df = cropped(padded(gray, "x", r, border).withColumn("__row", F.collect_list(F.struct("x", "v")).over(across)), "x")
-    df = cropped(padded(df, "y", r, border).withColumn("__rows", F.collect_list(F.struct("y", "__row")).over(down)), "y")
+    more = (lambda df, axis: padded(df, axis, r, border)) if border else (lambda df, axis: df)
+    df = cropped(more(gray, "x").withColumn("__row", F.collect_list(F.struct("x", "v")).over(across)), "x")
+    df = cropped(more(df, "y").withColumn("__rows", F.collect_list(F.struct("y", "__row")).over(down)), "y")
     cell = lambda a: lambda b: F.struct((a["y"] - F.col("y")).alias("dy"), (b["x"] - F.col("x")).alias("dx"), b["v"].alias("u"))
     return df.withColumn("p", F.flatten(F.transform("__rows", lambda a: F.transform(a["__row"], cell(a))))).drop("__row", "__rows")
 

@@ -133,8 +133,18 @@ def hierarchy(binary: DataFrame) -> DataFrame:
     return outer.unionByName(hole.select("image_id", "region", "parent", F.lit(True).alias("is_hole")).distinct())
 
 
-def gradients(gray: DataFrame) -> DataFrame:
-    """image_id, y, x, v, height, width, gx, gy: Sobel 3x3, borders replicated."""
+def gradients(gray: DataFrame, aperture_size: int = 3) -> DataFrame:
+    """image_id, y, x, v, height, width, gx, gy: Sobel, borders replicated. Larger apertures smooth by binomial weights."""
+    if aperture_size not in (3, 5, 7):
+        raise ValueError(f"aperture_size {aperture_size}")
+    if aperture_size > 3:
+        k = aperture_size - 1
+        smooth, inner = [math.comb(k, i) for i in range(k + 1)], [math.comb(k - 2, i) for i in range(k - 1)]
+        slope = [(inner[i - 2] if i >= 2 else 0) - (inner[i] if i < len(inner) else 0) for i in range(k + 1)]
+        sized, keys = grid.sized(gray.select("image_id", "y", "x", "v")), ["image_id", "y", "x"]
+        gx = grid.separable(sized, slope, smooth, "replicate").select(*keys, F.col("v").cast("int").alias("gx"))
+        gy = grid.separable(sized, smooth, slope, "replicate").select(*keys, F.col("v").cast("int").alias("gy"))
+        return sized.join(gx, keys).join(gy, keys)
     near = grid.around(grid.sized(gray), "replicate")
     n = lambda i: F.col(f"n{i}")
     gx = (n(2) + n(5) * 2 + n(8)) - (n(0) + n(3) * 2 + n(6))
@@ -142,11 +152,11 @@ def gradients(gray: DataFrame) -> DataFrame:
     return near.select("image_id", "y", "x", "v", "height", "width", gx.alias("gx"), gy.alias("gy"))
 
 
-def canny(gray: DataFrame, threshold1: float = 100, threshold2: float = 200, l2_gradient: bool = False, keep_gradient: bool = False) -> DataFrame:
+def canny(gray: DataFrame, threshold1: float = 100, threshold2: float = 200, l2_gradient: bool = False, keep_gradient: bool = False, aperture_size: int = 3) -> DataFrame:
     """image_id, y, x, v: 255 on edges. Sobel, thinning across the gradient's direction (one of four), then weak pixels
     stay if they are connected to strong ones."""
     low, high = sorted((int(threshold1), int(threshold2)))
-    g = gradients(gray)
+    g = gradients(gray, aperture_size)
     gx, gy = F.col("gx"), F.col("gy")
     mag = F.sqrt((gx * gx + gy * gy).cast("double")) if l2_gradient else (F.abs(gx) + F.abs(gy)).cast("double")
     near = grid.around(g.withColumn("v", mag).select("image_id", "y", "x", "v", "height", "width", "gx", "gy"), "zero")

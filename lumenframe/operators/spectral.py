@@ -3,6 +3,9 @@ a small table of factors and grouped sums."""
 
 from __future__ import annotations
 
+import math
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -123,11 +126,16 @@ def ideal_filter(gray: DataFrame, mode: str = "lowpass", radius: float = 50) ->
     return color.min_max(out.withColumn("v", F.round("v", 6)))
 
 
-#: Low-pass taps of the orthogonal wavelets (fixed values); the high-pass taps follow by reversal and alternating signs.
-WAVELETS = {
-    "db1": (2**-0.5, 2**-0.5),
-    "db2": (-0.12940952255126034, 0.2241438680420134, 0.8365163037378079, 0.48296291314453416),
-}
+def lowpass_taps(wavelet: str) -> list[float]:
+    """The low-pass taps of the orthogonal wavelets db1 (haar) to db10, by spectral factorisation: of the roots of the
+    half-band polynomial those inside the unit circle; the high-pass taps follow by reversal and alternating signs."""
+    n = 1 if wavelet == "haar" else int(wavelet[2:]) if re.fullmatch(r"db\d+", wavelet) else 0
+    if not 1 <= n <= 10:
+        raise ValueError(f"wavelet {wavelet!r}")
+    y = np.roots([math.comb(n - 1 + k, k) for k in range(n - 1, -1, -1)])
+    z = [min(np.roots([1, -(2 - 4 * r), 1]), key=abs) for r in y]
+    taps = np.real(np.poly([-1.0] * n + z))
+    return (taps * (math.sqrt(2) / taps.sum()))[::-1].tolist()
 
 
 def _filtered(df: DataFrame, axis: str, taps: list[tuple[float, float]], step: int) -> DataFrame:
@@ -142,7 +150,7 @@ def _filtered(df: DataFrame, axis: str, taps: list[tuple[float, float]], step: i
 def swt(gray: DataFrame, wavelet: str = "db1", max_level: int = 1) -> DataFrame:
     """image_id, level, band (ll, lh, hl, hh), y, x, c. Images are padded to a multiple of 2**level by their last row and
     column and divided by 255 if their maximum is above 1; level 1 is the finest."""
-    lo = WAVELETS[wavelet]
+    lo = lowpass_taps(wavelet)
     taps = [(a, b if k % 2 == 0 else -b) for k, (a, b) in enumerate(zip(lo, reversed(lo), strict=True))]
     df = grid.sized(gray.select("image_id", "y", "x", "v")).where("height >= 4 AND width >= 4")
     m = 1 << max_level

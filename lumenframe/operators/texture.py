@@ -80,12 +80,16 @@ def lbp_samples(p: int, r: int) -> list[list[tuple[int, int, float]]]:
     return out
 
 
-def lbp_codes(gray: DataFrame, p: int = 8, r: int = 1, method: str = "uniform") -> DataFrame:
+def lbp_codes(gray: DataFrame, p: int = 8, r: float = 1, method: str = "uniform") -> DataFrame:
     """image_id, y, x, code. Pixels outside the image are 0; a bit is set where the sample is at least the centre."""
-    if r != 1:
-        raise ValueError("radius 1 is supported: its samples lie in the 3x3 neighbourhood")
-    near = grid.around(grid.sized(gray), "zero")
-    at = lambda dy, dx: F.col(f"n{3 * (dy + 1) + dx + 1}")
+    if r <= 0:
+        raise ValueError(f"a radius of {r}")
+    if r <= 1:
+        near = grid.around(grid.sized(gray), "zero")
+        at = lambda dy, dx: F.col(f"n{3 * (dy + 1) + dx + 1}")
+    else:
+        near = grid.patches(grid.sized(gray), math.ceil(r), None)
+        at = lambda dy, dx: F.coalesce(F.get(F.filter("p", lambda c: (c["dy"] == dy) & (c["dx"] == dx)), F.lit(0))["u"], F.lit(0))
     samples = [grid.total([at(dy, dx) * F.lit(w) for dy, dx, w in cells]) for cells in lbp_samples(p, r)]
     if method == "var":
         mean = grid.total(samples) / p
@@ -115,12 +119,19 @@ def lbp_bins(p: int, method: str) -> int:
     return {"uniform": p + 2, "nri_uniform": p * (p - 1) + 3, "var": 256}.get(method, 1 << p)
 
 
-def lbp_histogram(gray: DataFrame, p: int = 8, r: int = 1, method: str = "uniform") -> DataFrame:
+def lbp_histogram(gray: DataFrame, p: int = 8, r: float = 1, method: str = "uniform") -> DataFrame:
     return lbp_codes(gray, p, r, method).groupBy("image_id", "code").agg(F.count("*").alias("n"))
 
 
-def lbp(gray: DataFrame, p: int = 8, r: int = 1, method: str = "uniform") -> DataFrame:
-    """image_id, mean, std, skewness, kurtosis of the codes; entropy and energy of their histogram."""
+def lbp(gray: DataFrame, p: int = 8, r: float = 1, method: str = "uniform", resize_shape: tuple[int, int] | None = None, include_histogram: bool = False) -> DataFrame:
+    """image_id, mean, std, skewness, kurtosis of the codes; entropy and energy of their histogram, and with
+    include_histogram the share of each code as lbp_bin_0 and so on. resize_shape: height and width to resize to first."""
+    from lumenframe.operators import geometry
+
+    if resize_shape:
+        gray = geometry.resize(gray, resize_shape[1], resize_shape[0], preserve_aspect_ratio=False)
+    if include_histogram and method == "var":
+        raise ValueError("variances have no bins of their own")
     h = lbp_histogram(gray, p, r, method).withColumn("total", F.sum("n").over(Window.partitionBy("image_id")))
     c, n, share = F.col("code").cast("double"), F.col("n"), F.col("n") / F.col("total")
     s = h.groupBy("image_id").agg(*(F.sum(n * F.pow(c, k)).alias(f"s{k}") for k in range(5)), F.count("*").alias("used"), F.sum(share * share).alias("energy"), F.sum(share * F.log2(share)).alias("e"))
@@ -131,7 +142,12 @@ def lbp(gray: DataFrame, p: int = 8, r: int = 1, method: str = "uniform") -> Dat
     fourth = m4 - m1 * 4 * m3 + m1 * m1 * 6 * m2 - m1 * m1 * m1 * m1 * 3
     guard = lambda x: F.when(flat, 0.0).otherwise(x)
     entropy = F.when(F.col("used") <= 1, 0.0).otherwise(-F.col("e") / math.log2(lbp_bins(p, method)))
-    return s.select("image_id", m1.alias("lbp_mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("lbp_std"), guard(third / F.pow(var, 1.5)).alias("lbp_skewness"), guard(fourth / (var * var) - 3).alias("lbp_kurtosis"), entropy.alias("lbp_entropy"), F.col("energy").alias("lbp_energy"))
+    out = s.select("image_id", m1.alias("lbp_mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("lbp_std"), guard(third / F.pow(var, 1.5)).alias("lbp_skewness"), guard(fourth / (var * var) - 3).alias("lbp_kurtosis"), entropy.alias("lbp_entropy"), F.col("energy").alias("lbp_energy"))
+    if not include_histogram:
+        return out
+    bins = list(range(lbp_bins(p, method)))
+    shares = h.groupBy("image_id").pivot("code", bins).agg(F.first(share))
+    return out.join(shares.select("image_id", *(F.coalesce(F.col(str(k)), F.lit(0.0)).alias(f"lbp_bin_{k}") for k in bins)), "image_id")
 
 
 #: The eight neighbours in the order left, up-left, up, up-right, right, down-right, down, down-left, as bits of the 3x3

@@ -83,7 +83,7 @@ processor("otsu_bin")(histogram.otsu_bin)
 processor("gauss_adapt_bin", checks={"block_size": _odd})(lambda g, **k: stencil.gauss_adapt_bin(by_image(g), **k))
 processor("mean_adapt_bin", checks={"block_size": _odd})(lambda g, **k: stencil.mean_adapt_bin(by_image(g), **k))
 processor("resize", checks={"width": _positive, "height": _positive})(lambda g, **k: geometry.resize(by_image(g), **k))
-processor("canny_edge")(lambda g, **k: regions.canny(by_image(g), **k))
+processor("canny_edge", checks={"aperture_size": lambda a: a in (3, 5, 7)})(lambda g, **k: regions.canny(by_image(g), **k))
 processor("contour", checks={"min_area": lambda a: a >= 0})(regions.contour)
 processor("clahe", checks={"clip_limit": _positive}, needs_gray=False)(histogram.clahe)
 processor("equalize", needs_gray=False)(histogram.equalize)

@@ -181,3 +181,30 @@ def test_letterbox_and_scaling(spark):
     out = grid(geometry.letterbox(image(spark, lambda y, x: 9, 4), 8, 4, 114))
     assert out[0, 0] == 114 and out[0, 2] == 9 and len(out) == 32
     assert geometry.scaled(image(spark, CHECKER, 4), 0.5).count() == 4
+
+
+def test_wavelet_taps_are_orthogonal():
+    assert spectral.lowpass_taps("haar") == pytest.approx([2**-0.5] * 2)
+    assert spectral.lowpass_taps("db2") == pytest.approx([-0.12940952255126034, 0.2241438680420134, 0.8365163037378079, 0.48296291314453416])
+    for n in range(1, 11):
+        lo = spectral.lowpass_taps(f"db{n}")
+        assert len(lo) == 2 * n
+        for shift in range(n):
+            assert sum(a * b for a, b in zip(lo, lo[2 * shift :], strict=False)) == pytest.approx(float(shift == 0), abs=1e-6)
+    with pytest.raises(ValueError):
+        spectral.lowpass_taps("db11")
+
+
+def test_larger_radius_and_aperture(spark):
+    ramp = image(spark, lambda y, x: x * 10, 12)
+    for size, gain in ((3, 8), (5, 16 * 8), (7, 64 * 32)):
+        g = regions.gradients(ramp, size).where("y = 6 AND x = 6").first()
+        weights = {3: ([1, 2, 1], [-1, 0, 1]), 5: ([1, 4, 6, 4, 1], [-1, -2, 0, 2, 1]), 7: ([1, 6, 15, 20, 15, 6, 1], [-1, -4, -5, 0, 5, 4, 1])}[size]
+        assert g["gy"] == 0 and g["gx"] == sum(weights[0]) * sum(w * 10 * (i - size // 2) for i, w in enumerate(weights[1]))
+    with pytest.raises(ValueError):
+        regions.gradients(ramp, 4)
+    near = {(r["y"], r["x"]): r["code"] for r in texture.lbp_codes(ramp, 8, 2, "default").collect()}
+    # two to the right is larger, two to the left smaller, two up and down equal; the diagonals lie between
+    assert near[6, 6] == sum(1 << k for k in (0, 1, 2, 6, 7))
+    h = texture.lbp(ramp, include_histogram=True, resize_shape=(8, 8)).first()
+    assert sum(h[f"lbp_bin_{k}"] for k in range(10)) == pytest.approx(1)
