@@ -67,7 +67,8 @@ def _stats_sql(c: str, prefix: str = "") -> str:
 
 def _rounded(df: DataFrame, digits: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
     """Doubles rounded, without negative zeros, so that the order of summing does not show."""
-    return df.select(*((F.round(c, digits) + 0.0).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes))
+    own = lambda c: F.col(f"`{c}`")
+    return df.select(*((F.round(own(c), digits) + 0.0).alias(c) if t == "double" and c not in keep else own(c) for c, t in df.dtypes))
 
 
 _CHECKSUM = "count(*) AS n_pixels, sum(v)::BIGINT AS sum_v, sum((v + 1)::BIGINT * (y * 131 + x + 1))::BIGINT AS checksum"

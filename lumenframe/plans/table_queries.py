@@ -79,7 +79,8 @@ def _meta(spark, sf_dir):
 @query("features_wide")
 def features_wide(spark, sf_dir):
     tile = by_image(tables.gray_tile(spark, sf_dir))
-    return _rounded(pipeline.extract(tile, _meta(spark, sf_dir), ["brightness", "lbp", "fft", "glcm", "hlac", "swt"], {"glcm": {"distances": (1,)}}))
+    wide = _rounded(pipeline.extract(tile, _meta(spark, sf_dir), ["brightness", "lbp", "fft", "glcm", "hlac", "swt"], {"glcm": {"distances": (1,)}}))
+    return wide.toDF(*(c.replace(".", "p") for c in wide.columns))  # so that any reader can name the columns
 
 
 @query("features_round_trip", f"WITH {TILE}, s AS (SELECT image_id, {_stats_sql('nullif(v, 0)')} FROM tile GROUP BY ALL) SELECT 'img_' || image_id || '.png' AS filename, round(cv, 6) AS cv, round(mean, 6) AS mean FROM s")
