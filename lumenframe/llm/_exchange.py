@@ -1,10 +1,10 @@
 """Hashes of blocks of documents meet in buckets of the hash space, and what the buckets find goes back to the blocks.
 
 A block is a range of doc_ids with about `block_docs` rows, so that its hashes are made distinct before they are shuffled: a
-key that a third of all documents hold is sent once a block. How wide the ranges are, and how many buckets there are, comes
-from one pass over ids and lengths (Sizes). Ranges that hold far more rows or bytes are cut finer, and the rows of a single
-id that fills a block by itself (or of no id) are dealt over several. Messages are packed arrays, one a block and bucket. A
-null doc_id counts as larger than any other.
+key that a third of all documents hold is sent once a block. Ranges begin at multiples of a power of two, which is the block's
+name. One pass over ids and lengths gives the first width (Sizes); ranges that hold far more rows or bytes are cut again by
+the span of the ids in them, until none does or a single id is left, whose rows (or those of no id) are dealt over several
+blocks. Messages are packed arrays, one a block and bucket. A null doc_id counts as larger than any other.
 """
 
 from __future__ import annotations
@@ -15,21 +15,21 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenframe.llm import _text
-from lumenframe.llm._shared import partitions
+from lumenframe.llm._shared import partitions, written
 
 #: A block's name, in the order of doc_ids; blocks that differ in the last part alone hold the same id.
-BLOCK = ["block", "sub", "place", "salt"]
-MESSAGE = "bucket int, block long, sub long, place int, salt int, hashes binary, counts binary"
+BLOCK = ["block", "salt"]
+MESSAGE = "bucket int, block long, salt int, hashes binary, counts binary"
 NULL_ID = np.iinfo(np.int64).max
 _BLOCK_BYTES, _BUCKET_BYTES = 64 << 20, 1 << 30
 MOST_BROADCAST = 100_000
 
 
 class Sizes(NamedTuple):
-    width: int  # doc_ids of a block
+    bits: int  # a block has 2**bits doc_ids
     rows: int  # of a block, about
     buckets: int
 
@@ -43,30 +43,53 @@ def sizes(docs: DataFrame, block_docs: int, buckets: int | None) -> Sizes:
         mean = max(1.0, (size or 0) / max(1, n))
         block_docs = max(block_docs, min(math.ceil(1300 * buckets / mean), int(_BLOCK_BYTES / mean)))
     spread = (high - low + 1) if low is not None else 1
-    return Sizes(max(1, math.ceil(block_docs * max(1.0, spread / max(1, n)))), block_docs, buckets)
+    return Sizes(_bits(spread * block_docs // max(1, n)), block_docs, buckets)
+
+
+def _bits(width: int) -> int:
+    """The nearest power of two at or below a width of ids; beyond 2**62 a range's span would not fit a long."""
+    return min(62, max(1, width).bit_length() - 1)
+
+
+def _floor(id_: Column, bits: Column | int) -> Column:
+    """The multiple of 2**bits at or below an id."""
+    return F.call_function("shiftleft", F.call_function("shiftright", id_, F.lit(bits) if isinstance(bits, int) else bits), F.lit(bits) if isinstance(bits, int) else bits)
 
 
 def blocked(docs: DataFrame, s: Sizes) -> DataFrame:
-    """docs (doc_id, text) with the columns of BLOCK."""
+    """docs (doc_id, text) with the columns of BLOCK. A cut takes at least two bits off a range's width, so that there are at
+    most 32 rounds; tables whose ids are about evenly spread need none."""
     id_ = F.coalesce("doc_id", F.lit(NULL_ID))
-    docs = docs.withColumn("block", F.when(F.col("doc_id").isNull(), F.lit(NULL_ID)).otherwise(F.floor(F.col("doc_id") / F.lit(s.width))).cast("long"))
-    weight = [F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")]
-    full = lambda rows, times: (F.col("n") > times * rows) | (F.col("size") > times * _BLOCK_BYTES)
-    over = docs.groupBy("block").agg(*weight).where(full(s.rows, 4))
-    n_over = over.limit(MOST_BROADCAST + 1).count()
-    if not n_over:
-        zero = [F.lit(0).cast(t).alias(c) for c, t in zip(BLOCK[1:], ("long", "int", "int"), strict=True)]
-        return docs.select("doc_id", "text", "block", *zero)
-    small = F.broadcast if n_over <= MOST_BROADCAST else (lambda df: df)
-    parts = lambda: F.greatest(F.lit(1), F.ceil(F.greatest(F.col("n") / s.rows, F.col("size") / _BLOCK_BYTES)).cast("long"))
-    hot = docs.join(small(over.select("block")), "block").groupBy("block", id_.alias("id")).agg(*weight).where(full(s.rows, 1))
-    hot = hot.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", parts().alias("parts")))).alias("hot"))
-    over = over.join(hot, "block", "left").select("block", parts().alias("pieces"), F.coalesce("hot", F.array().cast("array<struct<id: bigint, parts: bigint>>")).alias("hot"))
-    docs = docs.join(small(over), "block", "left").withColumn("own", F.get(F.filter("hot", lambda h: h["id"] == id_), F.lit(0)))
-    sub = F.when(F.col("doc_id").isNull(), 0).otherwise(F.floor((F.col("doc_id") - F.col("block") * s.width) * F.coalesce("pieces", F.lit(1)) / F.lit(s.width)))
-    place = F.when(F.size("hot") > 0, F.size(F.filter("hot", lambda h: h["id"] < id_)) * 2 + F.col("own").isNotNull().cast("int")).otherwise(0)
-    salt = F.when(F.col("own").isNotNull(), F.pmod(F.xxhash64("text"), F.col("own.parts"))).otherwise(0)
-    return docs.select("doc_id", "text", "block", sub.cast("long").alias("sub"), F.coalesce(place, F.lit(0)).cast("int").alias("place"), F.coalesce(salt, F.lit(0)).cast("int").alias("salt"))
+    over, salts = [], None
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    now = docs.select(id_.alias("id"), size.alias("size"), _floor(id_, s.bits).alias("block"), F.lit(s.bits).alias("bits"))
+    while True:
+        most = now.groupBy("block", "bits").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("id").alias("low"), F.max("id").alias("high"))
+        # a block of one id is over a size from one time the aim on, so that its rows are dealt evenly
+        times = F.when(F.col("bits") == 0, 1).otherwise(4)
+        full = most.where((F.col("n") > times * s.rows) | (F.col("size") > times * _BLOCK_BYTES)).withColumn("parts", F.ceil(F.greatest(F.col("n") / s.rows, F.col("size") / _BLOCK_BYTES)))
+        # the power of two at or below span / parts, by the length of its binary digits
+        fit = F.length(F.bin(F.greatest(F.lit(1), F.floor((F.col("high") - F.col("low") + 1) / F.col("parts"))).cast("long"))) - 1
+        full = written(full.select("block", "bits", F.col("parts").cast("int").alias("parts"), F.greatest(F.lit(0), F.least(fit, F.col("bits") - 2)).cast("int").alias("finer")), "block-cuts")
+        n_full, n_wide = full.agg(F.count("*"), F.count_if(F.col("bits") > 0)).first()
+        small = F.broadcast if n_full <= MOST_BROADCAST else (lambda df: df)
+        single = full.where("bits = 0").select("block", "parts")
+        if n_full > n_wide:
+            salts = single if salts is None else salts.union(single)
+        if not n_wide:
+            break
+        cut = small(full.where("bits > 0").select("block", "bits", "finer"))
+        over.append(cut)
+        now = now.join(cut, ["block", "bits"]).select("id", "size", _floor(F.col("id"), F.col("finer")).alias("block"), F.col("finer").alias("bits"))
+    out = docs.select("doc_id", "text", _floor(id_, s.bits).alias("block"), F.lit(s.bits).alias("bits"))
+    for cut in over:
+        out = out.join(cut, ["block", "bits"], "left")
+        out = out.select("doc_id", "text", F.when(F.col("finer").isNull(), F.col("block")).otherwise(_floor(id_, F.col("finer"))).alias("block"), F.coalesce("finer", "bits").alias("bits"))
+    if salts is None:
+        return out.select("doc_id", "text", "block", F.lit(0).alias("salt"))
+    salts = F.broadcast(salts) if salts.count() <= MOST_BROADCAST else salts
+    out = out.join(salts.withColumn("bits", F.lit(0)), ["block", "bits"], "left")
+    return out.select("doc_id", "text", "block", F.coalesce(F.pmod(F.xxhash64("text"), F.col("parts")), F.lit(0)).cast("int").alias("salt"))
 
 
 def ids(column: pa.ChunkedArray) -> np.ndarray:
@@ -78,7 +101,7 @@ def messages(table: pa.Table, hashes: np.ndarray, counts: np.ndarray | None, buc
     cut = np.searchsorted(_text.bucket_of(hashes, buckets), np.arange(buckets + 1))
     full = np.flatnonzero(np.diff(cut))
     part = lambda a: [a[cut[i] : cut[i + 1]] for i in full]
-    name = {c: pa.array([table[c][0].as_py()] * len(full), t) for c, t in zip(BLOCK, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)}
+    name = {c: pa.array([table[c][0].as_py()] * len(full), t) for c, t in zip(BLOCK, (pa.int64(), pa.int32()), strict=True)}
     return pa.table(
         {"bucket": pa.array(full, pa.int32())}
         | name
@@ -96,8 +119,8 @@ def meet(sent: DataFrame, answer: Callable[[np.ndarray, np.ndarray, np.ndarray,
 
     def judge(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in BLOCK])
-        names = np.stack([table[c].to_numpy() for c in BLOCK[:3]])
-        range_ = np.concatenate([[0], np.cumsum((names[:, 1:] != names[:, :-1]).any(axis=0))]).astype(np.int32)
+        names = table["block"].to_numpy()
+        range_ = np.concatenate([[0], np.cumsum(names[1:] != names[:-1])]).astype(np.int32)
         got = [_text.unpack(x) for x in table["hashes"].to_pylist()]
         of = np.repeat(np.arange(len(got), dtype=np.int32), [len(x) for x in got])
         h = np.concatenate(got)

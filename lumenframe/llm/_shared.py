@@ -56,12 +56,22 @@ def column(df: DataFrame, name: str) -> Column:
     return df["`" + name.replace("`", "``") + "`"]
 
 
-def sampled(rows: DataFrame, groups: DataFrame, by: str, seed: int) -> DataFrame:
-    """Rows of each group with the smallest hashes: as many as `groups` (by, n: the group's rows, most) allows, equal rows
-    once. A threshold of 63 bits first leaves about eight times as many, whatever n is; Spark's row_number takes its limit
-    before the shuffle."""
-    h = F.xxhash64(F.lit(seed), *(c for c in rows.columns if c != by)).bitwiseAND(F.lit((1 << 63) - 1))
-    share = F.least(F.lit(1.0), 8.0 * F.col("most") / F.col("n"))
-    some = rows.withColumn("__h", h).join(F.broadcast(groups), by).where(F.col("__h") <= share * float(1 << 63)).select(*rows.columns, "__h", "most").distinct()
+def row_hash(rows: DataFrame, by: str, seed: int) -> Column:
+    """63 bits of a hash of all columns but `by`."""
+    return F.xxhash64(F.lit(seed), *(c for c in rows.columns if c != by)).bitwiseAND(F.lit((1 << 63) - 1))
+
+
+def sampled(rows: DataFrame, groups: DataFrame, by: str, seed: int, size: str | None = None) -> DataFrame:
+    """Rows of each group with the smallest hashes, equal rows once, as many as `groups` (by, n: about how many different rows
+    the group has, by row_hash; most; most_bytes) allows: at most `most`, and with the text column `size` as many as stay
+    within most_bytes one after the other, but for the first. A threshold of 63 bits leaves about eight times as many before
+    anything is shuffled."""
+    share = F.least(F.lit(1.0), 8.0 * F.col("most") / F.greatest(F.col("n"), F.lit(1)))
+    some = rows.withColumn("__h", row_hash(rows, by, seed)).join(F.broadcast(groups), by).where(F.col("__h") <= share * float(1 << 63))
+    some = some.select(*rows.columns, "__h", "most", "most_bytes").distinct()
     order = Window.partitionBy(by).orderBy("__h", *(c for c in rows.columns if c != by))
-    return some.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= F.col("most")).select(*rows.columns)
+    some = some.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= F.col("most"))
+    if size:
+        some = some.withColumn("__b", F.sum(F.octet_length(size).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        some = some.where((F.col("__r") == 1) | (F.col("__b") <= F.col("most_bytes")))
+    return some.select(*rows.columns)

@@ -1,15 +1,15 @@
 """Language ID: nearest of several clustered centroids per language, by cosine of normalised TF-IDF vectors of hashed
 character n-grams; a text that is far from all centroids is rejected.
 
-Fitting takes at most `per_language` labelled rows of each language and `most_rows` in all (chosen by a hash of the row, equal
-rows once), of the `most_languages` languages with most rows, so what the driver holds does not grow with the table;
-prediction reads every whole text. How near is near enough depends on the length: the learned rows, whole and cut to powers
+Fitting takes at most `per_language` labelled rows of each language, `most_rows` and about `most_bytes` of text in all (chosen by
+a hash of the row, equal rows once), of the `most_languages` languages with most rows, so what the driver holds does not grow
+with the table or its texts; prediction reads every whole text. How near is near enough depends on the length: the learned rows, whole and cut to powers
 of two of characters, give a bound for each language and length.
 
 Cases: a null text or one without a letter is `und` with score 0 and rejected; with no learned language everything is
 `und`; rows whose lang is null teach nothing; equal scores go to the language first in order; rows with equal doc_id are
-predicted each by itself; other columns are kept, whatever their names; very long texts are taken whole; an empty table
-gives an empty result.
+predicted each by itself; other columns are kept, but for columns named as the three new ones, which these replace; very long
+texts are taken whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenframe.llm import _ngrams, _text
-from lumenframe.llm._shared import column, sampled, small_batches
+from lumenframe.llm._shared import column, row_hash, sampled, small_batches
 
 UNDETERMINED = "und"
 _OTHER = np.arange(256, dtype=np.uint8)  # ASCII that is no letter counts as a space
@@ -79,19 +79,19 @@ def _clusters(v: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> n
     return c
 
 
-def fit(docs: DataFrame, learn: Column, centroids: int = 3, per_language: int = 800, orders: tuple[int, ...] = (1, 2, 3), bits: int = 12, reject_quantile: float = 0.01, reject_share: float = 0.6, seed: int = 7, most_languages: int = 500, most_rows: int = 40_000) -> Model:
+def fit(docs: DataFrame, learn: Column, centroids: int = 3, per_language: int = 800, orders: tuple[int, ...] = (1, 2, 3), bits: int = 12, reject_quantile: float = 0.01, reject_share: float = 0.6, seed: int = 7, most_languages: int = 500, most_rows: int = 40_000, most_bytes: int = 256 << 20) -> Model:
     """Learns from text and lang of the rows where `learn` holds and lang is not null.
 
     A text is rejected whose cosine is below reject_share times the reject_quantile of its language's own learned rows of
     about its length.
     """
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "doc_id", F.col("text").cast("string").alias("text"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(row_hash(rows, "lang", seed), 0.05).alias("m")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     languages = sorted(r["lang"] for r in sizes)
     most = max(1, min(per_language, most_rows // max(1, len(sizes))))
     spark = docs.sparkSession
-    bounds = spark.createDataFrame([(r["lang"], r["n"], most) for r in sizes], "lang string, n long, most int")
-    some = sampled(rows, bounds, "lang", seed).toArrow()
+    bounds = spark.createDataFrame([(r["lang"], r["m"], most, most_bytes // len(sizes)) for r in sizes], "lang string, n long, most int, most_bytes long")
+    some = sampled(rows, bounds, "lang", seed, "text").toArrow()
     some = some.take(pc.sort_indices(some, [("doc_id", "ascending"), ("text", "ascending")]))
     of = np.array([languages.index(x) for x in some["lang"].to_pylist()], np.int64)
     rng = np.random.default_rng(seed)
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, learn: Column, centroids: int = 3, per_language: int =
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs: doc_id, text and more. Returns the columns of docs with lang_pred, score (the cosine), rejected."""
+    """docs: text and more. Returns the columns of docs with lang_pred, score (the cosine), rejected."""
     small_batches(docs.sparkSession, 500)
     names = docs.columns
     ranks = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))

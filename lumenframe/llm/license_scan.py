@@ -165,8 +165,9 @@ FULL = [
 NOTICE = r"[.;,]\s+([^.;]*(?:licen[cs]|spdx|permission|public domain)[\s\S]*)$"
 #: Between paragraphs.
 BLANK = r"\n[ \t\r\n]*\n"
-#: Two lines with something on them.
-LINES = r"[^ \t\r\n][^\n]*\n[ \t\r\n]*[^ \t\r\n]"
+#: What lines begin and end with that says nothing; a paragraph has two lines with something on them if, stripped of this at
+#: its ends, it still has a line feed.
+SPACE = " \t\r\n"
 MOST_BROADCAST = 100_000
 
 
@@ -196,7 +197,7 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None) -> DataFra
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(HINT))
     joined = lambda text: F.trim(F.array_join(F.filter(F.transform(F.split(text, "\n"), canonical), lambda x: x != ""), " "))
     single = F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(HINT)), canonical)
-    parts = F.transform(F.filter(F.split("text", BLANK), lambda x: x.rlike(LINES) & x.rlike(HINT)), joined)
+    parts = F.transform(F.filter(F.split("text", BLANK), lambda x: F.btrim(x, F.lit(SPACE)).contains("\n") & x.rlike(HINT)), joined)
     unit = lambda scope: lambda x: F.struct(F.lit(scope).alias("scope"), x.alias("t"))
     units = F.concat(F.array(unit("document")(joined(F.col("text")))), F.when(F.col("text").rlike(BLANK), F.transform(parts, unit("paragraph"))).otherwise(F.array().cast("array<struct<scope: string, t: string>>")), F.transform(single, unit("line")))
     found = some.select("doc_id", F.explode_outer(units).alias("u")).where(F.col("u.t") != "")

@@ -2,7 +2,7 @@
 document and go through a softmax; numpy stochastic gradient descent trains both.
 
 Fitting takes at most `most` labelled documents (chosen by a hash of doc_id and label; of several texts of a document the
-first in order). The softmax of two classes over an average
+first in order) and about `most_bytes` of their texts. The softmax of two classes over an average
 is a sum over features, so each feature's vector is multiplied with the output weights once, and scoring adds one number
 for each feature of every whole text.
 
@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenframe.llm import _ngrams, _text
-from lumenframe.llm._shared import sampled, small_batches
+from lumenframe.llm._shared import row_hash, sampled, small_batches
 
 
 class Model(NamedTuple):
@@ -75,13 +75,15 @@ def train(texts: pa.ChunkedArray, labels: np.ndarray, orders: tuple[int, ...], b
     return Model((table @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]), orders, bits)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", most: int = 6000, orders: tuple[int, ...] = (3, 4), bits: int = 15, dim: int = 8, epochs: int = 6, rate: float = 0.5, seed: int = 11) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", most: int = 6000, most_bytes: int = 256 << 20, orders: tuple[int, ...] = (3, 4), bits: int = 15, dim: int = 8, epochs: int = 6, rate: float = 0.5, seed: int = 11) -> Model:
     """labels: doc_id and `label` (0 or 1); learn: which of its rows may teach, over its doc_id."""
     rows = labels.where(learn & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select(F.lit(0).alias("all"), "doc_id", F.col(label).alias("__label"))
-    n = rows.count()
-    chosen = sampled(rows, docs.sparkSession.createDataFrame([(0, max(1, n), most)], "all int, n long, most int"), "all", seed).drop("all")
+    n = rows.agg(F.approx_count_distinct(row_hash(rows, "all", seed), 0.05)).first()[0]
+    bound = lambda n: docs.sparkSession.createDataFrame([(0, max(1, n), most, most_bytes)], "all int, n long, most int, most_bytes long")
+    chosen = sampled(rows, bound(n), "all", seed).drop("all")
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # `most` rows
-    some = found.groupBy("doc_id", "__label").agg(F.min("text").alias("text")).toArrow()
+    found = found.groupBy("doc_id", "__label").agg(F.min("text").alias("text"))
+    some = sampled(found.select(F.lit(0).alias("all"), "*"), bound(1), "all", seed, "text").drop("all").toArrow()
     some = some.take(pc.sort_indices(some, [("doc_id", "ascending"), ("__label", "ascending"), ("text", "ascending")]))
     return train(some["text"], some["__label"].to_numpy().astype(np.int64), orders, bits, dim, epochs, rate, seed)
 

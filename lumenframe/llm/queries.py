@@ -104,7 +104,7 @@ WITH known AS (SELECT DISTINCT license, sha256({_canonical_sql("text")}) AS dige
 picked AS (SELECT row_number() OVER () AS n, doc_id, text FROM documents WHERE regexp_matches(text, '{license_scan.CLUE}')),
 line AS (SELECT n, doc_id, 0 AS k, i, l FROM (SELECT n, doc_id, string_split(text, chr(10)) AS x FROM picked), unnest(x) WITH ORDINALITY AS r(l, i)),
 para AS (SELECT n, doc_id, k, p FROM (SELECT n, doc_id, regexp_split_to_array(text, '{license_scan.BLANK}') AS x FROM picked WHERE regexp_matches(text, '{license_scan.BLANK}')), unnest(x) WITH ORDINALITY AS r(p, k)
-         WHERE regexp_matches(p, '{license_scan.LINES}') AND regexp_matches(p, '{license_scan.CLUE}')),
+         WHERE contains(trim(p, {_quoted(license_scan.SPACE)}), chr(10)) AND regexp_matches(p, '{license_scan.CLUE}')),
 pline AS (SELECT n, doc_id, k, i, l FROM (SELECT n, doc_id, k, string_split(p, chr(10)) AS x FROM para), unnest(x) WITH ORDINALITY AS r(l, i)),
 whole AS (SELECT 'document' AS scope, n, doc_id, k, i, {_canonical_sql("l")} AS t FROM line UNION ALL SELECT 'paragraph', n, doc_id, k, i, {_canonical_sql("l")} FROM pline),
 unit AS (SELECT doc_id, 'line' AS scope, {_canonical_sql("l")} AS t FROM line WHERE regexp_matches(l, '{license_scan.CLUE}')

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lumenframe.llm import _text, bpe_transducer, decontamination, language_id, license_scan, ngram_jaccard, pii_surrogates, quality_classifier, quality_rules, substring_dedup, token_wavelet
+from lumenframe.llm import _shared, _text, bpe_transducer, decontamination, language_id, license_scan, ngram_jaccard, pii_surrogates, quality_classifier, quality_rules, substring_dedup, token_wavelet
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BASE = " ".join(f"w{i}" for i in range(60))
@@ -94,6 +95,46 @@ def test_substring_dedup_of_hot_and_sparse_ids(spark):
     assert got == _jaccard(unique)
 
 
+def test_blocks_hold_few_rows_whatever_the_ids(spark):
+    from lumenframe.llm import _exchange
+
+    rng = np.random.default_rng(4)
+    hashed = lambda n: rng.integers(-(2**63), 2**63 - 1, n).tolist()
+    cases = {
+        "one hashed": hashed(1),
+        "300 hashed": hashed(300),
+        "5000 hashed": hashed(5000),
+        "one far id": [*range(6000), 2**62],
+        "two dense ends": [*range(-(2**63), -(2**63) + 3000), *range(2**63 - 3000, 2**63 - 1)],
+        "ever denser": [x for k in range(3, 60) for x in range(2**k, 2**k + min(2**k, 100))],
+        "one id": [*([7] * 3000), *([None] * 500), *range(100)],
+    }
+    for name, ids in cases.items():
+        df = spark.createDataFrame([(d, f"t{i}") for i, d in enumerate(ids)], "doc_id long, text string")
+        out = _exchange.blocked(df, _exchange.sizes(df, 64, 4)).collect()
+        assert len(out) == len(ids) and max(Counter((r["block"], r["salt"]) for r in out).values()) <= 4 * 64, name
+        spans: dict = {}
+        for r in out:
+            spans.setdefault(r["block"], []).append(_exchange.NULL_ID if r["doc_id"] is None else r["doc_id"])
+        ordered = [(min(v), max(v)) for _, v in sorted(spans.items())]
+        assert all(a[1] < b[0] for a, b in itertools.pairwise(ordered)), name
+
+
+def test_hashed_ids(spark):
+    rng = np.random.default_rng(5)
+    for n in (1, 300):
+        rows = [(int(d), " ".join(f"w{i}" for i in np.concatenate([np.arange(a, a + 9) for a in rng.integers(0, 40, 4)]))) for d in rng.integers(-(2**63), 2**63 - 1, n)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert Counter(map(tuple, ngram_jaccard.jaccard_components(df, block_docs=16).collect())) == _jaccard(rows)
+        first: dict = {}
+        for d, t in rows:
+            w = t.split()
+            for i in range(len(w) - 12):
+                first[tuple(w[i : i + 13])] = min(d, first.get(tuple(w[i : i + 13]), d))
+        gone = {d: len({p for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < d for p in range(i, i + 13)}) for d, w in ((d, t.split()) for d, t in rows)}
+        assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(df, block_docs=16).collect()} == gone
+
+
 def _jaccard(rows, k=5):
     sets = []
     for d, t in rows:
@@ -283,6 +324,13 @@ def test_license_notices_inside_documents(spark):
         license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), [("X", "nothing to look for")])
 
 
+def test_one_very_long_line(spark):
+    df = spark.createDataFrame([(1, "A licence\n\n" + "word " * 400_000 + "\n\n \nunder the MIT License" ), (2, "licence" + ", x" * 20_000)], "doc_id long, text string")
+    start = time.time()
+    license_scan.scan(df).collect()
+    assert time.time() - start < 60
+
+
 def test_license_files(spark):
     full = {x: t for x, t in license_scan.KNOWN if len(t) > 400}
     mit = f"MIT License\n\nCopyright (c) 2020 Someone\n\n{full['MIT']}"
@@ -333,6 +381,27 @@ def test_language_id_on_held_out_rows(spark):
     assert {r["lang_pred"] for r in language_id.predict(docs, empty).collect()} == {"und"} and language_id.predict(docs.limit(0), empty).count() == 0
 
 
+def test_samples_of_repeated_and_very_long_rows(spark):
+    """A language of few different rows, many times each, is learned; a sample keeps within its bytes."""
+    english = [(i, f"the other house and there is that which {w} with them", "en") for i, w in enumerate("alpha beta gamma delta".split())]
+    german = [(100 + i, f"und der andere baum ist nicht so wie er war {i}", "de") for i in range(40)]
+    df = spark.createDataFrame(english, "doc_id long, text string, lang string").withColumn("c", F.explode(F.sequence(F.lit(1), F.lit(20_000)))).drop("c")
+    df = df.union(spark.createDataFrame(german, df.schema))
+    model = language_id.fit(df, F.lit(True))
+    assert set(model.owner.tolist()) == {0, 1}
+    seen = language_id.predict(spark.createDataFrame([("the house with them and that", 7.0)], "text string, score double"), model).first()
+    assert seen["lang_pred"] == "en" and not seen["rejected"] and seen["score"] < 1
+    labels = df.select("doc_id", (F.col("doc_id") < 100).cast("int").alias("quality"))
+    fitted = quality_classifier.fit(df, labels, F.lit(True), most=44)
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.score(df.dropDuplicates(), fitted).collect()}
+    assert min(got[i] for i in range(4)) > max(got[100 + i] for i in range(40))
+    rows = spark.createDataFrame([(0, i, "x" * 1000) for i in range(50)], "g int, k int, text string")
+    groups = spark.createDataFrame([(0, 50, 40, 5500)], "g int, n long, most int, most_bytes long")
+    assert _shared.sampled(rows, groups, "g", 1, "text").count() == 5
+    long = language_id.fit(spark.createDataFrame([(1, "lo mi ta " * 300_000, "aa")], "doc_id long, text string, lang string"), F.lit(True), most_bytes=1000)
+    assert len(long.centroids) == 1
+
+
 def test_quality_classifier_on_held_out_rows(spark):
     docs = _corpus(spark)
     labels = docs.where("lang IN ('aa', 'bb')").select("doc_id", (F.col("lang") == "aa").cast("int").alias("quality")).union(spark.createDataFrame([(None, 1), (5, None)], "doc_id long, quality int"))
