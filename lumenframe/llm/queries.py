@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumenframe.llm import bpe_transducer, decontamination, language_id, license_scan, ngram_jaccard, pii_surrogates, quality_classifier, quality_rules, substring_dedup, token_wavelet
+from lumenframe.llm import bpe_transducer, decontamination, language_id, license_scan, ngram_jaccard, packing, pii_surrogates, quality_classifier, quality_rules, substring_dedup, token_wavelet
 from lumenframe.llm._shared import crc_mod
 
 
@@ -66,6 +66,10 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.contaminated(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=8, share=0.3)
 
 
+def op11_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1, size=2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op2_license_digests": op2_license_digests,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_wavelet": op8_token_wavelet,
     "op9_bpe_transducer": op9_bpe_transducer,
     "op10_template_decontamination": op10_template_decontamination,
+    "op11_sum_of_squares_packing": op11_sum_of_squares_packing,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
