@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumenframe.llm import bpe_transducer, decontamination, language_id, license_scan, ngram_jaccard, packing, pii_surrogates, quality_classifier, quality_rules, substring_dedup, token_wavelet
+from lumenframe.llm import bpe_transducer, decontamination, hard_negatives, language_id, license_scan, ngram_jaccard, packing, pii_surrogates, quality_classifier, quality_rules, substring_dedup, token_wavelet
 from lumenframe.llm._shared import crc_mod
 
 
@@ -70,6 +70,11 @@ def op11_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1, size=2048)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", label, F.col("vec_id") % 50 == 0, scale=256, positives=5, negatives=3, low_percent=50, high_percent=95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op2_license_digests": op2_license_digests,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe_transducer": op9_bpe_transducer,
     "op10_template_decontamination": op10_template_decontamination,
     "op11_sum_of_squares_packing": op11_sum_of_squares_packing,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -181,4 +187,12 @@ low AS (SELECT id, list_transform(w, lambda x: regexp_replace(lower(x), '\x01[mu
 part AS (SELECT id, n, array_to_string(x[i : i + n - 1], ' ') AS s FROM low, (SELECT DISTINCT n FROM few), unnest(range(1, len(x) - n + 2)) AS r(i))
 SELECT doc_id, item_id, n AS n_windows, item_windows, CASE WHEN exact THEN 'exact' ELSE 'reparameterised' END AS kind FROM top WHERE k = 1
 UNION ALL SELECT DISTINCT part.id, few.id, 1, 1, 'exact' FROM part JOIN few USING (n, s)""",
+    "op12_hard_negatives": """
+WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pair AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same, list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2]))::BIGINT AS s FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 50 = 0),
+pos AS (SELECT * FROM (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM pair WHERE same) WHERE k <= 5),
+neg AS (SELECT p.a, p.b AS p, p.s AS ps, n.b AS n, n.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) AS k
+        FROM pos p JOIN pair n ON n.a = p.a AND NOT n.same AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s)
+SELECT a AS anchor_id, p AS positive_id, k::INTEGER AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM neg WHERE k <= 3""",
 }
