@@ -85,8 +85,9 @@ def part(t: Texts, i: int, j: int) -> Texts:
     return Texts(t.data[a:b], t.lo[i:j] - a, t.hi[i:j] - a)
 
 
-def words(t: Texts) -> Words:
-    letter = _LETTER[t.data]
+def words(t: Texts, letters: np.ndarray = _LETTER) -> Words:
+    """letters: for each byte whether it is part of a word."""
+    letter = letters[t.data]
     start, stop = letter.copy(), letter.copy()
     start[1:] &= ~letter[:-1]
     stop[:-1] &= ~letter[1:]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumenframe.llm import bpe_transducer, decontamination, hard_negatives, language_id, license_scan, ngram_jaccard, packing, pii_surrogates, quality_classifier, quality_rules, substring_dedup, token_wavelet
+from lumenframe.llm import bpe_transducer, decontamination, hard_negatives, language_id, lexical_search, license_scan, ngram_jaccard, packing, pii_surrogates, quality_classifier, quality_rules, substring_dedup, token_wavelet
 from lumenframe.llm._shared import crc_mod
 
 
@@ -75,6 +75,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", label, F.col("vec_id") % 50 == 0, scale=256, positives=5, negatives=3, low_percent=50, high_percent=95)
 
 
+def op13_length_stratified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), most=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op2_license_digests": op2_license_digests,
@@ -88,8 +92,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_template_decontamination": op10_template_decontamination,
     "op11_sum_of_squares_packing": op11_sum_of_squares_packing,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_length_stratified_search": op13_length_stratified_search,
 }
 
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 _COVER = """
@@ -195,4 +201,14 @@ pos AS (SELECT * FROM (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER B
 neg AS (SELECT p.a, p.b AS p, p.s AS ps, n.b AS n, n.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) AS k
         FROM pos p JOIN pair n ON n.a = p.a AND NOT n.same AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s)
 SELECT a AS anchor_id, p AS positive_id, k::INTEGER AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM neg WHERE k <= 3""",
+    "op13_length_stratified_search": rf"""
+WITH raw AS (SELECT 0 AS kind, row_number() OVER () AS k, doc_id AS id, text FROM documents UNION ALL SELECT 1, 0, item_id, text FROM benchmark WHERE item_id IS NOT NULL),
+w AS (SELECT kind, k, id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERMS}')) AS t FROM raw),
+d AS (SELECT k, id, count(*) AS n FROM w WHERE kind = 0 GROUP BY ALL), s AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM d),
+dm AS (SELECT k, id, 25 + (75 * n * nn) // ll AS m FROM d, s),
+q AS (SELECT id AS item_id, t, count(*) AS times FROM w WHERE kind = 1 GROUP BY ALL),
+p AS (SELECT k, t, count(*) AS tf FROM w WHERE kind = 0 AND t IN (SELECT t FROM q) GROUP BY ALL),
+df AS (SELECT t, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY t, nn),
+sc AS (SELECT item_id, id AS doc_id, k, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN p USING (t) JOIN df USING (t) JOIN dm USING (k) GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM sc WHERE score > 0) WHERE rank <= 10""",
 }
