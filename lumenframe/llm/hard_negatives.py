@@ -209,7 +209,8 @@ def mine(rows: DataFrame, id_: str, vector: str, label: Column, anchor: Column,
     clean = written(vectors(rows, id_, vector, label, anchor, scale), "negatives-vectors")
     n, n_anchors, width = clean.agg(F.count("*"), F.count_if("anchor"), F.max(F.size("x"))).first()
     width = max(1, width or 1)
-    blocks = max(partitions(spark), math.ceil(n / row_block))
+    # as many blocks as tasks run at once, but not of few rows each: every block gives each anchor's best rows
+    blocks = max(1, min(partitions(spark), math.ceil(n / _COLUMNS)), math.ceil(n / row_block))
     anchor_blocks = max(1, math.ceil(n_anchors / anchor_block))
     block = lambda k, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(k)).cast("int")
     some = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
