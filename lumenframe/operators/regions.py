@@ -1,22 +1,19 @@
-"""Edges, connected regions, contours and circles."""
+"""Edges, connected regions, contours and circles. Each image is labelled, traced and searched as one array in the task of its
+group, so an operator deals its pixels once, by image; label_runs and components can take bands of rows instead, for images
+that are larger than a task."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lumenframe.operators import grid, stencil
-from lumenframe.sources.files import shared_path
+from lumenframe.operators import arrays, borders, grid, stencil
 from lumenframe.sources.tables import dims
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A round's result as a table in the cluster's shared folder: its lineage ends there, and it is computed once."""
-    path = shared_path(df.sparkSession, "regions")
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+RETRIEVAL = ("external", "list", "ccomp", "tree")
 
 
 def runs(binary: DataFrame, value: str = "v > 0") -> DataFrame:
@@ -27,23 +24,38 @@ def runs(binary: DataFrame, value: str = "v > 0") -> DataFrame:
     return out.select("image_id", "y", "x0", "x1", (F.col("y").cast("long") * (1 << 31) + F.col("x0")).alias("run"))
 
 
-def label_runs(r: DataFrame, diagonal: bool = True) -> DataFrame:
-    """Adds region: the least run that touches a run over any number of steps. Rounds of the least neighbouring label and
-    of jumps to that label's own label, until nothing changes; runs instead of pixels keep the rounds few."""
+def label_runs(r: DataFrame, diagonal: bool = True, band_rows: int | None = None) -> DataFrame:
+    """Adds region: the least run that touches a run over any number of steps.
+
+    An image's runs are united in one task. With band_rows each band of so many rows is, and the regions that meet at
+    the bands' edges are united by image afterwards: of those only names are held at once.
+    """
+    kind = arrays.id_type(r)
+
+    def united(table: pa.Table) -> pa.Table:
+        table = table.sort_by("run")
+        y, x0, x1, run = (table[c].to_numpy() for c in ("y", "x0", "x1", "run"))
+        root = borders.label(borders.Runs(y, x0, x1), diagonal)
+        return table.select(["image_id", "y", "x0", "x1", "run"]).append_column("region", pa.array(run[root]))
+
+    r = r.select("image_id", F.col("y").cast("int").alias("y"), F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1"), "run")
+    schema = f"image_id {kind}, y int, x0 int, x1 int, run long, region long"
+    if band_rows is None:
+        return r.groupBy("image_id").applyInArrow(united, schema)
+    band = F.floor(F.col("y") / band_rows)
+    parts = r.groupBy("image_id", band.alias("band")).applyInArrow(united, schema)
     reach = 1 if diagonal else 0
-    a, b = r.alias("a"), r.alias("b")
-    touch = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("b.y") == F.col("a.y") + 1) & (F.col("b.x0") <= F.col("a.x1") + reach) & (F.col("b.x1") >= F.col("a.x0") - reach)
-    pairs = a.join(b, touch).select(F.col("a.image_id").alias("image_id"), F.col("a.run").alias("u"), F.col("b.run").alias("w"))
-    pairs = checkpointed(pairs.union(pairs.select("image_id", F.col("w").alias("u"), F.col("u").alias("w"))))
-    labels = checkpointed(r.select("image_id", "run", F.col("run").alias("region")))
-    while True:
-        near = pairs.join(labels.select("image_id", F.col("run").alias("w"), "region"), ["image_id", "w"]).groupBy("image_id", F.col("u").alias("run")).agg(F.min("region").alias("near"))
-        new = labels.join(near, ["image_id", "run"], "left").select("image_id", "run", "region", F.least("region", F.coalesce("near", "region")).alias("now"))
-        jump = new.select("image_id", F.col("run").alias("now"), F.col("now").alias("far"))
-        new = checkpointed(new.join(jump, ["image_id", "now"], "left").select("image_id", "run", "region", F.least("now", F.coalesce("far", "now")).alias("now")))
-        if not new.where("now <> region").limit(1).count():
-            return r.join(new.select("image_id", "run", F.col("now").alias("region")), ["image_id", "run"])
-        labels = new.select("image_id", "run", F.col("now").alias("region"))
+    upper = parts.where(F.pmod(F.col("y"), F.lit(band_rows)) == band_rows - 1).select("image_id", (band + 1).alias("band"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("region").alias("u"))
+    lower = parts.where(F.pmod(F.col("y"), F.lit(band_rows)) == 0).select("image_id", band.alias("band"), "x0", "x1", F.col("region").alias("w"))
+    met = upper.join(lower, ["image_id", "band"]).where((F.col("x0") <= F.col("u1") + reach) & (F.col("x1") >= F.col("u0") - reach)).select("image_id", "u", "w").distinct()
+
+    def joined(table: pa.Table) -> dict[str, np.ndarray]:
+        names, ends = np.unique(np.concatenate([table["u"].to_numpy(), table["w"].to_numpy()]), return_inverse=True)
+        root = borders.connected(len(names), *np.split(ends, 2))
+        return {"region": names, "whole": names[root]}
+
+    whole = arrays.per_image(met, joined, "region long, whole long")
+    return parts.join(whole, ["image_id", "region"], "left").select("image_id", "y", "x0", "x1", "run", F.coalesce("whole", "region").alias("region"))
 
 
 def pixels_of(labelled: DataFrame) -> DataFrame:
@@ -51,86 +63,150 @@ def pixels_of(labelled: DataFrame) -> DataFrame:
     return labelled.select("image_id", "y", "region", F.explode(F.sequence("x0", "x1")).alias("x"))
 
 
-def components(binary: DataFrame, diagonal: bool = True) -> DataFrame:
-    """image_id, region, n_pixels, y0, y1, x0, x1 of each connected region of set pixels."""
-    l = label_runs(runs(binary), diagonal)
-    return l.groupBy("image_id", "region").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n_pixels"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+def components(binary: DataFrame, diagonal: bool = True, band_rows: int | None = None) -> DataFrame:
+    """image_id, region, n_pixels, y0, y1, x0, x1 of each connected region of set pixels. band_rows: see label_runs."""
+    if band_rows is not None:
+        l = label_runs(runs(binary), diagonal, band_rows)
+        return l.groupBy("image_id", "region").agg(F.sum(F.col("x1") - F.col("x0") + 1).cast("long").alias("n_pixels"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+
+    def found(table: pa.Table) -> dict[str, np.ndarray]:
+        r = borders.runs(arrays.image(table, kind=bool))
+        first, of = np.unique(borders.label(r, diagonal), return_inverse=True)
+        low, high = (lambda x: (np.minimum.reduceat(x[order], at) if len(at) else x[:0])), (lambda x: (np.maximum.reduceat(x[order], at) if len(at) else x[:0]))
+        order = np.argsort(of, kind="stable")
+        at = np.searchsorted(of[order], np.arange(len(first)))
+        n = np.bincount(of, r.x1 - r.x0 + 1, len(first)).astype(np.int64)
+        box = {"y0": low(r.y), "y1": high(r.y), "x0": low(r.x0), "x1": high(r.x1)}
+        return {"region": r.names()[first], "n_pixels": n} | {k: x.astype(np.int32) for k, x in box.items()}
+
+    return arrays.per_image(_set(binary), found, "region long, n_pixels long, y0 int, y1 int, x0 int, x1 int")
+
+
+def _set(binary: DataFrame, *more: str) -> DataFrame:
+    """image_id, y, x, v: whether a pixel is set."""
+    return binary.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), (F.col("v") > 0).alias("v"), *more)
+
+
+def _retrieval(mode: str) -> None:
+    if mode == "floodfill":
+        raise ValueError("floodfill needs a labelled image")
+    if mode not in RETRIEVAL:
+        raise ValueError(f"retrieval {mode!r}")
+
+
+def _tree(mask: np.ndarray, retrieval: str) -> dict[str, np.ndarray]:
+    """region, parent (-1: none), is_hole, level under a retrieval mode."""
+    r = borders.regions(mask)
+    above, within = r.levels()
+    out = {"region": np.concatenate([r.region, r.hole]), "parent": np.concatenate([r.region_parent, r.hole_parent]), "is_hole": np.arange(len(r.region) + len(r.hole)) >= len(r.region), "level": np.concatenate([above, within])}
+    if retrieval == "external":
+        out = {k: x[:len(above)][above == 0] for k, x in out.items()}
+    if retrieval == "ccomp":
+        out |= {"parent": np.where(out["is_hole"], out["parent"], -1), "level": out["is_hole"].astype(np.int64)}
+    if retrieval == "list":
+        out |= {"parent": np.full(len(out["region"]), -1), "level": np.zeros(len(out["region"]), np.int64)}
+    return out
+
 
+def hierarchy(binary: DataFrame, retrieval: str = "tree") -> DataFrame:
+    """image_id, region, parent, is_hole, level. Holes are unset regions (4 neighbours) that don't touch the frame; they lie in
+    the region left of them, regions in the hole around them or in none. retrieval: `tree` all levels; `ccomp` two, regions
+    and their holes; `list` all without parents; `external` the regions that lie in no hole."""
+    _retrieval(retrieval)
 
-class Regions:
-    """The labelled runs of a binary relation's foreground and of its holes, each computed once.
+    def found(table: pa.Table) -> dict[str, np.ndarray]:
+        out = _tree(arrays.image(table, kind=bool), retrieval)
+        parent = out["parent"]
+        return {"region": out["region"], "parent": pa.array(parent, pa.int64(), mask=parent < 0), "is_hole": out["is_hole"], "level": out["level"].astype(np.int32)}
 
-    holes: background runs (4-neighbour) of regions that don't touch the image's frame, with parent: the foreground region
-    left of the hole's first run."""
+    return arrays.per_image(_set(binary), found, "region long, parent long, is_hole boolean, level int")
 
-    def __init__(self, binary: DataFrame, with_holes: bool = True):
-        binary = checkpointed(binary.select("image_id", "y", "x", "v"))
-        self.front = checkpointed(label_runs(runs(binary)))
-        self.holes = checkpointed(self._holes(binary)) if with_holes else None
 
-    def _holes(self, binary: DataFrame) -> DataFrame:
-        back = label_runs(runs(binary, "v = 0"), diagonal=False).join(dims(binary), "image_id")
-        edge = (F.col("y") == 0) | (F.col("y") == F.col("height") - 1) | (F.col("x0") == 0) | (F.col("x1") == F.col("width") - 1)
-        inner = back.groupBy("image_id", "region").agg(F.max(edge.cast("int")).alias("edge"), F.min_by("x0", "run").alias("fx"), F.min_by("y", "run").alias("fy")).where("edge = 0")
-        left = self.front.select("image_id", F.col("y").alias("fy"), (F.col("x1") + 1).alias("fx"), F.col("region").alias("parent"))
-        inner = inner.join(left, ["image_id", "fy", "fx"]).select("image_id", "region", "parent")
-        return back.select("image_id", "run", "y", "x0", "x1", "region").join(inner, ["image_id", "region"])
+def _names(b: borders.Borders, r: borders.Regions) -> np.ndarray:
+    """The region or hole of each border; a hole lies right of its border's first pixel."""
+    y, x = b.y[b.first[:-1]], b.x[b.first[:-1]]
+    return np.where(b.is_hole, r.back[y, np.minimum(x + 1, r.back.shape[1] - 1)], r.front[y, x])
 
-    def pixels(self) -> DataFrame:
-        return pixels_of(self.front)
 
-    def filled(self) -> DataFrame:
-        """image_id, y, x, region: the pixels of each region and of its holes."""
-        return self.pixels().unionByName(pixels_of(self.holes.select("image_id", "run", "y", "x0", "x1", F.col("parent").alias("region"))))
+def trace(binary: DataFrame, retrieval: str = "list", approximation: str = "simple") -> DataFrame:
+    """image_id, region, is_hole, k, y, x: the borders of regions and holes as set pixels in order, k from 0. A region's border
+    begins at its first pixel and goes down, a hole's at the pixel left of it and goes up. approximation `none`: all pixels;
+    `simple`: without those inside straight stretches; `tc89_l1` and `tc89_kcos` are taken as `simple`."""
+    _retrieval(retrieval)
+    if approximation not in ("none", "simple", "tc89_l1", "tc89_kcos"):
+        raise ValueError(f"approximation {approximation!r}")
+
+    def found(table: pa.Table) -> dict[str, np.ndarray]:
+        mask = arrays.image(table, kind=bool)
+        b = borders.borders(mask)
+        name = _names(b, borders.regions(mask))
+        keep = np.ones(len(b.y), bool) if approximation == "none" else borders.corners(b)
+        keep &= np.isin(name, _tree(mask, retrieval)["region"])[b.border]
+        of = b.border[keep]
+        k = np.arange(len(of)) - np.searchsorted(of, of)
+        return {"region": name[of], "is_hole": b.is_hole[of], "k": k.astype(np.int32), "y": b.y[keep].astype(np.int32), "x": b.x[keep].astype(np.int32)}
+
+    return arrays.per_image(_set(binary), found, "region long, is_hole boolean, k int, y int, x int")
 
 
 def contours(binary: DataFrame, fill: bool = True) -> DataFrame:
-    """image_id, region, area, perimeter of the polygon through the border pixels' centres: 2x2 cells with four pixels count
-    1, with three 1/2; a border step is 1 along an axis, sqrt(2) across."""
-    r = Regions(binary, with_holes=fill)
-    return measured(r.filled() if fill else r.pixels())
+    """image_id, region, area, perimeter of the polygon through the border pixels' centres: a border step is 1 along an axis,
+    sqrt(2) across. Without fill the holes' areas are taken off and their borders added."""
 
+    def found(table: pa.Table) -> dict[str, np.ndarray]:
+        mask = arrays.image(table, kind=bool)
+        b, r = borders.borders(mask), borders.regions(mask)
+        area, length = borders.measures(b)
+        own = r.front[b.y[b.first[:-1]], b.x[b.first[:-1]]]
+        sign = np.where(b.is_hole, 0.0 if fill else -1.0, 1.0)
+        name, of = np.unique(own, return_inverse=True)
+        return {"region": name, "area": np.bincount(of, area * sign, len(name)), "perimeter": np.bincount(of, length * np.abs(sign), len(name))}
 
-def measured(px: DataFrame) -> DataFrame:
-    """image_id, region, area, perimeter of labelled pixels; see contours."""
-    to = F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), F.lit(1 << (2 * -dy + -dx)).alias("bit")) for dy in (0, -1) for dx in (0, -1)))
-    cells = px.select("image_id", "region", F.explode(to).alias("c")).groupBy("image_id", "region", "c.y", "c.x").agg(F.sum("c.bit").alias("m"))
-    n = F.bit_count("m")
-    area = F.when(n == 4, 1.0).when(n == 3, 0.5).otherwise(0.0)
-    # cells with three pixels hold a diagonal step, cells with two side by side one straight step
-    step = F.when(n == 3, math.sqrt(2)).when(F.col("m").isin(3, 5, 10, 12), 1.0).when(F.col("m").isin(6, 9), 2 * math.sqrt(2)).otherwise(0.0)
-    return cells.groupBy("image_id", "region").agg(F.sum(area).alias("area"), F.sum(step).alias("perimeter"))
+    return arrays.per_image(_set(binary), found, "region long, area double, perimeter double")
 
 
 def contour(binary: DataFrame, min_area: float = 100, select_mode: str = "rank", contour_rank: int = 0, inside: int = 255, outside: int = 0, retrieval: str = "external") -> DataFrame:
-    """image_id, y, x, v: the selected regions painted inside on outside. `rank`: the region of that place by area (the
-    largest if there are fewer); `all`: every region of at least min_area. An image with more than three values is
-    returned as it is. retrieval `external` fills holes; `list`, `ccomp` and `tree` keep them."""
-    if retrieval == "floodfill":
-        raise ValueError("floodfill needs a labelled image")
-    kinds = binary.groupBy("image_id").agg(F.size(F.collect_set("v")).alias("kinds"))
-    df = binary.select("image_id", "y", "x", "v").join(kinds, "image_id")
-    two = df.where("kinds <= 3").drop("kinds")
-    r = Regions(two)
-    whole = r.filled() if retrieval == "external" else r.pixels()
-    big = measured(r.filled()).where(F.col("area") >= min_area)
-    if select_mode == "rank":
-        place = Window.partitionBy("image_id").orderBy(F.desc("area"), "region")
-        big = big.withColumn("k", F.row_number().over(place) - 1).withColumn("n", F.count("*").over(Window.partitionBy("image_id")))
-        big = big.where(F.col("k") == F.when(F.col("n") > contour_rank, contour_rank).otherwise(0))
-    chosen = whole.join(big.select("image_id", "region"), ["image_id", "region"]).select("image_id", "y", "x", F.lit(1).alias("__in")).distinct()
-    painted = two.join(chosen, ["image_id", "y", "x"], "left").select("image_id", "y", "x", F.when(F.col("__in") == 1, inside).otherwise(outside).alias("v"))
-    return painted.unionByName(df.where("kinds > 3").drop("kinds"))
-
-
-def hierarchy(binary: DataFrame) -> DataFrame:
-    """image_id, region, parent, is_hole: holes lie in the region left of them, regions in the hole around them or none."""
-    r = Regions(binary)
-    hole, front = r.holes, r.front
-    first = front.groupBy("image_id", "region").agg(F.min_by("x0", "run").alias("x"), F.min_by("y", "run").alias("y"))
-    around = hole.select("image_id", "y", (F.col("x1") + 1).alias("x"), F.col("region").alias("parent"))
-    outer = first.join(around, ["image_id", "y", "x"], "left").select("image_id", "region", "parent", F.lit(False).alias("is_hole"))
-    return outer.unionByName(hole.select("image_id", "region", "parent", F.lit(True).alias("is_hole")).distinct())
+    """image_id, y, x, v: selected borders painted, filled inside on outside. `rank`: the border of that place by area (the
+    largest if there are fewer); `all`: every one of at least min_area. An image with more than three values is returned as
+    it is. retrieval `external`: borders of regions that lie in no hole; else those of all regions and holes, and with `all`
+    what lies inside an even number of them is not painted, so holes stay."""
+    _retrieval(retrieval)
+
+    def found(table: pa.Table) -> dict[str, np.ndarray]:
+        v, y, x = table["v"].to_numpy(), table["y"].to_numpy(), table["x"].to_numpy()
+        if len(np.unique(v)) <= 3:
+            mask = arrays.image(table, kind=float) > 0
+            b, r = borders.borders(mask), borders.regions(mask)
+            name, area = _names(b, r), borders.measures(b)[0]
+            able = np.isin(name, _tree(mask, retrieval)["region"]) & (area >= min_area)
+            chosen = np.flatnonzero(able)
+            if select_mode == "rank" and len(chosen):
+                chosen = chosen[np.lexsort((name[chosen], -area[chosen]))]
+                chosen = chosen[[contour_rank if contour_rank < len(chosen) else 0]]
+            paint = _inside(r, name[chosen])
+            line = np.isin(b.border, chosen)
+            paint[b.y[line], b.x[line]] = True
+            v = np.where(paint[y, x], inside, outside).astype(np.int32)
+        return {"y": y, "x": x, "v": v}
+
+    df = binary.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("v").cast("int").alias("v"))
+    return arrays.per_image(df, found, "y int, x int, v int")
+
+
+def _inside(r: borders.Regions, chosen: np.ndarray) -> np.ndarray:
+    """The pixels inside an odd number of the chosen borders (by the names of their regions and holes)."""
+    name = np.concatenate([r.region, r.hole])
+    parent = np.concatenate([r.region_parent, r.hole_parent])
+    order = np.argsort(name)
+    up = np.full(len(name) + 1, len(name))
+    some = parent >= 0
+    up[:-1][some] = order[np.searchsorted(name[order], parent[some])]
+    count = np.append(np.isin(name, chosen), False).astype(np.int64)
+    while (up != len(name)).any():  # counts of all around, by pointer doubling
+        count, up = count + np.where(up != len(name), count[up], 0), up[up]
+    at = np.where(r.front >= 0, r.front, r.back)
+    odd = np.append(name[count[:-1] % 2 == 1], -2)
+    return np.isin(at, odd)
 
 
 def gradients(gray: DataFrame, aperture_size: int = 3) -> DataFrame:
@@ -152,9 +228,9 @@ def gradients(gray: DataFrame, aperture_size: int = 3) -> DataFrame:
     return near.select("image_id", "y", "x", "v", "height", "width", gx.alias("gx"), gy.alias("gy"))
 
 
-def canny(gray: DataFrame, threshold1: float = 100, threshold2: float = 200, l2_gradient: bool = False, keep_gradient: bool = False, aperture_size: int = 3) -> DataFrame:
-    """image_id, y, x, v: 255 on edges. Sobel, thinning across the gradient's direction (one of four), then weak pixels
-    stay if they are connected to strong ones."""
+def _kinds(gray: DataFrame, threshold1: float, threshold2: float, l2_gradient: bool = False, aperture_size: int = 3) -> DataFrame:
+    """image_id, y, x, kind, gx, gy. Sobel and thinning across the gradient's direction (one of four): kind 2 for ridges above
+    the higher threshold, 1 above the lower one, else 0."""
     low, high = sorted((int(threshold1), int(threshold2)))
     g = gradients(gray, aperture_size)
     gx, gy = F.col("gx"), F.col("gy")
@@ -168,80 +244,118 @@ def canny(gray: DataFrame, threshold1: float = 100, threshold2: float = 200, l2_
     after = F.when(flat, m(5)).when(steep, m(7)).when(rising, m(6)).otherwise(m(8))
     peak = (F.col("v") > before) & (F.col("v") >= after)
     kind = F.when(peak & (F.col("v") > high), 2).when(peak & (F.col("v") > low), 1).otherwise(0)
-    e = checkpointed(near.select("image_id", "y", "x", kind.alias("v"), "gx", "gy"))
-    labelled = pixels_of(label_runs(runs(e)))
-    strong = labelled.join(e.where("v = 2").select("image_id", "y", "x"), ["image_id", "y", "x"]).select("image_id", "region").distinct()
-    on = labelled.join(strong, ["image_id", "region"]).select("image_id", "y", "x", F.lit(255).alias("__e"))
-    out = e.join(on, ["image_id", "y", "x"], "left")
-    return out.select("image_id", "y", "x", F.coalesce("__e", F.lit(0)).alias("v"), *(["gx", "gy"] if keep_gradient else []))
+    return near.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), kind.alias("kind"), F.col("gx").cast("int").alias("gx"), F.col("gy").cast("int").alias("gy"))
+
+
+def _edges(table: pa.Table) -> np.ndarray:
+    """The edge pixels: ridges whose region has one above the higher threshold."""
+    kind = arrays.image(table, "kind", np.int8)
+    r = borders.runs(kind > 0)
+    root = borders.label(r, True)
+    front = borders.painted(kind.shape, r, root)
+    return np.isin(front, np.append(np.unique(front[kind == 2]), -2))
+
+
+def canny(gray: DataFrame, threshold1: float = 100, threshold2: float = 200, l2_gradient: bool = False, keep_gradient: bool = False, aperture_size: int = 3) -> DataFrame:
+    """image_id, y, x, v: 255 on edges. Sobel, thinning across the gradient's direction (one of four), then weak pixels
+    stay if they are connected to strong ones."""
+    more = ["gx", "gy"] if keep_gradient else []
+
+    def found(table: pa.Table) -> dict[str, np.ndarray]:
+        y, x = table["y"].to_numpy(), table["x"].to_numpy()
+        return {"y": y, "x": x, "v": np.where(_edges(table)[y, x], 255, 0).astype(np.int32)} | {c: table[c].to_numpy() for c in more}
+
+    kinds = _kinds(gray, threshold1, threshold2, l2_gradient, aperture_size)
+    return arrays.per_image(kinds, found, ", ".join(f"{c} int" for c in ["y", "x", "v", *more]))
+
+
+_CIRCLE = "cx int, cy int, r int, votes long"
+
+
+def _most(height: int, width: int, max_radius: int) -> int:
+    return min(height, width) // 4 if max_radius == 0 else min(max_radius, min(height, width) // 2)
+
+
+def _circles(table: pa.Table, min_radius: int, max_radius: int, min_dist_ratio: float, param2: int) -> list[tuple[int, int, int, int]]:
+    """cx, cy, r, votes of one image's circles, from its ridges and gradients."""
+    edges, gx, gy = _edges(table), arrays.image(table, "gx"), arrays.image(table, "gy")
+    h, w = edges.shape
+    most = _most(h, w, max_radius)
+    y, x = np.nonzero(edges & ((gx != 0) | (gy != 0)))
+    if most < min_radius or not len(y):
+        return []
+    norm = np.hypot(gx[y, x], gy[y, x])
+    ux, uy = gx[y, x] / norm, gy[y, x] / norm
+    half_up = lambda v: (np.sign(v) * np.floor(np.abs(v) + 0.5)).astype(np.int64)
+    # votes with a frame of one, because those of the 3x3 around a cell are summed: rounding does not split a centre
+    votes = np.zeros((h + 4, w + 4), np.int64)
+    for r in range(min_radius, most + 1):
+        for s in (r, -r):
+            cx, cy = half_up(x + s * ux), half_up(y + s * uy)
+            ok = (cx >= 0) & (cy >= 0) & (cx < w) & (cy < h)
+            np.add.at(votes, (cy[ok] + 2, cx[ok] + 2), 1)
+    sums = np.lib.stride_tricks.sliding_window_view(votes, (3, 3)).sum((2, 3))  # of the cells from -1 on
+    cy, cx = np.nonzero(sums > param2)
+    order = np.lexsort((cx, cy, -sums[cy, cx]))
+    apart = max(1, math.floor(most * min_dist_ratio))
+    free, out = np.ones(sums.shape, bool), []
+    yy, xx = np.mgrid[-apart : apart + 1, -apart : apart + 1]
+    disc = yy**2 + xx**2 < apart * apart
+    for a, b in zip(cy[order].tolist(), cx[order].tolist(), strict=True):  # best first; a centre clears what is near it
+        if not free[a, b]:
+            continue
+        top, left = max(0, a - apart), max(0, b - apart)
+        part = free[top : a + apart + 1, left : b + apart + 1]
+        part &= ~disc[top - a + apart : top - a + apart + part.shape[0], left - b + apart : left - b + apart + part.shape[1]]
+        far = half_up(np.hypot(x - (b - 1), y - (a - 1)))
+        n = np.bincount(far[(far >= min_radius) & (far <= most)], minlength=most + 1)
+        if n.any():
+            out.append((b - 1, a - 1, most - int(np.argmax(n[::-1])), int(sums[a, b])))
+    return out
+
+
+def _round(edges: np.ndarray, cx: int, cy: int, r: int, threshold: float) -> bool:
+    """Whether the largest contour among the edges around a circle has a circularity of at least threshold."""
+    m = max(r // 4, 2)
+    reach, limit = r + m, r + m // 2
+    top, left = max(0, cy - reach), max(0, cx - reach)
+    part = edges[top : max(0, cy + reach + 1), left : max(0, cx + reach + 1)]
+    yy, xx = np.ogrid[top : top + part.shape[0], left : left + part.shape[1]]
+    b = borders.borders(part & ((yy - cy) ** 2 + (xx - cx) ** 2 <= limit * limit))
+    area, length = borders.measures(b)
+    area = np.where(b.is_hole, -1, area)
+    if not len(area):
+        return False
+    k = int(np.argmax(area))
+    return bool(area[k] * (4 * math.pi) / max(length[k] ** 2, 1e-9) >= threshold)
+
+
+def _columns(found: list[tuple[int, int, int, int]]) -> dict[str, np.ndarray]:
+    a = np.array(found, np.int64).reshape(-1, 4)
+    return {"cx": a[:, 0].astype(np.int32), "cy": a[:, 1].astype(np.int32), "r": a[:, 2].astype(np.int32), "votes": a[:, 3]}
+
+
+def _blurred_kinds(gray: DataFrame, param1: int, blur_kernel_size: int) -> DataFrame:
+    return _kinds(stencil.gaussian_blur(gray, (blur_kernel_size, blur_kernel_size)) if blur_kernel_size else gray, param1 // 2, param1)
 
 
 def circles(gray: DataFrame, min_radius: int = 5, max_radius: int = 0, min_dist_ratio: float = 0.8, param1: int = 50, param2: int = 30, blur_kernel_size: int = 5) -> DataFrame:
-    """image_id, cx, cy, r, votes: edge pixels vote along their gradient for centres; centres with more than param2 votes
-    suppress those near them in the order of their votes; the radius is the commonest distance of edge pixels."""
-    size = dims(gray).withColumn("most", F.expr("CASE WHEN {0} = 0 THEN least(height, width) DIV 4 ELSE least({0}, least(height, width) DIV 2) END".format(max_radius)))
-    g = stencil.gaussian_blur(gray, (blur_kernel_size, blur_kernel_size)) if blur_kernel_size else gray
-    edges = checkpointed(canny(g, param1 // 2, param1, keep_gradient=True).where("v > 0 AND (gx <> 0 OR gy <> 0)").join(size, "image_id"))
-    norm = F.sqrt((F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).cast("double"))
-    far = edges.where(F.col("most") >= min_radius).withColumn("r", F.explode(F.sequence(F.lit(min_radius), F.col("most")))).withColumn("s", F.explode(F.array(F.lit(1), F.lit(-1))))
-    vote = far.select("image_id", "height", "width", F.round(F.col("x") + F.col("s") * F.col("r") * F.col("gx") / norm).cast("int").alias("cx"), F.round(F.col("y") + F.col("s") * F.col("r") * F.col("gy") / norm).cast("int").alias("cy"))
-    vote = vote.where("cx >= 0 AND cy >= 0 AND cx < width AND cy < height").groupBy("image_id", "cx", "cy").agg(F.count("*").alias("n"))
-    # votes of the 3x3 around a cell, so that rounding does not split a centre
-    to = F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    vote = vote.select("image_id", "n", F.explode(to).alias("t")).groupBy("image_id", "t.cx", "t.cy").agg(F.sum("n").alias("votes")).where(F.col("votes") > param2)
-    left = checkpointed(vote.join(size.select("image_id", F.greatest(F.lit(1), F.floor(F.col("most") * min_dist_ratio)).cast("int").alias("apart")), "image_id"))
-    # in the order of votes a centre stands if no better one near it stands: round by round those with no better neighbour
-    # left are taken and clear their surroundings; cells of the distance's size bring neighbours together
-    cell = lambda c: F.floor(F.col(c) / F.col("apart")).cast("int")
-    nine = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    close = F.pow(F.col("cx") - F.col("tx"), 2) + F.pow(F.col("cy") - F.col("ty"), 2) < F.col("apart") * F.col("apart")
-    better = (F.col("tv") > F.col("votes")) | ((F.col("tv") == F.col("votes")) & (F.struct("ty", "tx") < F.struct("cy", "cx")))
-
-    def near_by(df: DataFrame) -> DataFrame:
-        out = df.select("image_id", F.col("cx").alias("tx"), F.col("cy").alias("ty"), F.col("votes").alias("tv"), cell("cx").alias("a"), cell("cy").alias("b"), nine.alias("o"))
-        return out.select("image_id", "tx", "ty", "tv", (F.col("a") + F.col("o.i")).alias("gx"), (F.col("b") + F.col("o.j")).alias("gy"))
-
-    found = None
-    while left.limit(1).count():
-        placed = left.withColumn("gx", cell("cx")).withColumn("gy", cell("cy"))
-        keys = ["image_id", "gx", "gy"]
-        beaten = placed.join(near_by(left), keys).where(close & better).select("image_id", "cx", "cy").distinct()
-        top = checkpointed(left.join(beaten, ["image_id", "cx", "cy"], "left_anti").select(left.columns))
-        found = top if found is None else found.union(top)
-        gone = placed.join(near_by(top), keys).where(close).select("image_id", "cx", "cy").distinct()
-        left = checkpointed(left.join(gone, ["image_id", "cx", "cy"], "left_anti").select(left.columns))
-    if found is None:
-        return vote.select("image_id", "cx", "cy", F.lit(0).alias("r"), "votes").where("false")
-    # edge pixels of a circle lie in its cell of the largest radius's size or in the eight around it
-    square = lambda c: F.floor(F.col(c) / F.col("most")).cast("int")
-    near = found.join(size.select("image_id", "most"), "image_id").select("image_id", "cx", "cy", "votes", square("cx").alias("a"), square("cy").alias("b"), nine.alias("o"))
-    near = near.select("image_id", "cx", "cy", "votes", (F.col("a") + F.col("o.i")).alias("gx"), (F.col("b") + F.col("o.j")).alias("gy"))
-    hit = near.join(edges.select("image_id", "y", "x", "most", square("x").alias("gx"), square("y").alias("gy")), ["image_id", "gx", "gy"])
-    hit = hit.withColumn("r", F.round(F.sqrt(F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2))).cast("int")).where((F.col("r") >= min_radius) & (F.col("r") <= F.col("most")))
-    hit = hit.groupBy("image_id", "cx", "cy", "votes", "r").agg(F.count("*").alias("n"))
-    return hit.groupBy("image_id", "cx", "cy", "votes").agg(F.max_by("r", F.struct("n", "r")).alias("r")).select("image_id", "cx", "cy", "r", "votes")
-
-
-_CELL = 64  # pixels: edge pixels and circles meet in squares of this side
+    """image_id, cx, cy, r, votes: edge pixels vote along their gradient for centres in an array of the image; centres with more
+    than param2 votes suppress those near them in the order of their votes; the radius is the commonest distance of edge pixels."""
+    find = lambda t: _columns(_circles(t, min_radius, max_radius, min_dist_ratio, param2))
+    return arrays.per_image(_blurred_kinds(gray, param1, blur_kernel_size), find, _CIRCLE)
 
 
 def round_circles(found: DataFrame, gray: DataFrame, threshold: float = 0.7, param1: int = 50) -> DataFrame:
     """Those circles whose surroundings hold a contour of circularity 4 pi area / perimeter^2 of at least threshold."""
-    margin = F.greatest(F.expr("r DIV 4"), F.lit(2))
-    c = found.withColumn("m", margin).withColumn("circle", F.xxhash64("image_id", "cx", "cy", "r"))
-    edges = canny(gray, param1 // 2, param1).where("v > 0").select("image_id", "y", "x")
-    limit = F.col("r") + F.expr("m DIV 2")
-    cell = lambda at: F.floor(at / _CELL).cast("int")
-    cells = lambda at: F.explode(F.sequence(cell(F.col(at) - limit), cell(F.col(at) + limit)))
-    placed = c.withColumn("gx", cells("cx")).withColumn("gy", cells("cy"))
-    edges = edges.withColumn("gx", cell(F.col("x"))).withColumn("gy", cell(F.col("y")))
-    near = placed.join(edges, ["image_id", "gx", "gy"]).where(F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2) <= limit * limit)
-    near = near.select(F.col("circle").alias("image_id"), (F.col("y") - F.col("cy") + F.col("r") + F.col("m")).alias("y"), (F.col("x") - F.col("cx") + F.col("r") + F.col("m")).alias("x"))
-    box = c.select(F.col("circle").alias("image_id"), F.explode(F.sequence(F.lit(0), (F.col("r") + F.col("m")) * 2)).alias("y"), ((F.col("r") + F.col("m")) * 2).alias("w")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w"))))
-    crop = box.join(near.withColumn("e", F.lit(255)), ["image_id", "y", "x"], "left").select("image_id", "y", "x", F.coalesce("e", F.lit(0)).alias("v"))
-    best = contours(crop).groupBy(F.col("image_id").alias("circle")).agg(F.max_by(F.struct("area", "perimeter"), "area").alias("b"))
-    fit = F.col("b.area") * (4 * math.pi) / F.greatest(F.col("b.perimeter") * F.col("b.perimeter"), F.lit(1e-9))
-    return c.join(best.where(fit >= threshold).select("circle"), "circle").select(*found.columns)
+
+    def keep(some: pa.Table, kinds: pa.Table) -> dict[str, np.ndarray]:
+        edges = _edges(kinds)
+        rows = zip(*(some[c].to_pylist() for c in ("cx", "cy", "r", "votes")), strict=True)
+        return _columns([c for c in rows if _round(edges, *c[:3], threshold)])
+
+    some = found.select("image_id", *(F.col(c.split(" ")[0]).cast(c.split(" ")[1]) for c in _CIRCLE.split(", ")))
+    return arrays.per_image_pair(some, _kinds(gray, param1 // 2, param1), keep, _CIRCLE)
 
 
 def circle_features(found: DataFrame, gray: DataFrame, max_radius: int = 0) -> DataFrame:
@@ -255,10 +369,14 @@ def circle_features(found: DataFrame, gray: DataFrame, max_radius: int = 0) -> D
     return c.groupBy("image_id", "height", "width").agg(n.alias("circle_count"), F.count_if(r < third).alias("small_circle_count"), F.count_if((r >= third) & (r < third * 2)).alias("medium_circle_count"), F.count_if(r >= third * 2).alias("large_circle_count"), none(F.avg("r")).alias("avg_circle_radius"), none(F.stddev_pop("r")).alias("radius_std")).withColumn("circle_density", F.col("circle_count") / (F.col("height") * F.col("width"))).drop("height", "width")
 
 
-def circle_counter(gray: DataFrame, enable_circularity_filter: bool = True, circularity_threshold: float = 0.7, **options) -> DataFrame:
-    found = circles(gray, **options)
-    if enable_circularity_filter:
-        found = round_circles(found, gray, circularity_threshold, options.get("param1", 50))
-    return circle_features(found, gray, options.get("max_radius", 0))
+def circle_counter(gray: DataFrame, enable_circularity_filter: bool = True, circularity_threshold: float = 0.7, min_radius: int = 5, max_radius: int = 0, min_dist_ratio: float = 0.8, param1: int = 50, param2: int = 30, blur_kernel_size: int = 5) -> DataFrame:
+    """circle_features of the circles found; with the filter, of those that round_circles would keep, found and judged at once."""
+    if not enable_circularity_filter:
+        return circle_features(circles(gray, min_radius, max_radius, min_dist_ratio, param1, param2, blur_kernel_size), gray, max_radius)
 
+    def find(blurred: pa.Table, plain: pa.Table) -> dict[str, np.ndarray]:
+        edges = _edges(plain)
+        return _columns([c for c in _circles(blurred, min_radius, max_radius, min_dist_ratio, param2) if _round(edges, *c[:3], circularity_threshold)])
 
+    found = arrays.per_image_pair(_blurred_kinds(gray, param1, blur_kernel_size), _kinds(gray, param1 // 2, param1), find, _CIRCLE)
+    return circle_features(found, gray, max_radius)

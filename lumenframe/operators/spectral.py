@@ -11,43 +11,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenframe.functions import color
-from lumenframe.operators import grid
-
-
-def _image(table: pa.Table) -> np.ndarray:
-    """The pixels of one image as an array; pixels that are missing count as 0."""
-    y, x = table["y"].to_numpy(), table["x"].to_numpy()
-    out = np.zeros((int(y.max()) + 1, int(x.max()) + 1))
-    out[y, x] = table["v"].to_numpy()
-    return out
-
-
-def _pixels(table: pa.Table, columns: dict[str, np.ndarray]) -> pa.Table:
-    """Columns of one image's cells, after its image_id."""
-    n = len(next(iter(columns.values())))
-    ids = pa.repeat(table["image_id"][0], n)
-    return pa.table({"image_id": ids} | {k: pa.array(v) for k, v in columns.items()})
+from lumenframe.operators import arrays, grid
 
 
 def _by_image(gray: DataFrame, transform, schema: str) -> DataFrame:
     """transform (one image's y, x, v) -> cells; a Fourier transform needs the whole image, and numpy has the fast one."""
-    id_type = gray.schema["image_id"].dataType.simpleString()
     df = gray.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("v").cast("double").alias("v"))
-    return df.groupBy("image_id").applyInArrow(transform, f"image_id {id_type}, {schema}")
+    return arrays.per_image(df, transform, schema)
 
 
 def spectrum(gray: DataFrame, window: bool = True) -> DataFrame:
     """image_id, height, width, ky, kx (0 at the centre: negative to the left and above), re, im."""
 
-    def transform(table: pa.Table) -> pa.Table:
-        image = _image(table)
+    def transform(table: pa.Table) -> dict[str, np.ndarray]:
+        image = arrays.image(table)
         h, w = image.shape
         if window:
             image = image * np.hanning(h)[:, None] * np.hanning(w)[None, :]
         f = np.fft.fft2(image).ravel()
         ky, kx = ((np.fft.fftfreq(n) * n).round().astype(np.int32) for n in (h, w))
         cells = {"height": np.full(h * w, h, np.int32), "width": np.full(h * w, w, np.int32), "ky": np.repeat(ky, w), "kx": np.tile(kx, h)}
-        return _pixels(table, cells | {"re": f.real.copy(), "im": f.imag.copy()})
+        return cells | {"re": f.real.copy(), "im": f.imag.copy()}
 
     return _by_image(gray, transform, "height int, width int, ky int, kx int, re double, im double")
 
@@ -114,13 +98,13 @@ def ideal_filter(gray: DataFrame, mode: str = "lowpass", radius: float = 50) ->
     if mode == "original":
         return gray.select("image_id", "y", "x", "v")
 
-    def transform(table: pa.Table) -> pa.Table:
-        image = _image(table)
+    def transform(table: pa.Table) -> dict[str, np.ndarray]:
+        image = arrays.image(table)
         h, w = image.shape
         inside = (np.fft.fftfreq(h) * h)[:, None] ** 2 + (np.fft.fftfreq(w) * w)[None, :] ** 2 <= radius * radius + 1e-9
         back = np.abs(np.fft.ifft2(np.fft.fft2(image) * (inside if mode == "lowpass" else ~inside)))
         cells = {"y": np.repeat(np.arange(h, dtype=np.int32), w), "x": np.tile(np.arange(w, dtype=np.int32), h), "v": back.ravel()}
-        return _pixels(table, cells)
+        return cells
 
     out = _by_image(gray, transform, "y int, x int, v double")
     return color.min_max(out.withColumn("v", F.round("v", 6)))

@@ -8,7 +8,7 @@ from lumenframe.functions import names
 from lumenframe.operators import features, histogram, regions, statistics, texture
 from lumenframe.operators.grid import by_image
 from lumenframe.plans import pipeline, quality
-from lumenframe.plans.queries import _CHECKSUM, _OTSU, BGR, TILE, _checksum, _lbp_sql, _near, _replicate, _rounded, _sq, _stats_sql, query
+from lumenframe.plans.queries import _CHECKSUM, _OTSU, BGR, MOSAIC, TILE, _checksum, _lbp_sql, _near, _replicate, _rounded, _sq, _stats_sql, query
 from lumenframe.sources import files, tables
 from lumenframe.streaming import inference, streams
 
@@ -38,17 +38,90 @@ def contour_areas(spark, sf_dir):
     return regions.contours(histogram.std_bin(by_image(tables.gray_tile(spark, sf_dir)), 140), fill=False).select("image_id", "region", "area")
 
 
-@query("contour_rank")
+def _region_sql(source: str, side: int, threshold: int = 140) -> str:
+    """rl: runs (s: set or not) with their region; node: regions and holes with parent; anc: all around each, itself included."""
+    return f"""rn AS (SELECT image_id, y, s, min(x) AS x0, max(x) AS x1, y::BIGINT * 2147483648 + min(x) AS run
+  FROM (SELECT image_id, y, x, v > {threshold} AS s, x - row_number() OVER (PARTITION BY image_id, y, v > {threshold} ORDER BY x) AS g FROM {source}) GROUP BY image_id, y, s, g),
+tc AS (SELECT a.image_id, a.run AS u, b.run AS w FROM rn a JOIN rn b ON a.image_id = b.image_id AND a.s = b.s AND abs(a.y - b.y) = 1 AND b.x0 <= a.x1 + a.s::INT AND b.x1 >= a.x0 - a.s::INT),
+reach AS (SELECT image_id, run, run AS root FROM rn UNION SELECT t.image_id, t.w, r.root FROM reach r JOIN tc t ON t.image_id = r.image_id AND t.u = r.run WHERE r.root < t.w),
+rl AS (SELECT rn.*, region FROM rn JOIN (SELECT image_id, run, min(root) AS region FROM reach GROUP BY ALL) USING (image_id, run)),
+hl AS (SELECT image_id, region FROM rl WHERE NOT s GROUP BY ALL HAVING NOT bool_or(y IN (0, {side - 1}) OR x0 = 0 OR x1 = {side - 1})),
+node AS (SELECT f.image_id, f.region, l.region AS parent, true AS is_hole FROM rl f JOIN hl USING (image_id, region) JOIN rl l ON l.image_id = f.image_id AND l.y = f.y AND l.x1 = f.x0 - 1 WHERE f.run = f.region
+  UNION ALL SELECT f.image_id, f.region, l.region, false FROM rl f LEFT JOIN (SELECT * FROM rl JOIN hl USING (image_id, region)) l ON l.image_id = f.image_id AND l.y = f.y AND l.x1 = f.x0 - 1 WHERE f.run = f.region AND f.s),
+anc AS (SELECT image_id, region, region AS over, 0 AS up FROM node UNION ALL SELECT a.image_id, a.region, n.parent, up + 1 FROM anc a JOIN node n ON n.image_id = a.image_id AND n.region = a.over WHERE n.parent IS NOT NULL)"""
+
+
+@query(
+    "contour_rank",
+    f"""WITH RECURSIVE {TILE}, {_region_sql("tile", 8)},
+top AS (SELECT image_id, region FROM node WHERE parent IS NULL), px AS (SELECT image_id, region, y, unnest(range(x0, x1 + 1))::INT AS x FROM rl),
+full_ AS (SELECT image_id, over AS region, y, x FROM px JOIN anc USING (image_id, region) JOIN top ON top.image_id = px.image_id AND top.region = over),
+cell AS (SELECT image_id, region, y + dy AS y, x + dx AS x, count(*) AS n FROM full_, (VALUES (0, 0), (0, -1), (-1, 0), (-1, -1)) AS o(dy, dx) GROUP BY ALL),
+ar AS (SELECT image_id, region, sum(CASE n WHEN 4 THEN 1.0 WHEN 3 THEN 0.5 ELSE 0 END) AS area FROM cell GROUP BY ALL HAVING area >= 2),
+best AS (SELECT image_id, region FROM ar QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY area DESC, region) = 1)
+SELECT image_id, {_CHECKSUM} FROM (SELECT t.image_id, t.y, t.x, CASE WHEN f.image_id IS NULL THEN 0 ELSE 255 END AS v FROM tile t LEFT JOIN (SELECT * FROM full_ JOIN best USING (image_id, region)) f USING (image_id, y, x)) GROUP BY image_id""",
+)
 def contour_rank(spark, sf_dir):
     return _checksum(regions.contour(histogram.std_bin(by_image(tables.gray_tile(spark, sf_dir)).drop("class"), 140), min_area=2))
 
 
-@query("region_tree")
+@query("region_tree", f"WITH RECURSIVE {MOSAIC}, {_region_sql('mosaic', 64)} SELECT n.image_id, n.region, n.parent, n.is_hole, max(up)::INT AS level FROM node n JOIN anc USING (image_id, region) GROUP BY ALL")
 def region_tree(spark, sf_dir):
     return regions.hierarchy(histogram.std_bin(by_image(tables.gray_mosaic(spark, sf_dir)), 140))
 
 
-@query("canny")
+@query(
+    "retrieval_modes",
+    f"""WITH RECURSIVE {MOSAIC}, {_region_sql("mosaic", 64)}, few AS (SELECT 'list' AS mode, *, NULL::BIGINT AS p, 0 AS level FROM node UNION ALL SELECT 'external', *, NULL, 0 FROM node WHERE parent IS NULL
+  UNION ALL SELECT 'ccomp', *, CASE WHEN is_hole THEN parent END, is_hole::INT FROM node) SELECT mode, image_id, region, p AS parent, is_hole, level FROM few""",
+)
+def retrieval_modes(spark, sf_dir):
+    binary = histogram.std_bin(by_image(tables.gray_mosaic(spark, sf_dir)), 140)
+    one, *more = (regions.hierarchy(binary, m).withColumn("mode", F.lit(m)) for m in ("list", "external", "ccomp"))
+    return one.unionByName(more[0]).unionByName(more[1])
+
+
+_TRACE = f"""WITH RECURSIVE {TILE}, {_region_sql("tile", 8)}, px AS (SELECT image_id, y, x FROM tile WHERE v > 140),
+way(d, sy, sx, ty, tx) AS (VALUES (0, 0, 1, -1, 0), (1, 1, 0, 0, 1), (2, 0, -1, 1, 0), (3, -1, 0, 0, -1)),
+edge AS (SELECT p.image_id, p.y, p.x, w.* FROM px p CROSS JOIN way w WHERE NOT EXISTS (SELECT 1 FROM px q WHERE q.image_id = p.image_id AND q.y = p.y + w.ty AND q.x = p.x + w.tx)),
+nx AS (SELECT e.image_id, (e.y * 8 + e.x) * 4 + e.d AS id, CASE WHEN o.y IS NOT NULL THEN (o.y * 8 + o.x) * 4 + (e.d + 3) % 4 WHEN a.y IS NOT NULL THEN (a.y * 8 + a.x) * 4 + e.d ELSE (e.y * 8 + e.x) * 4 + (e.d + 1) % 4 END AS after
+  FROM edge e LEFT JOIN px o ON o.image_id = e.image_id AND o.y = e.y + sy + ty AND o.x = e.x + sx + tx LEFT JOIN px a ON a.image_id = e.image_id AND a.y = e.y + sy AND a.x = e.x + sx),
+lp AS (SELECT image_id, id AS root, id FROM nx UNION SELECT l.image_id, l.root, n.after FROM lp l JOIN nx n USING (image_id, id) WHERE l.root < n.after),
+lo AS (SELECT image_id, id, min(root) AS root FROM lp GROUP BY ALL),
+st AS (SELECT image_id, root, root % 4 <> 0 AS is_hole, min(id) FILTER (id % 4 = (root % 4 <> 0)::INT) AS start FROM lo GROUP BY ALL),
+walk AS (SELECT image_id, root, is_hole, start AS id, start, 0 AS k FROM st UNION ALL SELECT w.image_id, root, is_hole, n.after, start, k + 1 FROM walk w JOIN nx n USING (image_id, id) WHERE n.after <> start),
+kept AS (SELECT * FROM (SELECT *, id // 4 AS p, lag(id // 4) OVER (PARTITION BY image_id, root ORDER BY k) AS q FROM walk) WHERE q IS NULL OR p <> q),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY image_id, root ORDER BY k) - 1 AS j, count(*) OVER (PARTITION BY image_id, root) AS n FROM kept),
+ring AS (SELECT *, count(*) OVER (PARTITION BY image_id, root) AS m FROM numbered WHERE j = 0 OR j < n - 1 OR p <> start // 4),
+vx AS (SELECT image_id, root, is_hole, start, ((m - j) % m)::INT AS k, (p // 8)::INT AS y, (p % 8)::INT AS x, m FROM ring),
+named AS (SELECT v.*, rl.region FROM vx v JOIN rl ON rl.image_id = v.image_id AND rl.y = start // 4 // 8 AND (start // 4) % 8 + v.is_hole::INT BETWEEN rl.x0 AND rl.x1 AND rl.s <> v.is_hole),
+turn AS (SELECT a.*, a.m = 1 OR b.y - a.y <> a.y - c.y OR b.x - a.x <> a.x - c.x AS corner FROM named a JOIN named b ON b.image_id = a.image_id AND b.root = a.root AND b.k = (a.k + 1) % a.m JOIN named c ON c.image_id = a.image_id AND c.root = a.root AND c.k = (a.k + a.m - 1) % a.m)
+SELECT 'none' AS method, image_id, region, is_hole, k, y, x FROM turn UNION ALL
+SELECT 'simple', image_id, region, is_hole, (row_number() OVER (PARTITION BY image_id, root ORDER BY k) - 1)::INT, y, x FROM turn WHERE corner"""
+
+
+@query("contour_trace", _TRACE)
+def contour_trace(spark, sf_dir):
+    binary = histogram.std_bin(by_image(tables.gray_tile(spark, sf_dir)), 140)
+    every, few = (regions.trace(binary, approximation=m).withColumn("method", F.lit(m)) for m in ("none", "simple"))
+    return every.unionByName(few)
+
+
+def _sobel(axis: int) -> list[tuple]:
+    return [(dy, dx, (dx, dy)[axis] * (2 if (dy, dx)[axis] == 0 else 1)) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+
+
+@query(
+    "canny",
+    f"""WITH RECURSIVE {MOSAIC}, {_near("mosaic", _sobel(0), 64, _replicate)}, gx AS (SELECT image_id, y, x, sum(w * u)::INT AS gx FROM nb GROUP BY ALL),
+{_near("mosaic", _sobel(1), 64, _replicate).replace("nb AS", "nc AS", 1)}, g AS (SELECT image_id, y, x, gx, sum(w * u)::INT AS gy FROM nc JOIN gx USING (image_id, y, x) GROUP BY ALL),
+m AS (SELECT *, abs(gx) + abs(gy) AS m FROM g),
+way AS (SELECT *, CASE WHEN abs(gy) < 0.41421356237309503::DOUBLE * abs(gx) THEN (0, 1) WHEN abs(gy) > 2.414213562373095::DOUBLE * abs(gx) THEN (1, 0) WHEN gx::BIGINT * gy < 0 THEN (1, -1) ELSE (1, 1) END AS o FROM m),
+kind AS (SELECT a.image_id, a.y, a.x, CASE WHEN a.m <= coalesce(b.m, 0) OR a.m < coalesce(c.m, 0) THEN 0 WHEN a.m > 400 THEN 2 WHEN a.m > 200 THEN 1 ELSE 0 END AS k FROM way a
+  LEFT JOIN m b ON b.image_id = a.image_id AND b.y = a.y - a.o[1] AND b.x = a.x - a.o[2] LEFT JOIN m c ON c.image_id = a.image_id AND c.y = a.y + a.o[1] AND c.x = a.x + a.o[2]),
+e AS (SELECT image_id, y, x FROM kind WHERE k = 2 UNION SELECT q.image_id, q.y, q.x FROM e JOIN kind q ON q.image_id = e.image_id AND abs(q.y - e.y) <= 1 AND abs(q.x - e.x) <= 1 AND q.k > 0)
+SELECT image_id, {_CHECKSUM} FROM (SELECT k.image_id, k.y, k.x, CASE WHEN e.image_id IS NULL THEN 0 ELSE 255 END AS v FROM kind k LEFT JOIN e USING (image_id, y, x)) GROUP BY image_id""",
+)
 def canny(spark, sf_dir):
     return _checksum(regions.canny(by_image(tables.gray_mosaic(spark, sf_dir)), 200, 400))
 
