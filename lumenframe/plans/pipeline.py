@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from lumenframe.operators import grid
-from lumenframe.plans import registry
+from lumenframe.plans import quality, registry
 
 
 @dataclass(frozen=True)
@@ -41,16 +41,31 @@ def _one(name: str, config: dict, current: DataFrame, stages: dict[str, DataFram
     return registry.PROCESSORS[name].run(stages.get(wanted, stages["original"]), mask=current, **options)
 
 
-def chain(images: DataFrame, p: Profile, quarantine: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Every stage by name, each on the output of the one before; the last is also `pipeline`. Images named in quarantine
-    (image_id, operator) leave at that operator and have no later stage, the others go on."""
+def checked(images: DataFrame, p: Profile, quarantine: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Every stage by name, each on the output of the one before, the last also as `pipeline`; and the quarantine (image_id,
+    operator, message). An operator's data checks judge what it is about to read: images that fail leave there and have no
+    later stage, the others go on. quarantine: images (image_id, operator, maybe message) that are to leave in any case."""
     stages = {"original": images}
-    now = images
+    now, bad = images, []
     for name in p.processors:
+        operator = registry.PROCESSORS[name] if name in registry.PROCESSORS else None
         if quarantine is not None:
-            now = now.join(quarantine.where(F.col("operator") == name).select("image_id").distinct(), "image_id", "left_anti")
+            told = quarantine.where(F.col("operator") == name)
+            message = F.col("message") if "message" in quarantine.columns else F.lit(None).cast("string")
+            told = told.groupBy("image_id").agg(F.first(message).alias("message")).select("image_id", F.lit(name).alias("operator"), "message")
+            bad.append(told.join(now.select("image_id").distinct(), "image_id", "left_semi"))
+            now = now.join(told.select("image_id"), "image_id", "left_anti")
+        now, failed = quality.split(now, name, operator.data if operator else ())
+        bad += [failed] if failed is not None else []
         now = stages[name] = _one(name, p.config.get(name, {}), now, stages)
-    return stages | {"pipeline": now}
+    kind = images.schema["image_id"].dataType.simpleString()
+    none = images.sparkSession.createDataFrame([], f"image_id {kind}, operator string, message string")
+    return stages | {"pipeline": now}, reduce(DataFrame.unionByName, bad, none)
+
+
+def chain(images: DataFrame, p: Profile, quarantine: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The stages of `checked`, without those that failed."""
+    return checked(images, p, quarantine)[0]
 
 
 def fan(images: DataFrame, p: Profile, keep: str = "all") -> dict[str, DataFrame]:

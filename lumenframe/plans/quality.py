@@ -1,8 +1,51 @@
-"""Data-quality checks: rows (image_id, operator, message) instead of errors."""
+"""Data-quality checks: rows (image_id, operator, message) instead of errors.
+
+The functions each make one check of a relation. CHECKS are the same ones by name, as registered operators declare them;
+`split` makes all of an operator's checks in one pass over each image and parts good images from bad ones.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+
+class Check(NamedTuple):
+    """wrong(values, over) tells whether an image fails, from its pixels' value columns; over turns an aggregate into one of
+    the image."""
+
+    wrong: Callable[[list[str], Callable[[Column], Column]], Column]
+    message: str
+
+
+def _any(values: list[str], test: Callable[[Column], Column]) -> Column:
+    out = F.lit(False)
+    for c in values:
+        out = out | F.coalesce(test(F.col(c)), F.lit(True))  # a missing value fails
+    return out.cast("int")
+
+
+CHECKS: dict[str, Check] = {
+    "eight_bit": Check(lambda v, over: over(F.max(_any(v, lambda c: (c < 0) | (c > 255) | (c != F.floor(c))))) > 0, "values must be integers from 0 to 255"),
+    "binary": Check(lambda v, over: over(F.max(_any(v, lambda c: ~c.isin(0, 255)))) > 0, "values must be 0 or 255"),
+    "equal_channels": Check(lambda v, over: over(F.max(_any(v[1:], lambda c: c != F.col(v[0])))) > 0, "the channels of a mask must be equal"),
+    "four_by_four": Check(lambda v, over: (over(F.max("y")) < 3) | (over(F.max("x")) < 3), "image must be at least 4x4"),
+}
+
+
+def split(pixels: DataFrame, operator: str, checks: tuple[str, ...]) -> tuple[DataFrame, DataFrame | None]:
+    """The pixels of images that pass, and (image_id, operator, message) of the others, with the first check that fails; None
+    without checks. The checks are windows over image_id, so that dealt images stay where they are."""
+    if not checks:
+        return pixels, None
+    values = [c for c in ("v", "b", "g", "r") if c in pixels.columns]
+    image = Window.partitionBy("image_id")
+    failed = F.coalesce(*(F.when(CHECKS[c].wrong(values, lambda x: x.over(image)), F.lit(f"[{operator}] {CHECKS[c].message}")) for c in checks))
+    judged = pixels.withColumn("__failed", failed)
+    bad = judged.where("__failed IS NOT NULL").groupBy("image_id").agg(F.first("__failed").alias("message"))
+    return judged.where("__failed IS NULL").drop("__failed"), bad.select("image_id", F.lit(operator).alias("operator"), "message")
 
 
 def _bad(df: DataFrame, operator: str, wrong: Column, message: str) -> DataFrame:

@@ -349,13 +349,44 @@ def parallel_profile(spark, sf_dir):
     return s.groupBy("stage").agg(F.count("*").alias("n"), F.sum(F.col("v").cast("long")).alias("sum_v"))
 
 
-@query("quality_report", f"WITH {TILE} SELECT image_id, 'contour' AS operator, '[contour] at most 30 values are allowed' AS message FROM tile GROUP BY image_id HAVING count(DISTINCT v) > 30 UNION ALL SELECT image_id, 'mask_composition', '[mask_composition] values must be 0 or 255' FROM tile GROUP BY image_id HAVING count(*) FILTER (v NOT IN (0, 255)) > 0")
+#: Tiles of which some have values beyond 8 bits and some are smaller than 4x4.
+_ODD = f"{TILE}, odd AS (SELECT image_id, y, x, v + CASE WHEN image_id % 11 = 0 THEN 100 ELSE 0 END AS v FROM tile WHERE image_id % 13 <> 0 OR (y < 3 AND x < 3))"
+
+
+def _odd_tiles(spark, sf_dir):
+    tile = by_image(tables.gray_tile(spark, sf_dir)).where("image_id % 13 <> 0 OR (y < 3 AND x < 3)")
+    return tile.select("image_id", "y", "x", (F.col("v") + F.when(F.col("image_id") % 11 == 0, 100).otherwise(0)).alias("v"))
+
+
+@query(
+    "quality_report",
+    f"""WITH {_ODD}, i AS (SELECT image_id, count(DISTINCT v) AS kinds, count(*) FILTER (v NOT IN (0, 255)) AS other, max(y) AS y, max(x) AS x, max(v) AS hi FROM odd GROUP BY image_id)
+SELECT image_id, 'contour' AS operator, '[contour] at most 30 values are allowed' AS message FROM i WHERE kinds > 30 UNION ALL SELECT image_id, 'mask_composition', '[mask_composition] values must be 0 or 255' FROM i WHERE other > 0
+UNION ALL SELECT image_id, 'fft', '[fft] image must be at least 4x4' FROM i WHERE y < 3 OR x < 3 UNION ALL SELECT image_id, 'clahe', '[clahe] values must be integers from 0 to 255' FROM i WHERE hi > 255""",
+)
 def quality_report(spark, sf_dir):
-    tile = tables.gray_tile(spark, sf_dir)
+    tile = _odd_tiles(spark, sf_dir)
     found = quality.few_values(tile, "contour", 30).unionByName(quality.binary(tile, "mask_composition"))
     return found.unionByName(quality.too_small(tile, "fft")).unionByName(quality.eight_bit(tile, "clahe"))
 
 
+@query(
+    "checked_chain",
+    f"""WITH {_ODD}, wide AS (SELECT image_id FROM odd GROUP BY image_id HAVING max(v) > 255), bin AS (SELECT image_id, y, x, CASE WHEN v > 100 THEN 255 ELSE 0 END AS v FROM odd),
+bad AS (SELECT image_id, 'average_blur' AS operator, '[average_blur] values must be integers from 0 to 255' AS message FROM wide),
+size AS (SELECT image_id, max(y) + 1 AS n FROM odd GROUP BY image_id), near AS (SELECT p.image_id, p.y, p.x, floor(sum(q.v)::DOUBLE / 9 + 0.5)::INT AS v FROM odd p JOIN size s USING (image_id) CROSS JOIN (VALUES (-1), (0), (1)) a(dy) CROSS JOIN (VALUES (-1), (0), (1)) b(dx)
+  JOIN odd q ON q.image_id = p.image_id AND q.y = {"CASE WHEN p.y + dy < 0 THEN 1 WHEN p.y + dy >= n THEN n - 2 ELSE p.y + dy END"} AND q.x = {"CASE WHEN p.x + dx < 0 THEN 1 WHEN p.x + dx >= n THEN n - 2 ELSE p.x + dx END"} WHERE p.image_id NOT IN (SELECT image_id FROM wide) GROUP BY p.image_id, p.y, p.x)
+SELECT image_id, 'pipeline' AS stage, NULL AS message, sum(CASE WHEN near.v > 100 THEN o.v ELSE 0 END)::BIGINT AS total FROM near JOIN odd o USING (image_id, y, x) GROUP BY image_id
+UNION ALL SELECT image_id, operator, message, NULL FROM bad""",
+)
+def checked_chain(spark, sf_dir):
+    """A blur that images beyond 8 bits don't pass, a threshold, and its mask on the original."""
+    p = pipeline.Profile(["average_blur", "std_bin", "mask_composition"], {"average_blur": {"kernel_size": (3, 3)}, "std_bin": {"threshold": 100}}, "pipeline")
+    stages, bad = pipeline.checked(_odd_tiles(spark, sf_dir), p)
+    done = stages["pipeline"].groupBy("image_id").agg(F.sum("v").cast("long").alias("total")).select("image_id", F.lit("pipeline").alias("stage"), F.lit(None).cast("string").alias("message"), "total")
+    return done.unionByName(bad.select("image_id", F.col("operator").alias("stage"), "message", F.lit(None).cast("long").alias("total")))
+
+
 @query("image_checks", "SELECT vec_id AS image_id, 'clahe' AS operator, '[clahe] image is empty' AS message FROM embeddings WHERE vec_id % 7 = 3 UNION ALL SELECT vec_id, 'resize', '[resize] channels must be one of [1, 3, 4]' FROM embeddings WHERE vec_id % 5 NOT IN (1, 3, 4)")
 def image_checks(spark, sf_dir):
     e = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), (F.col("vec_id") % 5).cast("int").alias("n_channels"))
