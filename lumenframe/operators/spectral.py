@@ -1,5 +1,4 @@
-"""Frequency features: a Fourier transform (numpy's, one image a group) and an undecimated wavelet transform, as a join with
-a small table of factors and grouped sums."""
+"""Frequency features: a Fourier transform and an undecimated wavelet transform, each of one image's array in its group."""
 
 from __future__ import annotations
 
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenframe.functions import color
-from lumenframe.operators import arrays, grid
+from lumenframe.operators import arrays
 
 
 def _by_image(gray: DataFrame, transform, schema: str) -> DataFrame:
@@ -110,64 +109,142 @@ def ideal_filter(gray: DataFrame, mode: str = "lowpass", radius: float = 50) ->
     return color.min_max(out.withColumn("v", F.round("v", 6)))
 
 
-def lowpass_taps(wavelet: str) -> list[float]:
-    """The low-pass taps of the orthogonal wavelets db1 (haar) to db10, by spectral factorisation: of the roots of the
-    half-band polynomial those inside the unit circle; the high-pass taps follow by reversal and alternating signs."""
-    n = 1 if wavelet == "haar" else int(wavelet[2:]) if re.fullmatch(r"db\d+", wavelet) else 0
-    if not 1 <= n <= 10:
-        raise ValueError(f"wavelet {wavelet!r}")
+def _half_band(n: int) -> np.ndarray:
+    """The roots of the polynomial in z that is left of the half-band filter with n zeros at -1, inside the unit circle."""
     y = np.roots([math.comb(n - 1 + k, k) for k in range(n - 1, -1, -1)])
-    z = [min(np.roots([1, -(2 - 4 * r), 1]), key=abs) for r in y]
-    taps = np.real(np.poly([-1.0] * n + z))
-    return (taps * (math.sqrt(2) / taps.sum()))[::-1].tolist()
+    return np.array([min(np.roots([1, -(2 - 4 * r), 1]), key=abs) for r in y])
+
+
+def _scaled(taps: np.ndarray) -> list[float]:
+    return (np.real(taps) * (math.sqrt(2) / np.real(taps).sum())).tolist()
+
+
+def _least_asymmetric(n: int) -> list[float]:
+    """Of all choices of roots or their inverses (conjugates together) the one whose phase is nearest to a straight line."""
+    groups: list[list[complex]] = []
+    for z in _half_band(n):
+        if z.imag > 1e-9:
+            groups.append([z, z.conjugate()])
+        elif abs(z.imag) <= 1e-9:
+            groups.append([z])
+    w = np.linspace(0, math.pi, 200)[1:-1]
+    best = (math.inf, [])
+    for choice in range(1 << len(groups)):
+        z = [1 / r if choice >> k & 1 else r for k, g in enumerate(groups) for r in g]
+        taps = _scaled(np.poly([-1.0] * n + z))
+        phase = np.unwrap(np.angle(np.exp(-1j * np.outer(w, np.arange(2 * n))) @ np.array(taps)))
+        bent = float(np.square(phase - np.polyval(np.polyfit(w, phase, 1), w)).sum())
+        if bent < best[0] - 1e-9:
+            best = bent, taps
+    return best[1] if abs(best[1][0]) > abs(best[1][-1]) else best[1][::-1]
+
+
+def filters(wavelet: str) -> tuple[list[float], list[float]]:
+    """The analysis taps (low-pass, high-pass) of haar, db1 to db10, sym2 to sym10, and the spline wavelets biorR.D and rbioR.D
+    (R and D zeros at -1 in synthesis and analysis, both odd or both even, D of at least R or 1; 15 at most in all)."""
+    name = "db1" if wavelet == "haar" else wavelet
+    if m := re.fullmatch(r"(db|sym)(\d+)", name):
+        n = int(m[2])
+        if (m[1] == "db" and 1 <= n <= 10) or (m[1] == "sym" and 2 <= n <= 10):
+            lo = _scaled(np.poly([-1.0] * n + list(_half_band(n))))[::-1] if m[1] == "db" or n < 4 else _least_asymmetric(n)
+            return lo, [a if k % 2 == 0 else -a for k, a in enumerate(reversed(lo))]
+    if m := re.fullmatch(r"(r?bio)r?(\d+)\.(\d+)", name):
+        r, d = int(m[2]), int(m[3])
+        if (r + d) % 2 == 0 and 1 <= r <= 3 and r <= d + 2 and d >= 1 and r + d <= 15:
+            k = (r + d) // 2
+            rest = np.zeros(2 * k - 1)  # sum of C(k-1+j, j) ((2 - z - 1/z) / 4)^j, centred
+            for j in range(k):
+                power = np.array([1.0])
+                for _ in range(j):
+                    power = np.convolve(power, [-0.25, 0.5, -0.25])
+                rest[k - 1 - j : k + j] += math.comb(k - 1 + j, j) * power
+            binomial = lambda n: np.array([math.comb(n, j) for j in range(n + 1)], float)
+            analysis, synthesis = _scaled(np.convolve(binomial(d), rest)), _scaled(binomial(r))
+            if m[1] == "rbio":
+                analysis, synthesis = synthesis, analysis
+            size = max(len(analysis), len(synthesis))
+            size += size % 2
+            lo, other = (np.zeros(size) for _ in range(2))
+            odd = len(analysis) % 2  # odd filters are centred one before the middle
+            for out, taps in ((lo, analysis), (other, synthesis)):
+                begin = (size - len(taps) - odd) // 2
+                out[begin : begin + len(taps)] = taps
+            if odd:
+                other = np.roll(other, 1)  # so that the high-pass lies half-way between the low-pass's places
+            return lo.tolist(), [a if i % 2 == 0 else -a for i, a in enumerate(other.tolist())]
+    raise ValueError(f"wavelet {wavelet!r}")
+
+
+def lowpass_taps(wavelet: str) -> list[float]:
+    """The low-pass taps of filters, by spectral factorisation: of db1 (haar) to db10 from the roots inside the unit circle."""
+    return filters(wavelet)[0]
 
 
-def _filtered(df: DataFrame, axis: str, taps: list[tuple[float, float]], step: int) -> DataFrame:
-    """Adds lo and hi along an axis with periodic borders, taps `step` pixels apart."""
-    n = F.col("width" if axis == "x" else "height")
-    keep = [c for c in df.columns if c not in (axis, "c")]
-    to = F.array(*(F.struct(F.pmod(F.col(axis) - k * step, n).cast("int").alias("at"), F.lit(a).alias("lo"), F.lit(b).alias("hi")) for k, (a, b) in enumerate(taps)))
-    wide = df.withColumn("t", F.explode(to))
-    return wide.groupBy(*keep, F.col("t.at").alias(axis)).agg(F.sum(F.col("c") * F.col("t.lo")).alias("lo"), F.sum(F.col("c") * F.col("t.hi")).alias("hi"))
+def _swt(image: np.ndarray, low: list[float], high: list[float], max_level: int) -> list[dict[str, np.ndarray]]:
+    """The four bands of each level, the finest first, with periodic borders: whole rows and columns are shifted and added."""
+    m = 1 << max_level
+    now = np.pad(image, [(0, -n % m) for n in image.shape], mode="edge")
+    if now.max() > 1:
+        now = now / 255.0
+    out = []
+    for level in range(max_level):
+        step = 1 << level
+        filtered = lambda a, axis, taps: sum(t * np.roll(a, -k * step, axis) for k, t in enumerate(taps) if t)  # noqa: B023, E731
+        rows = {"l": filtered(now, 1, low), "h": filtered(now, 1, high)}
+        # the first letter is the filter along the rows, the second that down the columns
+        out.append({across + down: filtered(rows[across], 0, taps) for down, taps in (("l", low), ("h", high)) for across in "lh"})
+        now = out[-1]["ll"]
+    return out
 
 
 def swt(gray: DataFrame, wavelet: str = "db1", max_level: int = 1) -> DataFrame:
     """image_id, level, band (ll, lh, hl, hh), y, x, c. Images are padded to a multiple of 2**level by their last row and
-    column and divided by 255 if their maximum is above 1; level 1 is the finest."""
-    lo = lowpass_taps(wavelet)
-    taps = [(a, b if k % 2 == 0 else -b) for k, (a, b) in enumerate(zip(lo, reversed(lo), strict=True))]
-    df = grid.sized(gray.select("image_id", "y", "x", "v")).where("height >= 4 AND width >= 4")
-    m = 1 << max_level
-    more = lambda n: F.pmod(m - F.pmod(F.col(n), F.lit(m)), F.lit(m))
-    for axis, n in (("x", "width"), ("y", "height")):
-        at = F.when(F.col(axis) == F.col(n) - 1, F.sequence(F.col(axis), F.col(axis) + more(n))).otherwise(F.array(axis))
-        df = df.withColumn(axis, F.explode(at)).withColumn(n, F.col(n) + more(n))
-    high = F.max("v").over(Window.partitionBy("image_id"))
-    now = df.select("image_id", "height", "width", "y", "x", F.when(high > 1, F.col("v") / 255.0).otherwise(F.col("v").cast("double")).alias("c"))
-    out = None
-    for level in range(1, max_level + 1):
-        rows = _filtered(now, "x", taps, 1 << (level - 1))
-        both = rows.withColumn("b", F.explode(F.array(F.struct(F.lit("l").alias("n"), F.col("lo").alias("c")), F.struct(F.lit("h").alias("n"), F.col("hi").alias("c")))))
-        both = both.select("image_id", "height", "width", "y", "x", F.col("b.n").alias("across"), F.col("b.c").alias("c"))
-        cols = _filtered(both, "y", taps, 1 << (level - 1))
-        # the first letter is the filter along columns' direction (down), the second along rows
-        bands = F.array(*(F.struct(F.when(F.col("across") == "l", a).otherwise(b).alias("band"), F.col(c).alias("c")) for c, a, b in (("lo", "ll", "hl"), ("hi", "lh", "hh"))))
-        four = cols.select("image_id", "height", "width", "y", "x", F.explode(bands).alias("k")).select("image_id", "height", "width", F.lit(level).alias("level"), "k.band", "y", "x", "k.c")
-        now = four.where("band = 'll'").select("image_id", "height", "width", "y", "x", "c")
-        out = four if out is None else out.unionByName(four)
-    return out.drop("height", "width")
+    column and divided by 255 if their maximum is above 1; level 1 is the finest. Each image is one array in its task, so no
+    row is made for a tap; images under 4x4 have no bands."""
+    low, high = filters(wavelet)
+
+    def transform(table: pa.Table) -> dict[str, np.ndarray]:
+        image = arrays.image(table)
+        if min(image.shape) < 4:
+            return {"level": [], "band": [], "y": [], "x": [], "c": []}
+        levels = _swt(image, low, high, max_level)
+        h, w = levels[0]["ll"].shape
+        n, names = h * w, ["ll", "lh", "hl", "hh"]
+        return {
+            "level": np.repeat(np.arange(1, max_level + 1), 4 * n), "band": np.tile(np.repeat(np.arange(4), n), max_level), "y": np.tile(np.repeat(np.arange(h), w), 4 * max_level),
+            "x": np.tile(np.arange(w), 4 * h * max_level), "c": np.concatenate([b[k].ravel() for b in levels for k in names]),
+        }
+
+    cells = gray.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("v").cast("double").alias("v"))
+    out = arrays.per_image(cells, transform, "level int, band int, y int, x int, c double")
+    return out.withColumn("band", F.element_at(F.array(*map(F.lit, ("ll", "lh", "hl", "hh"))), F.col("band") + 1))
+
+
+def _band_statistics(c: np.ndarray) -> tuple[float, float, float, float]:
+    """mean, energy, std, entropy of a band."""
+    c = np.round(c.ravel(), 9) + 0.0
+    low, high, n = c.min(), c.max(), len(c)
+    bins = np.floor((c - low) / (high - low) * 255).astype(np.int64) if high > low else np.zeros(n, np.int64)
+    h = np.bincount(bins)
+    h = h[h > 0]
+    energy, mean = float((c * c).sum()), float(c.mean())
+    return mean, energy, math.sqrt(max(energy / n - mean * mean, 0.0)), float(np.log2(n) - (h * np.log2(h)).sum() / n)
 
 
 def swt_features(gray: DataFrame, wavelet: str = "db1", max_level: int = 1) -> DataFrame:
     """image_id, level, band, mean, energy, std, entropy (bits, over 256 equal bins of the band's range) and
-    energy_ratio: the band's share of the detail energy (null for ll)."""
-    c = swt(gray, wavelet, max_level).withColumn("c", F.round("c", 9))
-    band = Window.partitionBy("image_id", "level", "band")
-    low, high = F.min("c").over(band), F.max("c").over(band)
-    bins = F.when(high > low, F.floor((F.col("c") - low) / (high - low) * 255)).otherwise(0).cast("int")
-    c = c.withColumn("bin", bins)
-    h = c.groupBy("image_id", "level", "band", "bin").agg(F.count("*").alias("n"), F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    n = F.sum("n")
-    f = h.groupBy("image_id", "level", "band").agg((F.sum("s") / n).alias("mean"), F.sum("q").alias("energy"), F.sqrt(F.greatest(F.sum("q") / n - F.pow(F.sum("s") / n, 2), F.lit(0.0))).alias("std"), (F.log2(n.cast("double")) - F.sum(F.col("n") * F.log2(F.col("n").cast("double"))) / n).alias("entropy"))
-    detail = F.sum(F.when(F.col("band") != "ll", F.col("energy"))).over(Window.partitionBy("image_id", "level"))
-    return f.withColumn("energy_ratio", F.when(F.col("band") != "ll", F.when(detail > 0, F.col("energy") / detail).otherwise(0.0)))
+    energy_ratio: the band's share of the detail energy (null for ll). Only these leave the image's task."""
+    low, high = filters(wavelet)
+    names = ("ll", "lh", "hl", "hh")
+
+    def transform(table: pa.Table) -> dict[str, np.ndarray]:
+        image, found = arrays.image(table), []
+        for level, bands in enumerate(_swt(image, low, high, max_level) if min(image.shape) >= 4 else [], 1):
+            statistics = [_band_statistics(bands[k]) for k in names]
+            detail = sum(s[1] for s in statistics[1:])
+            found += [(level, k, *s, None if k == 0 else s[1] / detail if detail > 0 else 0.0) for k, s in enumerate(statistics)]
+        return {c: [f[i] for f in found] for i, c in enumerate(("level", "band", "mean", "energy", "std", "entropy", "energy_ratio"))}
+
+    cells = gray.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("v").cast("double").alias("v"))
+    out = arrays.per_image(cells, transform, "level int, band int, mean double, energy double, std double, entropy double, energy_ratio double")
+    return out.withColumn("band", F.element_at(F.array(*map(F.lit, names)), F.col("band") + 1))

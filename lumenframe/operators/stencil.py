@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lumenframe.functions.color import half_up
-from lumenframe.operators import grid
+from lumenframe.operators import arrays, grid
 
 
 def _odd(k: int) -> int:
@@ -39,23 +41,65 @@ def _square(r: int) -> list[tuple[int, int]]:
     return [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
 
 
+def _median(image: np.ndarray, k: int) -> np.ndarray:
+    """The median of k x k pixels, borders replicated. Bytes under large kernels: histograms of columns move down a row at a
+    time, and their running sums give each pixel's histogram, whatever k is. Else some rows at a time are partitioned."""
+    padded = np.pad(image, k // 2, mode="edge")
+    height, width = image.shape
+    out = np.empty(image.shape)
+    if k > 7 and image.min() >= 0 and image.max() <= 255 and (image == np.floor(image)).all():
+        padded = padded.astype(np.uint8)
+        at = np.arange(padded.shape[1])
+        columns = np.zeros((len(at) + 1, 256), np.int32)  # the first row stays 0
+        for row in padded[: k - 1]:
+            columns[at + 1, row] += 1
+        for y in range(height):
+            columns[at + 1, padded[y + k - 1]] += 1
+            sums = np.cumsum(columns, axis=0)
+            out[y] = (np.cumsum(sums[k:] - sums[:-k], axis=1) > k * k // 2).argmax(axis=1)
+            columns[at + 1, padded[y]] -= 1
+        return out
+    near = np.lib.stride_tricks.sliding_window_view(padded, (k, k))
+    step = max(1, 2_000_000 // (width * k * k))
+    for y in range(0, height, step):
+        out[y : y + step] = np.partition(near[y : y + step].reshape(-1, width, k * k), k * k // 2, axis=-1)[..., k * k // 2]
+    return out
+
+
+def _on_arrays(gray: DataFrame, function) -> DataFrame:
+    """image_id, y, x, v: function(image as an array) at the pixels that the image has; those it lacks count as 0."""
+
+    def run(table: pa.Table) -> dict[str, np.ndarray]:
+        y, x = table["y"].to_numpy(), table["x"].to_numpy()
+        return {"y": y, "x": x, "v": function(arrays.image(table))[y, x].astype(np.int32)}
+
+    cells = gray.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "v")
+    return arrays.per_image(cells, run, "y int, x int, v int")
+
+
 def median_blur(gray: DataFrame, kernel_size: int = 5) -> DataFrame:
-    near = grid.patches(grid.sized(gray), _odd(kernel_size) // 2, "replicate")
-    u = F.sort_array(F.transform("p", lambda c: c["u"]))
-    near = near.select("image_id", "y", "x", u.alias("u"))
-    half = F.expr("CAST(size(u) DIV 2 AS INT)")
-    return near.select("image_id", "y", "x", F.when(F.size("u") % 2 == 1, F.get("u", half)).otherwise((F.get("u", half - 1) + F.get("u", half)) / 2).cast("int").alias("v"))
+    """The median of the square around each pixel, borders replicated; an image is one array in its task."""
+    k = _odd(kernel_size)
+    return _on_arrays(gray, lambda image: _median(image, k))
 
 
 def bilateral_filter(gray: DataFrame, d: int = 9, sigma_color: float = 75, sigma_space: float = 75) -> DataFrame:
-    """Weights fall with distance (inside a disc of diameter d) and with the difference in value."""
+    """Weights fall with distance (inside a disc of diameter d) and with the difference in value. A neighbour's place at a time
+    is weighed for the whole image, so that nothing is held for pairs of pixels."""
     r = d // 2
-    far = lambda c: c["dy"] * c["dy"] + c["dx"] * c["dx"]
-    weight = lambda c: F.exp(far(c) / (-2.0 * sigma_space**2) + F.pow(c["u"] - F.col("v"), 2) / (-2.0 * sigma_color**2))
-    weighted = F.transform(F.filter("p", lambda c: far(c) <= r * r), lambda c: F.struct(weight(c).alias("w"), c["u"].alias("u")))
-    near = grid.patches(grid.sized(gray), r).select("image_id", "y", "x", weighted.alias("p"))
-    sums = F.aggregate("p", F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("w")), lambda a, c: F.struct((a["n"] + c["w"] * c["u"]).alias("n"), (a["w"] + c["w"]).alias("w")))
-    return near.select("image_id", "y", "x", sums.alias("s")).select("image_id", "y", "x", half_up(F.col("s.n") / F.col("s.w")).alias("v"))
+    disc = [(dy, dx) for dy, dx in _square(r) if dy * dy + dx * dx <= r * r]
+
+    def run(image: np.ndarray) -> np.ndarray:
+        padded = np.pad(image, r, mode="reflect")
+        total, weights = np.zeros(image.shape), np.zeros(image.shape)
+        for dy, dx in disc:
+            u = padded[r + dy : r + dy + image.shape[0], r + dx : r + dx + image.shape[1]]
+            w = np.exp((dy * dy + dx * dx) / (-2.0 * sigma_space**2) + (u - image) ** 2 / (-2.0 * sigma_color**2))
+            total += w * u
+            weights += w
+        return np.floor(total / weights + 0.5)
+
+    return _on_arrays(gray, run)
 
 
 def motion_kernel(k: int, angle: float) -> list[tuple[int, int]]:

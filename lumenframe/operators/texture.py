@@ -5,10 +5,12 @@ from __future__ import annotations
 import itertools
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenframe.functions import color
-from lumenframe.operators import grid
+from lumenframe.operators import arrays, grid
 
 
 def glcm_offsets(distances: tuple[int, ...], angles: tuple[float, ...]) -> list[tuple[int, int, int, int]]:
@@ -80,22 +82,50 @@ def lbp_samples(p: int, r: int) -> list[list[tuple[int, int, float]]]:
     return out
 
 
+def _far_samples(gray: DataFrame, p: int, r: float, variance: bool) -> DataFrame:
+    """image_id, y, x, mask (bit k: sample k is at least the centre), code (the samples' variance, if asked), from shifted slices
+    of the image's array."""
+    if p > 62:
+        raise ValueError(f"{p} points do not fit a mask")
+    circle, pad = lbp_samples(p, r), math.ceil(r)
+
+    def run(table: pa.Table) -> dict[str, np.ndarray]:
+        image = arrays.image(table)
+        y, x = table["y"].to_numpy(), table["x"].to_numpy()
+        padded = np.pad(image, pad)
+        at = lambda dy, dx: padded[pad + dy : pad + dy + image.shape[0], pad + dx : pad + dx + image.shape[1]]
+        mask, total, squares = np.zeros(image.shape, np.int64), np.zeros(image.shape), np.zeros(image.shape)
+        for k, cells in enumerate(circle):
+            sample = sum(at(dy, dx) * w for dy, dx, w in cells)
+            mask |= (sample >= image).astype(np.int64) << k
+            total += sample
+        if variance:
+            for cells in circle:
+                squares += (sum(at(dy, dx) * w for dy, dx, w in cells) - total / p) ** 2
+        return {"y": y, "x": x, "mask": mask[y, x], "code": squares[y, x] / p}
+
+    cells = gray.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "v")
+    return arrays.per_image(cells, run, "y int, x int, mask long, code double")
+
+
 def lbp_codes(gray: DataFrame, p: int = 8, r: float = 1, method: str = "uniform") -> DataFrame:
     """image_id, y, x, code. Pixels outside the image are 0; a bit is set where the sample is at least the centre."""
     if r <= 0:
         raise ValueError(f"a radius of {r}")
-    if r <= 1:
+    if r > 1:
+        near = _far_samples(gray, p, r, method == "var")
+        if method == "var":
+            return near.select("image_id", "y", "x", "code")
+        near = near.withColumn("bits", F.array(*(F.shiftright("mask", k).bitwiseAND(1).cast("int") for k in range(p))))
+    else:
         near = grid.around(grid.sized(gray), "zero")
         at = lambda dy, dx: F.col(f"n{3 * (dy + 1) + dx + 1}")
-    else:
-        near = grid.patches(grid.sized(gray), math.ceil(r), None)
-        at = lambda dy, dx: F.coalesce(F.get(F.filter("p", lambda c: (c["dy"] == dy) & (c["dx"] == dx)), F.lit(0))["u"], F.lit(0))
-    samples = [grid.total([at(dy, dx) * F.lit(w) for dy, dx, w in cells]) for cells in lbp_samples(p, r)]
-    if method == "var":
-        mean = grid.total(samples) / p
-        code = grid.total([(s - mean) * (s - mean) for s in samples]) / p
-        return near.select("image_id", "y", "x", code.alias("code"))
-    near = near.withColumn("bits", F.array(*((s >= F.col("v")).cast("int") for s in samples)))
+        samples = [grid.total([at(dy, dx) * F.lit(w) for dy, dx, w in cells]) for cells in lbp_samples(p, r)]
+        if method == "var":
+            mean = grid.total(samples) / p
+            code = grid.total([(s - mean) * (s - mean) for s in samples]) / p
+            return near.select("image_id", "y", "x", code.alias("code"))
+        near = near.withColumn("bits", F.array(*((s >= F.col("v")).cast("int") for s in samples)))
     bit = lambda k: F.col("bits")[k % p]
     value = lambda shift: grid.total([bit(k + shift) * (1 << k) for k in range(p)])
     changes = grid.total([F.abs(bit(k) - bit(k + 1)) for k in range(p)])

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 
 from lumenframe.functions import color
@@ -208,3 +209,65 @@ def test_larger_radius_and_aperture(spark):
     assert near[6, 6] == sum(1 << k for k in (0, 1, 2, 6, 7))
     h = texture.lbp(ramp, include_histogram=True, resize_shape=(8, 8)).first()
     assert sum(h[f"lbp_bin_{k}"] for k in range(10)) == pytest.approx(1)
+
+
+def test_more_wavelets():
+    sym4 = [-0.07576571478927333, -0.02963552764599851, 0.49761866763201545, 0.8037387518059161, 0.29785779560527736, -0.09921954357684722, -0.012603967262037833, 0.0322231006040427]
+    assert spectral.lowpass_taps("sym4") == pytest.approx(sym4, abs=1e-6)
+    for n in range(2, 11):
+        lo = spectral.lowpass_taps(f"sym{n}")
+        for shift in range(n):
+            assert sum(a * b for a, b in zip(lo, lo[2 * shift :], strict=False)) == pytest.approx(float(shift == 0), abs=1e-6)
+        assert sum(k**1 * (-1) ** k * a for k, a in enumerate(lo)) == pytest.approx(0, abs=1e-5)
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (64, 64))
+    for r, d in ((1, 1), (1, 3), (1, 5), (2, 2), (2, 4), (2, 6), (2, 8), (3, 1), (3, 3), (3, 5), (3, 7), (3, 9)):
+        lo, hi = spectral.filters(f"bior{r}.{d}")
+        assert sum(lo) == pytest.approx(math.sqrt(2)) and sum(hi) == pytest.approx(0, abs=1e-9)
+        # analysis low-pass and synthesis low-pass (behind the high-pass) are each other's dual
+        dual = [a if k % 2 == 0 else -a for k, a in enumerate(hi)]
+        products = [sum(lo[k] * dual[k + s] for k in range(len(lo)) if 0 <= k + s < len(lo)) for s in range(-len(lo), len(lo))]
+        even, odd = products[len(lo) % 2 :: 2], products[1 - len(lo) % 2 :: 2]
+        assert any(sorted(abs(v) for v in half)[-1] == pytest.approx(1) and sorted(abs(v) for v in half)[-2] == pytest.approx(0, abs=1e-9) for half in (even, odd)), (r, d)
+        back = spectral.filters(f"rbio{r}.{d}")
+        assert sum(back[0]) == pytest.approx(math.sqrt(2))
+        bands = spectral._swt(x, lo, hi, 2)
+        assert all(np.isfinite(b).all() for level in bands for b in level.values())
+    assert spectral.filters("bior1.1")[0] == pytest.approx(spectral.lowpass_taps("haar"))
+    for bad in ("sym11", "coif1", "bior4.4", "bior2.3", "haar2"):
+        with pytest.raises(ValueError):
+            spectral.filters(bad)
+
+
+def test_wavelets_keep_energy_and_follow_each_tap(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 2, (8, 16)).astype(float)
+    for name in ("db2", "sym5"):
+        lo, hi = spectral.filters(name)
+        levels = spectral._swt(x, lo, hi, 2)
+        assert sum((b**2).sum() for b in levels[0].values()) == pytest.approx(4 * (x**2).sum())
+        slow = sum(lo[a] * hi[b] * x[(3 + a) % 8, (5 + b) % 16] for a in range(len(lo)) for b in range(len(lo)))
+        assert levels[0]["hl"][3, 5] == pytest.approx(slow)
+    rows = [(i, y, c, int(x[y, c])) for i in (1, 2) for y in range(8) for c in range(16)] + [(3, 0, 0, 1)]
+    got = spectral.swt(spark.createDataFrame(rows, "image_id long, y int, x int, v int"), "sym5", 2)
+    assert {r["image_id"] for r in got.select("image_id").distinct().collect()} == {1, 2}
+    one = got.where("image_id = 1 AND level = 2 AND band = 'hl' AND y = 3 AND x = 4").first()
+    assert one["c"] == pytest.approx(levels[1]["hl"][3, 4])
+
+
+def test_order_statistics_of_any_kernel(spark):
+    rng = np.random.default_rng(7)
+    small, big, floats = rng.integers(0, 256, (9, 13)), rng.integers(0, 256, (70, 90)), rng.normal(0, 1, (20, 15))
+    for image_, k in ((small, 3), (big, 9), (big, 31), (floats, 9), (small, 31)):
+        padded = np.pad(image_, k // 2, mode="edge")
+        want = np.array([[np.median(padded[y : y + k, x : x + k]) for x in range(image_.shape[1])] for y in range(image_.shape[0])])
+        assert (stencil._median(image_.astype(float), k) == want).all()
+    rows = [(1, y, x, int(v)) for (y, x), v in np.ndenumerate(small)]
+    df = spark.createDataFrame(rows[:-3], "image_id long, y int, x int, v int")
+    out = grid(stencil.bilateral_filter(df, 5, 20, 2))
+    assert len(out) == len(rows) - 3
+    padded = np.pad(np.where(np.arange(9 * 13).reshape(9, 13) < 9 * 13 - 3, small, 0), 2, mode="reflect").astype(float)
+    for y, x in ((0, 0), (4, 6), (8, 3)):
+        cells = [(a, b) for a in range(-2, 3) for b in range(-2, 3) if a * a + b * b <= 4]
+        w = [math.exp(-(a * a + b * b) / 8 - (padded[y + 2 + a, x + 2 + b] - padded[y + 2, x + 2]) ** 2 / 800) for a, b in cells]
+        assert out[y, x] == math.floor(sum(f * padded[y + 2 + a, x + 2 + b] for f, (a, b) in zip(w, cells, strict=True)) / sum(w) + 0.5)
