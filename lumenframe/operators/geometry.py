@@ -34,7 +34,11 @@ def _axis(df: DataFrame, axis: str, n: str, to: str, area: Column) -> DataFrame:
 
 def resize_to(gray: DataFrame, width: Column, height: Column) -> DataFrame:
     """gray resized: area weights when the new area is smaller, else bilinear; two passes of grouped sums."""
-    df = grid.sized(gray.select("image_id", "y", "x", "v")).withColumn("tw", width).withColumn("th", height)
+    return _resized(grid.sized(gray.select("image_id", "y", "x", "v")).withColumn("tw", width).withColumn("th", height))
+
+
+def _resized(df: DataFrame) -> DataFrame:
+    """df: image_id, y, x, v with height and width, and those to come as th and tw."""
     area = F.col("tw") * F.col("th") < F.col("width") * F.col("height")
     keys = ["image_id", "width", "height", "tw", "th", "y", "x"]
     df = _axis(df, "x", "width", "tw", area).groupBy(*keys).agg(F.sum("v").alias("v"))
@@ -71,19 +75,49 @@ def letterbox(gray: DataFrame, width: int, height: int, padding: int = 114) -> D
     return canvas.join(small, ["image_id", "y", "x"], "left").select("image_id", "y", "x", F.coalesce("v", F.lit(padding)).alias("v"))
 
 
+def _boxed(images: DataFrame, x: Column, y: Column, w: Column, h: Column) -> DataFrame:
+    """The part of each image inside its box, moved to the origin; images with height and width."""
+    x0, y0 = F.greatest(F.lit(0), x), F.greatest(F.lit(0), y)
+    x1, y1 = F.least(F.col("width"), x + w), F.least(F.col("height"), y + h)
+    some = F.coalesce((x1 > x0) & (y1 > y0), F.lit(False))
+    inside = (F.col("x") >= x0) & (F.col("x") < x1) & (F.col("y") >= y0) & (F.col("y") < y1)
+    out = images.where(~some | inside)
+    return out.withColumn("__x", F.when(some, F.col("x") - x0).otherwise(F.col("x"))).withColumn("y", F.when(some, F.col("y") - y0).otherwise(F.col("y"))).withColumn("x", F.col("__x")).drop("height", "width", "__x")
+
+
 def roi_crop(images: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:
     """The part of each image inside the box, clamped to it and moved to the origin; an empty or outside box keeps all."""
-    df = grid.sized(images)
-    x0, y0 = F.greatest(F.lit(0), F.lit(x)), F.greatest(F.lit(0), F.lit(y))
-    x1, y1 = F.least(F.col("width"), F.lit(x + w)), F.least(F.col("height"), F.lit(y + h))
-    some = (x1 > x0) & (y1 > y0)
-    inside = (F.col("x") >= x0) & (F.col("x") < x1) & (F.col("y") >= y0) & (F.col("y") < y1)
-    out = df.where(~some | inside)
-    return out.withColumn("x", F.when(some, F.col("x") - x0).otherwise(F.col("x"))).withColumn("y", F.when(some, F.col("y") - y0).otherwise(F.col("y"))).drop("height", "width")
+    return _boxed(grid.sized(images), *map(F.lit, (x, y, w, h)))
+
 
+def roi_by_table(images: DataFrame, boxes: DataFrame, on: tuple[str, ...] = ("camera",), most_broadcast: int = 100_000) -> DataFrame:
+    """roi_crop with each image's own box. boxes: the columns of `on`, x, y, w, h; of several for one key the first in order,
+    those with a null left out. An image without a box stays whole. Up to most_broadcast boxes go to all tasks; more are joined by
+    key."""
+    key = [F.col(k) for k in on]
+    own = boxes.dropna(subset=[*on, "x", "y", "w", "h"]).groupBy(*key).agg(F.min(F.struct("x", "y", "w", "h")).alias("__box"))
+    own = F.broadcast(own) if own.limit(most_broadcast + 1).count() <= most_broadcast else own
+    df = grid.sized(images).join(own, list(on), "left")
+    return _boxed(df, *(F.col(f"__box.{c}") for c in "xywh")).select(images.columns)
 
-def mask_composition(target: DataFrame, mask: DataFrame, use_white_pixels: bool = True, enable_cropping: bool = False, crop_margin: int = 5) -> DataFrame:
-    """target where the mask is white (or where it is not), 0 elsewhere; the crop box bounds the white pixels in any case."""
+
+def fitted(target: DataFrame, mask: DataFrame) -> DataFrame:
+    """target with the images whose size is not their mask's resized to it; the others, and those without a mask, as they are."""
+    values = [c for c in target.columns if c not in ("image_id", "y", "x")]
+    side = lambda df, h, w: df.groupBy("image_id").agg((F.max("y") + 1).alias(h), (F.max("x") + 1).alias(w))
+    other = side(target, "h", "w").join(side(mask, "th", "tw"), "image_id").where("h <> th OR w <> tw").select("image_id", "th", "tw")
+    odd, out = target.join(other, "image_id"), None
+    for c in values:
+        sized = grid.sized(odd.select("image_id", "y", "x", F.col(c).alias("v"), "th", "tw"))
+        new = _resized(sized).select("image_id", "y", "x", F.col("v").cast(target.schema[c].dataType).alias(c))
+        out = new if out is None else out.join(new, ["image_id", "y", "x"])
+    return target.join(other, "image_id", "left_anti").unionByName(out.select(*(F.col(c).cast(target.schema[c].dataType).alias(c) for c in target.columns)))
+
+
+def mask_composition(target: DataFrame, mask: DataFrame, use_white_pixels: bool = True, enable_cropping: bool = False, crop_margin: int = 5, resize_target: bool = False) -> DataFrame:
+    """target where the mask is white (or where it is not), 0 elsewhere; the crop box bounds the white pixels in any case.
+    resize_target: targets of another size than their mask are resized to it first; else the two meet by position."""
+    target = fitted(target, mask) if resize_target else target
     values = [c for c in target.columns if c not in ("image_id", "y", "x")]
     m = mask.select("image_id", "y", "x", (F.col("v") > 0).alias("__w"))
     keep = F.col("__w") if use_white_pixels else ~F.col("__w")

@@ -459,6 +459,26 @@ def roi_crop(spark, sf_dir):
     return _checksum(geometry.roi_crop(by_image(tables.gray_mosaic(spark, sf_dir)), 16, 8, 32, 100))
 
 
+@query(
+    "roi_by_table",
+    f"""WITH {MOSAIC}, box AS (SELECT * FROM (VALUES (0, 4, 10, 20, 30), (0, 9, 0, 3, 3), (1, 60, 60, 99, 99), (2, 0, 0, 0, 5)) AS b(camera, bx, by_, bw, bh) QUALIFY row_number() OVER (PARTITION BY camera ORDER BY bx, by_, bw, bh) = 1),
+placed AS (SELECT m.*, CASE WHEN least(64, bx + bw) > bx AND least(64, by_ + bh) > by_ THEN bx END AS bx, by_, bw, bh FROM mosaic m LEFT JOIN box ON image_id % 4 = camera)
+SELECT image_id, {_CHECKSUM} FROM (SELECT image_id, CASE WHEN bx IS NULL THEN y ELSE y - by_ END AS y, CASE WHEN bx IS NULL THEN x ELSE x - bx END AS x, v FROM placed WHERE bx IS NULL OR (x >= bx AND x < bx + bw AND y >= by_ AND y < by_ + bh)) GROUP BY image_id""",
+)
+def roi_by_table(spark, sf_dir):
+    boxes = spark.createDataFrame([(0, 4, 10, 20, 30), (0, 9, 0, 3, 3), (1, 60, 60, 99, 99), (2, 0, 0, 0, 5)], "camera int, x int, y int, w int, h int")
+    m = by_image(tables.gray_mosaic(spark, sf_dir)).withColumn("camera", (F.col("image_id") % 4).cast("int"))
+    return _checksum(geometry.roi_by_table(m, boxes))
+
+
+@query("mask_of_another_size", f"WITH {TILE}, small AS (SELECT image_id, y // 2 AS y, x // 2 AS x, floor(avg(v) + 0.5)::INT AS v FROM tile GROUP BY ALL) SELECT image_id, {_CHECKSUM} FROM (SELECT image_id, y, x, CASE WHEN v > 130 THEN v ELSE 0 END AS v FROM small) GROUP BY image_id")
+def mask_of_another_size(spark, sf_dir):
+    """Masks of half the size: the targets shrink to them."""
+    tile = by_image(tables.gray_tile(spark, sf_dir)).select("image_id", "y", "x", "v")
+    mask = histogram.std_bin(geometry.resize(tile, 4, 4, preserve_aspect_ratio=False), 130)
+    return _checksum(geometry.mask_composition(tile, mask, resize_target=True))
+
+
 @query("mask_compose", f"WITH {TILE}, w AS (SELECT image_id, greatest(0, min(y) FILTER (v > 150) - 1) AS ay, max(y) FILTER (v > 150) + 1 AS by_, greatest(0, min(x) FILTER (v > 150) - 1) AS ax, max(x) FILTER (v > 150) + 1 AS bx FROM tile GROUP BY image_id) SELECT image_id, {_CHECKSUM} FROM (SELECT image_id, y - coalesce(ay, 0) AS y, x - coalesce(ax, 0) AS x, CASE WHEN v > 150 THEN v ELSE 0 END AS v FROM tile JOIN w USING (image_id) WHERE by_ IS NULL OR (y BETWEEN ay AND by_ AND x BETWEEN ax AND bx)) GROUP BY image_id")
 def mask_compose(spark, sf_dir):
     tile = by_image(tables.gray_tile(spark, sf_dir)).drop("class")

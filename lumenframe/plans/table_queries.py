@@ -254,6 +254,22 @@ def classification_log(spark, sf_dir):
     return good.select("event_id", "class_name", "confidence", inference.tier("confidence").alias("tier"))
 
 
+_LOG_SQL = f"""WITH {_EV} SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS timestamp, k AS class_id, event_type AS class_name, k / 100.0 AS confidence, value + 2 AS total_ms, value AS e2e_time_ms, value + 1 AS rtt_ms, 'cpu' AS backend,
+  CASE WHEN k % 2 = 0 THEN 0.5 END::DOUBLE AS api_preprocess_ms, CASE WHEN k % 2 = 1 THEN 1.5 END::DOUBLE AS phase_preprocess_ms, 2.5::DOUBLE AS phase_inference_ms, NULL::DOUBLE AS phase_inference_gpu_ms, NULL::DOUBLE AS phase_postprocess_ms, NULL::DOUBLE AS api_postprocess_ms,
+  k + 900 AS gpu_clock_mhz, NULL::INT AS gpu_vram_used_mb, NULL::INT AS gpu_temperature_c, CASE WHEN k % 3 = 0 THEN 'f' || event_id || '.png' ELSE '' END AS image_file FROM ev WHERE k % 10 <> 0"""
+
+
+@query("classification_log_rows", _LOG_SQL)
+def classification_log_rows(spark, sf_dir):
+    """The 18 columns of responses with phases and GPU values, without those that lack a key."""
+    f, k = tables.frames(spark, sf_dir), F.col("class_id")
+    phases = F.map_from_arrays(F.array(F.when(k % 2 == 0, "api_preprocess_ms").otherwise("pipeline_preprocess_ms"), F.lit("pipeline_inference_ms")), F.array(F.when(k % 2 == 0, 0.5).otherwise(1.5), F.lit(2.5)))
+    parts = ["class_id", F.when(k % 10 != 0, F.col("class_name")).alias("class_name"), "confidence", F.array("confidence").alias("probabilities"), F.col("total_ms").alias("e2e_time_ms"), F.lit("cpu").alias("backend"), phases.alias("phase_times_ms"), (k + 900).alias("gpu_clock_mhz")]
+    image_file = F.when(k % 3 == 0, F.concat(F.lit("f"), F.col("event_id").cast("string"), F.lit(".png"))).alias("image_file")
+    good, _ = inference.classifications(f.select("ts", (F.col("total_ms") + 2).alias("total_ms"), (F.col("total_ms") + 1).alias("rtt_ms"), image_file, F.to_json(F.struct(*parts)).alias("body")))
+    return inference.log_rows(good)
+
+
 @query("time_parts", "SELECT event_id, round(value + 2, 3) - round(value + 1, 3) AS encode_ms, round(value + 1, 3) - value AS network_ms FROM events")
 def time_parts(spark, sf_dir):
     f = tables.frames(spark, sf_dir).select("event_id", F.col("total_ms").alias("e2e_time_ms"), (F.col("total_ms") + 1).alias("rtt_ms"), (F.col("total_ms") + 2).alias("total_ms"))

@@ -3,13 +3,24 @@
 from __future__ import annotations
 
 import json
+import struct
 import uuid
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared one (spark.checkpoint.dir); under /tmp only where that is not set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lumenframe-checkpoints"
+    """A new folder in the cluster's shared one (spark.checkpoint.dir). Where that is unset, one under /tmp, but on a local master
+    only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "/tmp/lumenframe-checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -33,13 +44,80 @@ def images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def pixels(good: DataFrame) -> DataFrame:
-    """image_id (a hash of origin), origin, y, x, b, g, r. Rows are cut off the bytes first, then pixels off the rows."""
+    """image_id (a hash of origin), origin, y, x, b, g, r. Rows are cut off the bytes first (a character a byte, in Latin-1), then
+    pixels off the rows."""
     df = good.withColumn("image_id", F.xxhash64("origin"))
-    row = F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.substring("data", y * F.col("width") * F.col("channels") + 1, F.col("width") * F.col("channels")))
-    df = df.select("image_id", "origin", "channels", "width", F.posexplode(row).alias("y", "row")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
-    byte = lambda k: F.conv(F.hex(F.substring("row", F.col("x") * F.col("channels") + k + 1, F.lit(1))), 16, 10).cast("int")
-    one = F.col("channels") == 1
-    return df.select("image_id", "origin", "y", "x", byte(0).alias("b"), F.when(one, byte(0)).otherwise(byte(1)).alias("g"), F.when(one, byte(0)).otherwise(byte(2)).alias("r"))
+    row = F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.decode(F.substring("data", y * F.col("width") * F.col("channels") + 1, F.col("width") * F.col("channels")), "ISO-8859-1"))
+    df = df.select("image_id", "origin", "channels", "width", F.posexplode(row).alias("y", "row")).withColumn("c", F.split("row", ""))
+    byte = lambda x, k: F.ascii(F.get("c", x * F.col("channels") + F.least(F.lit(k), F.col("channels") - 1)))
+    cell = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda x: F.struct(x.alias("x"), *(byte(x, k).alias(n) for k, n in enumerate("bgr"))))
+    return df.select("image_id", "origin", "y", F.explode(cell).alias("p")).select("image_id", "origin", "y", "p.x", "p.b", "p.g", "p.r")
+
+
+PACKED = "height int, width int, channels int, data binary"
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """image_id, height, width, channels, data: the pixels (v, or b, g, r) of each image as the bytes that `pixels` reads, row by
+    row. Pixels that are missing are 0; values must be bytes. Each image is put together in the task of its group."""
+    values = ["v"] if "v" in df.columns else ["b", "g", "r"]
+    kind = df.schema["image_id"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        y, x = table["y"].to_numpy(), table["x"].to_numpy()
+        out = np.zeros((int(y.max()) + 1, int(x.max()) + 1, len(values)), np.uint8)
+        for k, c in enumerate(values):
+            v = table[c].to_numpy()
+            if len(v) and (v.min() < 0 or v.max() > 255):
+                raise ValueError(f"{c} of image {table['image_id'][0]} is no byte")
+            out[y, x, k] = v
+        h, w, n = out.shape
+        return pa.table({"image_id": table["image_id"][:1]} | {c: pa.array([v], pa.int32()) for c, v in (("height", h), ("width", w), ("channels", n))} | {"data": pa.array([out.tobytes()], pa.binary())})
+
+    cells = df.select("image_id", *(F.col(c).cast("int").alias(c) for c in ("y", "x", *values)))
+    return cells.groupBy("image_id").applyInArrow(run, f"image_id {kind}, {PACKED}")
+
+
+def png(height: int, width: int, channels: int, data: bytes) -> bytes:
+    """A PNG file of gray (1 channel) or blue-green-red pixels (3)."""
+    rows = np.frombuffer(data, np.uint8).reshape(height, width, channels)[:, :, ::-1].reshape(height, -1)
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    raw = np.concatenate([np.zeros((height, 1), np.uint8), rows], axis=1).tobytes()  # filter 0 before each row
+    head = struct.pack(">IIBBBBB", width, height, 8, 0 if channels == 1 else 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def write_images(df: DataFrame, path: str, name: str = "image_id") -> DataFrame:
+    """Writes each image as path/{name}.png and returns image_id, path of what was written. df: pixels, with the column `name`.
+
+    Tasks write by pyarrow's file systems (local and shared folders, HDFS, object stores), each file under a name of its own
+    that is moved to the last one when it is whole, so that lost tasks leave no half a file."""
+    files_ = packed(df) if name == "image_id" else packed(df).join(df.select("image_id", F.col(name).cast("string").alias("__name")).distinct(), "image_id")
+    label = F.col("image_id").cast("string") if name == "image_id" else F.col("__name")
+    kind = df.schema["image_id"].dataType.simpleString()
+    uri = path if "://" in path else f"file://{path}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(uri)
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            written = []
+            for r in batch.to_pylist():
+                at = f"{base}/{r['label']}.png"
+                part = f"{base}/_{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as f:
+                    f.write(png(r["height"], r["width"], r["channels"], r["data"]))
+                system.move(part, at)
+                written.append(f"{path.rstrip('/')}/{r['label']}.png")
+            yield pa.RecordBatch.from_arrays([batch["image_id"], pa.array(written)], names=["image_id", "path"])
+
+    spark = df.sparkSession
+    done = files_.select("image_id", "height", "width", "channels", "data", label.alias("label")).mapInArrow(run, f"image_id {kind}, path string")
+    log = shared_path(spark, "images-written")
+    done.write.parquet(log)
+    return spark.read.schema(done.schema).parquet(log)
 
 
 def write_features(wide: DataFrame, path: str, output_format: str = "csv", separator: str = ",", enable_long_format: bool = False) -> None:
@@ -56,11 +134,15 @@ def write_features(wide: DataFrame, path: str, output_format: str = "csv", separ
         write(features.to_long(wide), f"{path}/features_long")
 
 
-def write_stages(stages: dict[str, DataFrame], path: str, save_original: DataFrame | None = None) -> None:
-    """Each stage's pixels in a folder of their own; the input as stage `original` if given."""
+def write_stages(stages: dict[str, DataFrame], path: str, save_original: DataFrame | None = None, as_images: bool = False) -> None:
+    """Each stage's pixels in a folder of their own; the input as stage `original` if given. as_images: PNG files instead of
+    tables of pixels."""
     every = {**({"original": save_original} if save_original is not None else {}), **stages}
     for name, df in every.items():
-        df.write.mode("overwrite").parquet(f"{path}/stage={name}")
+        if as_images:
+            write_images(df, f"{path}/stage={name}")
+        else:
+            df.write.mode("overwrite").parquet(f"{path}/stage={name}")
 
 
 def write_manifest(spark: SparkSession, path: str, profile: str, config: dict) -> None:

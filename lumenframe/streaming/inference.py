@@ -81,3 +81,22 @@ def time_parts(df: DataFrame) -> DataFrame:
     """total contains rtt contains e2e: adds encode_ms and network_ms; rtt and total rounded to 3 places."""
     out = df.withColumn("rtt_ms", F.round("rtt_ms", 3)).withColumn("total_ms", F.round("total_ms", 3))
     return out.withColumn("encode_ms", F.col("total_ms") - F.col("rtt_ms")).withColumn("network_ms", F.col("rtt_ms") - F.col("e2e_time_ms"))
+
+
+#: The columns of the classification log and where they come from (fixed names).
+LOG = {
+    "timestamp": None, "class_id": None, "class_name": None, "confidence": None, "total_ms": None, "e2e_time_ms": None, "rtt_ms": None, "backend": None,
+    "api_preprocess_ms": "api_preprocess_ms", "phase_preprocess_ms": "pipeline_preprocess_ms", "phase_inference_ms": "pipeline_inference_ms", "phase_inference_gpu_ms": "pipeline_inference_gpu_ms",
+    "phase_postprocess_ms": "pipeline_postprocess_ms", "api_postprocess_ms": "api_postprocess_ms", "gpu_clock_mhz": None, "gpu_vram_used_mb": None, "gpu_temperature_c": None, "image_file": None,
+}
+
+
+def log_rows(parsed: DataFrame) -> DataFrame:
+    """The 18 columns of the classification log. parsed: classifications() with ts, total_ms, rtt_ms and, where a frame was saved,
+    image_file; phases that a response lacks are null, an image_file that it lacks is empty."""
+    made = {
+        "timestamp": F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
+        "image_file": F.coalesce(F.col("image_file"), F.lit("")) if "image_file" in parsed.columns else F.lit(""),
+    }
+    phase = lambda p: F.try_element_at("phase_times_ms", F.lit(p))
+    return parsed.select(*((phase(p) if p else made[c] if c in made else F.col(c)).alias(c) for c, p in LOG.items()))

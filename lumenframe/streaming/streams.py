@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from lumenframe.streaming import inference
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -108,3 +110,12 @@ def sessions(frames: DataFrame, gap: str) -> DataFrame:
 def append_log(stream: DataFrame, path: str, checkpoint: str):
     """Appends a stream's rows to Parquet files, each row once; a retry after an error goes on from the checkpoint."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def append_classifications(responses: DataFrame, path: str, checkpoint: str):
+    """The classification log of a stream of responses (body, ts, total_ms, rtt_ms, maybe image_file) as CSV files with a header,
+    each response once, also after a restart: Spark's file sink lists what a checkpointed batch has committed, and readers of
+    the folder see that alone. Responses that lack a required key are not logged; `inference.classifications` has them."""
+    good, _ = inference.classifications(responses)
+    log = inference.log_rows(good)
+    return log.writeStream.format("csv").option("header", True).option("path", path).option("checkpointLocation", checkpoint).outputMode("append")

@@ -2,7 +2,9 @@
 
 import datetime as dt
 import json
+import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +159,73 @@ def test_wide_features_read_and_deal_images_once(spark):
     wide.collect()
     plan = wide._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("InMemoryRelation") >= 5  # every extractor reads the kept images, which are dealt by image_id already
+
+
+def test_images_round_trip(spark, tmp_path):
+    """scan -> operator -> sink -> scan, byte by byte, in gray and in colour."""
+    rng = np.random.default_rng(5)
+    shapes = {1: (5, 7), 2: (1, 1), 3: (33, 20)}
+    colour = {i: rng.integers(0, 256, (*s, 3)) for i, s in shapes.items()}
+    rows = [(i, y, x, *(int(v) for v in colour[i][y, x])) for i, s in shapes.items() for y in range(s[0]) for x in range(s[1])]
+    px = spark.createDataFrame(rows, "image_id long, y int, x int, b int, g int, r int").repartition(3)
+    done = files.write_images(px, f"{tmp_path}/in")
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in done.collect()) == ["1.png", "2.png", "3.png"]
+    good, bad = files.images(spark, f"{tmp_path}/in")
+    assert bad.count() == 0 and good.count() == 3
+    scanned = files.pixels(good).withColumn("name", F.regexp_extract("origin", r"(\d+)\.png$", 1).cast("long"))
+    back = {(r["name"], r["y"], r["x"]): (r["b"], r["g"], r["r"]) for r in scanned.collect()}
+    assert back == {(i, y, x): (b, g, r) for i, y, x, b, g, r in rows}
+    inverted = scanned.select(F.col("name").alias("image_id"), "y", "x", (255 - F.col("g")).alias("v"), F.concat(F.lit("n"), F.col("name")).alias("file"))
+    files.write_images(inverted, f"{tmp_path}/out", "file")
+    again, _ = files.images(spark, f"{tmp_path}/out")
+    gray = files.pixels(again).withColumn("name", F.regexp_extract("origin", r"n(\d+)\.png$", 1).cast("long")).collect()
+    assert {(r["name"], r["y"], r["x"]): (r["b"], r["g"], r["r"]) for r in gray} == {(i, y, x): (255 - g,) * 3 for i, y, x, b, g, r in rows}
+    whole = {r["image_id"]: r for r in files.packed(px).collect()}
+    assert all(bytes(whole[i]["data"]) == colour[i].astype("uint8").tobytes() and (whole[i]["height"], whole[i]["width"], whole[i]["channels"]) == (*shapes[i], 3) for i in shapes)
+    files.write_stages({"a": inverted.select("image_id", "y", "x", "v")}, f"{tmp_path}/stages", as_images=True)
+    assert files.images(spark, f"{tmp_path}/stages/stage=a")[0].count() == 3
+
+
+def test_the_classification_log_survives_a_restart(spark, tmp_path):
+    schema = "ts timestamp, total_ms double, rtt_ms double, image_file string, body string"
+    answer = {"class_id": 1, "class_name": "a", "confidence": 0.5, "probabilities": [0.5], "e2e_time_ms": 3.0, "backend": "cpu", "phase_times_ms": {"pipeline_inference_ms": 2.0}}
+
+    def feed(name, ids):
+        lines = [json.dumps({"ts": f"2024-01-01T00:00:{i:02d}.000123Z", "total_ms": 5.0 + i, "rtt_ms": 4.0, "body": json.dumps(answer | {"class_id": i}) if i % 4 else "{}"} | ({"image_file": f"{i}.png"} if i % 2 else {})) for i in ids]
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text("\n".join(lines))
+
+    def run():
+        stream = spark.readStream.schema(schema).json(f"{tmp_path}/in")
+        streams.append_classifications(stream, f"{tmp_path}/log", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+
+    feed("a.json", range(10))
+    run()
+    run()  # nothing new
+    feed("b.json", range(10, 17))
+    run()
+    log = spark.read.option("header", True).csv(f"{tmp_path}/log")
+    assert log.columns == list(inference.LOG) and len(log.columns) == 18
+    rows = sorted(log.collect(), key=lambda r: int(r["class_id"]))
+    assert [int(r["class_id"]) for r in rows] == [i for i in range(17) if i % 4]
+    assert rows[0]["timestamp"] == "2024-01-01 00:00:01.000123" and rows[0]["phase_inference_ms"] == "2.0" and rows[0]["phase_preprocess_ms"] is None
+    assert [r["image_file"] or "" for r in rows] == [f"{i}.png" if i % 2 else "" for i in range(17) if i % 4]
+
+
+def test_boxes_and_masks_of_their_own(spark):
+    from lumenframe.operators import geometry
+
+    px = spark.createDataFrame([(i, y, x, 10 * y + x, i % 3) for i in range(4) for y in range(6) for x in range(8)], "image_id long, y int, x int, v int, camera int")
+    boxes = spark.createDataFrame([(0, 1, 2, 3, 4), (0, 5, 0, 1, 1), (1, 2, 0, None, 3), (None, 0, 0, 1, 1)], "camera int, x int, y int, w int, h int")
+    for most in (100_000, 0):
+        out = geometry.roi_by_table(px, boxes, most_broadcast=most)
+        got = {(r["image_id"], r["y"], r["x"]): r["v"] for r in out.collect()}
+        assert out.columns == px.columns
+        assert {k[1:]: v for k, v in got.items() if k[0] == 3} == {(y, x): 10 * (y + 2) + x + 1 for y in range(4) for x in range(3)}
+        assert sum(k[0] == 1 for k in got) == sum(k[0] == 2 for k in got) == 48
+    mask = spark.createDataFrame([(0, y, x, 255 * (x > 1)) for y in range(3) for x in range(4)] + [(1, y, x, 255) for y in range(6) for x in range(8)], "image_id long, y int, x int, v int")
+    colour = px.select("image_id", "y", "x", F.col("v").alias("b"), F.lit(7).alias("g"), (F.col("v") * 2).alias("r"))
+    got = {(r["image_id"], r["y"], r["x"]): (r["b"], r["g"], r["r"]) for r in geometry.mask_composition(colour, mask, resize_target=True).collect()}
+    assert len(got) == 12 + 48 and got[0, 0, 0] == (0, 0, 0) and got[1, 5, 7] == (57, 7, 114)
+    block = [10 * y + x for y in (2, 3) for x in (4, 5)]
+    assert got[0, 1, 2] == (math.floor(sum(block) / 4 + 0.5), 7, math.floor(sum(block) / 2 + 0.5))
