@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import re
 from functools import reduce
 
@@ -71,8 +73,10 @@ def to_wide(long: DataFrame, names: list[str]) -> DataFrame:
 
 
 def select_extractors(configured: list[str], wanted: list[str] | None, known: list[str]) -> list[str]:
-    """The wanted ones, else all configured; unknown ones are skipped; none left is an error."""
+    """The wanted ones, else all configured; unknown ones are skipped with a warning; none left is an error."""
     out = [e for e in (wanted or configured) if e in known]
+    if skipped := [e for e in (wanted or configured) if e not in known]:
+        warnings.warn(f"unknown extractors are skipped: {', '.join(skipped)}", stacklevel=2)
     if not out:
         raise ValueError("no usable extractor")
     return out

@@ -116,15 +116,19 @@ def motion_blur(gray: DataFrame, kernel_size: int = 15, angle: float = 0) -> Dat
 
 
 def _below(gray: DataFrame, mean: DataFrame, c: int) -> DataFrame:
-    both = gray.join(mean.select("image_id", "y", "x", F.col("v").alias("__m")), ["image_id", "y", "x"])
-    return both.withColumn("v", F.when(F.col("v") > F.col("__m") - int(c), 255).otherwise(0)).drop("__m")
+    """mean: of _with_own(gray), which carries each pixel's own value along, so that nothing is joined."""
+    return mean.withColumn("v", F.when(F.col("__own") > F.col("v") - int(c), 255).otherwise(0)).select(gray.columns)
+
+
+def _with_own(gray: DataFrame) -> DataFrame:
+    return gray.withColumn("__own", F.col("v"))
 
 
 def mean_adapt_bin(gray: DataFrame, block_size: int = 11, c: int = 2) -> DataFrame:
     k = _odd(block_size)
-    mean = grid.separable(grid.sized(gray), [1] * k, [1] * k, "replicate")
+    mean = grid.separable(grid.sized(_with_own(gray)), [1] * k, [1] * k, "replicate")
     return _below(gray, mean.withColumn("v", half_up(F.col("v") / (k * k))), c)
 
 
 def gauss_adapt_bin(gray: DataFrame, block_size: int = 11, c: int = 2) -> DataFrame:
-    return _below(gray, gaussian_blur(gray, (block_size, block_size), border="replicate"), c)
+    return _below(gray, gaussian_blur(_with_own(gray), (block_size, block_size), border="replicate"), c)

@@ -38,6 +38,20 @@ def contour_areas(spark, sf_dir):
     return regions.contours(histogram.std_bin(by_image(tables.gray_tile(spark, sf_dir)), 140), fill=False).select("image_id", "region", "area")
 
 
+@query(
+    "contour_lengths",
+    f"""WITH RECURSIVE {TILE}, px AS (SELECT image_id, y, x, y::BIGINT * 2147483648 + x AS id FROM tile WHERE v > 140),
+reach AS (SELECT image_id, id, y, x, id AS root FROM px UNION SELECT q.image_id, q.id, q.y, q.x, r.root FROM reach r JOIN px q ON q.image_id = r.image_id AND abs(q.y - r.y) <= 1 AND abs(q.x - r.x) <= 1 WHERE r.root < q.id),
+lb AS (SELECT image_id, id, any_value(y) AS y, any_value(x) AS x, min(root) AS region FROM reach GROUP BY ALL),
+cell AS (SELECT image_id, region, y + dy AS y, x + dx AS x, count(*) AS n, sum(bit)::INT AS m FROM lb, (VALUES (0, 0, 1), (0, -1, 2), (-1, 0, 4), (-1, -1, 8)) AS o(dy, dx, bit) GROUP BY ALL)
+SELECT image_id, region, round(sum(CASE WHEN n = 3 THEN sqrt(2::DOUBLE) WHEN m IN (6, 9) THEN 2 * sqrt(2::DOUBLE) WHEN n = 2 THEN 1 ELSE 0 END), 6) AS perimeter FROM cell GROUP BY ALL""",
+)
+def contour_lengths(spark, sf_dir):
+    """Lengths of all borders of each region, its holes' included."""
+    found = regions.contours(histogram.std_bin(by_image(tables.gray_tile(spark, sf_dir)), 140), fill=False)
+    return found.select("image_id", "region", F.round("perimeter", 6).alias("perimeter"))
+
+
 def _region_sql(source: str, side: int, threshold: int = 140) -> str:
     """rl: runs (s: set or not) with their region; node: regions and holes with parent; anc: all around each, itself included."""
     return f"""rn AS (SELECT image_id, y, s, min(x) AS x0, max(x) AS x1, y::BIGINT * 2147483648 + min(x) AS run

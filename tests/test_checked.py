@@ -71,3 +71,20 @@ def test_a_users_extractor_beside_built_in_ones(images, spark):
             registry.image_extractor("corner", "a double")(lambda image: {})
     finally:
         del registry.EXTRACTORS["corner"]
+
+
+def test_unknown_extractors_are_named():
+    from lumenframe.operators import features
+
+    with pytest.warns(UserWarning, match="nope"):
+        assert features.select_extractors([], ["nope", "brightness"], ["brightness"]) == ["brightness"]
+
+
+def test_adaptive_thresholds_join_nothing(images):
+    from lumenframe.operators import stencil
+
+    some = images.where("image_id IN (1, 3)")
+    for f in (stencil.mean_adapt_bin, stencil.gauss_adapt_bin):
+        out = f(some, 3, 2)
+        assert out.columns == some.columns and "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+        assert {r["v"] for r in out.where("image_id = 1").collect()} <= {0, 255}
