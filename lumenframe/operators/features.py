@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import warnings
-
 import re
+import warnings
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F

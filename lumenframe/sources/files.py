@@ -120,9 +120,9 @@ def write_images(df: DataFrame, path: str, name: str = "image_id") -> DataFrame:
     return spark.read.schema(done.schema).parquet(log)
 
 
-def write_features(wide: DataFrame, path: str, output_format: str = "csv", separator: str = ",", enable_long_format: bool = False) -> None:
+def write_features(wide: DataFrame, path: str, output_format: str = "csv", separator: str = ",", enable_long_format: bool = False, config: dict | None = None) -> None:
     """`csv`: the wide table (and the long one beside it, if asked); `long_csv`: the long one alone. Empty tables leave no
-    rows."""
+    rows. config: kept as a manifest beside the features."""
     from lumenframe.operators import features
 
     write = lambda df, to: df.write.mode("overwrite").option("header", True).option("sep", separator).csv(to)
@@ -132,6 +132,8 @@ def write_features(wide: DataFrame, path: str, output_format: str = "csv", separ
         write(features.ordered(wide), f"{path}/features")
     if output_format == "long_csv" or enable_long_format:
         write(features.to_long(wide), f"{path}/features_long")
+    if config is not None:
+        write_manifest(wide.sparkSession, f"{path}/manifest", "features", config)
 
 
 def write_stages(stages: dict[str, DataFrame], path: str, save_original: DataFrame | None = None, as_images: bool = False) -> None:

@@ -229,3 +229,11 @@ def test_boxes_and_masks_of_their_own(spark):
     assert len(got) == 12 + 48 and got[0, 0, 0] == (0, 0, 0) and got[1, 5, 7] == (57, 7, 114)
     block = [10 * y + x for y in (2, 3) for x in (4, 5)]
     assert got[0, 1, 2] == (math.floor(sum(block) / 4 + 0.5), 7, math.floor(sum(block) / 2 + 0.5))
+
+
+def test_the_configuration_lies_beside_the_features(spark, tmp_path):
+    wide = spark.createDataFrame([("a", 1.0)], "filename string, f double")
+    files.write_features(wide, f"{tmp_path}/out", "long_csv", config={"glcm": {"levels": 16}})
+    row = spark.read.json(f"{tmp_path}/out/manifest").first()
+    assert row["profile"] == "features" and json.loads(row["config"]) == {"glcm": {"levels": 16}}
+    assert spark.read.option("header", True).csv(f"{tmp_path}/out/features_long").first()["feature_value"] == "1.0"
