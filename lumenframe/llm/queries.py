@@ -164,32 +164,36 @@ reach AS (SELECT a AS doc_id, a AS r FROM both_ways UNION SELECT reach.doc_id, b
 SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(min(r), d.doc_id))::BIGINT AS component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN reach ON reach.doc_id = d.doc_id GROUP BY d.doc_id""",
     "op10_template_decontamination": rf"""
-WITH raw AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
-tok AS (SELECT kind, id, regexp_extract_all(regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(1), ' '),
-          '([0-9]) ?((?i:{decontamination.UNITS}))\b', '\1 ' || chr(1) || 'u\2', 'g'), '([\p{{Ll}}0-9,;:] )(\p{{Lu}})', '\1' || chr(1) || 'm\2', 'g'),
-          '{decontamination.WORD.replace(chr(1), _SQL_MARK)}') AS w FROM raw WHERE id IS NOT NULL),
-tm AS (SELECT kind, id, list_transform(w, lambda x: CASE WHEN x[1] = chr(1) OR regexp_matches(x, '^[0-9]') THEN x ELSE '' END) AS v,
+WITH raw AS (SELECT 0 AS kind, doc_id AS id, replace(coalesce(text, ''), chr(1), ' ') AS x FROM documents WHERE doc_id IS NOT NULL
+        UNION ALL SELECT 1, item_id, replace(coalesce(text, ''), chr(1), ' ') FROM benchmark WHERE item_id IS NOT NULL),
+nm AS (SELECT kind, id, x, regexp_replace(regexp_replace(x, '{decontamination.CAPITAL}', '\1' || chr(1) || 'm\2', 'g'), '{decontamination.NO_NAME.replace(chr(1), _SQL_MARK)}', '\1', 'g') AS y FROM raw),
+form AS (SELECT kind, id, 1 AS form, x FROM nm UNION ALL SELECT kind, id, 0, y FROM nm WHERE contains(y, chr(1))),
+bare AS (SELECT kind, id, form, list_transform(regexp_extract_all(x, '{decontamination.WORD.replace(chr(1), _SQL_MARK)}'), lambda x: lower(x)) AS w FROM form),
+tok AS (SELECT kind, id, form, w AS bare, list_transform(w, lambda x, i: CASE WHEN regexp_full_match(x, '{decontamination.NUMBER_WORDS}') THEN chr(1) || 'n' || x
+          WHEN regexp_full_match(x, '{decontamination.UNITS}') AND regexp_full_match(w[i - 1], '[0-9].*|{decontamination.NUMBER_WORDS}') THEN chr(1) || 'u' || x ELSE x END) AS w FROM bare),
+tm AS (SELECT kind, id, form, list_transform(w, lambda x: CASE WHEN x[1] = chr(1) OR regexp_matches(x, '^[0-9]') THEN x ELSE '' END) AS v,
           list_transform(w, lambda x: CASE WHEN x[1:2] = chr(1) || 'u' THEN '<unit>' WHEN x[1:2] = chr(1) || 'm' THEN '<name>'
-          WHEN regexp_matches(x, '^[0-9]') THEN '<num>' ELSE lower(x) END) AS t FROM tok),
-win AS (SELECT kind, id, i, CASE WHEN list_contains(v[i : i + 7], '') THEN array_to_string(t[i : i + 7], ' ') ELSE '=' || array_to_string(v[i : i + 7], ' ') END AS s,
+          WHEN x[1:2] = chr(1) || 'n' OR regexp_matches(x, '^[0-9]') THEN '<num>' ELSE x END) AS t FROM tok),
+win AS (SELECT kind, id, form, i, CASE WHEN list_contains(v[i : i + 7], '') THEN array_to_string(t[i : i + 7], ' ') ELSE '=' || array_to_string(v[i : i + 7], ' ') END AS s,
           list_filter(v[i : i + 7], lambda x: x <> '') AS v FROM tm, unnest(range(1, len(t) - 6)) AS r(i)),
-item AS (SELECT id, s, min(i) AS i, arg_min(v, i) AS v FROM win WHERE kind = 1 GROUP BY id, s),
-sizes AS (SELECT id, count(*) AS item_windows FROM item GROUP BY id),
-hit AS (SELECT d.id AS doc_id, b.id AS item_id, d.i - b.i AS shift, b.i, b.v AS bv, d.v AS dv FROM win d JOIN item b ON d.s = b.s AND d.kind = 0),
-shifts AS (SELECT *, sum(CASE WHEN before IS NULL OR shift - before >= (item_windows + 7) / 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, item_id ORDER BY shift) AS run
-        FROM (SELECT *, lag(shift) OVER (PARTITION BY doc_id, item_id ORDER BY shift) AS before
-              FROM (SELECT DISTINCT doc_id, item_id, shift FROM hit) JOIN sizes ON id = item_id)),
+item AS (SELECT id, form, s, min(i) AS i, arg_min(v, i) AS v FROM win WHERE kind = 1 GROUP BY id, form, s),
+sizes AS (SELECT id, form, count(*) AS item_windows FROM item GROUP BY ALL),
+hit AS (SELECT d.id AS doc_id, b.id AS item_id, form, d.i - b.i AS shift, b.i, b.v AS bv, d.v AS dv FROM win d JOIN item b USING (form, s) WHERE d.kind = 0),
+shifts AS (SELECT *, sum(CASE WHEN before IS NULL OR shift - before >= (item_windows + 7) / 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, item_id, form ORDER BY shift) AS run
+        FROM (SELECT *, lag(shift) OVER (PARTITION BY doc_id, item_id, form ORDER BY shift) AS before
+              FROM (SELECT DISTINCT doc_id, item_id, form, shift FROM hit) JOIN (SELECT id AS item_id, form, item_windows FROM sizes) USING (item_id, form))),
 lv AS (SELECT hit.*, item_windows, l AS level, CASE l WHEN 0 THEN 0 WHEN 1 THEN run ELSE shift END AS place
-       FROM hit JOIN shifts USING (doc_id, item_id, shift), unnest([0, 1, 2]) AS u(l)),
-pair AS (SELECT DISTINCT doc_id, item_id, level, place, unnest(bv) AS x, unnest(dv) AS y FROM lv),
-ok AS (SELECT doc_id, item_id, level, place, bool_and(x = y) AS same, count(*) = count(DISTINCT x) AS one FROM pair GROUP BY ALL),
-n AS (SELECT doc_id, item_id, item_windows, level, place, count(DISTINCT i) AS n_all, count(DISTINCT i) FILTER (bv = dv) AS n_own FROM lv GROUP BY ALL),
-best AS (SELECT doc_id, item_id, item_windows, coalesce(same OR one, true) AND level = 0 AS whole, coalesce(same OR NOT one, true) AS exact,
-        CASE WHEN coalesce(same OR one, true) THEN n_all ELSE n_own END AS n FROM n LEFT JOIN ok USING (doc_id, item_id, level, place)),
-top AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY whole DESC, exact DESC, n DESC) AS k FROM best WHERE n >= 0.3 * item_windows),
-few AS (SELECT DISTINCT id, len(w) AS n, array_to_string(list_transform(w, lambda x: regexp_replace(lower(x), '\x01[mu]', '', 'g')), ' ') AS s FROM tok
-        WHERE kind = 1 AND len(w) BETWEEN 3 AND 7 AND len(list_filter(w, lambda x: NOT (x[1] = chr(1) OR regexp_matches(x, '^[0-9]')))) > 0),
-low AS (SELECT id, list_transform(w, lambda x: regexp_replace(lower(x), '\x01[mu]', '', 'g')) AS x FROM tok WHERE kind = 0),
+       FROM hit JOIN shifts USING (doc_id, item_id, form, shift), unnest([0, 1, 2]) AS u(l)),
+pair AS (SELECT DISTINCT doc_id, item_id, form, level, place, unnest(bv) AS x, unnest(dv) AS y FROM lv),
+ok AS (SELECT doc_id, item_id, form, level, place, bool_and(x = y) AS same, count(*) = count(DISTINCT x) AS one FROM pair GROUP BY ALL),
+n AS (SELECT doc_id, item_id, form, item_windows, level, place, count(DISTINCT i) AS n_all, count(DISTINCT i) FILTER (bv = dv) AS n_own FROM lv GROUP BY ALL),
+best AS (SELECT doc_id, item_id, form, item_windows, coalesce(same OR one, true) AND level = 0 AS whole, coalesce(same OR NOT one, true) AS exact,
+        CASE WHEN coalesce(same OR one, true) THEN n_all ELSE n_own END AS n FROM n LEFT JOIN ok USING (doc_id, item_id, form, level, place)),
+top AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n / item_windows DESC, form) AS k
+        FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, form ORDER BY whole DESC, exact DESC, n DESC) AS f FROM best WHERE n >= 0.3 * item_windows) WHERE f = 1),
+few AS (SELECT DISTINCT id, len(w) AS n, array_to_string(bare, ' ') AS s FROM tok
+        WHERE kind = 1 AND form = 1 AND len(w) BETWEEN 3 AND 7 AND len(list_filter(w, lambda x: NOT (x[1] = chr(1) OR regexp_matches(x, '^[0-9]')))) > 0),
+low AS (SELECT id, bare AS x FROM tok WHERE kind = 0 AND form = 1),
 part AS (SELECT id, n, array_to_string(x[i : i + n - 1], ' ') AS s FROM low, (SELECT DISTINCT n FROM few), unnest(range(1, len(x) - n + 2)) AS r(i))
 SELECT doc_id, item_id, n AS n_windows, item_windows, CASE WHEN exact THEN 'exact' ELSE 'reparameterised' END AS kind FROM top WHERE k = 1
 UNION ALL SELECT DISTINCT part.id, few.id, 1, 1, 'exact' FROM part JOIN few USING (n, s)""",

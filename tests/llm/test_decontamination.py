@@ -43,12 +43,56 @@ def test_placeholders_short_items_and_values(spark):
     assert got == {(1, 10): "reparameterised", (2, 10): "exact", (3, 11): "exact", (5, 13): "exact", (6, 16): "exact", (11, 10): "exact"}
 
 
+NAMES = "Tom Smith has 5 red apples and Ann has 7 green pears so how many fruits do they hold together before lunch"
+LEADS = "Maria leaves the harbour at noon and rows to the island of her uncle. Maria stays there for seven days with twelve workers and rows home"
+MORE = [(20, NAMES), (21, LEADS), (22, "Twelve workers build a wall in seven days and then rest for three weeks in the mountains")]
+
+
+def test_copies_in_other_case(spark):
+    docs = [(1, NAMES.lower()), (2, NAMES.upper()), (3, "see: " + NAMES.title()), (4, NAMES.lower().replace("5", "9").replace("7", "8")), (5, LEADS.upper())]
+    got = {(d, i): k for d, i, _, _, k in _run(spark, docs, MORE)}
+    assert got == {(1, 20): "exact", (2, 20): "exact", (3, 20): "exact", (4, 20): "reparameterised", (5, 21): "exact"}
+
+
+def test_names_at_the_beginning_and_numbers_in_words(spark):
+    changed = LEADS.replace("Maria", "Peter")
+    docs = [
+        (1, changed),
+        (2, LEADS),
+        (3, LEADS.replace("Maria stays", "Peter stays")),
+        (4, MORE[2][1].replace("Twelve", "Nine").replace("seven", "16").replace("three", "five")),
+        (5, MORE[2][1].replace("Twelve workers", "TWELVE workers")),
+        (6, "Then " + changed.replace("seven", "three")),
+    ]
+    rows = {(d, i): (n, m, k) for d, i, n, m, k in _run(spark, docs, MORE)}
+    assert {p: k for p, (_, _, k) in rows.items()} == {(1, 21): "reparameterised", (2, 21): "exact", (3, 21): "exact", (4, 22): "reparameterised", (5, 22): "exact", (6, 21): "reparameterised"}
+    assert rows[1, 21][0] == rows[1, 21][1] and rows[4, 22][0] == rows[4, 22][1]  # every window
+    assert rows[3, 21][0] < rows[3, 21][1]  # the item's own values alone
+
+
+def test_windows_of_many_items_meet_only_what_shares_a_rare_one(spark):
+    rng = np.random.default_rng(5)
+    text = lambda n: " ".join("w" + "".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n))
+    same = "read the following question with care and mark the one right answer below"
+    bench = [(i, f"{same} {text(40)}") for i in range(200)]
+    docs = [(1, same), (2, f"{text(20)} {same} {text(20)}"), *((10 + i, bench[i][1]) for i in range(5))]
+    words = lambda rows, key: decontamination._words(spark.createDataFrame(rows, f"{key} long, text string"), key)
+    asked = decontamination._asked(words(bench, "item_id"), 8, 0.3)
+    assert decontamination.meetings(words(docs, "doc_id"), asked, 8).select("doc_id", "item_id").distinct().count() == 5
+    assert {(d, i) for d, i, *_ in _run(spark, docs, bench)} == {(10 + i, i) for i in range(5)}
+    assert {i for d, i, *_ in _run(spark, [(1, same)], [(i, f"{same} {text(4)}") for i in range(30)]) if d == 1} == set(range(30))  # shared, but enough
+
+
 def test_sql_twin(spark, tmp_path):
+    # without document 13: the twin's time grows with the square of a text's words
     rng = np.random.default_rng(3)
-    words = ["the", "Train", "7", "12.5", "Maria", "km", "old", "and", "x,", "Then.", "9 km", "1,000", "Ana Lopez"]
-    docs = [*((d, t) for d, t in DOCS if d), *((100 + i, " ".join(rng.choice(words, rng.integers(1, 60)))) for i in range(60))]
+    words = ["the", "Train", "7", "12.5", "Maria", "km", "old", "and", "x,", "Then.", "9 km", "1,000", "Ana Lopez", "seven", "Twelve", "DAYS", "days"]
+    docs = [*((d, t) for d, t in DOCS if d and d != 13), *((100 + i, " ".join(rng.choice(words, rng.integers(1, 60)))) for i in range(60))]
     bench = [*BENCH[:-1], *((100 + i, " ".join(rng.choice(words, rng.integers(2, 16)))) for i in range(40))]
     docs += [(500 + i, f"{docs[-i][1]} so {bench[-i][1]} so") for i in range(1, 30)]
+    docs += [(600 + i, bench[-i][1].lower() if i % 2 else bench[-i][1].upper()) for i in range(1, 30)]
+    docs += [(700, LEADS.replace("Maria", "Peter")), (701, NAMES.upper()), (702, LEADS.replace("seven", "ten")), (703, "\x01m \x01nseven " + NAMES)]
+    bench += MORE
     spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
     spark.createDataFrame(bench, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/b")
     con = duckdb.connect()
