@@ -64,7 +64,7 @@ def tokens(text: Column) -> Column:
 
 def typed(raw: str) -> Column:
     """The words of the column with \\x01n before number words and \\x01u before units."""
-    counted = lambda x: F.ascii(x).between(48, 57) | x.isin(NUMBER_WORDS.split("|"))
+    counted = lambda x: ((x >= "0") & (x < ":")) | x.isin(NUMBER_WORDS.split("|"))
 
     def mark(x: Column, i: Column) -> Column:
         unit = x.isin(UNITS.split("|")) & counted(F.get(raw, i - 1))
@@ -74,7 +74,8 @@ def typed(raw: str) -> Column:
 
 
 def is_slot(x: Column) -> Column:
-    return F.ascii(x).isin(1, *range(48, 58))
+    """Marks and ASCII digits sort before all letters."""
+    return x < ":"
 
 
 def template(x: Column) -> Column:
@@ -90,19 +91,21 @@ def _words(texts: DataFrame, key: str) -> DataFrame:
     return df.select(key, "part", "form", tokens(F.col("x")).alias("raw")).select(key, "part", "form", typed("raw").alias("w"))
 
 
-def windows(words: DataFrame, k: int) -> DataFrame:
-    """The columns of words with at, h (hash of the form and the k template words from there on), v (all words' values, null
-    without any placeholder)."""
+def windows(words: DataFrame, k: int, leads: DataFrame | None = None) -> DataFrame:
+    """The columns of words with at, lead (hash of the first two template words from there on), h (hash of the form and the k
+    template words), v (all words' values, null without any placeholder). With `leads`, windows that begin otherwise are left
+    out before k words are hashed."""
     slots = F.size(F.filter("w", is_slot))
     value = F.transform("w", lambda x: F.when(is_slot(x), F.concat(x, F.lit("\x02"))).otherwise(F.lit("")))
     rest = [c for c in words.columns if c != "w"]
     df = words.where(F.size("w") >= k).select(*rest, "w", F.transform("w", lambda x: F.xxhash64(template(x))).alias("t"), F.when(slots > 0, value).alias("v"), slots.alias("n"))
-    at = F.sequence(F.lit(1), F.size("w") - (k - 1))
-    hashed = lambda c, i: F.xxhash64(F.slice(c, i, k), "form")
-    plain = F.transform(at, lambda i: hashed("t", i))
-    careful = F.transform(at, lambda i: F.when(F.array_contains(F.slice("v", i, k), ""), hashed("t", i)).otherwise(hashed("v", i)))
-    df = df.select(*rest, "v", F.when(F.col("n") < k, plain).otherwise(careful).alias("h"))
-    return df.select(*rest, "v", F.posexplode_outer("h").alias("at", "h"))  # the inner form would compute h for a filter too
+    df = df.select(*rest, "t", "v", "n", F.posexplode_outer("t").alias("at", "first")).where(F.col("at") <= F.size("t") - k)  # outer: the inner form would compute t for a filter too
+    df = df.withColumn("lead", F.xxhash64("first", F.get("t", F.col("at") + 1)))
+    if leads is not None:
+        df = df.join(leads, "lead", "left_semi")
+    hashed = lambda c: F.xxhash64(F.slice(c, F.col("at") + 1, k), "form")
+    own = (F.col("n") >= k) & ~F.array_contains(F.slice("v", F.col("at") + 1, k), "")
+    return df.select(*rest, "v", "at", "lead", F.when(own, hashed("v")).otherwise(hashed("t")).alias("h"))
 
 
 def _slots(k: int) -> Column:
@@ -132,23 +135,25 @@ def _short(docs: DataFrame, items: DataFrame, lengths: list[int]) -> DataFrame:
 
 
 def _asked(items: DataFrame, k: int, share: float) -> DataFrame:
-    """The items' windows: item_id, form, h, item_at, item_slots, item_windows, rare (one of these must be found)."""
-    item = windows(items, k).groupBy("item_id", "form", "h").agg(F.min(F.struct("at", _slots(k).alias("slots"))).alias("o"))
+    """The items' windows: item_id, form, h, lead, item_at, item_slots, item_windows, rare (one of these must be found)."""
+    item = windows(items, k).groupBy("item_id", "form", "h", "lead").agg(F.min(F.struct("at", _slots(k).alias("slots"))).alias("o"))
     item = item.join(item.groupBy("h").agg(F.count("*").alias("items")), "h")
     own = Window.partitionBy("item_id", "form")
     item = item.withColumn("item_windows", F.count("*").over(own)).withColumn("r", F.row_number().over(own.orderBy("items", "h")))
     rare = F.col("r") <= F.col("item_windows") - F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("item_windows"))) + 1
-    return item.select("item_id", "form", "h", F.col("o.at").alias("item_at"), F.col("o.slots").alias("item_slots"), "item_windows", rare.alias("rare"))
+    return item.select("item_id", "form", "h", "lead", F.col("o.at").alias("item_at"), F.col("o.slots").alias("item_slots"), "item_windows", rare.alias("rare"))
 
 
 def meetings(docs: DataFrame, item: DataFrame, k: int) -> DataFrame:
     """The documents' windows beside the items' for all pairs that share a rare window."""
     known = item.select("h").distinct()
-    hits = windows(docs, k).join(_bounded(known, known.count()), "h").select("doc_id", "part", "h", "at", _slots(k).alias("slots"))
+    n = known.count()
+    leads = F.broadcast(item.select("lead").distinct()) if n <= MOST_BROADCAST else None  # a larger benchmark has most beginnings
+    hits = windows(docs, k, leads).join(_bounded(known, n), "h").select("doc_id", "part", "h", "at", _slots(k).alias("slots"))
     hits = written(hits, "template-hits")
     rare = item.where("rare").select("item_id", "form", "h")
     pairs = hits.select("doc_id", "h").distinct().join(rare, "h").select("doc_id", "item_id", "form").distinct()
-    return hits.join(pairs.join(item.drop("rare"), ["item_id", "form"]), ["doc_id", "h"])
+    return hits.join(pairs.join(item.drop("rare", "lead"), ["item_id", "form"]), ["doc_id", "h"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 8, share: float = 0.5) -> DataFrame:
