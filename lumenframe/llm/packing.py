@@ -2,9 +2,9 @@
 
 Each document goes into the fill level that makes the sum of the squared counts of partly filled windows smallest; the counts
 are an array over the levels. A document longer than a window fills whole windows first, and its rest is placed so. When a
-task has seen its documents, the windows still open are poured together: the emptiest are cut up to fill the others, so that at
-most one is left, and that is cut at powers of two, which need no padding. So documents of at most a window are cut only
-among the last windows of a task, and no id is padding at all unless `powers` is off.
+task has seen its documents, the windows still open are poured together: first pairs and triples of pieces that fill whole
+windows, then the others, so that at most one window is left, and that is cut at powers of two, which need no padding. So
+documents of at most a window are cut only among the last windows of a task, and no id is padding at all unless `powers` is off.
 
 Tasks pack what they read, each by itself, in the order they read it, so nothing is shuffled and a lost task gives the same
 rows again where the input comes in the same order (files, tables, sorted partitions). What a task holds are its open windows:
@@ -182,26 +182,49 @@ class Packer:
             self.open.setdefault(w.fill, []).append(w)
 
     def close(self) -> Iterator[Window]:
-        """The windows left, the emptiest cut up to fill the fullest; the last one at powers of two."""
-        left = [w for level in sorted(self.open) for w in self.open[level]]
+        """The pieces of the windows left, cut as seldom as they can be found to be: pairs and triples whose ids fill whole windows
+        come first, each cut in its middle at most; the others are poured behind each other. What is over is cut at powers of two."""
+        loose: dict[int, list[tuple]] = {}
+        for level in sorted(self.open):
+            for doc, start, ids in (piece for w in self.open[level] for piece in w.pieces):
+                loose.setdefault(len(ids), []).append((doc, start, ids))
         self.open, self.levels[:] = {}, 0
-        low, high = 0, len(left) - 1
-        while low < high:
-            into, source = left[high], left[low]
-            while into.fill < self.size and source.pieces:
-                doc, start, ids = source.pieces.pop()
-                n = min(len(ids), self.size - into.fill)
-                into.add(doc, start + len(ids) - n, ids[len(ids) - n :])
-                source.fill -= n
-                if n < len(ids):
-                    source.pieces.append((doc, start, ids[: len(ids) - n]))
-            if into.fill == self.size:
-                yield into
-                high -= 1
-            if not source.pieces:
-                low += 1
-        if low == high:
-            yield from self._powers(left[low]) if self.powers else [left[low]]
+        w = Window()
+        for n in self._groups({n: len(x) for n, x in loose.items()}):
+            doc, start, ids = loose[n].pop()
+            while len(ids) >= self.size - w.fill:
+                room = self.size - w.fill
+                w.add(doc, start, ids[:room])
+                yield w
+                w, start, ids = Window(), start + room, ids[room:]
+            if len(ids):
+                w.add(doc, start, ids)
+        if w.pieces:
+            yield from self._powers(w) if self.powers else [w]
+
+    def _groups(self, lengths: dict[int, int]) -> Iterator[int]:
+        """All the lengths (length -> how many), those first that add up to whole windows two by two, then three by three."""
+        size, counts = self.size, np.zeros(self.size, np.int64)
+        for n, many in lengths.items():
+            counts[n] = many
+        for n in range(1, size // 2 + 1):
+            for _ in range(min(counts[n], counts[size - n]) if 2 * n < size else counts[n] // 2 if 2 * n == size else 0):
+                counts[[n, size - n]] -= 1 + (2 * n == size)
+                yield from (n, size - n)
+        each = np.arange(size)
+        for n in range(size - 1, 0, -1):
+            while counts[n]:
+                counts[n] -= 1
+                third = (-n - each) % size
+                there = np.flatnonzero((counts > 0) & (counts[third] > (third == each)))
+                if not len(there):
+                    counts[n] += 1
+                    break
+                m = int(there[-1])
+                counts[m] -= 1
+                counts[third[m]] -= 1
+                yield from (n, m, int(third[m]))
+        yield from np.repeat(each, counts).tolist()
 
     @staticmethod
     def _powers(w: Window) -> Iterator[Window]:
