@@ -321,18 +321,28 @@ def throttle_stream(spark, sf_dir):
     return spark.read.schema(out.schema).parquet(f"{path}/out")
 
 
-@query(
-    "in_flight_guard",
-    """WITH RECURSIVE ev AS (SELECT user_id AS camera, epoch_us(ts) AS t, event_id, greatest(0, trunc(value * 10000 * 1000))::BIGINT AS b FROM events),
+_GUARD = """WITH RECURSIVE ev AS (SELECT user_id AS camera, epoch_us(ts) AS t, event_id, greatest(0, trunc(value * 10000 * 1000))::BIGINT AS b FROM events),
 walk AS (SELECT camera, min(t) AS t, arg_min(event_id, (t, event_id)) AS event_id, arg_min(b, (t, event_id)) AS b FROM ev GROUP BY camera
 UNION ALL SELECT ev.camera, min(ev.t), arg_min(ev.event_id, (ev.t, ev.event_id)), arg_min(ev.b, (ev.t, ev.event_id)) FROM walk w JOIN ev ON ev.camera = w.camera AND ev.t >= w.t + w.b AND (ev.t, ev.event_id) > (w.t, w.event_id) GROUP BY ev.camera)
-SELECT camera, t AS ts_us, event_id FROM walk""",
-)
+SELECT camera, t AS ts_us, event_id FROM walk"""
+
+
+@query("in_flight_guard", _GUARD)
 def in_flight_guard(spark, sf_dir):
     f = tables.frames(spark, sf_dir).withColumn("busy_ms", F.col("total_ms") * 10_000)
     return streams.throttle(f, 0, "busy_ms").select("camera", F.unix_micros("ts").alias("ts_us"), "event_id")
 
 
+@query("throttle_log", _GUARD)
+def throttle_log(spark, sf_dir):
+    """The guard over the events as a stream, with a log whose memory one camera's frames don't fill."""
+    path = files.shared_path(spark, "throttle-log")
+    source = spark.readStream.schema(tables.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    f = source.select(F.col("user_id").alias("camera"), F.col("ts").cast("timestamp").alias("ts"), "event_id", (F.col("value") * 10_000).alias("busy_ms"))
+    streams.throttle_log(f, f"{path}/out", f"{path}/log", 0, "busy_ms").trigger(availableNow=True).start().awaitTermination()
+    return streams.throttled(spark, f"{path}/out", f.schema["camera"].dataType.simpleString()).select("camera", F.unix_micros("ts").alias("ts_us"), "event_id")
+
+
 @query("latest_state", "SELECT user_id AS camera, epoch_us(arg_max(ts, (ts, event_id))) AS ts_us, CASE WHEN arg_max(event_type, (ts, event_id)) <> 'error' THEN arg_max(event_type, (ts, event_id)) END AS result FROM events GROUP BY user_id")
 def latest_state(spark, sf_dir):
     f = tables.frames(spark, sf_dir).withColumn("result", F.when(F.col("class_name") != "error", F.col("class_name"))).withColumn("error", F.when(F.col("class_name") == "error", F.col("class_name")))

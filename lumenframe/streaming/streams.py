@@ -11,7 +11,7 @@ from typing import Any
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lumenframe.streaming import inference
@@ -33,26 +33,80 @@ def throttle(frames: DataFrame, interval_us: int, busy: str | None = None) -> Da
     """camera, ts, event_id of the frames that are taken: the first, then each at least interval_us after the last taken
     and, with busy (a column of milliseconds), not before the last taken one was answered. interval_us <= 0 does not
     hold anything back. A greedy walk in time order over each camera's sorted frames, which keeps only the time until which
-    they are held back; a camera's frames are sorted in one task, on disk if need be."""
-    answered = (F.col(busy) * 1000).cast("long") if busy else F.lit(0).cast("long")
+    they are held back; a camera's frames are sorted in one task, on disk if need be. Frames without a time are all taken and
+    hold nothing back."""
+    return _taken(_walked(_asking(frames, busy), interval_us).where("frame"))
+
+
+def _taken(walked: DataFrame) -> DataFrame:
+    return walked.select("camera", F.timestamp_micros("t").alias("ts"), "event_id")
+
+
+def _asking(frames: DataFrame, busy: str | None) -> DataFrame:
+    answered = F.coalesce((F.col(busy) * 1000).cast("long"), F.lit(0)) if busy else F.lit(0)
+    return frames.select("camera", F.unix_micros("ts").alias("t"), F.col("event_id").cast("long").alias("event_id"), answered.cast("long").alias("b"), F.lit(True).alias("frame"))
+
+
+def _walk_schema(camera: str) -> str:
+    return f"camera {camera}, t long, event_id long, frame boolean"
+
+
+def _walked(f: DataFrame, interval_us: int) -> DataFrame:
+    """The frames taken, and for each camera a row that is no frame, with the time t until which it is held back at the end. Such
+    rows in f say until when cameras are held back at the beginning."""
     least = max(0, interval_us)
-    f = frames.select("camera", F.unix_micros("ts").alias("t"), F.col("event_id").cast("long").alias("event_id"), F.coalesce(answered, F.lit(0)).cast("long").alias("b"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, until = object(), None
+        camera, until, seen, schema = None, None, False, None
+
+        def given(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
         for batch in batches:
-            take = []
-            for camera, t, b in zip(batch.column("camera").to_pylist(), batch.column("t").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                if camera != last:
-                    last, until = camera, None
-                take.append(until is None or t >= until)
-                if take[-1]:
-                    until = None if t is None else t + max(least, b)
-            yield batch.select(["camera", "t", "event_id"]).filter(pa.array(take, pa.bool_()))
-
-    order = f.repartition("camera").sortWithinPartitions("camera", "t", "event_id", "b")
-    taken = order.mapInArrow(walk, f.select("camera", "t", "event_id").schema)
-    return taken.select("camera", F.timestamp_micros("t").alias("ts"), "event_id")
+            schema = pa.schema([pa.field(n, batch.schema.field(n).type) for n in ("camera", "t", "event_id", "frame")])
+            rows = []
+            for own, t, event_id, b, frame in zip(*(batch.column(c).to_pylist() for c in ("camera", "t", "event_id", "b", "frame")), strict=True):
+                if not seen or own != camera:
+                    if seen:
+                        rows.append((camera, until, None, False))
+                    camera, until, seen = own, None, True
+                if not frame:
+                    until = t
+                elif t is None or until is None or t >= until:
+                    rows.append((camera, t, event_id, True))
+                    until = until if t is None else t + max(least, b)
+            yield given(rows)
+        if seen:
+            yield given([(camera, until, None, False)])
+
+    order = f.repartition("camera").sortWithinPartitions("camera", "frame", "t", "event_id", "b")
+    return order.mapInArrow(walk, _walk_schema(f.schema["camera"].dataType.simpleString()))
+
+
+def throttle_log(stream: DataFrame, path: str, checkpoint: str, interval_us: int, busy: str | None = None):
+    """throttle over a stream, into Parquet files below `path` that `throttled` reads. Each batch is sorted by camera and time, on
+    disk if need be, and walked in pieces, so memory does not grow with what one camera sends in a batch (limits of the source,
+    as maxFilesPerTrigger, bound the batch itself). The times until which cameras are held back lie beside each batch's frames: a
+    batch that is run again begins with those of the batch before and replaces what it wrote, so each frame is there once. A
+    batch without rows keeps them; frames of a batch that are older than those times are not taken."""
+
+    def put(df: DataFrame, n: int) -> None:
+        spark, schema = df.sparkSession, _walk_schema(df.schema["camera"].dataType.simpleString())
+        if n:
+            held = spark.read.schema(schema).parquet(f"{path}/batch={n - 1}").where("NOT frame")
+            df = df.unionByName(held.select("camera", "t", "event_id", F.lit(0).cast("long").alias("b"), "frame"))
+        _walked(df, interval_us).write.mode("overwrite").partitionBy("frame").parquet(f"{path}/batch={n}")
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={n - 2}/frame=false")  # no batch reads it again
+        done.getFileSystem(spark._jsc.hadoopConfiguration()).delete(done, True)
+
+    return _asking(stream, busy).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+
+
+def throttled(spark: SparkSession, path: str, camera: str = "long") -> DataFrame:
+    """camera, ts, event_id of the frames that throttle_log took; camera: the type of that column."""
+    log = spark.read.schema(f"{_walk_schema(camera)}, batch long").parquet(path)
+    return _taken(log.where("frame"))
 
 
 class _Sampler(StatefulProcessor):

@@ -120,6 +120,41 @@ def test_throttle_stream_keeps_state_between_batches(spark, tmp_path):
     assert sorted((r["camera"], r["event_id"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == _walk(rows, 200)
 
 
+def test_throttle_log_keeps_state_between_batches_and_replaces_what_is_run_again(spark, tmp_path):
+    rows = sorted(_frames(), key=lambda r: r[1])
+    schema = "camera long, ts timestamp, event_id long, total_ms double"
+
+    def feed(some):
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def run():
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        streams.throttle_log(source, f"{tmp_path}/out", f"{tmp_path}/log", 100_000, "total_ms").trigger(availableNow=True).start().awaitTermination()
+        return sorted((r["camera"], r["event_id"]) for r in streams.throttled(spark, f"{tmp_path}/out").collect())
+
+    for k in range(3):
+        feed(rows[k * 40 : k * 40 + 40])
+    assert run() == _walk(rows[:120], 100, True) == run()
+    last = max(tmp_path.glob("log/commits/[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()  # as if the driver had been lost before the last batch was noted
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    assert run() == _walk(rows[:120], 100, True)
+    feed([])
+    feed(rows[120:])
+    assert run() == _walk(rows, 100, True)
+    assert len(list(tmp_path.glob("out/batch=*/frame=false"))) == 2  # older times are deleted
+
+
+def test_one_camera_of_many_frames_in_a_stream(spark, tmp_path):
+    f = spark.range(1_000_000).select(F.lit("c").alias("camera"), F.timestamp_micros((F.col("id") * 7919) % 1_000_003).alias("ts"), F.col("id").alias("event_id"))
+    f.coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(f.schema).parquet(f"{tmp_path}/in")
+    streams.throttle_log(source, f"{tmp_path}/out", f"{tmp_path}/log", 1000).trigger(availableNow=True).start().awaitTermination()
+    got = streams.throttled(spark, f"{tmp_path}/out", "string")
+    want = streams.throttle(f, 1000)
+    assert want.count() > 900 and want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
+
+
 def test_entry_imports_and_names_are_unique():
     import __spark_entry__ as e
 
