@@ -45,12 +45,17 @@ def hsv(pixels: DataFrame, exclude_black_pixels: bool = True) -> DataFrame:
     if exclude_black_pixels:
         h = h.where((F.col("b") + F.col("g") + F.col("r")) > 0)
     angle = F.col("h") * (2 * math.pi / 180)
-    base = h.groupBy("image_id").agg(F.avg(F.sin(angle)).alias("__s"), F.avg(F.cos(angle)).alias("__c"), *moments(F.col("s"), "saturation_"), *moments(F.col("val"), "value_"))
-    mean = F.pmod(F.atan2("__s", "__c") + 2 * math.pi, F.lit(2 * math.pi)) * (180 / (2 * math.pi))
+    # opposite hues cancel to exact zeros, and a mean a rounding error below 180 is 0
+    part = lambda x: F.round(F.avg(x), 13) + 0.0
+    base = h.groupBy("image_id").agg(part(F.sin(angle)).alias("__s"), part(F.cos(angle)).alias("__c"), *moments(F.col("s"), "saturation_"), *moments(F.col("val"), "value_"))
+    mean = F.pmod(F.round(F.pmod(F.atan2("__s", "__c") + 2 * math.pi, F.lit(2 * math.pi)) * (180 / (2 * math.pi)), 9), F.lit(180.0))
     r = F.least(F.lit(1.0), F.sqrt(F.col("__s") * F.col("__s") + F.col("__c") * F.col("__c")))
     std = F.sqrt(F.log(F.greatest(r, F.lit(1e-12))) * -2) * (180 / (2 * math.pi))
     base = base.withColumn("hue_mean", mean).withColumn("hue_std_dev", std).withColumn("hue_variance", std * std)
-    shifted = h.join(base.select("image_id", "hue_mean"), "image_id").withColumn("t", F.pmod(F.col("h") - F.col("hue_mean") + 90, F.lit(180.0)))
-    median = shifted.groupBy("image_id", "hue_mean").agg(F.percentile("t", 0.5).alias("t")).select("image_id", F.pmod(F.col("t") - 90 + F.col("hue_mean"), F.lit(180.0)).alias("hue_median"))
+    # the half circle around the mean, in whole hues: those beyond its ends are a turn away, so the median is exact
+    ahead = F.round(F.col("h") - F.col("hue_mean"), 9)
+    turned = F.col("h") + F.when(ahead < -90, 180).when(ahead >= 90, -180).otherwise(0)
+    shifted = h.join(base.select("image_id", "hue_mean"), "image_id").withColumn("t", turned)
+    median = shifted.groupBy("image_id").agg(F.percentile("t", 0.5).alias("t")).select("image_id", F.pmod("t", F.lit(180.0)).alias("hue_median"))
     out = base.join(median, "image_id").withColumn("hue_cv", F.when(F.col("hue_mean") == 0, float("inf")).otherwise(F.col("hue_std_dev") / F.col("hue_mean")))
     return out.drop("__s", "__c")

@@ -114,11 +114,11 @@ def rgb_stats(spark, sf_dir):
 
 @query(
     "hsv_stats",
-    f"""WITH {BGR}, {_HSV}, base AS (SELECT image_id, avg(sin(h * 2 * pi() / 180)) AS s_, avg(cos(h * 2 * pi() / 180)) AS c_, {_stats_sql("s", "saturation_")}, {_stats_sql("val", "value_")} FROM hsv WHERE b + g + r > 0 GROUP BY image_id),
-m AS (SELECT *, ((atan2(s_, c_) + 2 * pi()) % (2 * pi())) * 90 / pi() AS hue_mean, sqrt(-2 * ln(greatest(1e-12, least(1.0, sqrt(s_ * s_ + c_ * c_))))) * 90 / pi() AS hue_std_dev FROM base),
-t AS (SELECT hsv.image_id, hue_mean, quantile_cont((((h - hue_mean + 90) % 180) + 180) % 180, 0.5) AS q FROM hsv JOIN m USING (image_id) WHERE b + g + r > 0 GROUP BY ALL)
+    f"""WITH {BGR}, {_HSV}, base AS (SELECT image_id, round(avg(sin(h * 2 * pi() / 180)), 13) + 0.0 AS s_, round(avg(cos(h * 2 * pi() / 180)), 13) + 0.0 AS c_, {_stats_sql("s", "saturation_")}, {_stats_sql("val", "value_")} FROM hsv WHERE b + g + r > 0 GROUP BY image_id),
+m AS (SELECT *, round(((atan2(s_, c_) + 2 * pi()) % (2 * pi())) * 90 / pi(), 9) % 180 AS hue_mean, sqrt(-2 * ln(greatest(1e-12, least(1.0, sqrt(s_ * s_ + c_ * c_))))) * 90 / pi() AS hue_std_dev FROM base),
+t AS (SELECT hsv.image_id, hue_mean, quantile_cont(h + CASE WHEN round(h - hue_mean, 9) < -90 THEN 180 WHEN round(h - hue_mean, 9) >= 90 THEN -180 ELSE 0 END, 0.5) AS q FROM hsv JOIN m USING (image_id) WHERE b + g + r > 0 GROUP BY ALL)
 SELECT image_id, {", ".join(f"round({c}, 6) + 0.0 AS {c}" for p in ("saturation_", "value_") for c in (p + "mean", p + "median", p + "variance", p + "std_dev", p + "cv"))},
-  round(m.hue_mean, 6) AS hue_mean, round(hue_std_dev, 6) AS hue_std_dev, round(hue_std_dev * hue_std_dev, 6) AS hue_variance, round((((q - 90 + m.hue_mean) % 180) + 180) % 180, 6) AS hue_median,
+  round(m.hue_mean, 6) AS hue_mean, round(hue_std_dev, 6) AS hue_std_dev, round(hue_std_dev * hue_std_dev, 6) AS hue_variance, round((q + 180) % 180, 6) AS hue_median,
   CASE WHEN m.hue_mean = 0 THEN 'inf'::DOUBLE ELSE round(hue_std_dev / m.hue_mean, 6) END AS hue_cv FROM m JOIN t USING (image_id)""",
 )
 def hsv_stats(spark, sf_dir):
