@@ -82,6 +82,11 @@ def lbp_samples(p: int, r: int) -> list[list[tuple[int, int, float]]]:
     return out
 
 
+#: The weights of lbp_samples are products of two numbers of five digits: as whole multiples of 1e-10 they make sums exact, so
+#: that a sample equal to the centre counts as at least the centre.
+_UNIT = 10**10
+
+
 def _far_samples(gray: DataFrame, p: int, r: float, variance: bool) -> DataFrame:
     """image_id, y, x, mask (bit k: sample k is at least the centre), code (the samples' variance, if asked), from shifted slices
     of the image's array."""
@@ -96,9 +101,9 @@ def _far_samples(gray: DataFrame, p: int, r: float, variance: bool) -> DataFrame
         at = lambda dy, dx: padded[pad + dy : pad + dy + image.shape[0], pad + dx : pad + dx + image.shape[1]]
         mask, total, squares = np.zeros(image.shape, np.int64), np.zeros(image.shape), np.zeros(image.shape)
         for k, cells in enumerate(circle):
-            sample = sum(at(dy, dx) * w for dy, dx, w in cells)
-            mask |= (sample >= image).astype(np.int64) << k
-            total += sample
+            sample = sum(at(dy, dx) * float(round(w * _UNIT)) for dy, dx, w in cells)
+            mask |= (sample >= image * _UNIT).astype(np.int64) << k
+            total += sample / _UNIT
         if variance:
             for cells in circle:
                 squares += (sum(at(dy, dx) * w for dy, dx, w in cells) - total / p) ** 2
@@ -120,12 +125,14 @@ def lbp_codes(gray: DataFrame, p: int = 8, r: float = 1, method: str = "uniform"
     else:
         near = grid.around(grid.sized(gray), "zero")
         at = lambda dy, dx: F.col(f"n{3 * (dy + 1) + dx + 1}")
-        samples = [grid.total([at(dy, dx) * F.lit(w) for dy, dx, w in cells]) for cells in lbp_samples(p, r)]
+        circle = lbp_samples(p, r)
         if method == "var":
+            samples = [grid.total([at(dy, dx) * F.lit(w) for dy, dx, w in cells]) for cells in circle]
             mean = grid.total(samples) / p
             code = grid.total([(s - mean) * (s - mean) for s in samples]) / p
             return near.select("image_id", "y", "x", code.alias("code"))
-        near = near.withColumn("bits", F.array(*((s >= F.col("v")).cast("int") for s in samples)))
+        samples = [grid.total([at(dy, dx) * F.lit(round(w * _UNIT)).cast("long") for dy, dx, w in cells]) for cells in circle]
+        near = near.withColumn("bits", F.array(*((s >= F.col("v") * F.lit(_UNIT)).cast("int") for s in samples)))
     bit = lambda k: F.col("bits")[k % p]
     value = lambda shift: grid.total([bit(k + shift) * (1 << k) for k in range(p)])
     changes = grid.total([F.abs(bit(k) - bit(k + 1)) for k in range(p)])

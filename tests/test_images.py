@@ -281,3 +281,12 @@ def test_order_statistics_of_any_kernel(spark):
         cells = [(a, b) for a in range(-2, 3) for b in range(-2, 3) if a * a + b * b <= 4]
         w = [math.exp(-(a * a + b * b) / 8 - (padded[y + 2 + a, x + 2 + b] - padded[y + 2, x + 2]) ** 2 / 800) for a, b in cells]
         assert out[y, x] == math.floor(sum(f * padded[y + 2 + a, x + 2 + b] for f, (a, b) in zip(w, cells, strict=True)) / sum(w) + 0.5)
+
+
+@pytest.mark.parametrize("r", [1, 2])
+def test_lbp_samples_equal_to_the_centre_count(spark, r):
+    """Flat images of every gray value: no sample falls below the centre by a rounding error of its weights."""
+    n = 2 * r + 1
+    flat = spark.range(256).selectExpr("id AS image_id", f"explode(sequence(0, {n * n - 1})) AS i", "CAST(id AS INT) AS v").selectExpr("image_id", f"CAST(i DIV {n} AS INT) AS y", f"i % {n} AS x", "v")
+    codes = texture.lbp_codes(flat, 8, r, "default").where(f"y = {r} AND x = {r}").collect()
+    assert len(codes) == 256 and {c["code"] for c in codes} == {255}
