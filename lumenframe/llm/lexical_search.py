@@ -36,8 +36,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _PART = "segment int, salt int, doc_id binary, known binary, m binary, size binary, terms binary, tf binary"
 INDEX = "segment int, salt int, doc_id binary, known binary, strata binary, first binary, terms binary, df binary, runs binary, stratum binary, tf binary, ends binary, docs binary"
-_SEGMENT_BYTES, _RANGES = 24 << 20, 4096
-_POSTINGS = 3_000_000  # of a message
+_SEGMENT_BYTES, _RANGES = 12 << 20, 4096
+_POSTINGS, _PIECE = 1_000_000, 1_500_000  # held before they are sent, and bytes of text cut at a time
 _MOST_BROADCAST = 64 << 20
 _NO_ID = np.iinfo(np.int64).max
 
@@ -62,7 +62,7 @@ def lengths(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = _text.texts(batch["text"])
-            n = np.concatenate([np.zeros(0, np.int64), *(np.diff(_text.words(_text.part(t, i, j), _TERM).first) for i, j in _text.pieces(t, 4_000_000))])
+            n = np.concatenate([np.zeros(0, np.int64), *(np.diff(_text.words(_text.part(t, i, j), _TERM).first) for i, j in _text.pieces(t, _PIECE))])
             yield pa.RecordBatch.from_arrays([pa.array(n[n > 0].astype(np.int64))], names=["n"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "n long")
@@ -70,7 +70,7 @@ def lengths(docs: DataFrame) -> DataFrame:
 
 def _segment(rows: pa.Table) -> dict[str, np.ndarray]:
     """One segment's index from its messages."""
-    cat = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[c].to_pylist()])
+    cat = lambda c, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in rows[c]])
     doc_id, known, m, size = cat("doc_id", "<i8"), cat("known", "?"), cat("m", "<i8"), cat("size", "<u4")
     terms, tf = cat("terms", "<u8"), cat("tf", "<u4")
     order = np.lexsort((doc_id, m))
@@ -80,8 +80,10 @@ def _segment(rows: pa.Table) -> dict[str, np.ndarray]:
     begin = np.r_[True, m[1:] != m[:-1]]
     first, stratum = np.flatnonzero(begin), np.cumsum(begin) - 1
     docs = np.repeat(rank, size)
+    stratum = stratum.astype("<u4")
     order = np.lexsort((docs, tf, stratum[docs], terms))
     terms, tf, docs = terms[order], tf[order], docs[order]
+    del order
     of = stratum[docs]
     new = np.r_[True, (terms[1:] != terms[:-1]) | (of[1:] != of[:-1]) | (tf[1:] != tf[:-1])]
     run = np.flatnonzero(new)
@@ -137,7 +139,7 @@ def build(docs: DataFrame, segment_bytes: int = _SEGMENT_BYTES, path: str | None
             ids = batch["doc_id"]
             known, doc_id = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(_NO_ID).to_numpy()
             t = _text.texts(batch["text"])
-            for a, b in _text.pieces(t, 4_000_000):
+            for a, b in _text.pieces(t, _PIECE):
                 n, size, terms, tf = document_terms(_text.part(t, a, b))
                 stop = np.cumsum(size)
                 low, high = np.searchsorted(edges, n, "left"), np.searchsorted(edges, n, "right")
@@ -177,7 +179,7 @@ def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Segment:
     """One segment's arrays, and the best documents of an item in it."""
 
-    def __init__(self, row: dict[str, bytes]):
+    def __init__(self, row: dict[str, pa.Buffer]):
         for c, kind in _KINDS.items():
             setattr(self, c, np.frombuffer(row[c], kind))
         self.size = np.diff(self.first.astype(np.int64))
@@ -252,8 +254,8 @@ def weights(index: Index, items: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for terms, df in zip(batch["terms"].to_pylist(), batch["df"].to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms, "<i8")), pa.array(np.frombuffer(df, "<u4").astype(np.int64))], names=["term", "df"])
+            for terms, df in zip(batch["terms"], batch["df"], strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms.as_buffer(), "<i8")), pa.array(np.frombuffer(df.as_buffer(), "<u4").astype(np.int64))], names=["term", "df"])
 
     every = index.table.select("terms", "df").mapInArrow(count, "term long, df long")
     wanted = asked.select("term").distinct()
@@ -279,7 +281,7 @@ def search(index: Index, items: DataFrame, most: int = 10, item_block: int = 409
         best: dict[int, tuple] = {}  # an item's best documents of the segments this task has seen
         for batch in batches:
             for row in range(batch.num_rows):
-                segment = Segment({c: batch[c][row].as_py() for c in _KINDS})
+                segment = Segment({c: batch[c][row].as_buffer() for c in _KINDS})
                 for item in batch["items"][row].as_py():
                     old = best.get(item["item_id"])
                     floor = int(old[2][-1]) if old and len(old[2]) >= most else 0

@@ -92,3 +92,9 @@ def test_nothing_to_find(spark, frames):
     assert lexical_search.rank(docs.limit(0), items).count() == 0
     assert lexical_search.rank(docs, items.limit(0)).count() == 0
     assert lexical_search.rank(docs.where("text IS NULL"), items).count() == 0
+
+
+def test_a_task_holds_little_before_it_sends(spark):
+    """A segment is of 12 MB of text at most, and a task sends its postings before it holds a million and a piece's; before, twice
+    and three times that."""
+    assert lexical_search._SEGMENT_BYTES <= 12 << 20 and lexical_search._POSTINGS <= 1_000_000 and lexical_search._PIECE <= 1_500_000
