@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenframe.functions.color import half_up
-from lumenframe.operators import grid
+from lumenframe.operators import arrays, grid
 
 
 def target_size(width: int, height: int, preserve_aspect_ratio: bool = True, aspect_ratio_mode: str = "width") -> tuple[Column, Column]:
@@ -17,33 +18,39 @@ def target_size(width: int, height: int, preserve_aspect_ratio: bool = True, asp
     return F.greatest(F.lit(1), half_up(F.col("width") * (height / 1.0) / F.col("height"))), F.lit(height)
 
 
-def _axis(df: DataFrame, axis: str, n: str, to: str, area: Column) -> DataFrame:
-    """Each pixel's weight in the new pixels along one axis. area: by overlap, else linear between centres."""
-    scale = F.col(n) / F.col(to)
-    at = F.col(axis)
-    first, last = F.floor(at / scale), F.ceil((at + 1) / scale) - 1
-    over = F.sequence(F.greatest(F.lit(0), first).cast("int"), F.least(F.col(to) - 1, last).cast("int"))
-    share = lambda d: (F.least(at + 1.0, (d + 1) * scale) - F.greatest(at + 0.0, d * scale)) / scale
-    by_area = F.transform(over, lambda d: F.struct(d.alias("d"), share(d).alias("w")))
-    near = F.sequence(F.greatest(F.lit(0), F.ceil((at - 0.5) / scale - 0.5)).cast("int"), F.least(F.col(to) - 1, F.floor((at + 1.5) / scale - 0.5)).cast("int"))
-    clamp = lambda s: F.least(F.greatest(s, F.lit(0.0)), (F.col(n) - 1).cast("double"))
-    linear = F.transform(near, lambda d: F.struct(d.alias("d"), F.greatest(F.lit(0.0), 1 - F.abs(clamp((d + 0.5) * scale - 0.5) - at)).alias("w")))
-    out = df.withColumn("__k", F.explode(F.filter(F.when(area, by_area).otherwise(linear), lambda k: k["w"] > 1e-12)))
-    return out.withColumn("v", F.col("v") * F.col("__k.w")).withColumn(axis, F.col("__k.d")).drop("__k")
+def _weights(n: int, to: int, area: bool) -> np.ndarray:
+    """(to, n): each pixel's weight in the new pixels along one axis. area: by overlap, else linear between centres."""
+    scale = n / to
+    d, at = np.arange(to)[:, None], np.arange(n)[None, :]
+    if area:
+        w = (np.minimum(at + 1.0, (d + 1) * scale) - np.maximum(at + 0.0, d * scale)) / scale
+    else:
+        w = 1 - np.abs(np.clip((d + 0.5) * scale - 0.5, 0, n - 1) - at)
+    return np.where(w > 1e-12, w, 0.0)
+
+
+def resized_stack(stack: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Images (n, h, w) as (n, height, width)."""
+    _, h, w = stack.shape
+    area = height * width < h * w
+    return np.floor(np.round(_weights(h, height, area) @ (stack @ _weights(w, width, area).T), 9) + 0.5)
 
 
 def resize_to(gray: DataFrame, width: Column, height: Column) -> DataFrame:
-    """gray resized: area weights when the new area is smaller, else bilinear; two passes of grouped sums."""
-    return _resized(grid.sized(gray.select("image_id", "y", "x", "v")).withColumn("tw", width).withColumn("th", height))
+    """gray (pixels or whole images) resized: area weights when the new area is smaller, else bilinear. width and height: over the
+    columns width and height."""
+    return _resized(arrays.sized(gray).withColumn("tw", width).withColumn("th", height))
 
 
 def _resized(df: DataFrame) -> DataFrame:
-    """df: image_id, y, x, v with height and width, and those to come as th and tw."""
-    area = F.col("tw") * F.col("th") < F.col("width") * F.col("height")
-    keys = ["image_id", "width", "height", "tw", "th", "y", "x"]
-    df = _axis(df, "x", "width", "tw", area).groupBy(*keys).agg(F.sum("v").alias("v"))
-    df = _axis(df, "y", "height", "th", area).groupBy(*keys).agg(F.sum("v").alias("v"))
-    return df.select("image_id", "y", "x", half_up(F.round("v", 9)).alias("v"))
+    """df: image_id, y, x, v (or cells) with height and width, and those to come as th and tw. Images are arrays in the task that
+    has them."""
+
+    def run(stack: np.ndarray, _h: int, _w: int, th: int, tw: int) -> dict[str, np.ndarray]:
+        n = len(stack)
+        return {"y": np.tile(np.repeat(np.arange(th), tw), (n, 1)), "x": np.tile(np.arange(tw), (n, th)), "v": resized_stack(stack, th, tw).reshape(n, -1).astype(np.int32)}
+
+    return arrays.per_stack(df, run, "y int, x int, v int", ("th", "tw"))
 
 
 def resize(gray: DataFrame, width: int = 1600, height: int = 1200, preserve_aspect_ratio: bool = True, aspect_ratio_mode: str = "width") -> DataFrame:
@@ -53,8 +60,8 @@ def resize(gray: DataFrame, width: int = 1600, height: int = 1200, preserve_aspe
 def scaled(gray: DataFrame, scale: float) -> DataFrame:
     """Both sides times scale, truncated; images of which nothing would be left are dropped."""
     side = lambda n: F.floor(F.col(n) * scale).cast("int")
-    df = grid.sized(gray).where((side("width") > 0) & (side("height") > 0)).drop("height", "width")
-    return resize_to(df, side("width"), side("height"))
+    df = arrays.sized(gray).where((side("width") > 0) & (side("height") > 0))
+    return _resized(df.withColumn("tw", side("width")).withColumn("th", side("height")))
 
 
 def fit_within(gray: DataFrame, width: int = 1920, height: int = 1080) -> DataFrame:

@@ -437,12 +437,12 @@ def highpass(spark, sf_dir):
 
 @query("resize_area", f"WITH {TILE} SELECT image_id, {_CHECKSUM} FROM (SELECT image_id, y // 2 AS y, x // 2 AS x, floor(sum(v) / 4.0 + 0.5)::INT AS v FROM tile GROUP BY ALL) GROUP BY image_id")
 def resize_area(spark, sf_dir):
-    return _checksum(geometry.resize(by_image(tables.gray_tile(spark, sf_dir)), 4, 4, preserve_aspect_ratio=False))
+    return _checksum(geometry.resize(tables.whole_tiles(spark, sf_dir), 4, 4, preserve_aspect_ratio=False))
 
 
 @query("fit_within", f"WITH {TILE} SELECT image_id, {_CHECKSUM} FROM (SELECT image_id, y // 2 AS y, x // 2 AS x, floor(sum(v) / 4.0 + 0.5)::INT AS v FROM tile GROUP BY ALL) GROUP BY image_id")
 def fit_within(spark, sf_dir):
-    return _checksum(geometry.fit_within(by_image(tables.gray_tile(spark, sf_dir)), 6, 4))
+    return _checksum(geometry.fit_within(tables.whole_tiles(spark, sf_dir), 6, 4))
 
 
 @query(
@@ -451,7 +451,7 @@ def fit_within(spark, sf_dir):
 SELECT image_id, {_CHECKSUM} FROM (SELECT image_id, wy.d AS y, wx.d AS x, floor(round(sum(v * wy.w * wx.w), 9) + 0.5)::INT AS v FROM tile JOIN w wy ON wy.i = y AND wy.w > 0 JOIN w wx ON wx.i = x AND wx.w > 0 GROUP BY ALL) GROUP BY image_id""",
 )
 def resize_linear(spark, sf_dir):
-    return _checksum(geometry.resize(by_image(tables.gray_tile(spark, sf_dir)), 16, 16, preserve_aspect_ratio=False))
+    return _checksum(geometry.resize(tables.whole_tiles(spark, sf_dir), 16, 16, preserve_aspect_ratio=False))
 
 
 @query("roi_crop", f"WITH {MOSAIC} SELECT image_id, {_CHECKSUM} FROM (SELECT image_id, y - 8 AS y, x - 16 AS x, v FROM mosaic WHERE y BETWEEN 8 AND 63 AND x BETWEEN 16 AND 47) GROUP BY image_id")

@@ -19,6 +19,14 @@ def gray_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("image_id", F.expr("CAST(i DIV 8 AS INT)").alias("y"), F.expr("i % 8").alias("x"), _value(F.col("e")).alias("v"), "class")
 
 
+def whole_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """gray_tile with a row for each image: image_id, height, width, cells."""
+    e = table(spark, sf_dir, "embeddings").where("size(embedding) > 0")
+    rest = F.expr("array_repeat(0, CAST(pmod(-size(embedding), least(8, size(embedding))) AS INT))")
+    cells = F.concat(F.transform("embedding", _value), rest)
+    return e.select(F.col("vec_id").alias("image_id"), F.expr("CAST((size(embedding) + 7) DIV 8 AS INT)").alias("height"), F.expr("least(8, size(embedding))").alias("width"), cells.alias("cells"))
+
+
 def _filled(df: DataFrame, cells: int, values: list[str]) -> DataFrame:
     """image_id, i and values with a row for every i below cells of every image: what is missing is 0."""
     whole = df.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("i"))
