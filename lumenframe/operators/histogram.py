@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lumenframe.functions import color
@@ -28,6 +29,18 @@ def otsu_bin(gray: DataFrame) -> DataFrame:
     return gray.join(t, "image_id").withColumn("v", F.when(F.col("v") > F.col("threshold"), 255).otherwise(0)).drop("threshold")
 
 
+def otsu_bin_stack(stack: np.ndarray) -> np.ndarray:
+    """otsu_bin of images (n, height, width)."""
+    out = np.zeros(stack.shape)
+    for image, white in zip(stack, out, strict=True):
+        v, n = np.unique(image, return_counts=True)
+        w0, m0 = np.cumsum(n), np.cumsum(n * v)
+        d = m0 * w0[-1] - m0[-1] * w0
+        score = np.where(w0 < w0[-1], d * d / np.maximum(w0 * (w0[-1] - w0), 1), 0.0)
+        white[image > v[score.argmax()]] = 255
+    return out
+
+
 def _equalized(gray: DataFrame) -> DataFrame:
     hist = gray.groupBy("image_id", "v").agg(F.count("*").alias("n"))
     up = Window.partitionBy("image_id").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)

@@ -130,5 +130,17 @@ def mean_adapt_bin(gray: DataFrame, block_size: int = 11, c: int = 2) -> DataFra
     return _below(gray, mean.withColumn("v", half_up(F.col("v") / (k * k))), c)
 
 
+def mean_adapt_bin_stack(stack: np.ndarray, block_size: int = 11, c: int = 2) -> np.ndarray:
+    """mean_adapt_bin of images (n, height, width)."""
+    k = _odd(block_size)
+    out = np.pad(stack, ((0, 0), (k // 2, k // 2), (k // 2, k // 2)), mode="edge")
+    for axis in (1, 2):
+        sums = np.cumsum(out, axis=axis)
+        sums = np.concatenate([np.zeros_like(sums.take([0], axis)), sums], axis=axis)
+        n = sums.shape[axis]
+        out = sums.take(range(k, n), axis) - sums.take(range(n - k), axis)
+    return np.where(stack > np.floor(out / (k * k) + 0.5) - int(c), 255, 0)
+
+
 def gauss_adapt_bin(gray: DataFrame, block_size: int = 11, c: int = 2) -> DataFrame:
     return _below(gray, gaussian_blur(_with_own(gray), (block_size, block_size), border="replicate"), c)

@@ -230,21 +230,37 @@ def hlac(binary: DataFrame, order: int = 2, rotate_invariant: bool = False, norm
     return out
 
 
+def _hlac_counts(binary: np.ndarray, kernels: np.ndarray) -> np.ndarray:
+    """(images, kernels): positions of the interior where all cells of a kernel are set. kernels: (512, k), whether a pattern has
+    all of a kernel's cells."""
+    n, h, w = binary.shape
+    mask = np.zeros((n, h - 2, w - 2), np.int64)
+    for i in range(9):
+        mask |= (binary[:, i // 3 : h - 2 + i // 3, i % 3 : w - 2 + i % 3] > 0).astype(np.int64) << i
+    patterns = np.bincount((mask + np.arange(n)[:, None, None] * 512).ravel(), minlength=n * 512).reshape(n, 512)
+    return patterns @ kernels
+
+
 def hlac_multiscale(gray: DataFrame, scales=(1.0, 0.75, 0.5), binarization_method: str = "adaptive", block_size: int = 11, c: int = 2, order: int = 2, rotate_invariant: bool = False, normalize: bool = True) -> DataFrame:
-    """Counts summed over scaled copies, each made binary by its own threshold; a scale that leaves no pixel is skipped."""
+    """Counts summed over scaled copies, each made binary by its own threshold; a scale that leaves no pixel is skipped. gray:
+    pixels or whole images; an image's copies are arrays in the task that has it."""
     from lumenframe.operators import geometry, histogram, stencil
 
-    parts = None
-    for s in scales:
-        one = gray.select("image_id", "y", "x", "v") if s == 1 else geometry.scaled(gray, s)
-        one = histogram.otsu_bin(one) if binarization_method == "otsu" else stencil.mean_adapt_bin(one, block_size, c)
-        found = hlac(one, order, rotate_invariant)
-        parts = found if parts is None else parts.unionByName(found)
-    out = parts.groupBy("image_id", "k").agg(F.sum("count").alias("count"))
-    if normalize:
-        whole = F.sum("count").over(Window.partitionBy("image_id"))
-        out = out.withColumn("count", F.when(whole > 0, F.col("count") / whole).otherwise(0.0))
-    return out
+    masks = np.array(hlac_kernels(order, rotate_invariant))
+    has = (np.arange(512)[:, None] & masks[None, :] == masks[None, :]).astype(np.int64)
+    binary = histogram.otsu_bin_stack if binarization_method == "otsu" else lambda stack: stencil.mean_adapt_bin_stack(stack, block_size, c)
+
+    def run(stack: np.ndarray, h: int, w: int) -> dict[str, np.ndarray]:
+        sides = [(s, math.floor(h * s), math.floor(w * s)) for s in scales]
+        found = [_hlac_counts(binary(stack if s == 1 else geometry.resized_stack(stack, th, tw)), has) for s, th, tw in sides if th > 2 and tw > 2]
+        count = sum(found) if found else np.zeros((len(stack), 0), np.int64)
+        k = np.tile(np.arange(count.shape[1]), (len(stack), 1))
+        if not normalize:
+            return {"k": k, "count": count}
+        total = count.sum(axis=1, keepdims=True)
+        return {"k": k, "count": count / np.maximum(total, 1)}
+
+    return arrays.per_stack(arrays.sized(gray), run, f"k int, count {'double' if normalize else 'long'}")
 
 
 def named(features: DataFrame, prefix: str, key: Column, value: str) -> DataFrame:

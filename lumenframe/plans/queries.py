@@ -321,7 +321,7 @@ def hlac(spark, sf_dir):
 
 @query("hlac_multiscale")
 def hlac_multiscale(spark, sf_dir):
-    return _rounded(texture.hlac_multiscale(by_image(tables.gray_tile(spark, sf_dir))))
+    return _rounded(texture.hlac_multiscale(tables.whole_tiles(spark, sf_dir)))
 
 
 # Frequencies

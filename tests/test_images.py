@@ -290,3 +290,26 @@ def test_lbp_samples_equal_to_the_centre_count(spark, r):
     flat = spark.range(256).selectExpr("id AS image_id", f"explode(sequence(0, {n * n - 1})) AS i", "CAST(id AS INT) AS v").selectExpr("image_id", f"CAST(i DIV {n} AS INT) AS y", f"i % {n} AS x", "v")
     codes = texture.lbp_codes(flat, 8, r, "default").where(f"y = {r} AND x = {r}").collect()
     assert len(codes) == 256 and {c["code"] for c in codes} == {255}
+
+
+def test_whole_images_and_pixels_give_the_same(spark):
+    """Copies at three scales and resizing: images of two sizes, one of more pixels than an Arrow batch holds, from both forms; whole
+    images are neither dealt nor sorted."""
+    size = {1: (8, 8), 2: (5, 7), 3: (130, 120), 4: (8, 8), 5: (2, 2)}
+    value = lambda i, y, x: (y * y * 31 + x * 17 * i + y * x) % 256
+    px = spark.createDataFrame([(i, y, x, value(i, y, x)) for i, (h, w) in size.items() for y in range(h) for x in range(w)], "image_id long, y int, x int, v int")
+    whole = spark.createDataFrame([(i, h, w, [value(i, y, x) for y in range(h) for x in range(w)]) for i, (h, w) in size.items()], "image_id long, height int, width int, cells array<int>")
+    for f in (texture.hlac_multiscale, lambda g: texture.hlac_multiscale(g, binarization_method="otsu", normalize=False), lambda g: geometry.resize(g, 6, 9, False), lambda g: geometry.scaled(g, 0.3)):
+        a, b = f(px), f(whole)
+        assert sorted(a.collect()) == sorted(b.collect())
+        plan = b._jdf.queryExecution().executedPlan().toString()
+        assert not any(word in plan for word in ("Exchange", "Sort", "Window"))
+    got = {i for (i,) in texture.hlac_multiscale(px).select("image_id").distinct().collect()}
+    assert got == {1, 2, 3, 4}  # 2 x 2 has no interior at any scale
+    one = px.where("image_id = 3")  # step by step: each copy made binary, then counted
+    parts = [texture.hlac(stencil.mean_adapt_bin(g, 11, 2)) for g in (one, geometry.scaled(one, 0.75), geometry.scaled(one, 0.5))]
+    want = {}
+    for part in parts:
+        for r in part.collect():
+            want[r["k"]] = want.get(r["k"], 0) + r["count"]
+    assert {r["k"]: r["count"] for r in texture.hlac_multiscale(one, normalize=False).collect()} == want
