@@ -18,12 +18,18 @@ def columns() -> WindowSpec:
 
 def by_image(df: DataFrame) -> DataFrame:
     """df dealt by image_id; one that was kept so (see kept_by_image) stays as it is."""
-    return df if getattr(df, "_by_image", False) else df.repartition("image_id")
+    return df if getattr(df, "_by_image", False) else _dealt(df)
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """df over all shuffle partitions: pixels shrink to little in a shuffle, and by its size adaptive execution would put the images
+    of many partitions into one task, whose sorts and windows hold them at full size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id")
 
 
 def kept_by_image(df: DataFrame) -> DataFrame:
     """df dealt by image_id once and kept (on disk if need be), for several operators that each ask for it."""
-    out = df.repartition("image_id").persist()
+    out = _dealt(df).persist()
     out._by_image = True
     return out
 

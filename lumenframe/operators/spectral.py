@@ -22,17 +22,16 @@ def _by_image(gray: DataFrame, transform, schema: str) -> DataFrame:
 def spectrum(gray: DataFrame, window: bool = True) -> DataFrame:
     """image_id, height, width, ky, kx (0 at the centre: negative to the left and above), re, im."""
 
-    def transform(table: pa.Table) -> dict[str, np.ndarray]:
-        image = arrays.image(table)
-        h, w = image.shape
+    def transform(stack: np.ndarray, h: int, w: int) -> dict[str, np.ndarray]:
+        n = len(stack)
         if window:
-            image = image * np.hanning(h)[:, None] * np.hanning(w)[None, :]
-        f = np.fft.fft2(image).ravel()
-        ky, kx = ((np.fft.fftfreq(n) * n).round().astype(np.int32) for n in (h, w))
+            stack = stack * np.hanning(h)[:, None] * np.hanning(w)[None, :]
+        f = np.fft.fft2(stack).reshape(n, -1)
+        ky, kx = ((np.fft.fftfreq(k) * k).round().astype(np.int32) for k in (h, w))
         cells = {"height": np.full(h * w, h, np.int32), "width": np.full(h * w, w, np.int32), "ky": np.repeat(ky, w), "kx": np.tile(kx, h)}
-        return cells | {"re": f.real.copy(), "im": f.imag.copy()}
+        return {k: np.tile(v, (n, 1)) for k, v in cells.items()} | {"re": f.real.copy(), "im": f.imag.copy()}
 
-    return _by_image(gray, transform, "height int, width int, ky int, kx int, re double, im double")
+    return arrays.per_stack(arrays.sized(gray), transform, "height int, width int, ky int, kx int, re double, im double")
 
 
 def _maps(spec: DataFrame) -> DataFrame:

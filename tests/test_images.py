@@ -313,3 +313,16 @@ def test_whole_images_and_pixels_give_the_same(spark):
         for r in part.collect():
             want[r["k"]] = want.get(r["k"], 0) + r["count"]
     assert {r["k"]: r["count"] for r in texture.hlac_multiscale(one, normalize=False).collect()} == want
+
+
+def test_spectra_run_over_stacks_and_images_are_dealt_over_all_partitions(spark):
+    """No call for each small image, the same spectrum as an image alone has; few bytes of pixels are not put into few tasks."""
+    from lumenframe.operators.grid import by_image
+
+    both = image(spark, lambda y, x: (y * 7 + x * x) % 50, 6, 1).union(image(spark, lambda y, x: (y * 3 + x) % 9, 9, 2)).union(image(spark, lambda y, x: y * x, 6, 3))
+    s = spectral.spectrum(both)
+    assert "FlatMapGroupsInArrow" not in s._jdf.queryExecution().executedPlan().toString()
+    got = {(r["image_id"], r["ky"], r["kx"]): complex(r["re"], r["im"]) for r in s.collect()}
+    own = np.array([[(y * 3 + x) % 9 for x in range(9)] for y in range(9)]) * np.hanning(9)[:, None] * np.hanning(9)[None, :]
+    assert len(got) == 36 + 81 + 36 and all(abs(got[2, ky, kx] - np.fft.fft2(own)[ky, kx]) < 1e-9 for ky in range(-4, 5) for kx in range(-4, 5))
+    assert "REPARTITION_BY_NUM" in by_image(both)._jdf.queryExecution().executedPlan().toString()
