@@ -18,12 +18,14 @@ import array
 import functools
 import itertools
 import os
+import string
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -32,6 +34,8 @@ from lumenframe.llm._shared import partitions, shared_dir, small_batches
 
 _NAMES = dict(enumerate(byte_symbols()))
 _MAGIC, _BLOCK = b"LFW2", 1 << 15
+_TAIL = string.punctuation.replace("'", "")  # an apostrophe may begin a piece of its own with the letters behind it
+_NEW = object()  # beside the ids of known pieces
 SHARD = "part int, first long, n_docs long, n_ids long, payload binary"
 
 
@@ -174,10 +178,12 @@ class WaveletMatrix:
 class PieceEncoder:
     """Token ids of texts by the tokenizers library, for a byte-level BPE whose pattern starts a piece at every space
     after a non-space, and between letters and the punctuation or single line feed that follows them. Such pieces are
-    encoded by the library once, many in one call with a line feed between them, and kept: in two generations of up to
-    about `most` pieces, of which the older goes when the younger is full, save what was used meanwhile."""
+    encoded by the library once, words by its model and others many in one call with a line feed between them, and kept:
+    in two generations of up to about `most` pieces, of which the older goes when the younger is full, save what was used
+    meanwhile. Arrow cuts the texts of a batch, numbers their different pieces and puts the ids in their places; Python
+    loops over different pieces only."""
 
-    def __init__(self, path: str, most: int = 160_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -188,7 +194,8 @@ class PieceEncoder:
         self.wide = array.array(self.code).itemsize
         feed = self.feed_bytes = self._library("\n")
         self.feed = int.from_bytes(feed, "little") if len(feed) == self.wide else None
-        self.after: dict[str, bytes | None] = {}  # the ids of " " + key; None: the cut behind it isn't safe
+        # the ids of " " + key, or without the space if the key begins with \0; None: the cut behind it isn't safe
+        self.after: dict[str, bytes | None] = {}
         self.atoms: dict[str, bytes] = {}
         self.old: tuple[dict, dict] = ({}, {})
 
@@ -216,23 +223,34 @@ class PieceEncoder:
         name = word.replace(" ", "\u0120") if word.isascii() else word.encode().decode("latin-1").translate(_NAMES)
         return array.array(self.code, [x.id for x in self.model.tokenize(name)]).tobytes()
 
-    def _learn_words(self, pieces: list[str]) -> list[str]:
-        """Adds the pieces (each after a space) that are letters, or letters and punctuation, to those kept; returns the rest."""
-        after, ask, code, rest, tails = self.after, self.model.tokenize, self.code, [], {}
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        """Adds pieces to those kept: letters, or letters and punctuation, by words of the model; others by the library."""
+        after, kept, word_ids = self.after, self.old[0], self._word
+        rest, tails = [], {}
         for p in pieces:
-            stem = p if p.isalpha() else p.rstrip(",.;:!?")
-            if not stem.isalpha():
-                rest.append(p)
+            if (ids := kept.get(p, _NEW)) is not _NEW:
+                after[p] = ids
                 continue
-            ids = after.get(stem)
-            if ids is None:
-                ids = after[stem] = array.array(code, [x.id for x in ask("\u0120" + stem)]).tobytes() if stem.isascii() else self._word(f" {stem}")
-            if stem is not p:
-                tail = p[len(stem) :]
-                if tail not in tails:
-                    tails[tail] = self._learn([tail])[0]
-                after[p] = ids + tails[tail]
-        return rest
+            stem = p if p.isalpha() else p.rstrip(_TAIL)
+            bare = stem[:1] == "\0"
+            word = stem[1:] if bare else stem
+            if word.isalpha():
+                ids = after.get(stem) or kept.get(stem)
+                if ids is None:
+                    ids = word_ids(word if bare else f" {word}")
+                after[stem] = ids
+                if len(stem) < len(p):
+                    tail = p[len(stem) :]
+                    if tail not in tails:
+                        tails[tail] = self._learn([tail])[0]
+                    after[p] = ids + tails[tail]
+            elif p == "\0" or p == "\0\n":
+                after[p] = self.feed_bytes if p[1:] else b""
+            elif not p or p[-1].isspace() or (p[0] == "\0" and p[1:2].isspace()):
+                after[p] = None
+            else:
+                rest.append(p)
+        after.update(zip(rest, self._learn([p[1:] if p[0] == "\0" else f" {p}" for p in rest]), strict=True))
 
     def _learn(self, pieces: list[str]) -> list[bytes]:
         split = [self._split(p) for p in pieces]
@@ -264,33 +282,28 @@ class PieceEncoder:
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of `wide` bytes."""
+        if not texts:
+            return []
         if len(self.atoms) > self.most or len(self.after) > 2 * self.most:
             self.old = (self.after, self.atoms)
             self.after, self.atoms = {}, {}
-        # a single line feed is a piece; \0 marks pieces without a space before them
-        # (a text that has \0 itself goes the slow way)
-        cut = [[""] if "\0" in t else (t.replace("\n", " \0\n \0") if " \n" not in t and "\n " not in t and "\n\n" not in t else t).split(" ") for t in texts]
-        new = set(itertools.chain.from_iterable(cut)).difference(self.after)
-        kept = self.old[0]
-        again = [p for p in new if p in kept]
-        self.after.update({p: kept[p] for p in again})
-        new.difference_update(again)
-        firm = [p for p in new if p and not p[-1].isspace() and not (p[0] == "\0" and p[1:2].isspace())]
-        self.after.update(dict.fromkeys(new))
-        firm = self._learn_words(firm)
-        begin = list({c[0] for c in cut if c[0] and not c[0][-1].isspace()})  # the pieces without a space before them
-        learned = self._learn([*(p[1:] if p[0] == "\0" and len(p) > 1 else f" {p}" for p in firm), *begin])
-        self.after.update(zip(firm, learned, strict=False))
-        self.after["\0\n"], self.after["\0"] = self.feed_bytes, b""
-        first = dict(zip(begin, learned[len(firm) :], strict=True))
-        out: list[bytes] = []
-        get = self.after.__getitem__
-        for t, c in zip(texts, cut, strict=True):
-            try:
-                out.append(first[c[0]] + b"".join(map(get, itertools.islice(c, 1, None))))
-            except (KeyError, TypeError):  # white space where a cut isn't safe
-                out.append(self._slow(t))
-        return out
+        # \0 marks pieces without a space before them, at the beginning and beside a single line feed, which is a piece
+        # (a text that has \0 itself or begins with white space goes the slow way: as an empty piece, where no cut is safe)
+        marked = ["" if "\0" in t or t[:1].isspace() else "\0" + (t.replace("\n", " \0\n \0") if " \n" not in t and "\n " not in t and "\n\n" not in t else t) for t in texts]
+        cut = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
+        words = cut.values.dictionary_encode()
+        pieces = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = [*map(self.after.get, pieces, itertools.repeat(_NEW))]
+        new = [k for k, x in enumerate(known) if x is _NEW]
+        self._learn_pieces([pieces[k] for k in new])
+        for k in new:
+            known[k] = self.after[pieces[k]]
+        ids = pa.array(known, pa.large_binary()).take(words.indices)
+        first = cut.offsets.to_numpy()
+        unsafe = np.logical_or.reduceat(ids.is_null().to_numpy(zero_copy_only=False), first[:-1])  # white space where a cut isn't safe
+        stop = np.frombuffer(ids.buffers()[1], np.int64)[first].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        return [self._slow(t) if slow else data[a:b].tobytes() for t, slow, (a, b) in zip(texts, unsafe.tolist(), itertools.pairwise(stop), strict=True)]
 
     def _slow(self, text: str) -> bytes:
         """Texts with white space that is more than one space: cut only before a space that follows a non-space."""
@@ -310,6 +323,18 @@ def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
+def _grouped(batches: Iterator[pa.RecordBatch], rows: int = 4000, size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches as one, up to about so many rows and bytes: their different pieces are looked up once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and (sum(x.num_rows for x in held) + batch.num_rows > rows or sum(x.nbytes for x in held) + batch.nbytes > size):
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def encode(docs: DataFrame, tokenizer: str, end_id: int | None, bounds: list[int]) -> DataFrame:
     """part (the range between ascending bounds that the doc_id falls in), doc_id, ids (packed, 16 bits each if they fit)."""
 
@@ -320,7 +345,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int | None, bounds: list[int
         if (end_id or 0) >> 8 * own.wide:
             raise ValueError(f"an end id of {end_id} beside a vocabulary of {own.size}")
         end = b"" if end_id is None else end_id.to_bytes(own.wide, "little")
-        for batch in batches:
+        for batch in _grouped(batches):
             doc_id = batch["doc_id"].fill_null(np.iinfo(np.int64).min).to_numpy()
             ids = [x + end for x in own.packed([x or "" for x in batch["text"].to_pylist()])]
             low, part = np.searchsorted(edges, doc_id, "left"), np.searchsorted(edges, doc_id, "right")

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -440,3 +441,31 @@ def test_pieces_as_the_library_encodes_them():
     encoder = token_wavelet.PieceEncoder(path, most=3)
     for _ in range(2):
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_different_pieces_are_looked_up_once_a_batch():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    asked = []
+
+    class Counted(dict):
+        def get(self, *key):
+            asked.append(key[0])
+            return dict.get(self, *key)
+
+        def __getitem__(self, key):
+            asked.append(key)
+            return dict.__getitem__(self, key)
+
+    encoder = token_wavelet.PieceEncoder(path)
+    encoder.after = Counted(encoder.after)
+    texts = ["Straße, straße&&& word*** word. word' it's\nword *** <|endoftext|> end<|endoftext|>\n" * 200, "\n first", "\tfirst", "\0", "last\n"] * 20
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(asked) < 100  # of 52,000 pieces
+
+
+def test_batches_are_grouped_whole():
+    batches = [pa.RecordBatch.from_pydict({"x": pa.array(range(n), pa.int64()), "text": pa.array(["y" * 10] * n, pa.string())}) for n in (3, 4, 0, 9, 1, 1)]
+    got = list(token_wavelet._grouped(iter(batches), rows=8))
+    assert [x.num_rows for x in got] == [7, 9, 2] and sum((x["x"].to_pylist() for x in got), []) == [i for x in batches for i in x["x"].to_pylist()]
+    assert [x.num_rows for x in token_wavelet._grouped(iter(batches), rows=99, size=1)] == [x.num_rows for x in batches] and not list(token_wavelet._grouped(iter([])))
