@@ -20,21 +20,25 @@ with equal doc_id or text are encoded each by itself; extra columns are not read
 
 from __future__ import annotations
 
+import array
 import codecs
 import functools
 import hashlib
+import itertools
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
 from lumenframe.llm._shared import small_batches
 
 RESULT = "doc_id long, n_tokens long, ids array<int>, decoded string"
+ENCODED = "doc_id long, n_tokens long, ids array<int>"
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -225,6 +229,175 @@ class Transducer:
         return out[::-1]
 
 
+class Table:
+    """Whole numbers below 2**63 and what they stand for (from 0 on), asked for many at once."""
+
+    def __init__(self, known: dict[int, int]):
+        keys = np.fromiter(known, np.uint64, len(known))
+        bits = max(4, len(known).bit_length() + 1)
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, _FREE), np.full(1 << bits, -1, np.int32)
+        values = np.fromiter(known.values(), np.int32, len(known))
+        at = self._at(keys)
+        while len(keys):
+            free = self.keys[at] == _FREE
+            self.keys[at[free]], self.values[at[free]] = keys[free], values[free]
+            rest = self.keys[at] != keys  # another one came into the same place
+            keys, values, at = keys[rest], values[rest], (at[rest] + 1) & self.last
+
+    def _at(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _SPREAD) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 for what is not known."""
+        at = self._at(keys)
+        found, out = self.keys[at], self.values[at]
+        open_ = np.flatnonzero(found != keys)
+        out[open_] = -1
+        open_ = open_[found[open_] != _FREE]
+        at = at[open_]
+        while len(open_):
+            at = (at + 1) & self.last
+            found = self.keys[at]
+            here = found == keys[open_]
+            out[open_[here]] = self.values[at[here]]
+            more = ~here & (found != _FREE)
+            open_, at = open_[more], at[more]
+        return out
+
+
+_FREE, _SPREAD = np.uint64(2**64 - 1), np.uint64(0x9E3779B97F4A7C15)
+
+
+class Together:
+    """The transducer over many words at once: the same last tokens of the same prefixes, one position of all words after the
+    other. All tokens inside all words are found on a trie before, level by level; whether one may follow another is asked
+    for all words' tokens that end at a position together, and kept for the pairs met last."""
+
+    longest = 64
+
+    def __init__(self, transducer: Transducer, kept: int = 18):
+        merges = transducer.merges
+        top = max(merges.vocab.values()) + 1
+        children: dict[int, int] = {}
+        tokens: list[tuple[dict[int, int], dict[str, int]]] = [({}, transducer.inner), ({}, transducer.final)]
+        for at, known in tokens:
+            for name, token in known.items():
+                if all(c in _BYTES for c in name):
+                    node = 0
+                    for c in name:
+                        node = children.setdefault(node << 8 | _BYTES[c], len(children) + 1)
+                    at[node] = token
+        self.child, self.nodes = Table(children), len(children) + 1
+        self.inner, self.final = (self._dense(at, self.nodes) for at, _ in tokens)
+        self.first = self.child.get(np.arange(256, dtype=np.uint64))
+        self.size = self._dense(transducer.size, top)
+        self.rank = self._dense(merges.rank, top)
+        self.left, self.right = (self._dense({t: p[k] for t, p in merges.parts.items()}, top) for k in (0, 1))
+        self.joins, self.n_joins = Table({a << 32 | b: r for (a, b), r in merges.joins.items()}), len(merges.joins)
+        self.pairs, self.answers = np.full(1 << kept, _FREE), np.zeros(1 << kept, bool)
+        self.kept = np.uint64(64 - kept)
+
+    @staticmethod
+    def _dense(known: dict[int, int], n: int) -> np.ndarray:
+        out = np.full(n, -1, np.int32)
+        out[np.fromiter(known, np.int64, len(known))] = np.fromiter(known.values(), np.int32, len(known))
+        return out
+
+    def _follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Merges.may_follow for pairs of tokens."""
+        pair = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+        at = ((pair * _SPREAD) >> self.kept).astype(np.int64)
+        out = self.answers[at]
+        new = np.flatnonzero(self.pairs[at] != pair)
+        if len(new):
+            one, of = np.unique(pair[new], return_inverse=True)
+            said = self._border((one >> np.uint64(32)).astype(np.int64), (one & np.uint64(2**32 - 1)).astype(np.int64))
+            out[new] = said[of]
+            place = ((one * _SPREAD) >> self.kept).astype(np.int64)
+            place, k = np.unique(place, return_index=True)  # one pair a place
+            self.pairs[place], self.answers[place] = one[k], said[k]
+        return out
+
+    def _border(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Merges._border for pairs of tokens."""
+        out, here, before = np.zeros(len(a), bool), np.arange(len(a)), np.full(len(a), self.n_joins)
+        while len(here):
+            r = self.joins.get(a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64))
+            x, y = self.rank[a], self.rank[b]
+            apart = (r < 0) | (r >= before)
+            out[here[apart & (x < 0) & (y < 0)]] = True
+            go = apart & ((x >= 0) | (y >= 0))
+            here, a, b, x, y = here[go], a[go], b[go], x[go], y[go]
+            late = x > y
+            before = np.where(late, x, y + 1)
+            a, b = np.where(late, self.right[a], a), np.where(late, b, self.left[b])
+        return out
+
+    def encode(self, data: np.ndarray, start: np.ndarray, step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one behind the other, and where each word's begin and end. Word k is data[start[k]:start[k + 1]],
+        of one byte at least and `longest` at most."""
+        ids, ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        for k in range(0, len(start) - 1, step):
+            some = start[k : k + step + 1]
+            got, end = self._some(data[some[0] : some[-1]], some - some[0])
+            ids.append(got)
+            ends.append(end[1:] + ends[-1][-1])
+        return np.concatenate(ids), np.concatenate(ends)
+
+    def _some(self, data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, size = len(start) - 1, np.diff(start)
+        word = np.repeat(np.arange(n), size)
+        stop = start[1:][word]
+        # place of a prefix: its last byte's number, with one more place before each word for the empty prefix
+        last = np.full(len(data) + n, -2, np.int32)
+        last[start[:-1] + np.arange(n)] = -1
+        at, node, k = np.arange(len(data)), self.first[data], 1
+        found = []
+        while len(at):
+            alive = np.flatnonzero(node >= 0)
+            at, node = at[alive], node[alive]
+            end = at + k
+            over = end == stop[at]
+            token = np.where(over, self.final[node], self.inner[node])
+            is_token = np.flatnonzero(token >= 0)
+            some, w = at[is_token], word[at[is_token]]
+            found.append((some + k - start[w], some + w, some + w + k, token[is_token]))
+            go = np.flatnonzero(~over)
+            at, node = at[go], node[go]
+            node = self.child.get(node.astype(np.uint64) << np.uint64(8) | data[at + k].astype(np.uint64))
+            k += 1
+        position, begin, end, token = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(position.astype(np.uint8), kind="stable")
+        begin, end, token = begin[order], end[order], token[order]
+        cuts = np.cumsum(np.bincount(position, minlength=1))
+        for a, b in itertools.pairwise(cuts.tolist()):
+            before = last[begin[a:b]]
+            fits = before < 0
+            inside = np.flatnonzero(~fits)
+            fits[inside] = self._follow(before[inside], token[a:b][inside])
+            last[end[a:b][fits]] = token[a:b][fits]
+        if n and last.min() < -1:
+            raise ValueError("no token for a byte")
+        return self._back(last, start[1:] + np.arange(n))
+
+    def _back(self, last: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of whole words, from their last ones on; at: the words' ends."""
+        word, steps, count = np.arange(len(at)), [], np.zeros(len(at), np.int64)
+        while len(word):
+            token = last[at]
+            go = token >= 0
+            word, token, at = word[go], token[go], at[go]
+            count[word] += 1
+            steps.append((word, token))
+            at = at - self.size[token]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        out = np.empty(ends[-1], np.int32)
+        for k, (word, token) in enumerate(steps):
+            out[ends[word + 1] - 1 - k] = token
+        return out, ends
+
+
 class Decoder:
     """ids in, text out; bytes of a character that is not complete yet wait."""
 
@@ -304,8 +477,10 @@ class WordBpe:
         self.own = j["normalizer"] == NORMALIZER and j["pre_tokenizer"] == PRE_TOKENIZER
         if not self.own and (self.library.pre_tokenizer is None or self._cut("a\tb c") != self._cut("a") + self._cut("b") + self._cut("c")):
             raise ValueError("the pre-tokenizer does not end its pieces at white space")
-        self.piece = regex.compile(PATTERN)
+        self.piece, self.piece_or_space = regex.compile(PATTERN), regex.compile(f"{PATTERN}| ")
         self.odd = frozenset(odd)
+        self.is_odd = np.zeros(0x110000, bool)
+        self.is_odd[[ord(c) for c in odd]] = True
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True))) if self.specials else None
         self.words, self.chunks = Recent(most), Recent(most)
 
@@ -361,6 +536,70 @@ class WordBpe:
             self.chunks.put(c, got)
         return got
 
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one behind the other, and where each text's begin and end. Arrow cuts texts into stretches as
+        in both(), numbers the different ones and their pieces and puts the ids in their places; the transducer reads the
+        different pieces together. Nothing is kept."""
+        if not len(texts):
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, "").cast(pa.large_string()), "\n", " "), " ")
+        stretches = cut.values.dictionary_encode()
+        ids = self._stretches(stretches.dictionary).take(stretches.indices)
+        return np.frombuffer(ids.buffers()[2] or b"", np.int32), _offsets(ids)[cut.offsets.to_numpy()] // 4
+
+    def _stretches(self, stretches: pa.Array) -> pa.Array:
+        """The ids of each stretch as 32-bit integers. Those that the library must cut, or with a special token, go by themselves."""
+        text, alone = _joined(stretches), range(len(stretches))
+        if self.own:
+            code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            alone = np.cumsum(code == 32)[self.is_odd[code]].tolist()
+            for s in self.specials:
+                if s in text:
+                    alone += np.flatnonzero(pc.match_substring(stretches, s).to_numpy(zero_copy_only=False)).tolist()
+        slow = {k: array.array("i", self.encode(stretches[k].as_py())).tobytes() for k in set(alone)}
+        if slow:
+            every = stretches.to_pylist()
+            for k in slow:
+                every[k] = ""
+            text = " ".join(every)
+        text = text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        pieces = pa.array([*self.piece_or_space.findall(text.lower()), " "], pa.large_string()).dictionary_encode()
+        space = pieces.dictionary.index(" ").as_py()
+        ids = self._pieces_ids(pieces.dictionary, space).take(pieces.indices)
+        ends = _offsets(ids)[np.flatnonzero(pieces.indices.to_numpy() == space)]
+        out = _binary(np.concatenate([[0], ends]), ids.buffers()[2])
+        if slow:
+            every = out.to_pylist()
+            for k, x in slow.items():
+                every[k] = x
+            out = pa.array(every, pa.large_binary())
+        return out
+
+    def _pieces_ids(self, pieces: pa.Array, space: int) -> pa.Array:
+        """The ids of different pieces as 32-bit integers, none for a space."""
+        start = _offsets(pieces)
+        data, size = np.frombuffer(pieces.buffers()[2], np.uint8), np.diff(start)
+        long = np.flatnonzero(size > self.together.longest)
+        other = size <= self.together.longest
+        other[space] = False
+        ids, ends = self.together.encode(data[: start[-1]][np.repeat(other, size)], np.concatenate([[0], np.cumsum(size[other])]))
+        n = np.zeros(len(pieces), np.int64)
+        n[other] = np.diff(ends)
+        if len(long):  # a stream each
+            every = {k: np.fromiter(self._ids(pieces[k].as_py()), np.int32) for k in long.tolist()}
+            n[long] = [len(x) for x in every.values()]
+            out = np.empty(n.sum(), np.int32)
+            begin = np.cumsum(n) - n
+            for k, x in every.items():
+                out[begin[k] : begin[k] + n[k]] = x
+            out[np.repeat(other, n)] = ids
+            ids = out
+        return _binary(4 * np.concatenate([[0], np.cumsum(n)]), pa.py_buffer(ids))
+
+    @functools.cached_property
+    def together(self) -> Together:
+        return Together(self.transducer)
+
     def _word(self, p: str) -> tuple[bytes, bytes]:
         got = self.words.get(p)
         if got is None:
@@ -371,6 +610,20 @@ class WordBpe:
         return got
 
 
+def _offsets(values: pa.Array) -> np.ndarray:
+    """Where the bytes of each value of a large binary array begin, and the last end."""
+    return np.frombuffer(values.buffers()[1], np.int64, len(values) + 1)
+
+
+def _binary(offsets: np.ndarray, data: pa.Buffer) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), data])
+
+
+def _joined(values: pa.Array) -> str:
+    """All strings with a space between them."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), pa.scalar(" ", values.type))[0].as_py()
+
+
 @functools.lru_cache(2)
 def word_bpe(path: str, lookahead: int | None = None, kept: int = 250_000, odd: str = "") -> WordBpe:
     """One a process: Python workers run many tasks."""
@@ -424,3 +677,28 @@ def encode_decode(docs: DataFrame, tokenizer: str, digest: bool = False, kept: i
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, DIGEST if digest else RESULT)
+
+
+def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id, n_tokens and ids as encode_decode gives them, without decoding them again. A worker keeps no words."""
+    small_batches(docs.sparkSession)
+    lookahead, odd = sufficient_lookahead(tokenizer), odd_characters(tokenizer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = word_bpe(tokenizer, lookahead, 20_000, odd)
+        for some in (x for batch in batches for x in _parts(batch)):
+            ids, at = bpe.flat(some["text"])
+            flat = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([some["doc_id"], pa.array(np.diff(at), pa.int64()), flat], names=["doc_id", "n_tokens", "ids"])
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.mapInArrow(run, ENCODED)
+
+
+def _parts(batch: pa.RecordBatch, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about so many bytes of text, a row at least."""
+    before = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(before // size)) + 1).tolist(), batch.num_rows]
+    for a, b in itertools.pairwise(cuts):
+        if b > a:
+            yield batch.slice(a, b - a)
