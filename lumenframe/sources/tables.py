@@ -28,8 +28,9 @@ def whole_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _filled(df: DataFrame, cells: int, values: list[str]) -> DataFrame:
-    """image_id, i and values with a row for every i below cells of every image: what is missing is 0."""
-    whole = df.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("i"))
+    """image_id, i and values with a row for every i below cells of every image: what is missing is 0. The cells are merged, not
+    broadcast: Spark takes them for as few as the images, and may where a filter for values that are not 0 makes the join an inner one."""
+    whole = df.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("i")).hint("merge")
     return whole.join(df, ["image_id", "i"], "left").select("image_id", "i", *(F.coalesce(c, F.lit(0)).alias(c) for c in values))
 
 

@@ -326,3 +326,19 @@ def test_spectra_run_over_stacks_and_images_are_dealt_over_all_partitions(spark)
     own = np.array([[(y * 3 + x) % 9 for x in range(9)] for y in range(9)]) * np.hanning(9)[:, None] * np.hanning(9)[None, :]
     assert len(got) == 36 + 81 + 36 and all(abs(got[2, ky, kx] - np.fft.fft2(own)[ky, kx]) < 1e-9 for ky in range(-4, 5) for kx in range(-4, 5))
     assert "REPARTITION_BY_NUM" in by_image(both)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_of_images_are_not_broadcast(spark, tmp_path):
+    """Where black pixels are left out, Spark makes the join with all cells an inner one and takes the cells for as few as the
+    images: it must not send them to all tasks."""
+    import re
+
+    from lumenframe.sources import tables
+
+    spark.createDataFrame([(k, k * 37, float(k * 997)) for k in range(0, 4000, 3)], "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    px = tables.bgr_orders(spark, str(tmp_path))
+    df = statistics.hsv(px)
+    rows = df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"BroadcastHashJoin \[image_id#\d+L?, i#\d+", plan) and re.search(r"SortMergeJoin \[image_id#\d+L?, i#\d+", plan)
+    assert len(rows) == 4 and px.count() == 4 * 1024
